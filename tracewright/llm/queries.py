@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import packing, sharding, url_filter
+from tracewright.llm import decontaminate, embedding_join, importance, ngram_join, packing, pii, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,29 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+def op2_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), with_tiles=False)
+    return marked.select("doc_id", "contaminated", "coverage", "item_ids")
+
+
+def op3_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.join(table(spark, sf_dir, "embeddings"))
+
+
+def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.learn(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, chain).drop("text")
+
+
+def op5_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -29,12 +52,19 @@ def op7_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
 def queries() -> dict[str, Query]:
-    found = [op6_url_vocabulary, op7_concatenate_and_cut, op10_weighted_hash_tree]
+    found = [
+        op1_ngram_jaccard_join, op2_greedy_string_tiling, op3_subspace_pigeonhole, op4_classifier_chain, op5_disclosure_sanitiser,
+        op6_url_vocabulary, op7_concatenate_and_cut, op8_importance_resampling, op10_weighted_hash_tree,
+    ]
     return {f.__name__: f for f in found}
 
 
