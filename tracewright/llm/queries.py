@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontaminate, embedding_join, importance, ngram_join, packing, pii, sharding, toxicity, url_filter
+from tracewright.llm import decontaminate, embedding_join, importance, lm_scoring, ngram_join, packing, pii, sharding, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,10 @@ def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_elias_fano_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op10_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
@@ -63,7 +67,7 @@ def op10_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = [
         op1_ngram_jaccard_join, op2_greedy_string_tiling, op3_subspace_pigeonhole, op4_classifier_chain, op5_disclosure_sanitiser,
-        op6_url_vocabulary, op7_concatenate_and_cut, op8_importance_resampling, op10_weighted_hash_tree,
+        op6_url_vocabulary, op7_concatenate_and_cut, op8_importance_resampling, op9_elias_fano_trie, op10_weighted_hash_tree,
     ]
     return {f.__name__: f for f in found}
 
