@@ -27,6 +27,8 @@ class Settings:
     smoothing: float = 1.0
     seed: int = 5
     cells: int = 4096
+    #: The target model is fitted on so many labelled texts at most, those of least hash; the other covers all texts.
+    target_rows: int = 20_000
 
 
 def buckets_of(text: str | None, hashes: WordHashes, set_: Settings) -> np.ndarray:
@@ -67,8 +69,9 @@ def select(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id
     """
     set_ = settings
     good = labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("id")).where("id is not null").distinct()
+    good = good.orderBy(F.xxhash64("id"), "id").limit(set_.target_rows).withColumn("target", F.lit(True))
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = rows.join(good.withColumn("target", F.lit(True)), "id", "left")
+    marked = rows.join(F.broadcast(good), "id", "left")  # target_rows short rows at most
     both = counts(marked.select("text", F.coalesce("target", F.lit(False)).alias("target")), set_).astype(np.float64)
     smooth = both + set_.smoothing
     ratio = np.log(smooth[0] / smooth[0].sum()) - np.log(smooth[1] / smooth[1].sum())
