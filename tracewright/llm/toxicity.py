@@ -27,13 +27,13 @@ WORD = re.compile(r"[^\W\d_]+")
 class Settings:
     #: Label column and the value that means yes; the order of the chain. The last category decides.
     categories: tuple[tuple[str, str, int], ...] = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
-    train_rows: int = 20_000
-    features: int = 3_000
+    train_rows: int = 12_000
+    features: int = 600
     least_texts: int = 3
-    prefixes: tuple[int, ...] = (4, 5, 6)
-    folds: int = 5
+    prefixes: tuple[int, ...] = (4, 6)
+    folds: int = 4
     decay: float = 1e-4
-    rounds: int = 300
+    rounds: int = 150
     seed: int = 11
 
 
