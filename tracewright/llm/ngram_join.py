@@ -4,8 +4,8 @@
    one class, of which a single member goes on.
 2. Classes that agree on a band of the signature are candidates (32 bands of 4 values: a pair of
    similarity 0.8 is missed with probability 5e-8). Band groups are not expanded into pairs. Every
-   class joins the lowest class that it shares a band with; such a neighbourhood, split by hash into
-   blocks of about 256 classes, is a block, and a work unit is a pair of blocks that some band touches.
+   class joins the lowest class within two steps of shared bands; such a neighbourhood is split by hash
+   into blocks of about 256 classes, and a work unit is a pair of blocks that some band touches.
 3. Inside a unit candidates are compared 16 MinHash values at a time. After n comparisons with m
    agreements the similarity has posterior Beta(m + 1, n - m + 1) under a uniform prior; a pair whose
    posterior probability of reaching the threshold falls under the tolerance is dropped.
@@ -180,7 +180,9 @@ def join(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
     banded = reps.select("rep", "sig").mapInArrow(bands, "key bigint, rep bigint")
     groups = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1").select("key", "low")
     members = cut(banded.join(groups, "key"), "bands", "snappy")
-    leads = members.groupBy("rep").agg(F.min("low").alias("lead"))
+    once = members.groupBy("rep").agg(F.min("low").alias("lead"))
+    again = members.select("key", "rep").join(once, "rep").groupBy("key").agg(F.min("lead").alias("low"))
+    leads = members.select("key", "rep").join(again, "key").groupBy("rep").agg(F.min("low").alias("lead"))
     sizes = leads.groupBy("lead").agg(F.count("*").alias("n"))
     spread = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / set_.block)).cast("int")
     blocks = cut(leads.join(sizes, "lead").select("rep", "lead", F.when(F.col("n") > set_.block, spread).otherwise(0).alias("chunk")), "blocks", "snappy")
