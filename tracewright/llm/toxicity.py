@@ -30,6 +30,8 @@ class Settings:
     train_rows: int = 12_000
     features: int = 600
     least_texts: int = 3
+    #: Least log-likelihood ratio of a feature; weaker ties to a category are mostly chance among so many features.
+    least_ratio: float = 12.0
     prefixes: tuple[int, ...] = (4, 6)
     folds: int = 4
     decay: float = 1e-4
@@ -123,23 +125,22 @@ def train(sets: list[np.ndarray], labels: np.ndarray, set_: Settings) -> Chain:
     seen: dict[bytes, int] = {}
     for k, s in enumerate(sets):
         seen.setdefault(s.tobytes() + labels[k].tobytes(), k)  # equal texts count once
-    rows = sorted(seen.values())
-    sets, labels = [sets[k] for k in rows], labels[rows].reshape(len(rows), -1)
+    rows = np.array(sorted(seen.values()), dtype=np.int64)
+    sets, labels = [sets[k] for k in rows], labels[rows]
     flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint32)
     names, inverse = np.unique(flat, return_inverse=True)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     chosen = np.zeros(len(names), dtype=bool)
     total = np.bincount(inverse, minlength=len(names)).astype(float)
     for c in range(labels.shape[1]):
-        y, n = labels[:, c], max(1, len(labels))
+        y = labels[:, c]
         yes = np.bincount(inverse, weights=y[row].astype(float), minlength=len(names)) if len(names) else total
         share = y.mean() if len(y) else 0.0
         with np.errstate(divide="ignore", invalid="ignore"):  # log-likelihood ratio of word and category
             g = 2 * (np.nan_to_num(yes * np.log(yes / (total * share))) + np.nan_to_num((total - yes) * np.log((total - yes) / (total * (1 - share)))))
         g[total < set_.least_texts] = 0
         best = np.argsort(-g, kind="stable")[: set_.features]
-        chosen[best[g[best] > 0]] = True
-        del n
+        chosen[best[g[best] >= set_.least_ratio]] = True
     number = np.cumsum(chosen) - 1
     use = chosen[inverse]
     indices = number[inverse[use]].astype(np.int64)
