@@ -38,21 +38,37 @@ class Settings:
     fold: int = 10  # every fold-th document, by checksum of its id, is held out
     add: float = 0.1
     prior: float = 100.0
-    batch_tokens: int = 4_000_000
-    shard_words: int = 2_000_000
-    shard_tokens: int = 3_000_000
+    batch_tokens: int = 2_000_000
+    shard_words: int = 1_500_000
+    shard_tokens: int = 2_500_000
     split_tokens: int = 200_000
 
 
 def planes(a: np.ndarray, dtype: str) -> bytes:
-    """The bytes of an array, lowest bytes of all values first: high bytes are mostly zero and compress well."""
+    """The bytes of an array, lowest bytes of all values first, compressed: the high bytes are mostly zero."""
+    import zstandard
+
     a = np.ascontiguousarray(a, dtype=dtype)
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    return zstandard.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
 
 
 def unplanes(b: bytes, dtype: str) -> np.ndarray:
+    import zstandard
+
     t = np.dtype(dtype)
-    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(t.itemsize, -1).T).view(t).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), dtype=np.uint8).reshape(t.itemsize, -1).T).view(t).ravel()
+
+
+def runs(a: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of a sorted array begins."""
+    return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, dtype=np.int64)
+
+
+def dealt(targets: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of target, and where each target's places begin."""
+    small = targets.astype(np.uint16) if parts <= 65536 else targets
+    order = np.argsort(small, kind="stable")
+    return order, np.searchsorted(targets[order], np.arange(parts + 1))
 
 
 def is_held(doc_id: int | None, fold: int) -> bool:
@@ -116,9 +132,7 @@ def count_words(coded: DataFrame, shards: int) -> DataFrame:
             out = [[], [], [], []]
             for b, words, counts in zip(*(batch.column(c).to_pylist() for c in ("batch", "words", "counts")), strict=True):
                 h, c = np.frombuffer(words, dtype=np.uint64), unplanes(counts, "<u4")
-                s = word_shards(h, shards)
-                order = np.argsort(s, kind="stable")
-                ends = np.searchsorted(s[order], np.arange(shards + 1))
+                order, ends = dealt(word_shards(h, shards), shards)
                 for k in np.flatnonzero(np.diff(ends)):
                     at = order[ends[k] : ends[k + 1]]
                     for col, value in zip(out, (b, int(k), h[at].tobytes(), planes(c[at], "<u4")), strict=True):
@@ -166,40 +180,47 @@ def ask_bigrams(coded: DataFrame, answers: DataFrame, shards: int, words_in: int
                 mine = shard == s
                 ids[mine], counts[mine] = i, c
             lengths, held = unplanes(row["lengths"], "<u4").astype(np.int64), np.frombuffer(row["held"], dtype=bool)
-            s = unplanes(row["tokens"], "<u4").astype(np.int64)
+            s = unplanes(row["tokens"], "<u4")
             starts = np.cumsum(lengths) - lengths
             p1 = (counts.astype(np.float64) + set_.add) / (n + set_.add * (v + 1))
             base = np.add.reduceat(np.log10(p1)[s], starts)
-            known = np.add.reduceat((counts > 0)[s].astype(np.int64), starts)
-            before = np.concatenate([[s[-1]], s[:-1]])  # every text follows an end, the first one too
-            doc = np.repeat(np.arange(len(lengths)), lengths)
+            known = np.add.reduceat((counts > 0)[s], starts, dtype=np.int64)
+            before = np.concatenate([s[-1:], s[:-1]])  # every text follows an end, the first one too
+            doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
             # a bigram with a word that training lacks is in no trie: its score is known here
-            lost = (ids[before] == UNKNOWN) | (ids[s] == UNKNOWN)
+            strange = ids == UNKNOWN
+            lost = strange[before] | strange[s]
             share = set_.prior / (counts.astype(np.float64) + set_.prior)
             local = np.bincount(doc[lost], weights=np.log10(share[before[lost]] * p1[s[lost]]), minlength=len(lengths))
             facts = np.concatenate([lengths.astype(np.float64), known.astype(np.float64), base, local])
             blank = dict.fromkeys(names)
             out.append(blank | {"shard": row["batch"] % shards, "kind": 1, "batch": row["batch"], "n_docs": len(lengths), "docs": row["docs"], "held": row["held"], "facts": facts.tobytes()})
             at = np.flatnonzero(~lost)
-            key, inverse, uses = np.unique((before[at].astype(np.uint64) << np.uint64(32)) | s[at].astype(np.uint64), return_inverse=True, return_counts=True)
-            a, b = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            trained = np.bincount(inverse, weights=(~held)[doc[at]], minlength=len(key)).astype(np.int64)
-            parts = counts[a] // np.uint64(set_.split_tokens) + np.uint64(1)
-            target = (mix(ids[a] * np.uint64(0x9E3779B97F4A7C15) + mix(ids[b]) % parts) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(target, kind="stable")
-            ends = np.searchsorted(target[order], np.arange(shards + 1))
-            by_key = np.argsort(inverse, kind="stable")
-            texts, offsets = doc[at][by_key], np.concatenate([[0], np.cumsum(uses)])
+            key = (before[at].astype(np.uint64) << np.uint64(32)) | s[at]
+            order = np.argsort(key)
+            key, texts = key[order], doc[at][order]
+            offsets = runs(key)
+            if not len(offsets):
+                continue
+            trained = np.add.reduceat(~held[texts], offsets, dtype=np.int64)
+            uses = np.diff(offsets, append=len(key))
+            a, b = (key[offsets] >> np.uint64(32)).astype(np.int64), (key[offsets] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            del before, doc, lost, at, order, key, s
+            parts = counts // np.uint64(set_.split_tokens) + np.uint64(1)
+            salt = mix(ids[b]) % parts[a]
+            target = (mix(ids[a] * np.uint64(0x9E3779B97F4A7C15) + salt) % np.uint64(shards)).astype(np.int64)
+            code = quantise(p1)
+            order, ends = dealt(target, shards)
             kind = "<u2" if len(lengths) <= 65536 else "<u4"
             for k in np.flatnonzero(np.diff(ends)):
                 e = order[ends[k] : ends[k + 1]]
-                new = np.flatnonzero(np.diff(a[e], prepend=-1))
+                new = runs(a[e])
                 u = uses[e]
                 stop = np.cumsum(u)
-                where = np.arange(stop[-1]) - np.repeat(stop - u, u) + np.repeat(offsets[e], u)
+                where = np.arange(stop[-1]) - np.repeat(stop - u - offsets[e], u)
                 out.append(blank | {
                     "shard": int(k), "kind": 0, "batch": row["batch"], "n_docs": len(lengths), "first": planes(ids[a[e[new]]], "<u8"), "first_count": planes(counts[a[e[new]]], "<u8"),
-                    "children": planes(np.diff(new, append=len(e)), "<u4"), "second": planes(ids[b[e]], "<u8"), "second_code": planes(quantise(p1[b[e]]), "<u2"),
+                    "children": planes(np.diff(new, append=len(e)), "<u4"), "second": planes(ids[b[e]], "<u8"), "second_code": planes(code[b[e]], "<u2"),
                     "trained": planes(trained[e], "<u4"), "uses": planes(u, "<u4"), "texts": planes(texts[where], kind),
                 })
         return pa.Table.from_pylist(out, schema=schema)
@@ -209,12 +230,15 @@ def ask_bigrams(coded: DataFrame, answers: DataFrame, shards: int, words_in: int
 
 def build_trie(first: np.ndarray, total: np.ndarray, second: np.ndarray, count: np.ndarray, prior: float) -> Trie:
     """From bigrams in any order, with repeats; total is the count of the first word in the corpus."""
-    order = np.lexsort((second, first))
+    if len(first) and max(first.max(), second.max()) < 2**32:
+        order = np.argsort((first << np.uint64(32)) | second)
+    else:
+        order = np.lexsort((second, first))
     first, total, second, count = first[order], total[order], second[order], count[order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(first) != 0) | (np.diff(second) != 0)])) if len(first) else np.zeros(0, dtype=np.int64)
-    sums = np.add.reduceat(count, new) if len(new) else np.zeros(0)
+    new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])) if len(first) else np.zeros(0, dtype=np.int64)
+    sums = np.add.reduceat(count, new, dtype=np.int64) if len(new) else np.zeros(0)
     first, total, second = first[new], total[new], second[new]
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(first) != 0])) if len(first) else np.zeros(0, dtype=np.int64)
+    heads = runs(first)
     parent = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(first)))
     weight = prior / (total[heads].astype(np.float64) + prior)  # what a first word leaves to the words' own probabilities
     return Trie.build([
@@ -229,13 +253,15 @@ def answer_bigrams(requests: DataFrame, set_: Settings) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         blank, out, asked = dict.fromkeys(names), [], []
-        for row in group.to_pylist():
+        for k in range(group.num_rows):
+            row = {c: group.column(c)[k].as_py() for c in ("kind", "batch", "n_docs", "docs", "held", "facts", "texts", "uses", "second_code")}
             if row["kind"] == 1:
-                out.append(blank | {k: row[k] for k in ("batch", "kind", "docs", "held", "facts")})
+                out.append(blank | {c: row[c] for c in ("batch", "kind", "docs", "held", "facts")})
                 continue
-            kids = unplanes(row["children"], "<u4")
-            first, total = np.repeat(unplanes(row["first"], "<u8"), kids), np.repeat(unplanes(row["first_count"], "<u8"), kids)
-            asked.append((row["batch"], row["n_docs"], first, total, unplanes(row["second"], "<u8"), unplanes(row["second_code"], "<u2"), unplanes(row["trained"], "<u4"), unplanes(row["uses"], "<u4"), row["texts"]))
+            get = lambda c, t, k=k: unplanes(group.column(c)[k].as_py(), t)
+            kids = get("children", "<u4")
+            first, total = np.repeat(get("first", "<u8"), kids), np.repeat(get("first_count", "<u8"), kids)
+            asked.append((row["batch"], row["n_docs"], first, total, get("second", "<u8"), row["second_code"], get("trained", "<u4"), row["uses"], row["texts"]))
         if asked:
             seen = [r[6] > 0 for r in asked]
             parts = [np.concatenate([r[k][m] for r, m in zip(asked, seen, strict=True)]) for k in (2, 3, 4, 6)]
@@ -245,6 +271,7 @@ def answer_bigrams(requests: DataFrame, set_: Settings) -> DataFrame:
                 build_trie(*parts, set_.prior).save(path)
                 trie = Trie.open(path)
                 for batch, n_docs, first, total, second, code, _, uses, texts in asked:
+                    code, uses = unplanes(code, "<u2"), unplanes(uses, "<u4")
                     node = trie.lookup(first, second)
                     f = np.zeros(len(node))
                     hit = np.flatnonzero(node >= 0)
@@ -287,10 +314,10 @@ def score(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     gives none.
     """
     set_ = settings
-    coded = cut(encode(df, set_, id_col, text_col), "batches")
+    coded = cut(encode(df, set_, id_col, text_col), "batches", "none")  # its columns are compressed already
     words, tokens = (x or 0 for x in coded.agg(F.sum("n_words"), F.sum("n_tokens")).first())
     word_parts, parts = max(1, -(-words // set_.shard_words)), max(1, -(-tokens // set_.shard_tokens))
-    answers = cut(count_words(coded, word_parts), "words")
+    answers = cut(count_words(coded, word_parts), "words", "none")
     n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
     requests = ask_bigrams(coded, answers, parts, word_parts, n, v, set_)
     return add_up(answer_bigrams(requests, set_), n)
