@@ -1,56 +1,16 @@
-"""What the corpus operators share: shared-folder tables, text batches, word hashing, components."""
+"""What the corpus operators share: text batches, word hashing, links inside a task."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from tracewright.operators.graph import components
+from tracewright.storage import cut, drop_tables, release, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset, a temporary folder serves a master of one machine (tests); any other
-    master is refused, as its executors would not see the driver's disk.
-    """
-    app = spark.sparkContext.applicationId
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tracewright-"))
-    return f"{folder.rstrip('/')}/{app}"
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that no frame refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    release(spark)
-    return out
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Delete every table that this application has cut; results that still read them are lost."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["WordHashes", "components", "cut", "drop_tables", "mix", "pieces", "release", "roots", "shared_folder", "shingles", "windows"]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -114,29 +74,3 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = label[label]
         if (label == before).all():
             return label
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the edges (u, v); component is the least node reachable.
-
-    Large-star and small-star in turn (Kiveris et al., 2014): the number of rounds grows with the
-    logarithm of the longest path. Each round is cut to the shared folder; the driver sees only a
-    count and a checksum of the edges.
-    """
-    e = cut(edges.select("u", "v").where("u <> v").distinct(), "edges", "lz4")
-    seen = None
-    while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct(), "edges", "lz4")
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )

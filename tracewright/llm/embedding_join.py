@@ -12,6 +12,7 @@ budget it meets, once its cosine, in double precision, is verified. A task retur
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ class Settings:
     threshold: float = 0.95
     blocks: int = 4
     grid: int = 3
-    chunk: int = 4096
+    chunk: int = 8192
     seed: int = 7
 
 
@@ -68,18 +69,21 @@ def read_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, fp binary, unit binary")
 
 
-def cells_of(x: np.ndarray, radius: float) -> tuple[tuple[int, ...], list[tuple[int, ...]]]:
-    """The home cell of a point and the lower cells that a ball around it touches."""
-    width = 2 * radius
+def cells_of(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, home) for each row of points: its home cell, then the lower cells that a ball around it touches."""
+    width, n = 2 * radius, len(x)
     home = np.floor(x / width).astype(np.int64)
-    out = []
-    offsets = np.stack(np.meshgrid(*[[-1, 0, 1]] * len(x), indexing="ij"), axis=-1).reshape(-1, len(x))
-    for cell in home + offsets:
-        if tuple(cell) < tuple(home):
-            gap = np.maximum(np.maximum(cell * width - x, x - (cell + 1) * width), 0)
-            if (gap * gap).sum() <= radius * radius * (1 + 1e-9):
-                out.append(tuple(int(c) for c in cell))
-    return tuple(int(c) for c in home), out
+    rows, cells = [np.arange(n)], [home]
+    for offset in itertools.product((-1, 0, 1), repeat=x.shape[1]):
+        if offset >= (0,) * len(offset):
+            continue  # only cells below the home cell, in order of coordinates
+        cell = home + np.array(offset)
+        gap = np.maximum(np.maximum(cell * width - x, x - (cell + 1) * width), 0)
+        touched = np.flatnonzero((gap * gap).sum(axis=1) <= radius * radius * (1 + 1e-9))
+        rows.append(touched)
+        cells.append(cell[touched])
+    at = np.concatenate(rows)
+    return at, np.concatenate(cells), np.arange(len(at)) < n
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray | None, limit: float, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -118,22 +122,23 @@ def join(df: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id",
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
         for batch in batches:
-            out: list[tuple] = []
-            for rep, copies, blob in zip(*(batch.column(c).to_pylist() for c in ("rep", "copies", "unit")), strict=True):
-                x = np.frombuffer(blob, dtype=np.float64)
-                if len(x) not in turns:
-                    turns[len(x)] = rotation(len(x), set_.seed)
-                x = turns[len(x)] @ x
-                turned = x.tobytes()
-                for k, (a, b, limit) in enumerate(budgets(len(x), set_)):
-                    home, visits = cells_of(x[a : min(b, a + set_.grid)], limit**0.5)
-                    out.append((len(x), k, ",".join(map(str, home)), True, rep, copies, turned))
-                    out += [(len(x), k, ",".join(map(str, c)), False, rep, copies, turned) for c in visits]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            types = (pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["dim", "block", "cell", "home", "rep", "copies", "x"])
-
-    dealt = cut(reps.mapInArrow(deal, "dim int, block int, cell string, home boolean, rep bigint, copies bigint, x binary"), "cells", "snappy")
+            blobs = batch.column("unit").to_pylist()
+            sizes = np.array([len(v) // 8 for v in blobs])
+            for dim in np.unique(sizes):
+                mine = np.flatnonzero(sizes == dim)
+                x = np.frombuffer(b"".join(blobs[k] for k in mine), dtype=np.float64).reshape(len(mine), dim)
+                if dim not in turns:
+                    turns[dim] = rotation(int(dim), set_.seed)
+                x = x @ turns[dim].T
+                turned, of = pa.array([v.tobytes() for v in x], pa.binary()), batch.take(pa.array(mine))
+                for k, (a, b, limit) in enumerate(budgets(int(dim), set_)):
+                    at, cells, home = cells_of(x[:, a : min(b, a + set_.grid)], limit**0.5)
+                    rows = pa.array(at)
+                    names = pa.array([c.tobytes() for c in cells.astype("<i4")], pa.binary())
+                    fixed = [pa.array(np.full(len(at), v, dtype=np.int32)) for v in (dim, k)]
+                    yield pa.RecordBatch.from_arrays([*fixed, names, pa.array(home), of.column("rep").take(rows), of.column("copies").take(rows), turned.take(rows)], names=["dim", "block", "cell", "home", "rep", "copies", "x"])
+
+    dealt = cut(reps.mapInArrow(deal, "dim int, block int, cell binary, home boolean, rep bigint, copies bigint, x binary"), "cells", "snappy")
     cell = ["dim", "block", "cell"]
     sizes = dealt.groupBy(*cell).agg(F.sum(F.col("home").cast("int")).alias("lives"), F.count("*").alias("n")).where("lives > 0 and n > 1")
     sizes = sizes.select(*cell, F.ceil(F.col("n") / set_.chunk).cast("int").alias("chunks"))
