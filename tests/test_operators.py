@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewright.functions import engineering, geometry, text
-from tracewright.operators import connectivity, evidence, graph, inference, query, reconcile, rules, spatial, windows
+from tracewright.operators import architecture, connectivity, evidence, graph, inference, quality, query, reconcile, rules, spatial, windows
 from tracewright.plans.dag import Cache, Dag, Node
 
 
@@ -153,7 +153,7 @@ def test_rules(spark):
     with pytest.raises(ValueError):
         rules.DrcLimits(track_width=-1)
     g = rules.gate(rules.annular(pads, rules.DrcLimits()), regressions=1).first()
-    assert (g["passed"], g["failed"]) == (False, ["TOO_MANY_ERRORS", "REGRESSIONS"])
+    assert (g["passed"], g["failed"]) == (False, ["GATE_ERROR_COUNT", "GATE_REGRESSION_FAILURES"])
     ring = spark.createDataFrame([("a", 0, 0.0, 0.0, 1.0, 0.0), ("b", 1, 1.0, 0.0, 1.0, 1.0), ("c", 2, 1.0, 1.3, 0.0, 0.0)], "id string, ord long, x1 double, y1 double, x2 double, y2 double")
     assert [(r["id"], r["next_id"]) for r in rules.outline_gaps(ring).collect()] == [("b", "c")] and rules.outline_ends(ring).count() == 2
     slots = spark.createDataFrame([("s", 0.0, 0.0, 0.0, 0.0, 0.0, "odd")], "id string, x1 double, y1 double, x2 double, y2 double, width double, plating string")
@@ -233,3 +233,26 @@ def test_dag(spark, tmp_path):
         g.add(Node("d", (), ("x",)))
     with pytest.raises(ValueError):
         Dag([Node("p", ("q",), ("r",)), Node("s", ("r",), ("q",))]).order()
+
+
+def test_holes_are_matched_in_order(spark):
+    holes = spark.createDataFrame([("a", 0, 0.0, 0.0), ("b", 1, 0.1, 0.0), ("c", 2, 9.0, 9.0)], "id string, ord int, x double, y double")
+    targets = spark.createDataFrame([("x", 0, 0.12, 0.0), ("y", 1, 0.2, 0.0)], "id string, ord int, x double, y double")
+    assert {(r["hole"], r["target"]) for r in quality.match_holes(holes, targets, 0.25).collect()} == {("a", "x"), ("b", "y")}
+
+
+def test_release_profiles(spark):
+    facts = spark.range(1).select(F.lit(0).alias("errors"), F.lit(30).alias("warnings"), F.lit(1.0).alias("provenance"), F.lit(1.0).alias("completeness"), *[F.lit(True).alias(n) for n in rules.FACT_CODES])
+    got = {r["profile"]: (r["ready"], r["warnings"]) for r in rules.release_decisions(facts).collect()}
+    assert got["manufacturing-export-candidate"] == (True, ["GATE_WARNING_COUNT"]) and got["research"] == (True, [])
+
+
+def test_architecture(spark):
+    parts = spark.createDataFrame([("U1", "ic", "buck converter"), ("R1", "resistor", "1k")], "id string, kind string, value string")
+    pins = spark.createDataFrame([("U1", "VIN", "A"), ("U1", "SW_OUT", "B"), ("U1", "FB", "C")], "component_id string, pin_name string, net_id string")
+    (r,) = architecture.regulators(parts, pins).collect()
+    assert (r["kind"], r["input_nets"], r["output_nets"], r["feedback_nets"], r["confidence"]) == ("buck", ["A"], ["B"], ["C"], 0.86)
+    roles = spark.createDataFrame([("n", "power"), ("n", "ground"), ("m", "clock")], "net_id string, role string")
+    got = {r["net_id"]: (r["confidence"], r["conflicts"]) for r in architecture.signal_roles(roles).collect()}
+    assert got == {"n": (0.64, ["POWER_GROUND_CONFLICT"]), "m": (0.52, [])}
+    assert architecture.traceability(spark.createDataFrame([], "claim_id int, kind string, target string")).first()["source_coverage"] == 1.0

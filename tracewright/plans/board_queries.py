@@ -182,10 +182,11 @@ def review_queue_open(spark, d):
     return rules.review_queue(items, threshold=0.05).select("id")
 
 
-@register("release_decisions", "SELECT 'prototype' AS profile, true AS ready UNION ALL SELECT 'pilot', true UNION ALL SELECT 'production', false UNION ALL SELECT 'regulated', false")
+@register("release_decisions", "SELECT * FROM (VALUES ('development', true, 0), ('research', true, 0), ('review', false, 3), ('manufacturing-export-candidate', false, 6)) t(profile, ready, blockers)")
 def release_decisions(spark, d):
-    facts = table(spark, d, "region").agg(F.lit(True).alias("tests_passed"), (F.count("*") > 0).alias("no_critical_findings"), F.lit(True).alias("deterministic"), F.lit(None).cast("boolean").alias("provenance_complete"))
-    return rules.release_decisions(facts).select("profile", "ready")
+    true, n = F.lit(True), F.count("*") * 0
+    facts = table(spark, d, "region").agg(n.alias("errors"), (n + 80).alias("warnings"), F.lit(0.6).alias("provenance"), F.lit(0.8).alias("completeness"), true.alias("tests_passed"), true.alias("deterministic"), true.alias("no_unsupported"), F.lit(None).cast("boolean").alias("reviews_closed"))
+    return rules.release_decisions(facts).select("profile", "ready", F.size("blockers").alias("blockers"))
 
 
 @register("channel_spacing", sql("tracks", "SELECT id, round(x1 - lag(x1) OVER (PARTITION BY layer, y1 ORDER BY x1, id), 6) AS spacing FROM tracks"))

@@ -74,9 +74,9 @@ def si_risk(spark, d):
     return out.groupBy(engineering.si_level(F.col("score")).alias("level")).agg(F.count("*").alias("n"), F.round(F.sum("score"), 1).alias("total"))
 
 
-@register("thermal_risk", "SELECT p_partkey, round(least(1e0, CASE WHEN p IS NULL THEN 0 ELSE least(0.55, p / 5 * 0.55) END + 0.25 * (1 - least(p_retailprice / 2000, 1)) + 0.15 * (1 - least(p_size % 8 / 6, 1))), 6) AS risk, CASE WHEN p IS NULL THEN 0.4e0 ELSE 0.75e0 END AS confidence FROM (SELECT *, CASE WHEN p_partkey % 4 > 0 THEN p_size / 10 END AS p FROM part)")
+@register("thermal_risk", "SELECT p_partkey, round(least(1e0, CASE WHEN p IS NULL THEN 0 ELSE least(0.55, p / 5 * 0.55) END + 0.25 * (1 - least(p_size / 100, 1)) + 0.15 * (1 - least(p_partkey % 8 / 6, 1))), 6) AS risk, CASE WHEN p IS NULL THEN 0.4e0 ELSE 0.75e0 END AS confidence FROM (SELECT *, CASE WHEN p_partkey % 4 > 0 THEN p_size / 10 END AS p FROM part)")
 def thermal_risk(spark, d):
-    r = engineering.thermal(F.when(F.col("p_partkey") % 4 > 0, F.col("p_size") / 10), F.col("p_retailprice") / 20, F.col("p_size") % 8, F.lit(None).cast("double"))
+    r = engineering.thermal(F.when(F.col("p_partkey") % 4 > 0, F.col("p_size") / 10), F.col("p_size").cast("double"), F.col("p_partkey") % 8, F.lit(None).cast("double"))
     return table(spark, d, "part").select("p_partkey", r.alias("r")).select("p_partkey", "r.risk", "r.confidence")
 
 
