@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewright.functions import engineering, geometry, text
-from tracewright.operators import architecture, connectivity, evidence, graph, inference, quality, query, reconcile, rules, spatial, windows
+from tracewright.operators import architecture, connectivity, evidence, graph, hypotheses, inference, quality, query, reconcile, rules, spatial, windows
 from tracewright.plans.dag import Cache, Dag, Node
 
 
@@ -256,3 +256,26 @@ def test_architecture(spark):
     got = {r["net_id"]: (r["confidence"], r["conflicts"]) for r in architecture.signal_roles(roles).collect()}
     assert got == {"n": (0.64, ["POWER_GROUND_CONFLICT"]), "m": (0.52, [])}
     assert architecture.traceability(spark.createDataFrame([], "claim_id int, kind string, target string")).first()["source_coverage"] == 1.0
+
+
+def test_component_pairs_match_brute_force(spark):
+    rnd = random.Random(8)
+    pads = [(f"p{i:02}", rnd.uniform(0, 12), rnd.uniform(0, 12), "F.Cu", 0.5 if i % 3 else None) for i in range(30)]
+    got = sorted((tuple(r["pad_ids"]), r["kind"]) for r in hypotheses.paired_components(spark.createDataFrame(pads, "id string, x double, y double, layer string, drill double"), 2.0).collect())
+    free, want = dict((p[0], p) for p in pads), []
+    while free:
+        a = free.pop(min(free))
+        near = sorted((math.hypot(a[1] - b[1], a[2] - b[2]), b[0]) for b in free.values() if math.hypot(a[1] - b[1], a[2] - b[2]) <= 2.0)
+        if not near:
+            want.append(((a[0],), "unresolved_pad"))
+            continue
+        b = free.pop(near[0][1])
+        want.append((tuple(sorted((a[0], b[0]))), "two_pin_through_hole_candidate" if a[4] and b[4] else "two_pad_component_candidate"))
+    assert got == sorted(want)
+
+
+def test_declared_spans(spark):
+    drills = spark.createDataFrame([("a", 0.0, 0.0, "plated", [1, 3], None), ("b", 0.0, 0.0, "plated", [2, 9], None), ("c", 0.0, 0.0, "non-plated", None, None), ("d", 5.0, 5.0, "plated", None, None)], "id string, x double, y double, plating string, span array<int>, span_kind string")
+    pads = spark.createDataFrame([("p", 0.0, 0.0, 1.0, 1.0, "F.Cu"), ("q", 0.0, 0.0, 1.0, 1.0, "In1.Cu")], "id string, x double, y double, size_x double, size_y double, layer string")
+    got = {r["drill_id"]: (r["from_layer"], r["to_layer"], r["proven"], r["confidence"], r["pad_ids"]) for r in hypotheses.via_spans(drills, pads, ["F.Cu", "In1.Cu", "B.Cu"], told=True).collect()}
+    assert got == {"a": ("F.Cu", "B.Cu", True, 0.99, ["p", "q"]), "b": (None, None, False, 0.1, []), "c": ("F.Cu", "In1.Cu", False, 0.7, ["p", "q"]), "d": (None, None, False, 0.1, [])}

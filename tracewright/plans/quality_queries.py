@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import architecture, quality
+from tracewright.operators import architecture, hypotheses, quality
 from tracewright.plans.derived import sql, table
 from tracewright.plans.registry import register
 
@@ -164,3 +164,29 @@ def traceability(spark, d):
 def netlist(spark, d):
     pins = table(spark, d, "few_pins").withColumn("pin_id", F.lit("1"))
     return architecture.netlist(pins).select("net_id", F.array_join(F.transform("connections", lambda c: c["component_id"]), ",").alias("parts"))
+
+
+@register("stackup_order", "SELECT layer, CAST(place AS INTEGER) AS place, source FROM (VALUES ('F.Cu', 0, 'reconstructed_geometry'), ('In1.Cu', 1, 'reconstructed_geometry'), ('In2.Cu', 2, 'x2_file_function'), ('In10.Cu', 3, 'reconstructed_geometry'), ('B.Cu', 4, 'reconstructed_geometry'), ('Edge.Cuts', 5, 'reconstructed_geometry')) t(layer, place, source)")
+def stackup_order(spark, d):
+    names = F.array(*[F.lit(n) for n in ("B.Cu", "In10.Cu", "F.Cu", "Edge.Cuts", "In1.Cu")])
+    seen = part(spark, d).select(F.lit("b").alias("board"), F.element_at(names, (col() % 5 + 1).cast("int")).alias("layer"))
+    told = seen.limit(1).select("board", F.lit("In2.Cu").alias("layer"))
+    return hypotheses.stackup(seen, told).select("layer", "place", "source")
+
+
+@register("via_spans", sql("pads drills", "h AS (SELECT d.id, bool_or(p.layer = '0') AS f, bool_or(p.layer = '1') AS b FROM drills d JOIN pads p ON sqrt(pow(greatest(p.x - p.size_x / 2 - d.x, 0, d.x - p.x - p.size_x / 2), 2) + pow(greatest(p.y - p.size_y / 2 - d.y, 0, d.y - p.y - p.size_y / 2), 2)) <= 0.6 GROUP BY 1) SELECT d.id AS drill_id, CASE WHEN f THEN '0' WHEN b THEN '1' END AS from_layer, CASE WHEN b THEN '1' WHEN f THEN '0' END AS to_layer, CASE WHEN f AND b THEN 0.95e0 WHEN f OR b THEN 0.35e0 ELSE 0.1e0 END AS confidence FROM drills d LEFT JOIN h ON h.id = d.id"))
+def via_spans(spark, d):
+    drills = table(spark, d, "drills").select("id", "x", "y", F.lit("plated").alias("plating"), F.lit(None).cast("array<int>").alias("span"), F.lit(None).cast("string").alias("span_kind"))
+    return hypotheses.via_spans(drills, table(spark, d, "pads"), ["0", "1"], 0.6).select("drill_id", "from_layer", "to_layer", "confidence")
+
+
+@register("component_pairs")
+def component_pairs(spark, d):
+    pads = table(spark, d, "pads").where("x % 5 < 2")
+    return hypotheses.paired_components(pads, 1.0).select("id", "kind", "confidence", "distance")
+
+
+@register("named_components", sql("pads", "SELECT net_id AS reference, count(*) AS n FROM pads GROUP BY 1"))
+def named_components(spark, d):
+    pads = table(spark, d, "pads").select("id", F.array("net_id").alias("references"), F.array(F.lit("1")).alias("pins"))
+    return hypotheses.named_components(pads).select("reference", F.size("pad_ids").cast("bigint").alias("n"))
