@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewright.functions import engineering, geometry, text
-from tracewright.operators import architecture, connectivity, evidence, graph, hypotheses, inference, quality, query, reconcile, rules, spatial, windows
+from tracewright.operators import architecture, checks, connectivity, evidence, graph, hypotheses, inference, quality, query, reconcile, rules, spatial, windows
 from tracewright.plans.dag import Cache, Dag, Node
 
 
@@ -279,3 +279,21 @@ def test_declared_spans(spark):
     pads = spark.createDataFrame([("p", 0.0, 0.0, 1.0, 1.0, "F.Cu"), ("q", 0.0, 0.0, 1.0, 1.0, "In1.Cu")], "id string, x double, y double, size_x double, size_y double, layer string")
     got = {r["drill_id"]: (r["from_layer"], r["to_layer"], r["proven"], r["confidence"], r["pad_ids"]) for r in hypotheses.via_spans(drills, pads, ["F.Cu", "In1.Cu", "B.Cu"], told=True).collect()}
     assert got == {"a": ("F.Cu", "B.Cu", True, 0.99, ["p", "q"]), "b": (None, None, False, 0.1, []), "c": ("F.Cu", "In1.Cu", False, 0.7, ["p", "q"]), "d": (None, None, False, 0.1, [])}
+
+
+def test_board_checks(spark):
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    as_points = lambda r: [{"x": x, "y": y} for x, y in r]
+    good = as_points([*ring, ring[0]])
+    df = spark.createDataFrame([("ok", good, [good]), ("open", as_points(ring), []), ("few", as_points([ring[0], ring[1], ring[0]]), [as_points(ring)]), ("wild", as_points([(0.0, 0.0), (float("nan"), 1.0), (1.0, 1.0), (0.0, 0.0)]), None)], "id string, points array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>")
+    got = sorted((r["object_ids"][0], r["code"]) for r in checks.regions(df).collect())
+    assert got == [("few", "REGION_HOLE_NOT_CLOSED"), ("few", "REGION_VERTEX_COUNT_INVALID"), ("open", "REGION_NOT_CLOSED"), ("wild", "REGION_COORDINATE_INVALID")]
+    parts = spark.createDataFrame([("c", ["a", "a", "z"], 0.5, {"q": "1", "a": " "}), ("e", [], 0.1, {})], "id string, pad_ids array<string>, confidence double, pin_map map<string,string>")
+    pads = spark.createDataFrame([("a", 1.0)], "id string, x double")
+    codes = {r["code"] for r in checks.components(parts, pads).collect()}
+    assert codes == {"COMPONENT_PAD_DUPLICATE", "COMPONENT_PAD_MISSING", "COMPONENT_NO_PADS", "COMPONENT_PIN_MAP_PAD_NOT_MEMBER", "COMPONENT_PIN_NUMBER_INVALID"}
+    points = spark.createDataFrame([("in", 2.0, 2.0, 1.0), ("near", 0.6, 2.0, 1.0), ("out", 5.0, 2.0, 1.0)], "id string, x double, y double, diameter double")
+    assert sorted((r["object_ids"][0], r["code"]) for r in checks.edge(points, ring).collect()) == [("near", "COPPER_EDGE_CLEARANCE"), ("out", "COPPER_OUTSIDE_BOARD")]
+    outline = spark.createDataFrame([("a", 0, 0.0, 0.0, 1.0, 0.0), ("b", 1, 1.2, 0.0, 0.0, 0.0)], "id string, ord long, x1 double, y1 double, x2 double, y2 double")
+    assert sorted(r["code"] for r in checks.outline(outline).collect()) == ["OUTLINE_GAP", "OUTLINE_NOT_CLOSED"]
+    assert set(checks.builtin().rules) == {"geometry", "components", "drills", "slots", "outline", "regions"}

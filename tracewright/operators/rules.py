@@ -143,7 +143,7 @@ def keepout_hits(objects: DataFrame, keepouts: DataFrame, cell: float = 5.0) ->
 
 def dangling_nets(pin_edges: DataFrame) -> DataFrame:
     one = pin_edges.groupBy("net_id").agg(F.countDistinct("component_id").alias("n")).where("n < 2")
-    return issues(one, "erc", "warning", "NET_SINGLE_PIN", "net reaches one component only", "net_id")
+    return issues(one, "erc", "warning", "DANGLING_NET", "net reaches one component only", "net_id")
 
 
 def unused_components(components: DataFrame, pin_edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import connectivity, graph, query, rules, spatial, windows
+from tracewright.operators import checks, connectivity, graph, query, rules, spatial, windows
 from tracewright.plans.derived import sql, table
 from tracewright.plans.registry import register
 
@@ -223,3 +223,36 @@ def assign_references(spark, d):
     kind = F.substring("c_mktsegment", 1, 1)
     parts = table(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("id"), F.when(kind == "A", "resistor").when(kind == "B", "capacitor").otherwise("ic").alias("kind"), F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("R"), F.floor(F.col("c_custkey") / 2).cast("string"))).alias("reference"))
     return windows.assign_references(parts)
+
+
+@register("check_geometry", sql("tracks drills", "SELECT 'TRACK_WIDTH_INVALID' AS code, count(*) AS n FROM tracks WHERE width - 0.2 <= 0 UNION ALL SELECT 'DRILL_DIAMETER_INVALID', count(*) FROM drills WHERE diameter - 0.4 <= 0"))
+def check_geometry(spark, d):
+    tracks, drills = table(spark, d, "tracks").withColumn("width", F.col("width") - 0.2), table(spark, d, "drills").withColumn("diameter", F.col("diameter") - 0.4)
+    return checks.geometry(tracks, table(spark, d, "pads"), drills).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@register("check_components", sql("pads", "SELECT id, 'COMPONENT_PAD_MISSING' AS code FROM pads WHERE layer = '1' UNION ALL SELECT id, 'COMPONENT_CONFIDENCE_INVALID' FROM pads WHERE x > 40"))
+def check_components(spark, d):
+    pads = table(spark, d, "pads")
+    parts = pads.select("id", F.array("id").alias("pad_ids"), F.when(F.col("x") > 40, 1.5).otherwise(0.5).alias("confidence"), F.create_map("id", F.lit("1")).alias("pin_map"))
+    return checks.components(parts, pads.where("layer = '0'")).select(F.col("object_ids")[0].alias("id"), "code")
+
+
+@register("check_electrical", sql("few_pins", "n AS (SELECT net_id, count(DISTINCT component_id) AS n FROM few_pins GROUP BY 1) SELECT 'DANGLING_NET' AS code, count(*) AS n FROM n WHERE n < 2 UNION ALL SELECT 'NET_LABEL_UNKNOWN', count(*) FROM n WHERE right(net_id, 1) = '3' UNION ALL SELECT 'COMPONENT_LOW_CONFIDENCE', count(DISTINCT component_id) FROM few_pins WHERE right(component_id, 1) = '7'"))
+def check_electrical(spark, d):
+    pins = table(spark, d, "few_pins").withColumn("pin_id", F.lit("1"))
+    nets = pins.select("net_id").distinct().withColumn("label", F.when(~F.col("net_id").endswith("3"), "x"))
+    parts = pins.select(F.col("component_id").alias("id")).distinct().select("id", F.array("id").alias("pad_ids"), F.when(F.col("id").endswith("7"), 0.1).otherwise(0.9).alias("confidence"))
+    return checks.electrical(parts, pins, nets).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@register("check_drill_copper", sql("pads drills", "SELECT d.id AS drill, p.id AS pad FROM drills d JOIN pads p ON sqrt(pow(greatest(p.x - p.size_x / 2 - d.x, 0, d.x - p.x - p.size_x / 2), 2) + pow(greatest(p.y - p.size_y / 2 - d.y, 0, d.y - p.y - p.size_y / 2), 2)) - d.diameter / 2 < 0.15"))
+def check_drill_copper(spark, d):
+    drills = table(spark, d, "drills").withColumn("net_id", F.lit(None).cast("string"))
+    return checks.drill_copper(drills, table(spark, d, "pads")).select(F.col("object_ids")[0].alias("drill"), F.col("object_ids")[1].alias("pad"))
+
+
+@register("check_edge", sql("drills", "SELECT id, CASE WHEN NOT (x > 2 AND x < 45 AND y > 1 AND y < 38) THEN 'DRILL_OUTSIDE_BOARD' ELSE 'DRILL_EDGE_CLEARANCE' END AS code FROM drills WHERE NOT (x > 2 AND x < 45 AND y > 1 AND y < 38) OR least(x - 2, 45 - x, y - 1, 38 - y) - diameter / 2 < 0.9"))
+def check_edge(spark, d):
+    out = checks.edge(table(spark, d, "drills"), [(2.0, 1.0), (45.0, 1.0), (45.0, 38.0), (2.0, 38.0)], 0.9, ("DRILL_OUTSIDE_BOARD", "DRILL_EDGE_CLEARANCE"))
+    return out.select(F.col("object_ids")[0].alias("id"), "code")
