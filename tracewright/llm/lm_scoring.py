@@ -38,7 +38,7 @@ class Settings:
     fold: int = 10  # every fold-th document, by checksum of its id, is held out
     add: float = 0.1
     prior: float = 100.0
-    batch_tokens: int = 2_000_000
+    batch_tokens: int = 3_000_000
     shard_words: int = 1_500_000
     shard_tokens: int = 2_500_000
     split_tokens: int = 200_000
@@ -49,7 +49,7 @@ def planes(a: np.ndarray, dtype: str) -> bytes:
     import zstandard
 
     a = np.ascontiguousarray(a, dtype=dtype)
-    return zstandard.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
+    return zstandard.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 3)
 
 
 def unplanes(b: bytes, dtype: str) -> np.ndarray:
@@ -81,7 +81,7 @@ class Words(dict):
         return n
 
 
-BATCH = "batch bigint, n_tokens bigint, n_words bigint, docs array<bigint>, held binary, lengths binary, tokens binary, words binary, counts binary"
+BATCH = "batch bigint, n_tokens bigint, n_words bigint, docs array<bigint>, held binary, lengths binary, tokens binary, words binary, marks binary, counts binary"
 
 
 def encode(df: DataFrame, set_: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -90,7 +90,7 @@ def encode(df: DataFrame, set_: Settings, id_col: str, text_col: str) -> DataFra
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        schema = pa.schema([("batch", pa.int64()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("docs", pa.list_(pa.int64())), *[(n, pa.binary()) for n in ("held", "lengths", "tokens", "words", "counts")]])
+        schema = pa.schema([("batch", pa.int64()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("docs", pa.list_(pa.int64())), *[(n, pa.binary()) for n in ("held", "lengths", "tokens", "words", "marks", "counts")]])
 
         def flush() -> pa.RecordBatch:
             flat, lengths, held = np.concatenate(tokens), np.array([len(t) for t in tokens]), np.array([is_held(d, set_.fold) for d in docs])
@@ -100,7 +100,7 @@ def encode(df: DataFrame, set_: Settings, id_col: str, text_col: str) -> DataFra
             rank[order] = np.arange(len(order), dtype=np.uint32)
             trained = np.bincount(flat[np.repeat(~held, lengths)], minlength=len(words))[order]
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))[order]
-            row = [(part << 32) | seq, len(flat), len(words), docs, held.tobytes(), planes(lengths, "<u4"), planes(rank[flat], "<u4"), hashes.tobytes(), planes(trained, "<u4")]
+            row = [(part << 32) | seq, len(flat), len(words), docs, held.tobytes(), planes(lengths, "<u4"), planes(rank[flat], "<u4"), hashes.tobytes(), planes(hashes & np.uint64(0xFFFF), "<u2"), planes(trained, "<u4")]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         words, tokens, docs, size = Words(), [], [], 0
@@ -120,8 +120,9 @@ def encode(df: DataFrame, set_: Settings, id_col: str, text_col: str) -> DataFra
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, BATCH)
 
 
-def word_shards(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return (hashes % np.uint64(shards)).astype(np.int64)
+def word_shards(marks: np.ndarray, shards: int) -> np.ndarray:
+    """By the lowest 16 bits of the hashes, so that a batch can place its answers without the rest of them."""
+    return marks.astype(np.int64) % shards
 
 
 def count_words(coded: DataFrame, shards: int) -> DataFrame:
@@ -132,7 +133,7 @@ def count_words(coded: DataFrame, shards: int) -> DataFrame:
             out = [[], [], [], []]
             for b, words, counts in zip(*(batch.column(c).to_pylist() for c in ("batch", "words", "counts")), strict=True):
                 h, c = np.frombuffer(words, dtype=np.uint64), unplanes(counts, "<u4")
-                order, ends = dealt(word_shards(h, shards), shards)
+                order, ends = dealt(word_shards(h & np.uint64(0xFFFF), shards), shards)
                 for k in np.flatnonzero(np.diff(ends)):
                     at = order[ends[k] : ends[k + 1]]
                     for col, value in zip(out, (b, int(k), h[at].tobytes(), planes(c[at], "<u4")), strict=True):
@@ -174,8 +175,8 @@ def ask_bigrams(coded: DataFrame, answers: DataFrame, shards: int, words_in: int
         out: list[dict] = []
         answer = {s: (unplanes(i, "<u8"), unplanes(c, "<u8")) for s, i, c in zip(*(right.column(k).to_pylist() for k in ("shard", "ids", "counts")), strict=True)}
         for row in left.to_pylist():
-            hashes = np.frombuffer(row["words"], dtype=np.uint64)
-            shard, ids, counts = word_shards(hashes, words_in), np.full(len(hashes), UNKNOWN), np.zeros(len(hashes), dtype=np.uint64)
+            shard = word_shards(unplanes(row["marks"], "<u2"), words_in)
+            ids, counts = np.full(len(shard), UNKNOWN), np.zeros(len(shard), dtype=np.uint64)
             for s, (i, c) in answer.items():
                 mine = shard == s
                 ids[mine], counts[mine] = i, c
@@ -225,7 +226,7 @@ def ask_bigrams(coded: DataFrame, answers: DataFrame, shards: int, words_in: int
                 })
         return pa.Table.from_pylist(out, schema=schema)
 
-    return coded.groupBy("batch").cogroup(answers.select("batch", "shard", "ids", "counts").groupBy("batch")).applyInArrow(run, REQUEST)
+    return coded.drop("words", "counts", "n_tokens", "n_words").groupBy("batch").cogroup(answers.select("batch", "shard", "ids", "counts").groupBy("batch")).applyInArrow(run, REQUEST)
 
 
 def build_trie(first: np.ndarray, total: np.ndarray, second: np.ndarray, count: np.ndarray, prior: float) -> Trie:
@@ -316,7 +317,7 @@ def score(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     set_ = settings
     coded = cut(encode(df, set_, id_col, text_col), "batches", "none")  # its columns are compressed already
     words, tokens = (x or 0 for x in coded.agg(F.sum("n_words"), F.sum("n_tokens")).first())
-    word_parts, parts = max(1, -(-words // set_.shard_words)), max(1, -(-tokens // set_.shard_tokens))
+    word_parts, parts = min(65536, max(1, -(-words // set_.shard_words))), max(1, -(-tokens // set_.shard_tokens))
     answers = cut(count_words(coded, word_parts), "words", "none")
     n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
     requests = ask_bigrams(coded, answers, parts, word_parts, n, v, set_)
