@@ -23,7 +23,8 @@ from tracewright.llm.common import WordHashes, cut, pieces, windows
 class Settings:
     buckets: int = 10_000
     n: int = 2
-    keep: float = 0.75
+    #: Share of all rows to keep; None takes the share of labelled texts that are good.
+    keep: float | None = None
     smoothing: float = 1.0
     seed: int = 5
     cells: int = 4096
@@ -61,7 +62,7 @@ def counts(df: DataFrame, set_: Settings) -> np.ndarray:
 def select(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, log_weight, draw (weight plus noise) and kept for every row of df.
 
-    k is keep times the number of rows, rounded up. The noise depends on the id and the seed alone, so
+    k is keep times the number of rows, rounded up; without labels all rows are kept. The noise depends on the id and the seed alone, so
     the sample repeats; equal draws are ordered by id. A null or empty text has weight 0 (neither model
     favours it). Repeated rows share their draw and are kept in any order. A label with a null id or value is
     ignored; without target texts the weights are those of the smoothed models. Further columns are
@@ -86,7 +87,10 @@ def select(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id
     weighted = rows.mapInArrow(run, "id bigint, log_weight double").withColumn("draw", F.col("log_weight") - F.log(-F.log(u)))
     weighted = cut(weighted, "weights", "snappy")
     low, high, n = weighted.agg(F.min("draw"), F.max("draw"), F.count("*")).first()
-    k = math.ceil(set_.keep * n)
+    share = set_.keep
+    if share is None:
+        share = labels.where("doc_id is not null").agg(F.avg((F.col("quality") == 1).cast("int"))).first()[0]
+    k = math.ceil((1.0 if share is None else share) * n)
     if n == 0 or k >= n or low == high:
         cell = F.lit(0)
         above, edge, rest = -1, 0, k
