@@ -80,6 +80,7 @@ def star_edges(spark, d):
     return reports.star_edges(members).select("source", "target")
 
 
+# A small LED board of six pads, four tracks, six drills and an outline.
 LED = (
     ("copper.gtl", "%FSLAX24Y24*%\n%MOMM*%\n%ADD10C,1.800*%\n%ADD11C,0.500*%\nD10*\nX080000Y150000D03*\nX080000Y175400D03*\nX250000Y150000D03*\nX280000Y150000D03*\nX420000Y150000D03*\nX445400Y150000D03*\nD11*\nX080000Y150000D02*\nX250000Y150000D01*\nX280000Y150000D02*\nX420000Y150000D01*\nX445400Y150000D02*\nX445400Y175400D01*\nX445400Y175400D02*\nX080000Y175400D01*\nM02*\n"),
     ("outline.gbr", "%FSLAX24Y24*%\n%MOMM*%\n%ADD10C,0.100*%\nD10*\nX050000Y050000D02*\nX550000Y050000D01*\nX550000Y350000D01*\nX050000Y350000D01*\nX050000Y050000D01*\nM02*\n"),

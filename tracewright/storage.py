@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{app}"
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers look for this package where the driver found it, if they see that folder.
+
+    A cluster whose machines don't gets the package by --py-files or its image instead.
+    """
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        env["PYTHONPATH"] = f"{root}:{known}" if known else root
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that no frame refers to any more."""
     gc.collect()
