@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from tracewright.llm import decontaminate, ngram_join, packing, pii, toxicity
 from tracewright.llm.common import cut
 from tracewright.llm.queries import table, tokenizer_file
+from tracewright.storage import reach_workers
 
 
 def carried(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """change(docs), with all columns but doc_id and text under neutral names meanwhile."""
+    reach_workers(docs.sparkSession)
     names = {c: c if c in ("doc_id", "text") else f"__carried_{k}" for k, c in enumerate(docs.columns)}
     out = change(docs.toDF(*names.values()))
     return out.select(*[F.col(n).alias(c) for c, n in names.items()])
@@ -27,6 +29,7 @@ def carried(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFr
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go."""
+    reach_workers(spark)
     chain = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return carried(docs, lambda d: toxicity.score(d, chain).where("not toxic"))
 
@@ -57,6 +60,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 1,024 tokens."""
+    reach_workers(spark)
     return packing.pack_documents(docs, tokenizer_file())
 
 
