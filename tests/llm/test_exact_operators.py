@@ -105,6 +105,36 @@ def test_pii_disclosed_terms(spark):
     assert clean[10] == texts[10] and "x@y.org" not in clean[0] and "zorblat" not in clean[0] and "common words" in clean[0]
 
 
+def test_pii_terms_of_rare_entities(spark):
+    """On a production table, where every entity stands in one text: against plain Python."""
+    small = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    s, n = pii.Settings(), len(texts)
+    words = {i: {w for w in re.split(r"[\W\d_]+", t.lower()) if len(w) >= s.least_length} for i, t in texts.items()}
+    ents = {i: {(k, t[int(x.split(":")[1]) : int(x.split(":")[2])].lower()) for k, spans in base(t).items() for x in spans} for i, t in texts.items()}
+    df_t, df_e = Counter(w for ws in words.values() for w in ws), Counter(e for es in ents.values() for e in es)
+    pairs = defaultdict(list)
+    for i, es in ents.items():
+        for e in es:
+            for w in words[i]:
+                if w not in e[1]:
+                    pairs[e, w].append(texts[i])
+    told = defaultdict(dict)
+    for (e, w), of in pairs.items():
+        share = math.log(n * len(of) / (df_e[e] * (df_t[w] + max(0, s.least_texts - len(set(of)))))) / math.log(n / df_e[e])
+        if share >= s.generalise_at:
+            told[e][w] = share
+    assert told
+    got = pii.find(spark.read.parquet(f"{small}/documents.parquet")).collect()
+    for r in got:
+        want = defaultdict(float)
+        for e in ents[r["doc_id"]]:
+            for w, share in told[e].items():
+                want[w] = max(want[w], share)
+        for kind in pii.METHOD_KINDS:
+            assert {(r["text"] or "")[x["start"] : x["end"]].lower() for x in r[kind]} == {w for w, v in want.items() if (v >= s.remove_at) == (kind == "remove")}, r["doc_id"]
+
+
 def test_pii_edges(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.digest(df).count() == 0

@@ -4,8 +4,9 @@ Four kinds of entity are found by patterns. Then the corpus says which other ter
 with document frequencies over all documents, a term t tells PMI(e; t) = log(N df(e,t) / (df(e) df(t)))
 of the information IC(e) = log(N / df(e)) that the entity e carries (Sánchez and Batet, 2016). In a
 document that holds e, terms that disclose a share of remove_at or more are removed, terms from
-generalise_at on are generalised, i.e. replaced by the name of the entity's kind. A pair counts only
-if it stands in least_texts different texts.
+generalise_at on are generalised, i.e. replaced by the name of the entity's kind. No entity and no pair
+is too rare to count; a pair that stands in fewer than least_texts different texts is weak evidence, and
+each text it lacks counts as one more document that holds the term without the entity.
 
 DataFrame functions only. Offsets count code points; ends are exclusive.
 """
@@ -120,20 +121,21 @@ def disclosures(docs: DataFrame, found: DataFrame, settings: Settings) -> DataFr
     """(kind, value, term, share) of every term that discloses an entity in the corpus docs.
 
     docs has text; found has text, hash and ents (its distinct entities) of the documents that
-    hold any. Frequencies count rows of docs; support counts different texts.
+    hold any. Frequencies count rows of docs; support counts different texts, and what a pair lacks of
+    least_texts is added to df(t).
     """
     set_ = settings
-    shared = found.select("hash", F.explode("ents").alias("e")).groupBy("e").agg(F.countDistinct("hash").alias("texts"), F.count("*").alias("df_e")).where(F.col("texts") >= set_.least_texts)
+    known = found.select(F.explode("ents").alias("e")).groupBy("e").agg(F.count("*").alias("df_e"))
     texts = found.groupBy("hash").agg(F.first("text").alias("text"), F.first("ents").alias("ents"), F.count("*").alias("n"))
-    pairs = texts.select("hash", "n", "text", F.explode("ents").alias("e")).join(shared.select("e", "df_e"), "e")
+    pairs = texts.select("hash", "n", "text", F.explode("ents").alias("e")).join(known, "e")
     # a term inside the entity itself (an address, say) is no further clue
     terms = pairs.select("e", "df_e", "n", F.explode(words(F.col("text"))).alias("term")).where((F.length("term") >= set_.least_length) & ~F.contains(F.lower(F.col("e.value")), F.col("term")))
-    pairs = terms.groupBy("e", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("df_et"), F.first("df_e").alias("df_e")).where(F.col("texts") >= set_.least_texts)
+    pairs = terms.groupBy("e", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("df_et"), F.first("df_e").alias("df_e"))
     seen = docs.select(F.explode(words(F.col("text"))).alias("term")).where(F.length("term") >= set_.least_length).groupBy("term").agg(F.count("*").alias("df_t"))
     total = docs.count()
-    # the terms of supported pairs are few among all words; they reach the word counts by a hash join
     scored = pairs.join(seen, "term")
-    pmi = F.log(F.lit(float(total)) * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
+    lacking = F.greatest(F.lit(set_.least_texts) - F.col("texts"), F.lit(0))
+    pmi = F.log(F.lit(float(total)) * F.col("df_et") / (F.col("df_e") * (F.col("df_t") + lacking)))
     ic = F.log(F.lit(float(total)) / F.col("df_e"))
     return scored.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= set_.generalise_at).select(F.col("e.kind").alias("kind"), F.col("e.value").alias("value"), "term", "share")
 
