@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import engineering, geometry, text
 from tracewright.operators import architecture, checks, connectivity, evidence, graph, hypotheses, inference, quality, query, reconcile, rules, spatial, windows
+from tracewright.plans import derived, quality_queries
 from tracewright.plans.dag import Cache, Dag, Node
 
 
@@ -274,6 +275,11 @@ def test_component_pairs_match_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_component_pairs_take_every_pad(spark, small_dir):
+    got = quality_queries.component_pairs(spark, small_dir).collect()
+    assert sum(1 if r["kind"] == "unresolved_pad" else 2 for r in got) == derived.table(spark, small_dir, "pads").count()
+
+
 def test_declared_spans(spark):
     drills = spark.createDataFrame([("a", 0.0, 0.0, "plated", [1, 3], None), ("b", 0.0, 0.0, "plated", [2, 9], None), ("c", 0.0, 0.0, "non-plated", None, None), ("d", 5.0, 5.0, "plated", None, None)], "id string, x double, y double, plating string, span array<int>, span_kind string")
     pads = spark.createDataFrame([("p", 0.0, 0.0, 1.0, 1.0, "F.Cu"), ("q", 0.0, 0.0, 1.0, 1.0, "In1.Cu")], "id string, x double, y double, size_x double, size_y double, layer string")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,7 +110,7 @@ def paired_components(pads: DataFrame, most: float = 4.0, board: str | None = No
     """(id, pad_ids, kind, confidence, distance): in order of id each free pad takes the nearest free one within most mm.
 
     A choice can only touch pads that a chain of such distances links, so each linked group is a task of its
-    own. Pads: id, x, y, layer, drill (null for none); board keeps boards apart.
+    own, in which a pad looks only at the free pads of the grid cells around it. Pads: id, x, y, layer, drill (null for none); board keeps boards apart.
     """
     keys = (board,) if board else ()
     near = spatial.radius_join(pads.select("id", "x", "y", "layer", "drill", *keys), pads.select("id", "x", "y", "layer", "drill", *keys), most, keys).where("l_id <> r_id")
@@ -117,18 +121,30 @@ def paired_components(pads: DataFrame, most: float = 4.0, board: str | None = No
         part = part.sort_values("node")
         ids, layers, drilled = part["node"].tolist(), part["layer"].tolist(), part["drill"].notna().tolist()
         xs, ys = part["x"].to_numpy(), part["y"].to_numpy()
-        free, out = [True] * len(ids), []
+        side = max(most, 1e-9) * (1 + 1e-6)
+        placed = np.isfinite(xs) & np.isfinite(ys)
+        cells = [(math.floor(x / side), math.floor(y / side)) if p else None for x, y, p in zip(xs, ys, placed, strict=True)]
+        free, out, waiting = [True] * len(ids), [], defaultdict(set)
+        for a, cell in enumerate(cells):
+            if cell is not None:
+                waiting[cell].add(a)
         for a in range(len(ids)):
             if not free[a]:
                 continue
             free[a] = False
-            d = ((xs[a + 1 :] - xs[a]) ** 2 + (ys[a + 1 :] - ys[a]) ** 2) ** 0.5
-            best = min(((float(v), b) for b, v in enumerate(d, a + 1) if v <= most and free[b]), default=None)
+            best = None
+            if cells[a] is not None:
+                waiting[cells[a]].discard(a)
+                cx, cy = cells[a]
+                around = [b for i in (cx - 1, cx, cx + 1) for j in (cy - 1, cy, cy + 1) for b in waiting.get((i, j), ())]
+                d = ((xs[around] - xs[a]) ** 2 + (ys[around] - ys[a]) ** 2) ** 0.5
+                best = min(((float(v), b) for b, v in zip(around, d, strict=True) if v <= most), default=None)
             if best is None:
                 out.append(([ids[a]], "unresolved_pad", 0.15, None))
                 continue
             gap, b = best
             free[b] = False
+            waiting[cells[b]].discard(b)
             both = drilled[a] and drilled[b]
             out.append((sorted([ids[a], ids[b]]), "two_pin_through_hole_candidate" if both else "two_pad_component_candidate", round(0.35 + 0.15 * both + 0.1 * (layers[a] == layers[b]), 12), gap))
         return pd.DataFrame(out, columns=["pad_ids", "kind", "confidence", "distance"])

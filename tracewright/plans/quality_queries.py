@@ -182,8 +182,7 @@ def via_spans(spark, d):
 
 @register("component_pairs")
 def component_pairs(spark, d):
-    pads = table(spark, d, "pads").where("x % 5 < 2")
-    return hypotheses.paired_components(pads, 1.0).select("id", "kind", "confidence", "distance")
+    return hypotheses.paired_components(table(spark, d, "pads"), 1.0).select("id", "kind", "confidence", "distance")
 
 
 @register("named_components", sql("pads", "SELECT net_id AS reference, count(*) AS n FROM pads GROUP BY 1"))
