@@ -8,7 +8,9 @@ import zipfile
 from xml.etree import ElementTree
 
 import pytest
+from pyspark.sql import functions as F
 
+from tracewright.plans import derived, source_queries
 from tracewright.plans.source_queries import LED, reconstruct
 from tracewright.sinks import reports
 from tracewright.sources import archives, excellon, formats, gerber, tables
@@ -228,3 +230,13 @@ def test_streams(spark, small_dir, tmp_path):
     last = {r["object_id"]: (r["events"], r["kind"], r["seq"]) for r in spark.sql("select object_id, max_by(struct(events, kind, seq), events) x from s group by 1").select("object_id", "x.*").collect()}
     assert last == {r["object_id"]: (r["events"], r["kind"], r["seq"]) for r in event_log.latest(event_log.from_events(events)).collect()}
     assert event_log.sessions(events, "1 hour").count() > 0
+
+
+def test_roundtrip_sees_every_track(spark, small_dir, monkeypatch):
+    """A reader that loses the last track in order of id, far past the first 500, is found out."""
+    tracks = derived.table(spark, small_dir, "all_tracks").where("net_id is not null")
+    assert tracks.count() > 1000 and source_queries.roundtrip(tracks, 200).count() == 0
+    last = tracks.orderBy(F.col("id").desc()).first()
+    write = reports.kicad_boards
+    monkeypatch.setattr(reports, "kicad_boards", lambda t, files: write(t.where(F.col("id") != last["id"]), files))
+    assert source_queries.roundtrip_board(spark, small_dir).first() == (1, 0)

@@ -32,6 +32,8 @@ TABLES: dict[str, tuple[str, str, dict[str, str], bool]] = {
     "segments": ("lineitem", "true", {
         "net_id": "concat('N', cast(l_partkey % 997 as string))", "length": "l_quantity", "width": "1e-1 + l_tax"}, False),
 }
+#: The tracks of all orders, for queries whose SQL does not read them.
+TABLES["all_tracks"] = (TABLES["tracks"][0], "true", *TABLES["tracks"][2:])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

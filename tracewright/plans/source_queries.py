@@ -107,13 +107,16 @@ def reconstruct_board(spark, d):
     return board["nets"].groupBy(F.col("member_count").cast("int").alias("member_count")).agg(F.count("*").cast("int").alias("n"))
 
 
+def roundtrip(tracks, rows=5_000):
+    """Differences (and their side) between tracks and what is read back from board files of about rows tracks each."""
+    back = tables.kicad(reports.kicad_boards(tracks, tracks.count() // rows + 1))
+    names = back.where("kind = 'net'").select("path", "net", F.col("name").alias("net_id"))
+    shape = lambda df: df.select(*[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2", "width")], "layer", "net_id")
+    observed = shape(back.where("kind = 'track'").join(names, ["path", "net"]))
+    return reconcile.multiset_differences(shape(tracks), observed)
+
+
 @register("roundtrip_board", "SELECT 0 AS missing, 0 AS unexpected")
 def roundtrip_board(spark, d):
-    tracks = table(spark, d, "tracks").where("net_id is not null").orderBy("id").limit(500)
-    text = reports.kicad_board(tracks, tracks)
-    back = tables.kicad(spark.createDataFrame([("board.kicad_pcb", text)], "path string, content string"))
-    names = back.where("kind = 'net'").select("net", F.col("name").alias("net_id"))
-    shape = lambda df: df.select(*[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2", "width")], "layer", "net_id")
-    observed = shape(back.where("kind = 'track'").join(names, "net"))
-    diff = reconcile.multiset_differences(shape(tracks), observed)
+    diff = roundtrip(table(spark, d, "all_tracks").where("net_id is not null"))
     return diff.agg(F.count(F.when(F.col("side") == "missing", 1)).cast("int").alias("missing"), F.count(F.when(F.col("side") == "unexpected", 1)).cast("int").alias("unexpected"))

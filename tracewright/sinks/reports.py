@@ -88,9 +88,26 @@ def junit(issues: DataFrame, suite: str = "checks", most: int = 10_000) -> str:
 def kicad_board(nets: DataFrame, tracks: DataFrame, most: int = 100_000) -> str:
     """A board file of nets (code 1 and up, in order of name) and tracks; tracks without a known net are left out."""
     names = [r["net_id"] for r in _rows(nets.select("net_id").distinct().orderBy("net_id"), most)]
+    return _kicad_text(names, _rows(tracks.where("net_id is not null").orderBy("id"), most))
+
+
+def kicad_boards(tracks: DataFrame, files: int) -> DataFrame:
+    """(path, content) of files board files, each with its share of the tracks that have a net and with their nets."""
+
+    def run(part):
+        import pandas as pd
+
+        rows = part.sort_values("id").to_dict("records")
+        return pd.DataFrame({"path": [f"board_{part['file'].iloc[0]}.kicad_pcb"], "content": [_kicad_text(sorted({r["net_id"] for r in rows}), rows)]})
+
+    parts = tracks.where("net_id is not null").select("id", "x1", "y1", "x2", "y2", "width", "layer", "net_id", F.expr(f"pmod(xxhash64(id), {files})").alias("file"))
+    return parts.groupBy("file").applyInPandas(run, "path string, content string")
+
+
+def _kicad_text(names: list[str], tracks: list) -> str:
     code = {n: i for i, n in enumerate(names, 1)}
     out = ["(kicad_pcb (version 20221018) (generator tracewright)", '  (net 0 "")', *[f"  (net {i} {json.dumps(n)})" for n, i in code.items()]]
-    for r in _rows(tracks.where("net_id is not null").orderBy("id"), most):
+    for r in tracks:
         if r["net_id"] in code:
             out.append(f'  (segment (start {r["x1"]:.6f} {r["y1"]:.6f}) (end {r["x2"]:.6f} {r["y2"]:.6f}) (width {r["width"]:.6f}) (layer {json.dumps(r["layer"])}) (net {code[r["net_id"]]}))')
     return "\n".join(out) + "\n)\n"
