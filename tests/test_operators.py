@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import engineering, geometry, text
 from tracewright.operators import architecture, checks, connectivity, evidence, graph, hypotheses, inference, quality, query, reconcile, rules, spatial, windows
-from tracewright.plans import derived, quality_queries
+from tracewright.plans import derived, graph_queries, quality_queries
 from tracewright.plans.dag import Cache, Dag, Node
 
 
@@ -103,6 +103,35 @@ def test_graph_algorithms(spark):
     assert h[6] == h[7] and h[1] == h[2] != h[3]
 
 
+def test_betweenness_of_the_whole_flow(spark, small_dir):
+    """Against all pairs: v is between s and t as often as d(s, v) + d(v, t) = d(s, t)."""
+    near = {}
+    for r in graph_queries.flow(spark, small_dir).collect():
+        near.setdefault(r["u"], set()).add(r["v"])
+        near.setdefault(r["v"], set()).add(r["u"])
+    far, ways = {}, {}
+    for s in near:
+        far[s], ways[s], ring = {s: 0}, {s: 1}, [s]
+        while ring:
+            after = []
+            for a in ring:
+                for b in near[a]:
+                    if b not in far[s]:
+                        far[s][b], ways[s][b] = far[s][a] + 1, 0
+                        after.append(b)
+                    if far[s][b] == far[s][a] + 1:
+                        ways[s][b] += ways[s][a]
+            ring = after
+    n, want = len(near), dict.fromkeys(near, 0.0)
+    for s in near:
+        for t in far[s]:
+            for v in far[s]:
+                if s < t and v not in (s, t) and far[s][v] + far[v][t] == far[s][t]:
+                    want[v] += ways[s][v] * ways[v][t] / ways[s][t]
+    got = {r["node"]: r["betweenness"] for r in graph_queries.betweenness(spark, small_dir).collect()}
+    assert n > 25 and got == pytest.approx({v: x * 2 / ((n - 1) * (n - 2)) for v, x in want.items()}, abs=1e-8)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.floats(0, 1), min_size=1, max_size=6))
 def test_noisy_or_bounds(cs):

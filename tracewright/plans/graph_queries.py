@@ -100,13 +100,10 @@ def neighbourhood_hashes(spark, d):
     return graph.neighbourhood_hash(nodes, edges, 1).groupBy("hash").agg(F.count("*").alias("n"))
 
 
-def small_graph(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("u"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("bigint").alias("v"))
-
-
 @register("betweenness")
 def betweenness(spark, d):
-    return graph.betweenness(small_graph(spark, d), 25)
+    edges = flow(spark, d)
+    return graph.betweenness(edges, edges.select(F.explode(F.array("u", "v"))).distinct().count())
 
 
 @register("articulation_nodes")
