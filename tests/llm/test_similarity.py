@@ -173,6 +173,15 @@ def test_tiling_against_all_places():
         assert all(item[p : p + k] == text[q : q + k] for p, q, k in got)
 
 
+def test_short_items_are_found_whole(spark):
+    rows = [(1, "So, what is BASALT? What is basalt!"), (2, "what is the basalt"), (3, "先问：玄武岩是什么？再答。"), (4, "basalt"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(20, "What is basalt?"), (21, "玄武岩是什么"), (22, "..."), (23, "what is basalt")], "item_id long, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["item_ids"], [[tuple(t) for t in m["tiles"]] for m in r["matches"]]) for r in decontaminate.mark(df, items).collect()}
+    none = (False, [], [])
+    assert got == {1: (True, [20, 23], [[(0, 1, 3)], [(0, 1, 3)]]), 2: none, 3: (True, [21], [[(0, 1, 1)]]), 4: none, 5: none, 6: none}
+
+
 def test_reordered_passages_are_caught(spark):
     item = " ".join(f"token{k}" for k in range(40))
     parts = item.split()

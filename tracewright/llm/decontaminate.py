@@ -3,7 +3,8 @@
 Seeds are runs of min_match tokens shared by a text and a test item, found by rolling Karp-Rabin hashes
 and confirmed token by token. Seeds on one diagonal join into maximal matches. The longest match
 whose tokens are still free is marked as a tile, again and again, until none of min_match tokens is
-left; tiles may stand in any order, so reordered passages count too. A text is contaminated where the
+left; tiles may stand in any order, so reordered passages count too. An item of fewer tokens is found
+where it stands whole in the text, as its one tile. A text is contaminated where the
 tiles cover enough of some item.
 """
 
@@ -48,20 +49,24 @@ def rolling(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """The items of one block: token ids and the places of every seed. Items shorter than min_match are left out."""
+    """The items of one block: token ids and the places of every seed; items shorter than min_match by all their tokens, those without any left out."""
 
     def __init__(self, items: list[tuple[int, str]], min_match: int):
         self.n, self.vocabulary, self.items = min_match, {}, []
+        short: dict[int, dict[tuple[str, ...], list[int]]] = {}
         hashes, places = [], []
         for item, text in items:
             words = tokens(text)
             if len(words) < min_match:
+                if words:
+                    short.setdefault(len(words), {}).setdefault(tuple(words), []).append(int(item))
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.uint64)
             h = rolling(ids, min_match)
             hashes.append(h)
             places += [(len(self.items), at) for at in range(len(h))]
             self.items.append((item, ids))
+        self.short = sorted(short.items())
         flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
         order = np.argsort(flat, kind="stable")
         self.hashes, self.places = flat[order], np.array(places, dtype=np.int64).reshape(-1, 2)[order]
@@ -90,10 +95,21 @@ class Index:
         sure = [bool((self.items[i][1][p : p + self.n] == ids[q : q + self.n]).all()) for i, p, q in found]
         return ids, found[np.array(sure)]
 
+    def whole(self, text: str | None) -> list[tuple[int, float, list[tuple[int, int, int]]]]:
+        """Each short item that the text holds, covered by one tile at its first place."""
+        words, out = tokens(text) if self.short else [], []
+        for n, items in self.short:
+            first: dict[tuple[str, ...], int] = {}
+            for at, run in enumerate(zip(*[words[k:] for k in range(n)], strict=False)):
+                if run in items:
+                    first.setdefault(run, at)
+            out += [(item, 1.0, [(0, at, n)]) for run, at in first.items() for item in items[run]]
+        return out
+
     def tiles(self, text: str | None) -> list[tuple[int, float, list[tuple[int, int, int]]]]:
-        """For each item with a seed: its id, its coverage and the tiles (place in item, in text, length)."""
+        """For each item with a seed, and each short item in the text: its id, its coverage and the tiles (place in item, in text, length)."""
         ids, seeds = self.seeds(text)
-        out = []
+        out = self.whole(text)
         for i in np.unique(seeds[:, 0]):
             item, own = self.items[i]
             s = seeds[seeds[:, 0] == i]
@@ -128,8 +144,8 @@ def mark(df: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), t
     """df with contaminated, coverage (the largest), item_ids (contaminating, ascending) and matches (all tiles).
 
     Columns of these names in df are replaced; all others stay, whatever they are called. A null or
-    empty text is not contaminated, and neither a null item nor one of fewer than min_match tokens can
-    contaminate. Items that repeat count once each. The benchmark goes to the tasks in blocks of at
+    empty text is not contaminated, and neither a null item nor one without tokens can contaminate; an
+    item of fewer than min_match tokens does so where it stands whole in the text. Items that repeat count once each. The benchmark goes to the tasks in blocks of at
     most block_bytes, each block read once over df, so that it may be of any size. No shuffle.
     """
     names = ("contaminated", "coverage", "item_ids", "matches")
