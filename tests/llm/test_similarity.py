@@ -65,8 +65,10 @@ def test_jaccard_join(spark, block):
     docs = [(k * 3 % 1009, t, True) for k, t in enumerate(texts)]
     df = spark.createDataFrame([*docs, (None, texts[0], True)], "doc_id long, text string, kept boolean").repartition(5)
     want, counts = expected([(i, t) for i, t, _ in docs])
-    got = ngram_join.join(df, ngram_join.Settings(block=block)).collect()
-    assert len(got) == len(docs)
+    got = ngram_join.join(df, ngram_join.Settings(block=block, block_grams=100 * block)).collect()
+    assert len(got) == len(docs) + 1
+    assert [tuple(r) for r in got if r["doc_id"] is None] == [(None, None, None, 0, True)]
+    got = [r for r in got if r["doc_id"] is not None]
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     assert sorted((r["doc_id"], r["n_links"]) for r in got) == sorted(counts)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
@@ -79,6 +81,29 @@ def test_jaccard_join_empty_and_repeated(spark):
     assert {(r["component_id"], r["n_links"]) for r in ngram_join.join(same).collect()} == {(1, 3)}
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    one, other = "the first text of this number has ten words here", "an unrelated second text under the very same number stands here"
+    rows = [(1, one, 5), (1, other, 6), (1, other, 6), (2, one.upper(), 7), (3, one + " tail", 8), (1, one + "  ", 9), (None, one, 1), (None, one, 1), (4, None, 2), (4, "", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = ngram_join.join(df).collect()
+    assert len(got) == len(rows)
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got if r["doc_id"] in (2, 3)) == [(2, 1, 3), (3, 1, 3)]
+    kept = [(r["doc_id"], r["text"], r["component_id"]) for r in ngram_join.keep_one(df).collect()]
+    assert sorted((i, t) for i, t, _ in kept if i == 1 and t == other) == [(1, other)]
+    assert sum(i is not None and bool(t) and t.lower().split()[:3] == ["the", "first", "text"] for i, t, _ in kept) == 1
+    assert sorted(str(t) for i, t, _ in kept if i == 4) == ["", "None"] and sum(i is None for i, *_ in kept) == 2 and len(kept) == 6
+    assert ngram_join.keep_one(df).columns == df.columns and ngram_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_large_group_of_long_near_copies(spark):
+    """Many near copies of a long text, one very long text among them, in blocks of few n-grams: against the sizes known beforehand."""
+    base = [f"word{k}" for k in range(600)]
+    rows = [(k, " ".join([*base[:580], f"own{k}", *base[581:]])) for k in range(3000)] + [(5000, "long " + " ".join(f"t{k}" for k in range(120_000))), (5001, " ".join(f"t{k}" for k in range(120_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: (r["component_id"], r["n_links"], r["kept"]) for r in ngram_join.join(df, ngram_join.Settings(block_grams=100_000)).collect()}
+    assert all(got[k] == (0, 2999, k == 0) for k in range(3000)) and got[5000] == (5000, 1, True) and got[5001] == (5000, 1, False)
+
+
 def test_jaccard_query(spark, small_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()]
     want, counts = expected(docs)

@@ -13,11 +13,12 @@ from tracewright.storage import cut, drop_tables, release, shared_folder
 __all__ = ["WordHashes", "components", "cut", "drop_tables", "mix", "pieces", "release", "roots", "shared_folder", "shingles", "windows"]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that Python never holds many long texts at once."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches of about size bytes at most, so that Python never holds many long texts at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,7 +33,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, remembered while there are few enough."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000  # some 30 MB
 
     def __missing__(self, word: str) -> int:
         import xxhash

@@ -5,13 +5,14 @@
 2. Classes that agree on a band of the signature are candidates (32 bands of 4 values: a pair of
    similarity 0.8 is missed with probability 5e-8). Band groups are not expanded into pairs. Every
    class joins the lowest class within two steps of shared bands; such a neighbourhood is split by hash
-   into blocks of about 256 classes, and a work unit is a pair of blocks that some band touches.
+   into blocks of bounded classes and n-grams, and a work unit is a pair of blocks that some band touches.
 3. Inside a unit candidates are compared 16 MinHash values at a time. After n comparisons with m
    agreements the similarity has posterior Beta(m + 1, n - m + 1) under a uniform prior; a pair whose
    posterior probability of reaching the threshold falls under the tolerance is dropped.
-4. The rest is verified exactly on the n-gram sets, made anew from the texts. A unit returns one row
-   per class: its number of links and the least class that they lead to inside the unit. The number of
-   rows is therefore bounded by the classes in the unit, however many copies resemble each other.
+4. The rest is verified exactly on the n-gram sets, which are made once for each class with a candidate
+   and shipped in binary. A unit returns one row per class: its number of links and the least class that
+   they lead to inside the unit. A near-copy group of g classes in b blocks ships its sets about b times
+   and compares its g (g - 1) / 2 pairs in memory, as counting its links asks for; rows stay g b.
 5. Components of these rows are the duplicate groups.
 """
 
@@ -37,7 +38,8 @@ class Settings:
     rows: int = 4
     step: int = 16
     tolerance: float = 1e-6
-    block: int = 256
+    block: int = 512
+    block_grams: int = 400_000
 
     @property
     def size(self) -> int:
@@ -81,7 +83,7 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, set_: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, n, sig) of every row with an id; fp is of the n-gram set, null for a text without words."""
+    """(id, h, fp, n, sig) of every row; h is of the text, fp of the n-gram set, null for a text without words and where the id is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -89,15 +91,21 @@ def signatures(df: DataFrame, set_: Settings, id_col: str, text_col: str) -> Dat
         hashes, mult = WordHashes(), set_.multipliers()
         for batch in pieces(batches):
             fps, counts, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles(words_of(text), hashes, set_.n)
                 counts.append(len(s))
                 fps.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 sigs.append(minhash(s, mult).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(counts, pa.int32()), pa.array(sigs, pa.binary())], names=["id", "fp", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(counts, pa.int32()), pa.array(sigs, pa.binary())], names=["id", "h", "fp", "n", "sig"])
 
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    return rows.mapInArrow(run, "id bigint, fp binary, n int, sig binary")
+    rows = keyed(df, id_col, text_col).select("id", "h", F.when(F.col("id").isNotNull(), F.col("text")).alias("text"))
+    return rows.mapInArrow(run, "id bigint, h bigint, fp binary, n int, sig binary")
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text): h tells rows of one id apart by their texts."""
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def candidate_pairs(a: np.ndarray, b: np.ndarray | None, set_: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -155,87 +163,131 @@ def verify(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: floa
     return ok
 
 
-def join(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id, component_id, n_links and kept for every row of df that has an id.
+def sets_of(docs: DataFrame, set_: Settings) -> DataFrame:
+    """(node, copies, sig, grams) of rows (node, copies, sig, text): the n-gram set as sorted 64-bit values."""
 
-    class_id is the least id of an equal n-gram set; n_links counts the other rows, copies included,
-    whose similarity reaches the threshold; component_id is the least id reachable by links, and kept
-    marks it. Words are lower-cased and split at white space. A text of one to four words is one n-gram of all
-    its words; a null or empty text has none, is its own class and links with nothing. Rows with a
-    null id are not compared and not returned; rows that repeat an id are one node of the graph.
-    Further columns are not carried. An empty table gives an empty result.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in pieces(batches):
+            grams = [shingles(words_of(t), hashes, set_.n).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.binary())], names=["node", "copies", "sig", "grams"])
+
+    return docs.select("node", "copies", "sig", "text").mapInArrow(run, "node bigint, copies bigint, sig binary, grams binary")
+
+
+def deal_blocks(members: DataFrame, nodes: DataFrame, set_: Settings) -> DataFrame:
+    """(node, lead, chunk): the block of every class that shares a band, from (key, node) and (node, n).
+
+    lead is the lowest class within two steps of shared bands. A neighbourhood is split by hash so that
+    a block has about set_.block classes and set_.block_grams n-grams; a class of more than a quarter of
+    these n-grams is a block of its own.
     """
+    once = members.groupBy("node").agg(F.min("low").alias("lead"))
+    again = members.select("key", "node").join(once, "node").groupBy("key").agg(F.min("lead").alias("low"))
+    leads = members.select("key", "node").join(again, "key").groupBy("node").agg(F.min("low").alias("lead")).join(nodes, "node")
+    large = F.col("n") > set_.block_grams // 4
+    small = F.when(~large, F.col("n"))
+    sizes = leads.groupBy("lead").agg(F.greatest(F.ceil(F.count(small) / set_.block), F.ceil(F.coalesce(F.sum(small), F.lit(0)) / set_.block_grams)).alias("chunks"))
+    chunk = F.when(large, -1 - F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.col("chunks")))
+    return leads.join(sizes, "lead").select("node", "lead", chunk.alias("chunk"))
+
+
+def deal_units(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(unit, a, b): each block of several classes with itself, and the pairs of blocks that share a band.
+
+    A band of many blocks is joined in parts of 256 blocks on one side.
+    """
+    at = F.struct("lead", "chunk")
+    touched = members.join(blocks, "node").select("key", at.alias("b")).distinct()
+    several = touched.join(touched.groupBy("key").agg(F.ceil(F.count("*") / 256).alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n"), "key")
+    left = several.select("key", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("a"))
+    right = several.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "b")
+    across = left.join(right, ["key", "part"]).where("a < b").select("a", "b")
+    within = blocks.groupBy("lead", "chunk").agg(F.count("*").alias("n")).where("n > 1").select(at.alias("a"), at.alias("b"))
+    return across.unionByName(within).distinct().withColumn("unit", F.monotonically_increasing_id())
+
+
+def grouped(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, class_id, component_id, n_links, kept) for every row of df; see join. h is the hash of the text."""
     set_ = settings
     sigs = cut(signatures(df, set_, id_col, text_col), "signatures", "snappy")
-    classes = sigs.where("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = cut(sigs.join(classes, "fp").where("id = rep").dropDuplicates(["fp"]).select("rep", "copies", "sig"), "classes", "snappy")
+    low = sigs.where("fp is not null").groupBy("fp").agg(F.min(F.struct("id", "h", "n", "sig")).alias("low"), F.count("*").alias("copies"))
+    # the number of a class is fixed once it is written
+    classes = cut(low.select(F.monotonically_increasing_id().alias("node"), "fp", "low.*", "copies"), "classes", "snappy")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, set_.size)
             keys = band_keys(sig, set_.bands, set_.rows)
-            rep = np.repeat(batch.column("rep").to_numpy(), set_.bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
-
-    banded = reps.select("rep", "sig").mapInArrow(bands, "key bigint, rep bigint")
-    groups = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1").select("key", "low")
-    members = cut(banded.join(groups, "key"), "bands", "snappy")
-    once = members.groupBy("rep").agg(F.min("low").alias("lead"))
-    again = members.select("key", "rep").join(once, "rep").groupBy("key").agg(F.min("lead").alias("low"))
-    leads = members.select("key", "rep").join(again, "key").groupBy("rep").agg(F.min("low").alias("lead"))
-    sizes = leads.groupBy("lead").agg(F.count("*").alias("n"))
-    spread = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / set_.block)).cast("int")
-    blocks = cut(leads.join(sizes, "lead").select("rep", "lead", F.when(F.col("n") > set_.block, spread).otherwise(0).alias("chunk")), "blocks", "snappy")
-    touched = members.join(blocks, "rep").select("key", F.struct("lead", "chunk").alias("b")).distinct()
-    several = touched.join(touched.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
-    across = several.select("key", F.col("b").alias("a")).join(several, "key").where("a < b").select("a", "b")
-    within = blocks.groupBy("lead", "chunk").agg(F.count("*").alias("n")).where("n > 1").select(F.struct("lead", "chunk").alias("a"), F.struct("lead", "chunk").alias("b"))
-    units = cut(across.unionByName(within).distinct().withColumn("unit", F.xxhash64("a", "b")), "units", "snappy")
-
-    sides = units.select("unit", F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(0).alias("side")), F.struct(F.col("b").alias("at"), F.lit(1).alias("side")))).alias("s"), (F.col("a") == F.col("b")).alias("one"))
-    sides = sides.where("not (one and s.side = 1)").select("unit", F.col("s.at.lead").alias("lead"), F.col("s.at.chunk").alias("chunk"), F.col("s.side").alias("side"), F.col("s.at").alias("at"), "one")
-    placed = sides.join(blocks, ["lead", "chunk"]).select("unit", "side", "one", "rep")
-    # the texts of classes that have a candidate, each read once
-    wanted = placed.select("rep").distinct()
-    texts = df.select(F.col(id_col).cast("bigint").alias("rep"), F.col(text_col).cast("string").alias("text")).join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
-    loaded = placed.join(reps, "rep").join(texts, "rep")
+            node = np.repeat(batch.column("node").to_numpy(), set_.bands)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
+
+    banded = classes.select("node", "sig").mapInArrow(bands, "key bigint, node bigint")
+    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1").select("key", "low")
+    members = cut(banded.join(shared, "key"), "bands", "snappy")
+    blocks = cut(deal_blocks(members, classes.select("node", "n"), set_), "blocks", "snappy")
+    units = cut(deal_units(members, blocks), "units", "snappy")
+
+    # the n-gram sets of classes that have a candidate, each made once
+    wanted = blocks.select("node").join(classes.select("node", "id", "h", "copies", "sig"), "node")
+    texts = keyed(df, id_col, text_col).join(wanted, ["id", "h"]).dropDuplicates(["node"])
+    sets = cut(sets_of(texts, set_), "sets", "snappy")
+    one = F.col("a") == F.col("b")
+    sides = units.select("unit", one.alias("one"), F.explode(F.when(one, F.array(F.col("a"))).otherwise(F.array("a", "b"))).alias("at"), F.col("a"))
+    sides = sides.select("unit", "one", F.col("at.lead").alias("lead"), F.col("at.chunk").alias("chunk"), (F.col("at") != F.col("a")).alias("side"))
+    loaded = sides.join(blocks, ["lead", "chunk"]).select("unit", "side", "one", "node").join(sets, "node")
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("side", "ascending"), ("rep", "ascending")])
-        rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
+        group = group.sort_by([("side", "ascending"), ("node", "ascending")])
+        node, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, set_.size)
-        side = group.column("side").to_numpy()
-        split = int((side == 0).sum())
         if group.column("one")[0].as_py():
             i, j = candidate_pairs(sig, None, set_)
         else:
+            split = len(node) - sum(group.column("side").to_pylist())
             i, j = candidate_pairs(sig[:split], sig[split:], set_)
             j = j + split
         i, j = prune(sig, sig, i, j, set_)
-        sets: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)] * len(rep)
-        hashes, column = WordHashes(), group.column("text")
-        for k in np.unique(np.concatenate([i, j])):
-            sets[k] = shingles(words_of(column[int(k)].as_py()), hashes, set_.n)
+        sets = [np.frombuffer(b, dtype=np.uint64) for b in group.column("grams").to_pylist()]
         ok = verify(sets, i, j, set_.threshold)
         i, j = i[ok], j[ok]
-        links = np.bincount(i, weights=copies[j], minlength=len(rep)) + np.bincount(j, weights=copies[i], minlength=len(rep))
-        by_rep = np.argsort(rep, kind="stable")  # roots() takes the least position, so positions must follow the ids
-        rank = np.empty(len(rep), dtype=np.int64)
-        rank[by_rep] = np.arange(len(rep))
-        root = rep[by_rep][roots(len(rep), rank[i], rank[j])][rank]
+        links = np.bincount(i, weights=copies[j], minlength=len(node)) + np.bincount(j, weights=copies[i], minlength=len(node))
+        root = node[roots(len(node), i, j)]
         some = np.flatnonzero(links)
-        return pa.table({"rep": rep[some], "links": links[some].astype(np.int64), "root": root[some]})
-
-    linked = cut(loaded.groupBy("unit").applyInArrow(compare, "rep bigint, links bigint, root bigint"), "links", "snappy")
-    counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(linked.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    known = classes.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("fp", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("id", "fp").join(known, "fp", "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.coalesce("rep", "id").alias("class_id"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
-        (F.coalesce("component", "id") == F.col("id")).alias("kept"),
-    )
+        return pa.table({"node": node[some], "links": links[some].astype(np.int64), "root": root[some]})
+
+    linked = cut(loaded.groupBy("unit").applyInArrow(compare, "node bigint, links bigint, root bigint"), "links", "snappy")
+    counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    groups = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v"))).join(classes.select("node", "id", "h"), "node")
+    least = groups.groupBy("component").agg(F.min(F.struct("id", "h")).alias("least"))
+    groups = groups.join(least, "component").select("node", "least")
+    known = classes.join(counts, "node", "left").join(groups, "node", "left")
+    known = known.select("fp", F.col("id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("least", F.struct("id", "h")).alias("least"))
+    return sigs.select("id", "h", "fp").join(known, "fp", "left").select(
+        "id", "h", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("least.id", "id").alias("component_id"),
+        F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce(F.col("least") == F.struct("id", "h"), F.lit(True)).alias("kept"),
+    )
+
+
+def join(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id, component_id, n_links and kept for every row of df.
+
+    class_id is the least id of an equal n-gram set; n_links counts the other rows, copies included,
+    whose similarity reaches the threshold; component_id is the least id reachable by links, and kept
+    marks the row that has it. Words are lower-cased and split at white space. A text of one to four
+    words is one n-gram of all its words; a null or empty text has none, is its own class and links with
+    nothing. Rows with a null id are not compared: they have no class, component or links, and are kept.
+    Rows of one id with different texts are compared like others, and of those in one component
+    the text of least hash is kept; rows that repeat id and text are marked alike. Further columns are
+    not carried. An empty table gives an empty result.
+    """
+    return grouped(df, settings, id_col, text_col).drop("h").withColumnRenamed("id", id_col)
+
+
+def keep_one(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that join keeps, all columns, and of rows that repeat id and text one."""
+    marked = grouped(df, settings, id_col, text_col)
+    kept = cut(marked.where("kept and id is not null").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct(), "kept", "snappy")
+    own = df.withColumns({"__id": F.col(f"`{id_col}`").cast("bigint"), "__h": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    known = own.where("__id is not null").join(kept, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"])
+    return known.unionByName(own.where("__id is null")).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -49,7 +49,7 @@ class Features(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         hashes = [xxhash.xxh32_intdigest(word, 1), *(xxhash.xxh32_intdigest(word[:k], 2 + k) for k in self.prefixes if len(word) >= k)]
         out = tuple(hashes) if self.known is None else tuple(self.known[h] for h in hashes if h in self.known)
