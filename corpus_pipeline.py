@@ -35,15 +35,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the least id; of rows that repeat an id one
-    stays, and rows with a null id, which can't be grouped, all stay."""
-
-    def change(d: DataFrame) -> DataFrame:
-        kept = cut(ngram_join.join(d).where("kept").select("doc_id").distinct(), "kept", "snappy")
-        known = d.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return known.unionByName(d.where("doc_id is null"))
-
-    return carried(docs, change)
+    """One document of each group of near copies stays, that of the least id; of rows that repeat id and text
+    one stays, of rows of one id with different texts all that are no near copies, and rows with a null id,
+    which can't be grouped, all stay."""
+    return carried(docs, ngram_join.keep_one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
