@@ -8,21 +8,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.storage import cut
+from tracewright.storage import cut, drop
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, component) for every node of the edges (u, v); component is the least node reachable.
 
     Large-star and small-star in turn (Kiveris et al., 2014): the number of rounds grows with the
-    logarithm of the longest path. Each round is cut to the shared folder; the driver sees only a
+    logarithm of the longest path. Each round is cut to the shared folder, in files sized by the number of
+    edges before it (rows for the first, if known), and the table before it deleted; the driver sees only a
     count and a checksum of the edges.
     """
-    e = cut(edges.select("u", "v").where("u <> v").distinct(), "edges", "lz4", free=False)
+    few = 2_000_000  # edges in a file
+    e = cut(edges.select("u", "v").where("u <> v").distinct(), "edges", "lz4", free=False, rows=rows, per_file=few)
     seen = None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -35,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct(), "edges", "lz4", free=False)
+        e, before = cut(small.where("u <> v").distinct(), "edges", "lz4", free=False, rows=2 * state[0], per_file=few), e
+        drop(before)
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
