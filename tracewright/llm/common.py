@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 from tracewright.operators.graph import components
-from tracewright.storage import cut, drop_tables, release, shared_folder
+from tracewright.storage import cut, drop, drop_tables, release, shared_folder
 
-__all__ = ["WordHashes", "components", "cut", "drop_tables", "mix", "pieces", "release", "roots", "shared_folder", "shingles", "windows"]
+__all__ = ["WordHashes", "components", "cut", "drop", "drop_tables", "mix", "pieces", "release", "roots", "shared_folder", "shingles", "windows"]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import WordHashes, components, cut, mix, pieces, roots, shingles
+from tracewright.llm.common import WordHashes, components, cut, drop, mix, pieces, roots, shingles
 
 
 @dataclass(frozen=True)
@@ -211,9 +211,11 @@ def grouped(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     """(id, h, class_id, component_id, n_links, kept) for every row of df; see join. h is the hash of the text."""
     set_ = settings
     sigs = cut(signatures(df, set_, id_col, text_col), "signatures", "snappy")
+    rows = sigs.count()
     low = sigs.where("fp is not null").groupBy("fp").agg(F.min(F.struct("id", "h", "n", "sig")).alias("low"), F.count("*").alias("copies"))
     # the number of a class is fixed once it is written
-    classes = cut(low.select(F.monotonically_increasing_id().alias("node"), "fp", "low.*", "copies"), "classes", "snappy")
+    classes = cut(low.select(F.monotonically_increasing_id().alias("node"), "fp", "low.*", "copies"), "classes", "snappy", rows=rows)
+    rows = classes.count()
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,14 +226,15 @@ def grouped(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
 
     banded = classes.select("node", "sig").mapInArrow(bands, "key bigint, node bigint")
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1").select("key", "low")
-    members = cut(banded.join(shared, "key"), "bands", "snappy")
-    blocks = cut(deal_blocks(members, classes.select("node", "n"), set_), "blocks", "snappy")
-    units = cut(deal_units(members, blocks), "units", "snappy")
+    members = cut(banded.join(shared, "key"), "bands", "snappy", rows=rows * set_.bands, per_file=2_000_000)
+    blocks = cut(deal_blocks(members, classes.select("node", "n"), set_), "blocks", "snappy", rows=rows, per_file=2_000_000)
+    rows = blocks.count()
+    units = cut(deal_units(members, blocks), "units", "snappy", rows=rows, per_file=2_000_000)
 
     # the n-gram sets of classes that have a candidate, each made once
     wanted = blocks.select("node").join(classes.select("node", "id", "h", "copies", "sig"), "node")
     texts = keyed(df, id_col, text_col).join(wanted, ["id", "h"]).dropDuplicates(["node"])
-    sets = cut(sets_of(texts, set_), "sets", "snappy")
+    sets = cut(sets_of(texts, set_), "sets", "snappy", rows=rows, per_file=50_000)
     one = F.col("a") == F.col("b")
     sides = units.select("unit", one.alias("one"), F.explode(F.when(one, F.array(F.col("a"))).otherwise(F.array("a", "b"))).alias("at"), F.col("a"))
     sides = sides.select("unit", "one", F.col("at.lead").alias("lead"), F.col("at.chunk").alias("chunk"), (F.col("at") != F.col("a")).alias("side"))
@@ -256,9 +259,10 @@ def grouped(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
         some = np.flatnonzero(links)
         return pa.table({"node": node[some], "links": links[some].astype(np.int64), "root": root[some]})
 
-    linked = cut(loaded.groupBy("unit").applyInArrow(compare, "node bigint, links bigint, root bigint"), "links", "snappy")
+    linked = cut(loaded.groupBy("unit").applyInArrow(compare, "node bigint, links bigint, root bigint"), "links", "snappy", rows=sides.count(), per_file=500)
+    drop(members, blocks, units, sets)
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v"))).join(classes.select("node", "id", "h"), "node")
+    groups = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")), rows=linked.count()).join(classes.select("node", "id", "h"), "node")
     least = groups.groupBy("component").agg(F.min(F.struct("id", "h")).alias("least"))
     groups = groups.join(least, "component").select("node", "least")
     known = classes.join(counts, "node", "left").join(groups, "node", "left")
