@@ -232,3 +232,25 @@ def test_packing(spark):
     digest = packing.pack_documents(df, path).collect()
     assert Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in digest) == Counter((r["doc_id"], r["start"], zlib.crc32(r["ids"])) for r in rows)
     assert packing.pack(df.limit(0), path).count() == 0
+
+
+def test_packing_of_blanks_without_end(spark):
+    """A run of blanks that the fast encoder can't take, against the tokenizer itself."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.tokenizer_file()
+    texts = [" " * 2_000_000 + "x", "\n" * 1_200_000 + "y z", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    plain = tokenizers.Tokenizer.from_file(path)
+    got = defaultdict(int)
+    for r in packing.pack_documents(df, path).collect():
+        got[r["doc_id"]] += r["length"]
+    assert got == {i: len(plain.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
+def test_ranks_that_differ_from_merges_are_seen():
+    plain = {"model": {"type": "BPE", "vocab": {"a": 0, "b": 1, "c": 2, "ab": 3, "bc": 4, "abc": 5}, "merges": [["a", "b"], ["b", "c"], ["ab", "c"]]}, "pre_tokenizer": {"type": "ByteLevel", "use_regex": True}}
+    assert packing.follows_ids(plain)
+    model = plain["model"]
+    assert not packing.follows_ids(plain | {"model": model | {"merges": [["b", "c"], ["a", "b"], ["ab", "c"]]}})  # ids don't grow
+    assert not packing.follows_ids(plain | {"model": model | {"merges": [["a", "b"], ["b", "c"], ["a", "bc"]]}})  # "abc" alone ends as ab, c
+    assert not packing.follows_ids(plain | {"model": model | {"vocab": model["vocab"] | {"cc": 6}}}) and not packing.follows_ids(plain | {"normalizer": {"type": "NFC"}})

@@ -1,6 +1,8 @@
 """Joins and tiling against all pairs."""
 
 import random
+import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -194,8 +196,42 @@ def test_tiling_against_all_places():
         found = index.tiles(" ".join(text))
         want = plain_tiles(item, text, 4)
         got = found[0][2] if found else []
-        assert [t[2] for t in sorted(got, key=lambda t: -t[2])] == [t[2] for t in sorted(want, key=lambda t: -t[2])]
-        assert all(item[p : p + k] == text[q : q + k] for p, q, k in got)
+        assert got == want  # places of ties included
+
+
+def test_long_repeated_runs_are_tiled_fast():
+    """A text of one word against a long item of it: 10^8 pairs of places, which are never made."""
+    index = decontaminate.Index([(1, "buy " * 5000), (2, "buy now " * 2000)], 5)
+    began = time.perf_counter()
+    found = {i: (c, t) for i, c, t in index.tiles("buy " * 20_000)}
+    assert found == {1: (1.0, [(0, 0, 5000)])}
+    found = {i: (c, t) for i, c, t in index.tiles("buy " * 3000 + "or " + "now buy " * 3000)}
+    assert found[1] == (0.6, [(0, 0, 3000)]) and found[2] == (1.0, [(0, 3002, 4000)])
+    assert time.perf_counter() - began < 10
+
+
+def test_tiling_query(spark, small_dir):
+    """The registered query against tiling by plain Python for every document and item that share five words."""
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").collect()
+    items = [(r["item_id"], re.findall(r"\w+", r["text"].lower())) for r in spark.read.parquet(f"{small_dir}/benchmark.parquet").collect()]
+    seeds = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, w in items]
+    got = {r["doc_id"]: r for r in queries.op2_greedy_string_tiling(spark, small_dir).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        words = re.findall(r"\w+", (r["text"] or "").lower())
+        mine = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        cover = {}
+        for (item, w), s in zip(items, seeds, strict=True):
+            if mine & s:
+                near = [k for k in range(len(words)) if any(tuple(words[j : j + 5]) in s for j in range(max(0, k - 4), k + 1))]
+                part, last = [], None  # only words of seeds can lie in a tile; gaps become a word that no item has
+                for k in near:
+                    part += [words[k]] if last is None or k == last + 1 else [None, words[k]]
+                    last = k
+                cover[item] = sum(n for *_, n in plain_tiles(w, part, 5)) / len(w)
+        row = got[r["doc_id"]]
+        assert abs(row["coverage"] - max(cover.values(), default=0.0)) < 1e-12, r["doc_id"]
+        assert row["item_ids"] == sorted(i for i, c in cover.items() if c >= 0.5) and row["contaminated"] == bool(row["item_ids"])
 
 
 def test_short_items_are_found_whole(spark):
