@@ -44,18 +44,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cut(df: DataFrame, name: str, codec: str = "zstd", free: bool = True, rows: int | None = None, per_file: int = 250_000) -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str = "zstd", free: bool = True, rows: int | None = None, per_file: int = 250_000, for_core: int = 1) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
 
     free drops the shuffle files behind it at once; loops over small tables leave that to the cleaner.
     rows, where the caller knows how many there are at most, saves small files: tasks are joined until
-    each writes per_file of them, though never to fewer than two for each core.
+    each writes per_file of them, though never to fewer than for_core tasks for each core.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // per_file)))
+        df = df.coalesce(max(for_core * spark.sparkContext.defaultParallelism, -(-rows // per_file)))
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.cut_path = path
