@@ -162,9 +162,13 @@ def test_pigeonhole_query(spark, small_dir):
 
 def test_components_of_chains(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 90), (90, 95), (95, 100), (200, 200)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     want = closed({n for link in links if link[0] != link[1] for n in link}, links[:-1])
-    assert got == want
+    for at_once in (0, 1_000_000):
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long"), at_once=at_once).collect()}
+        assert got == want
+    words = [(f"n{a}", f"n{b}") for a, b in links]
+    small, large = (sorted(map(tuple, components(spark.createDataFrame(words, "u string, v string"), at_once=k).collect())) for k in (1000, 0))
+    assert small == large
 
 
 def plain_tiles(item, text, n):

@@ -234,7 +234,7 @@ def grouped(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     # the n-gram sets of classes that have a candidate, each made once
     wanted = blocks.select("node").join(classes.select("node", "id", "h", "copies", "sig"), "node")
     texts = keyed(df, id_col, text_col).join(wanted, ["id", "h"]).dropDuplicates(["node"])
-    sets = cut(sets_of(texts, set_), "sets", "snappy", rows=rows, per_file=50_000)
+    sets = cut(sets_of(texts, set_), "sets", "snappy", rows=rows, per_file=50_000, for_core=2)
     one = F.col("a") == F.col("b")
     sides = units.select("unit", one.alias("one"), F.explode(F.when(one, F.array(F.col("a"))).otherwise(F.array("a", "b"))).alias("at"), F.col("a"))
     sides = sides.select("unit", "one", F.col("at.lead").alias("lead"), F.col("at.chunk").alias("chunk"), (F.col("at") != F.col("a")).alias("side"))
@@ -259,7 +259,7 @@ def grouped(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
         some = np.flatnonzero(links)
         return pa.table({"node": node[some], "links": links[some].astype(np.int64), "root": root[some]})
 
-    linked = cut(loaded.groupBy("unit").applyInArrow(compare, "node bigint, links bigint, root bigint"), "links", "snappy", rows=sides.count(), per_file=500)
+    linked = cut(loaded.groupBy("unit").applyInArrow(compare, "node bigint, links bigint, root bigint"), "links", "snappy", rows=sides.count(), per_file=500, for_core=4)
     drop(members, blocks, units, sets)
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")), rows=linked.count()).join(classes.select("node", "id", "h"), "node")
