@@ -138,9 +138,24 @@ def test_pii_terms_of_rare_entities(spark):
 def test_pii_edges(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.digest(df).count() == 0
-    same = spark.createDataFrame([(1, "a@b.cd", 5)] * 3 + [(None, None, 6)], "doc_id long, text string, phone int")
-    out = pii.sanitise(same.select("doc_id", "text")).collect()
-    assert sorted(str(r["text"]) for r in out) == ["None"] + ["[EMAIL]"] * 3
+    rows = [(1, "a@b.cd", 5, "t", 1.5, "h")] * 3 + [(None, None, 6, None, None, None)]
+    same = spark.createDataFrame(rows, "doc_id long, text string, phone int, terms string, _email double, __hash string")
+    out = pii.sanitise(same).collect()
+    assert pii.sanitise(same).columns == same.columns
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, [(1, "[EMAIL]", 5, "t", 1.5, "h")] * 3 + [(None, None, 6, None, None, None)]))
+    found = pii.find(same)
+    assert found.columns[:4] == ["doc_id", "text", "terms", "_email"] and found.where("size(phone) = 0").count() == 4
+
+
+def test_pii_many_entities_in_one_text(spark):
+    """A thousand addresses of one text are one group; terms inside an address are no clue to that address alone."""
+    many = " ".join(f"u{k}@zorblat.org" for k in range(1000))
+    texts = [f"{many} zorblat quibble fnord"] + [f"common words {k}" for k in range(60)] + ["fnord common words"] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    row = pii.find(df, pii.Settings(generalise_at=0.5, least_texts=1)).where("doc_id = 0").first()
+    assert len(row["email"]) == 1000
+    terms = {texts[0][x["start"] : x["end"]] for k in pii.METHOD_KINDS for x in row[k]}
+    assert terms == {"quibble"}
 
 
 def test_shards_follow_the_law(spark):
@@ -159,6 +174,16 @@ def test_shards_follow_the_law(spark):
     assert sharding.shard_documents(df.limit(0)).count() == 0
 
 
+def test_shards_of_long_and_often_repeated_rows(spark):
+    """A row of more copies than one task makes, a long text, and columns of the names that the operator makes."""
+    row = spark.createDataFrame([(7, "abc", 1, 2)], "doc_id long, text string, shard int, slot int")
+    df = row.crossJoin(spark.range(25_003).drop("id")).unionByName(spark.createDataFrame([(8, "é" * 3_000_000, 0, 0)], row.schema))
+    got = sharding.shard_documents(df).collect()
+    mine = sorted(r["slot"] for r in got if r["doc_id"] == 7)
+    assert len(mine) == 25_003 and mine == list(range(mine[0], mine[0] + 25_003))
+    assert [r["size"] for r in got if r["doc_id"] == 8] == [6_000_001]
+
+
 def test_weights_confine_movement(spark):
     df = spark.range(4000).withColumnRenamed("id", "doc_id")
     tree = sharding.Tree.even(16)

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tracewright.operators.graph import components
 from tracewright.storage import cut, drop, drop_tables, release, shared_folder
 
-__all__ = ["WordHashes", "components", "cut", "drop", "drop_tables", "mix", "pieces", "release", "roots", "shared_folder", "shingles", "windows"]
+__all__ = ["WordHashes", "components", "cut", "drop", "drop_tables", "mix", "pieces", "release", "repeated", "roots", "shared_folder", "shingles", "windows"]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -21,6 +23,16 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 <<
             yield batch.slice(at, step)
 
 
+def repeated(df: DataFrame, n: Column, out: str, most: int = 10_000) -> DataFrame:
+    """Each row of df n times, numbered from 0 in the column out; a row of more than most copies is made by several tasks."""
+    names = [F.col(f"`{c}`") for c in df.columns]
+    few = df.where(n <= most).select(*names, F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias(out))
+    parts = df.where(n > most).select(*names, n.alias("__n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / most))).alias("__part"))
+    spread = parts.repartition(F.xxhash64("__part", *df.columns))
+    many = spread.select(*names, F.explode(F.sequence(F.col("__part") * most, F.least(F.col("__n"), (F.col("__part") + 1) * most) - 1)).alias(out))
+    return few.where(n > 0).unionByName(many)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = h ^ (h >> np.uint64(30))

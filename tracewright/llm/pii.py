@@ -117,58 +117,62 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
 
 
+def entities(kind: str) -> Column:
+    return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), F.lower(s["value"]).alias("value")))
+
+
 def disclosures(docs: DataFrame, found: DataFrame, settings: Settings) -> DataFrame:
-    """(kind, value, term, share) of every term that discloses an entity in the corpus docs.
+    """(hash, terms): for each text of found the terms in it that disclose one of its entities, with share and kind.
 
     docs has text; found has text, hash and ents (its distinct entities) of the documents that
     hold any. Frequencies count rows of docs; support counts different texts, and what a pair lacks of
-    least_texts is added to df(t).
+    least_texts is added to df(t). Entities that stand in exactly the same texts tell the same, and are
+    scored as one: a text of a thousand addresses of its own makes no more pairs than a text of one.
+    The kind is that of the entity that is disclosed most, and a term inside an entity itself (an
+    address, say) is no clue to that entity.
     """
     set_ = settings
-    known = found.select(F.explode("ents").alias("e")).groupBy("e").agg(F.count("*").alias("df_e"))
     texts = found.groupBy("hash").agg(F.first("text").alias("text"), F.first("ents").alias("ents"), F.count("*").alias("n"))
-    pairs = texts.select("hash", "n", "text", F.explode("ents").alias("e")).join(known, "e")
-    # a term inside the entity itself (an address, say) is no further clue
-    terms = pairs.select("e", "df_e", "n", F.explode(words(F.col("text"))).alias("term")).where((F.length("term") >= set_.least_length) & ~F.contains(F.lower(F.col("e.value")), F.col("term")))
-    pairs = terms.groupBy("e", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("df_et"), F.first("df_e").alias("df_e"))
+    postings = texts.select("hash", "n", F.explode("ents").alias("e"))
+    where = F.struct(F.count("*").alias("m"), F.bit_xor(F.xxhash64("hash")).alias("x"), F.bit_xor(F.xxhash64("hash", F.lit(1))).alias("y"))
+    known = postings.groupBy("e").agg(F.sum("n").alias("df_e"), where.alias("texts_of"))
+    groups = postings.join(known, "e").groupBy("hash", "texts_of").agg(F.first("n").alias("n"), F.first("df_e").alias("df_e"), F.collect_list("e").alias("es"))
+    groups = cut(groups, "entity-groups")
+    terms = groups.drop("es").join(texts.select("hash", "text"), "hash").withColumn("term", F.explode(words(F.col("text")))).where(F.length("term") >= set_.least_length)
+    pairs = terms.groupBy("texts_of", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("df_et"), F.first("df_e").alias("df_e"))
     seen = docs.select(F.explode(words(F.col("text"))).alias("term")).where(F.length("term") >= set_.least_length).groupBy("term").agg(F.count("*").alias("df_t"))
     total = docs.count()
-    scored = pairs.join(seen, "term")
     lacking = F.greatest(F.lit(set_.least_texts) - F.col("texts"), F.lit(0))
     pmi = F.log(F.lit(float(total)) * F.col("df_et") / (F.col("df_e") * (F.col("df_t") + lacking)))
     ic = F.log(F.lit(float(total)) / F.col("df_e"))
-    return scored.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= set_.generalise_at).select(F.col("e.kind").alias("kind"), F.col("e.value").alias("value"), "term", "share")
-
-
-def entities(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), F.lower(s["value"]).alias("value")))
+    told = pairs.join(seen, "term").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= set_.generalise_at).select("texts_of", "term", "share")
+    # only terms of the text itself, with those entities of the group that don't hold them
+    own = terms.select("hash", "texts_of", "term").join(told, ["texts_of", "term"]).groupBy("hash", "texts_of").agg(F.collect_list(F.struct("term", "share")).alias("ts"))
+    kind = lambda t: F.array_max(F.transform(F.filter("es", lambda e: ~F.contains(e["value"], t["term"])), lambda e: e["kind"]))
+    marked = own.join(groups.select("hash", "texts_of", "es"), ["hash", "texts_of"]).select("hash", F.explode(F.transform("ts", lambda t: F.struct(t["term"].alias("term"), t["share"].alias("share"), kind(t).alias("kind")))).alias("t"))
+    best = marked.where("t.kind is not null").groupBy("hash", F.col("t.term").alias("term")).agg(F.max(F.struct("t.share", "t.kind")).alias("top"))
+    return best.groupBy("hash").agg(F.collect_list(F.struct("term", F.col("top.share").alias("share"), F.col("top.kind").alias("kind"))).alias("terms"))
 
 
-def find(df: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
-    """df with one array of spans (start, end, value) for each of the kinds and for generalise and remove.
+def _found(df: DataFrame, settings: Settings, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """The rows of df with spans of all kinds, and under what name each column of df goes meanwhile.
 
-    Columns of those names in df are replaced, all others stay. Null and empty texts have no spans.
-    Rows that are equal have equal spans. An empty table gives an empty result.
+    The patterns run once over all texts; only rows with an entity are joined with terms.
     """
     set_ = settings
-    own = [c for c in df.columns if c.lower() not in (*KINDS, *METHOD_KINDS)]
-    base = df.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
-    spanned = base_spans(base, "__text")
-    hash_ = F.struct(F.xxhash64("__text").alias("h"), F.crc32("__text").alias("c"))
+    names = {c: f"__{k}" for k, c in enumerate(df.columns)}
+    text = F.coalesce(F.col(names[text_col]).cast("string"), F.lit(""))
+    renamed = df.toDF(*names.values())
+    whole = cut(base_spans(renamed, names[text_col]), "spans")
+    hash_ = F.struct(F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"))
     any_ = F.size(KINDS[0]) + sum((F.size(k) for k in KINDS[1:]), F.lit(0)) > 0
     ents = F.array_distinct(F.flatten(F.array(*[entities(k) for k in KINDS])))
-    found = cut(spanned.where(any_).select(F.col("__text").alias("text"), hash_.alias("hash"), ents.alias("ents"), *KINDS), "entities")
-    told = disclosures(base.select(F.col("__text").alias("text")), found.select("text", "hash", "ents"), set_)
-    terms = found.select("hash", F.explode("ents").alias("e")).distinct().join(told, (F.col("e.kind") == told["kind"]) & (F.col("e.value") == told["value"]))
-    # only terms of the document itself; the kind of the entity that is disclosed most names the term
-    own_terms = found.select("hash", F.explode(words(F.col("text"))).alias("term")).distinct()
-    terms = terms.groupBy("hash", "term").agg(F.max(F.struct("share", "kind")).alias("top")).join(own_terms, ["hash", "term"], "left_semi")
-    terms = terms.groupBy("hash").agg(F.collect_list(F.struct("term", F.col("top.share").alias("share"), F.col("top.kind").alias("kind"))).alias("terms"))
-    flagged = cut(terms, "terms")
-
-    out = spanned.withColumn("__hash", hash_).join(flagged.withColumnRenamed("hash", "__hash"), "__hash", "left")
-    names = F.transform("terms", lambda t: t["term"])
-    pattern = F.when(F.col("terms").isNotNull(), F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit("(?!)"))
+    held = whole.where(any_).withColumns({"__text": text, "__hash": hash_})
+    found = cut(held.select(F.col("__text").alias("text"), F.col("__hash").alias("hash"), ents.alias("ents")), "entities")
+    flagged = cut(disclosures(whole.select(text.alias("text")), found, set_).withColumnRenamed("hash", "__hash"), "terms")
+
+    out = held.join(flagged, "__hash", "left")
+    pattern = F.when(F.col("terms").isNotNull(), F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit("(?!)"))
     out = out.withColumn("__pattern", pattern).withColumn("__found", F.when(F.col("terms").isNotNull(), F.regexp_extract_all(F.col("__text"), F.col("__pattern"), F.lit(0))).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("__spans", located(F.col("__text"), F.col("__pattern"), F.col("__found")))
     told_of = F.map_from_entries(F.transform("terms", lambda t: F.struct(t["term"], F.struct(t["share"].alias("share"), t["kind"].alias("kind")))))
@@ -178,7 +182,21 @@ def find(df: DataFrame, settings: Settings = Settings(), text_col: str = "text")
     bare = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
     out = out.withColumn("remove", F.transform(F.filter("__told", lambda s: s["share"] >= set_.remove_at), bare))
     out = out.withColumn("generalise", F.transform(F.filter("__told", lambda s: s["share"] < set_.remove_at), bare))
-    return out.select(*[F.col(f"`{c}`") for c in own], *KINDS, *METHOD_KINDS)
+    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    rest = whole.where(~any_).withColumns({k: none for k in METHOD_KINDS})
+    columns = [*names.values(), *KINDS, *METHOD_KINDS]
+    return out.select(*columns).unionByName(rest.select(*columns)), names
+
+
+def find(df: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
+    """df with one array of spans (start, end, value) for each of the kinds and for generalise and remove.
+
+    Columns of those names in df are replaced, all others stay. Null and empty texts have no spans.
+    Rows that are equal have equal spans. An empty table gives an empty result.
+    """
+    found, names = _found(df, settings, text_col)
+    own = [F.col(n).alias(c) for c, n in names.items() if c.lower() not in (*KINDS, *METHOD_KINDS)]
+    return found.select(*own, *KINDS, *METHOD_KINDS)
 
 
 def places(kind: str) -> Column:
@@ -220,10 +238,13 @@ def redacted(text: Column) -> Column:
 
 
 def sanitise(df: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
-    """df with every text sanitised; a null text stays null, and a text without spans is unchanged."""
-    found = find(df, settings, text_col)
+    """df with every text sanitised, all other columns as they are, whatever they are called.
+
+    A null text stays null, and a text without spans is unchanged.
+    """
+    found, names = _found(df, settings, text_col)
     any_ = sum((F.size(k) for k in (*KINDS, *METHOD_KINDS)), F.lit(0)) > 0
-    return found.select(*[F.when(any_, redacted(F.col(f"`{c}`"))).otherwise(F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c in found.columns])
+    return found.select(*[(F.when(any_, redacted(F.col(n))).otherwise(F.col(n)) if c == text_col else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def digest(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:

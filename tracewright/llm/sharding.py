@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut
+from tracewright.llm.common import cut, repeated
 
 BUCKETS = 1024
 
@@ -102,7 +102,8 @@ def number(df: DataFrame, shard: str, by: list[str], out: str = "slot") -> DataF
     inner = Window.partitionBy(shard, "_bucket").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = F.col("_from") + F.sum("_n").over(inner) - F.col("_n")
     placed = rows.join(F.broadcast(starts), [shard, "_bucket"]).withColumn("_first", first)
-    return placed.select(*df.columns, F.explode(F.sequence("_first", F.col("_first") + F.col("_n") - 1)).alias(out))
+    made = repeated(placed.select(*df.columns, "_first", "_n"), F.col("_n"), "_copy")
+    return made.select(*df.columns, (F.col("_first") + F.col("_copy")).alias(out))
 
 
 def shard_documents(documents: DataFrame, shards: int = 16) -> DataFrame:
