@@ -33,6 +33,97 @@ def test_chain_learns_out_of_fold(spark):
     assert len(chain.models[1].dense) == 1  # the second model sees the first category
 
 
+def plain_chain(rows, labels, s):
+    """The chain over (id, text) and {id: (quality, toxic)} with dictionaries and loops; {id: (p_low_quality, p_toxic)}."""
+    import re
+
+    import xxhash
+
+    def features(text):
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        return {xxhash.xxh32_intdigest(w, 1) for w in words} | {xxhash.xxh32_intdigest(w[:k], 2 + k) for w in words for k in s.prefixes if len(w) >= k}
+
+    sets = {i: features(t) for i, t in rows}
+    first = {}
+    for i in sorted(i for i in sets if i in labels):
+        first.setdefault((frozenset(sets[i]), labels[i]), i)  # equal texts count once
+    train = sorted(first.values())
+    y = {c: {i: int(labels[i][c] == (0, 1)[c]) for i in train if labels[i][c] is not None} for c in (0, 1)}
+    chosen = set()
+    for c in (0, 1):
+        share = sum(y[c].values()) / len(y[c])
+        score = {}
+        for f in {f for i in y[c] for f in sets[i]}:
+            total, yes = sum(f in sets[i] for i in y[c]), sum(y[c][i] for i in y[c] if f in sets[i])
+            if total >= s.least_texts:
+                part = lambda a, b: a * math.log(a / b) if a else 0.0
+                score[f] = 2 * (part(yes, total * share) + part(total - yes, total * (1 - share)))
+        chosen |= {f for f in sorted(score, key=lambda f: (-score[f], f))[: s.features] if score[f] >= s.least_ratio}
+    names = sorted(chosen)
+    fold = dict(zip(train, (np.random.default_rng(s.seed).permutation(len(train)) % s.folds).tolist(), strict=True))
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+
+    def predict(w, i, before):
+        z = w["bias"] + sum(w[f] for f in sets[i] if f in chosen) + sum(w["p", k] * logit(p) for k, p in enumerate(before))
+        return 1 / (1 + math.exp(-min(max(z, -30), 30)))
+
+    def fit(ids, target, before):
+        keys = [*names, *[("p", k) for k in range(len(before))], "bias"]
+        rate = (sum(target[i] for i in ids) + 0.5) / (len(ids) + 1)
+        w = dict.fromkeys(keys, 0.0) | {"bias": math.log(rate / (1 - rate))}
+        m, v = dict.fromkeys(keys, 0.0), dict.fromkeys(keys, 0.0)
+        for t in range(1, s.rounds + 1):
+            g = {k: s.decay * w[k] for k in keys} | {"bias": 0.0}
+            for i in ids:
+                gap = (predict(w, i, [b[i] for b in before]) - target[i]) / len(ids)
+                for f in sets[i] & chosen:
+                    g[f] += gap
+                for k, b in enumerate(before):
+                    g["p", k] += gap * logit(b[i])
+                g["bias"] += gap
+            for k in keys:
+                m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * v[k] + 0.01 * g[k] ** 2
+                w[k] -= 0.1 / (1 + t / 100) * (m[k] / (1 - 0.9**t)) / (math.sqrt(v[k] / (1 - 0.99**t)) + 1e-9)
+        return w
+
+    models, apart = [], []
+    for c in (0, 1):
+        held = {}
+        for f in range(s.folds):
+            w = fit([i for i in train if fold[i] != f and i in y[c]], y[c], apart)
+            held |= {i: predict(w, i, [b[i] for b in apart]) for i in train if fold[i] == f}
+        models.append(fit([i for i in train if i in y[c]], y[c], apart))
+        apart.append(held)
+    out = {}
+    for i in sets:
+        p = predict(models[0], i, [])
+        out[i] = (p, predict(models[1], i, [p]))
+    return out
+
+
+def test_chain_against_plain_python(spark):
+    """Every probability, against the same chain by loops; one label lacks its quality, another its toxicity."""
+    rnd = random.Random(8)
+    rows = [(k, " ".join(rnd.choice(["calm", "kind", "warm", "odd", "junkword", "vilest", "green", f"own{k}x"]) for _ in range(rnd.randrange(3, 12)))) for k in range(90)]
+    rows += [(90, ""), (91, None), (92, "Vilest JUNKWORD")]
+    text = dict(rows)
+    labels = {k: (int("junkword" not in text[k] and "vilest" not in text[k]), int("vilest" in text[k])) for k in range(70)} | {3: (None, 1), 4: (1, None)}
+    s = toxicity.Settings(least_ratio=2.0, rounds=40, folds=3)
+    chain = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(i, q, t) for i, (q, t) in labels.items()], "doc_id long, quality int, toxic int"), s)
+    got = {r["doc_id"]: (r["p_low_quality"], r["p_toxic"]) for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), chain).collect()}
+    want = plain_chain(rows, labels, s)
+    assert all(np.allclose(got[i], want[i], rtol=1e-6, atol=1e-9) for i in want), [(i, got[i], want[i]) for i in want if not np.allclose(got[i], want[i], rtol=1e-6)][:3]
+
+
+def test_repeated_ids_of_labels_stay_bounded(spark):
+    """A labelled id that repeats is one row of the sample, that of least hash."""
+    rows = [(1, f"word{k}") for k in range(500)] + [(2, "other")]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (toxicity.learn(d, labels, toxicity.Settings(least_texts=1, least_ratio=0.1)) for d in (df, df.orderBy("text").repartition(3)))
+    assert a.known == b.known and len(a.known) <= 2 * 3
+
+
 def test_chain_without_labels(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -51,6 +142,32 @@ def test_toxicity_held_out(spark):
     assert hit >= 0.85 * sum(r["truth"] == 1 for r in got) and hit >= 0.95 * sum(r["toxic"] for r in got)
 
 
+def plain_buckets(text, buckets):
+    """The buckets of 1- and 2-grams, by integers of Python."""
+    import xxhash
+
+    def scramble(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 % 2**64
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB % 2**64
+        return h ^ h >> 31
+
+    h = [xxhash.xxh64_intdigest(w) for w in (text or "").lower().split()]
+    return [scramble((a + 1) % 2**64) % buckets for a in h] + [scramble((a * 0x9E3779B97F4A7C15 + b + 2) % 2**64) % buckets for a, b in zip(h, h[1:], strict=False)]
+
+
+def test_importance_of_long_texts_and_ties(spark):
+    """One very long text stretches the range of draws; rows that repeat share a draw at the edge, and some of them are kept."""
+    rows = [(k, f"a{k % 7} b") for k in range(400)] + [(1000, "junk " * 200_000)] + [(5000, "good tie")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, int(k % 7 < 3), 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    for keep in (0.1, 0.3, 0.6, 0.9):
+        got = importance.select(df, labels, importance.Settings(buckets=97, keep=keep, edge_rows=10, cells=8)).collect()
+        assert len(got) == len(rows) and sum(r["kept"] for r in got) == math.ceil(keep * len(rows))
+        assert min(r["draw"] for r in got if r["kept"]) >= max(r["draw"] for r in got if not r["kept"])
+
+
 def test_importance_against_plain_python(spark):
     rnd = random.Random(2)
     rows = [(k, " ".join(rnd.choice(["good", "fine", "well", "junk", "spam", "the"]) for _ in range(rnd.randrange(0, 30))), 1) for k in range(300)]
@@ -58,16 +175,15 @@ def test_importance_against_plain_python(spark):
     good = [k for k in range(0, 300, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
     labels = spark.createDataFrame([(k, 1, 0) for k in good] + [(7, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    s = importance.Settings(buckets=97, keep=0.4, cells=16)
+    s = importance.Settings(buckets=97, keep=0.4, cells=16, edge_rows=5)
     got = importance.select(df, labels, s).collect()
-    hashes = importance.WordHashes()
     target, raw = np.ones(97), np.ones(97)
     for i, t, _ in rows:
-        c = np.bincount(importance.buckets_of(t, hashes, s), minlength=97)
-        raw += c
-        target += c * (i in set(good))
+        for g in plain_buckets(t, 97):
+            raw[g] += 1
+            target[g] += i in set(good)
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    want = sorted((str(i), round(float(ratio[importance.buckets_of(t, hashes, s)].sum()), 9)) for i, t, _ in rows)
+    want = sorted((str(i), round(sum(ratio[g] for g in plain_buckets(t, 97)), 9)) for i, t, _ in rows)
     assert sorted((str(r["doc_id"]), round(r["log_weight"], 9)) for r in got) == want
     k = math.ceil(0.4 * len(rows))
     kept, rest = [r["draw"] for r in got if r["kept"]], [r["draw"] for r in got if not r["kept"]]

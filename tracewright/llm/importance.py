@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import WordHashes, cut, pieces, windows
+from tracewright.llm.common import WordHashes, cut, pieces, repeated, windows
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,8 @@ class Settings:
     smoothing: float = 1.0
     seed: int = 5
     cells: int = 4096
+    #: So many rows at most are ranked in one task, but for rows of different ids whose draws are equal.
+    edge_rows: int = 20_000
     #: The target model is fitted on so many labelled texts at most, those of least hash; the other covers all texts.
     target_rows: int = 20_000
 
@@ -91,19 +93,25 @@ def select(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id
     if share is None:
         share = labels.where("doc_id is not null").agg(F.avg((F.col("quality") == 1).cast("int"))).first()[0]
     k = math.ceil((1.0 if share is None else share) * n)
-    if n == 0 or k >= n or low == high:
-        cell = F.lit(0)
-        above, edge, rest = -1, 0, k
-    else:  # the cell that the k-th draw falls in; only its rows are ranked
-        cell = F.least(F.floor((F.col("draw") - low) / ((high - low) / set_.cells)), F.lit(set_.cells - 1)).cast("int")
-        sizes = {r["c"]: r["n"] for r in weighted.groupBy(cell.alias("c")).agg(F.count("*").alias("n")).collect()}
-        rest = k
-        for edge in range(set_.cells - 1, -1, -1):
-            if rest <= sizes.get(edge, 0):
+    if k >= n:
+        return weighted.select(F.col("id").alias(id_col), "log_weight", "draw", F.lit(True).alias("kept"))
+    # narrow the range of draws that holds the k-th, by cells, until few different rows are left in it
+    rest, inside = k, n
+    while inside > set_.edge_rows and low < high:
+        width = (high - low) / set_.cells
+        cell = F.least(F.floor((F.col("draw") - low) / width), F.lit(set_.cells - 1)).cast("int")
+        cells = weighted.where(F.col("draw").between(low, high)).groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("draw").alias("low"), F.max("draw").alias("high"))
+        for c in sorted(cells.collect(), key=lambda c: -c["c"]):  # at most set_.cells rows
+            if rest <= c["n"]:
                 break
-            rest -= sizes.get(edge, 0)
-        above = edge
-    ranked = weighted.withColumn("cell", cell)
-    inside = ranked.where(F.col("cell") == edge).withColumn("kept", F.row_number().over(Window.partitionBy("cell").orderBy(F.col("draw").desc(), "id")) <= rest)
-    outside = ranked.where(F.col("cell") != edge).withColumn("kept", F.col("cell") > above)
-    return inside.unionByName(outside).select(F.col("id").alias(id_col), "log_weight", "draw", "kept")
+            rest -= c["n"]
+        if (c["low"], c["high"]) == (low, high):
+            break
+        low, high, inside = c["low"], c["high"], c["n"]
+    edge = F.col("draw").between(low, high)
+    # rows that repeat are ranked as one and dealt out again
+    once = weighted.where(edge).groupBy("id", "log_weight", "draw").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.col("draw").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = repeated(once.withColumn("room", rest - before), F.col("n"), "copy").select("id", "log_weight", "draw", (F.col("copy") < F.col("room")).alias("kept"))
+    outside = weighted.where(~edge).withColumn("kept", F.col("draw") > high)
+    return dealt.unionByName(outside).select(F.col("id").alias(id_col), "log_weight", "draw", "kept")

@@ -121,7 +121,7 @@ class Chain:
 
 
 def train(sets: list[np.ndarray], labels: np.ndarray, set_: Settings) -> Chain:
-    """The chain of labelled feature sets; labels has a column for each category."""
+    """The chain of labelled feature sets; labels has a column for each category, with -1 where it isn't known."""
     seen: dict[bytes, int] = {}
     for k, s in enumerate(sets):
         seen.setdefault(s.tobytes() + labels[k].tobytes(), k)  # equal texts count once
@@ -131,11 +131,11 @@ def train(sets: list[np.ndarray], labels: np.ndarray, set_: Settings) -> Chain:
     names, inverse = np.unique(flat, return_inverse=True)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     chosen = np.zeros(len(names), dtype=bool)
-    total = np.bincount(inverse, minlength=len(names)).astype(float)
     for c in range(labels.shape[1]):
-        y = labels[:, c]
-        yes = np.bincount(inverse, weights=y[row].astype(float), minlength=len(names)) if len(names) else total
-        share = y.mean() if len(y) else 0.0
+        y, given = np.maximum(labels[:, c], 0), labels[:, c] >= 0
+        total = np.bincount(inverse, weights=given[row].astype(float), minlength=len(names))
+        yes = np.bincount(inverse, weights=y[row].astype(float), minlength=len(names))
+        share = y[given].mean() if given.any() else 0.0
         with np.errstate(divide="ignore", invalid="ignore"):  # log-likelihood ratio of word and category
             g = 2 * (np.nan_to_num(yes * np.log(yes / (total * share))) + np.nan_to_num((total - yes) * np.log((total - yes) / (total * (1 - share)))))
         g[total < set_.least_texts] = 0
@@ -154,30 +154,34 @@ def train(sets: list[np.ndarray], labels: np.ndarray, set_: Settings) -> Chain:
 
     apart, models = np.zeros((len(sets), 0)), []
     for c in range(labels.shape[1]):
-        y, dense = labels[:, c].astype(float), logit(apart)
+        y, dense, given = labels[:, c].astype(float), logit(apart), labels[:, c] >= 0
         held = np.zeros(len(sets))
         for f in range(set_.folds):
-            inside, outside = part(fold != f), part(fold == f)
-            model = fit(*inside, dense[fold != f], y[fold != f], len(known), set_)
-            held[fold == f] = model.score(*outside, dense[fold == f])
-        models.append(fit(indptr, indices, dense, y, len(known), set_))
+            use = given & (fold != f)
+            model = fit(*part(use), dense[use], y[use], len(known), set_)
+            held[fold == f] = model.score(*part(fold == f), dense[fold == f])
+        models.append(fit(*part(given), dense[given], y[given], len(known), set_))
         apart = np.column_stack([apart, held])
-    threshold = 0.5
-    if len(sets) and 0 < labels[:, -1].sum() < len(sets):
-        order = np.argsort(-apart[:, -1], kind="stable")
+    threshold, given = 0.5, labels[:, -1] >= 0
+    if 0 < (labels[:, -1] == 1).sum() < given.sum():
+        order = np.flatnonzero(given)[np.argsort(-apart[given, -1], kind="stable")]
         hits, p = np.cumsum(labels[order, -1]), apart[order, -1]
-        f1 = 2 * hits / (np.arange(1, len(p) + 1) + labels[:, -1].sum())
+        f1 = 2 * hits / (np.arange(1, len(p) + 1) + hits[-1])
         at = int(np.argmax(f1))
         threshold = float(np.clip((p[at] + (p[at + 1] if at + 1 < len(p) else 0.0)) / 2, 0.1, 0.9))
     return Chain([n for n, *_ in set_.categories], known, models, threshold, set_.prefixes)
 
 
 def learn(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fit the chain. Labels with a null id or value are left out; of several rows of an id the largest values count."""
+    """Fit the chain on at most train_rows labelled texts.
+
+    Labels with a null id are left out, a null value counts for no category of its column; of several
+    rows of an id the largest values count, and of several texts that of least hash.
+    """
     set_ = settings
-    values = [F.max((F.col(c) == v).cast("int")).alias(f"y{k}") for k, (_, c, v) in enumerate(set_.categories)]
+    values = [F.coalesce(F.max((F.col(c) == v).cast("int")), F.lit(-1)).alias(f"y{k}") for k, (_, c, v) in enumerate(set_.categories)]
     given = [f"y{k}" for k in range(len(values))]
-    whole = labels.where(" and ".join(f"`{c}` is not null" for c in (id_col, *dict.fromkeys(c for _, c, _ in set_.categories))))
+    whole = labels.where(F.col(id_col).isNotNull() & F.coalesce(*[F.col(c) for _, c, _ in set_.categories]).isNotNull())
     sample = whole.groupBy(F.col(id_col).cast("bigint").alias("id")).agg(*values).orderBy(F.xxhash64("id"), "id").limit(set_.train_rows)
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(F.broadcast(sample), "id")  # train_rows short rows at most
@@ -186,10 +190,12 @@ def learn(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
         features = Features(set_.prefixes)
         for batch in pieces(batches):
             sets = [features.of(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(batch.column, given), pa.array(sets, pa.binary())], names=["id", *given, "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), *map(batch.column, given), pa.array(sets, pa.binary())], names=["id", "h", *given, "features"])
 
-    schema = "id bigint, " + ", ".join(f"{g} int" for g in given) + ", features binary"
-    rows = texts.select("id", "text", *given).mapInArrow(run, schema).toArrow().sort_by("id").slice(0, set_.train_rows)
+    schema = "id bigint, h bigint, " + ", ".join(f"{g} int" for g in given) + ", features binary"
+    made = texts.select("id", F.xxhash64("text").alias("h"), "text", *given).mapInArrow(run, schema)
+    one = made.groupBy("id").agg(F.min(F.struct("h", *given, "features")).alias("one"))  # a row for each id of the sample
+    rows = one.select("id", "one.*").toArrow().sort_by("id")
     sets = [np.frombuffer(b.as_py(), dtype=np.uint32) for b in rows.column("features")]
     y = np.column_stack([rows.column(g).to_numpy() for g in given]).astype(np.int64)
     return train(sets, y, set_)
@@ -199,7 +205,8 @@ def score(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """df with p_<category> for each category and toxic, the decision of the last one.
 
     Columns of these names in df are replaced, all others stay. A null or empty text has the
-    probabilities of a text without known words and is never toxic. No shuffle.
+    probabilities of a text without known words and is never toxic; a probability equal to the threshold
+    is toxic. Repeated rows are scored alike, an empty table gives none. No shuffle.
     """
     added = [*(f"p_{n}" for n in chain.names), "toxic"]
     base = df.drop(*added)
