@@ -15,8 +15,6 @@ No table of words or n-grams ever reaches the driver or all executors.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +29,7 @@ from tracewright.llm.ngram_trie import Trie, quantise, restore
 
 END = b"\n"  # holds white space, so no word equals it
 UNKNOWN = np.uint64(2**64 - 1)
+MARK = np.uint64(0xFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -100,7 +99,7 @@ def encode(df: DataFrame, set_: Settings, id_col: str, text_col: str) -> DataFra
             rank[order] = np.arange(len(order), dtype=np.uint32)
             trained = np.bincount(flat[np.repeat(~held, lengths)], minlength=len(words))[order]
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))[order]
-            row = [(part << 32) | seq, len(flat), len(words), docs, held.tobytes(), planes(lengths, "<u4"), planes(rank[flat], "<u4"), hashes.tobytes(), planes(hashes & np.uint64(0xFFFF), "<u2"), planes(trained, "<u4")]
+            row = [(part << 32) | seq, len(flat), len(words), docs, held.tobytes(), planes(lengths, "<u4"), planes(rank[flat], "<u4"), hashes.tobytes(), planes(hashes & MARK, "<u4"), planes(trained, "<u4")]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         words, tokens, docs, size = Words(), [], [], 0
@@ -121,7 +120,7 @@ def encode(df: DataFrame, set_: Settings, id_col: str, text_col: str) -> DataFra
 
 
 def word_shards(marks: np.ndarray, shards: int) -> np.ndarray:
-    """By the lowest 16 bits of the hashes, so that a batch can place its answers without the rest of them."""
+    """By the lowest 24 bits of the hashes, so that a batch can place its answers without the rest of them."""
     return marks.astype(np.int64) % shards
 
 
@@ -133,7 +132,7 @@ def count_words(coded: DataFrame, shards: int) -> DataFrame:
             out = [[], [], [], []]
             for b, words, counts in zip(*(batch.column(c).to_pylist() for c in ("batch", "words", "counts")), strict=True):
                 h, c = np.frombuffer(words, dtype=np.uint64), unplanes(counts, "<u4")
-                order, ends = dealt(word_shards(h & np.uint64(0xFFFF), shards), shards)
+                order, ends = dealt(word_shards(h & MARK, shards), shards)
                 for k in np.flatnonzero(np.diff(ends)):
                     at = order[ends[k] : ends[k + 1]]
                     for col, value in zip(out, (b, int(k), h[at].tobytes(), planes(c[at], "<u4")), strict=True):
@@ -175,7 +174,7 @@ def ask_bigrams(coded: DataFrame, answers: DataFrame, shards: int, words_in: int
         out: list[dict] = []
         answer = {s: (unplanes(i, "<u8"), unplanes(c, "<u8")) for s, i, c in zip(*(right.column(k).to_pylist() for k in ("shard", "ids", "counts")), strict=True)}
         for row in left.to_pylist():
-            shard = word_shards(unplanes(row["marks"], "<u2"), words_in)
+            shard = word_shards(unplanes(row["marks"], "<u4"), words_in)
             ids, counts = np.full(len(shard), UNKNOWN), np.zeros(len(shard), dtype=np.uint64)
             for s, (i, c) in answer.items():
                 mine = shard == s
@@ -266,25 +265,19 @@ def answer_bigrams(requests: DataFrame, set_: Settings) -> DataFrame:
         if asked:
             seen = [r[6] > 0 for r in asked]
             parts = [np.concatenate([r[k][m] for r, m in zip(asked, seen, strict=True)]) for k in (2, 3, 4, 6)]
-            handle, path = tempfile.mkstemp(suffix=".trie")
-            os.close(handle)
-            try:
-                build_trie(*parts, set_.prior).save(path)
-                trie = Trie.open(path)
-                for batch, n_docs, first, total, second, code, _, uses, texts in asked:
-                    code, uses = unplanes(code, "<u2"), unplanes(uses, "<u4")
-                    node = trie.lookup(first, second)
-                    f = np.zeros(len(node))
-                    hit = np.flatnonzero(node >= 0)
-                    f[hit] = restore(trie.levels[1].codes[node[hit]])
-                    p = f + set_.prior / (total.astype(np.float64) + set_.prior) * restore(code)
-                    doc = unplanes(texts, "<u2" if n_docs <= 65536 else "<u4")
-                    sums = np.bincount(doc, weights=np.repeat(np.log10(p), uses), minlength=n_docs)
-                    some = np.flatnonzero(sums)
-                    out.append(blank | {"batch": batch, "kind": 0, "at": planes(some, "<u4"), "sums": sums[some].tobytes()})
-                del trie
-            finally:
-                os.unlink(path)
+            trie = build_trie(*parts, set_.prior).mapped()
+            del parts, seen
+            for batch, n_docs, first, total, second, code, _, uses, texts in asked:
+                code, uses = unplanes(code, "<u2"), unplanes(uses, "<u4")
+                node = trie.lookup(first, second)
+                f = np.zeros(len(node))
+                hit = np.flatnonzero(node >= 0)
+                f[hit] = restore(trie.levels[1].codes[node[hit]])
+                p = f + set_.prior / (total.astype(np.float64) + set_.prior) * restore(code)
+                doc = unplanes(texts, "<u2" if n_docs <= 65536 else "<u4")
+                sums = np.bincount(doc, weights=np.repeat(np.log10(p), uses), minlength=n_docs)
+                some = np.flatnonzero(sums)
+                out.append(blank | {"batch": batch, "kind": 0, "at": planes(some, "<u4"), "sums": sums[some].tobytes()})
         return pa.Table.from_pylist(out, schema=schema)
 
     return requests.groupBy("shard").applyInArrow(run, PARTIAL)
@@ -317,7 +310,7 @@ def score(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     set_ = settings
     coded = cut(encode(df, set_, id_col, text_col), "batches", "none")  # its columns are compressed already
     words, tokens = (x or 0 for x in coded.agg(F.sum("n_words"), F.sum("n_tokens")).first())
-    word_parts, parts = min(65536, max(1, -(-words // set_.shard_words))), max(1, -(-tokens // set_.shard_tokens))
+    word_parts, parts = min(int(MARK) + 1, max(1, -(-words // set_.shard_words))), max(1, -(-tokens // set_.shard_tokens))
     answers = cut(count_words(coded, word_parts), "words", "none")
     n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
     requests = ask_bigrams(coded, answers, parts, word_parts, n, v, set_)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import mmap
 
 import numpy as np
 
@@ -167,29 +168,50 @@ class Trie:
     def arrays(self) -> list[tuple[dict, list[np.ndarray]]]:
         return [({"n": ef.n, "width": ef.width}, [ef.low, ef.high, ef.ones]) for lv in self.levels for ef in (lv.starts, lv.ids)] + [({}, [lv.codes]) for lv in self.levels]
 
-    def save(self, path: str) -> None:
-        """All arrays in one file, each at a multiple of 64 bytes, after a directory of them."""
-        head, at = [], 0
-        for info, parts in self.arrays():
+    def layout(self) -> tuple[bytes, list[tuple[int, np.ndarray]], int]:
+        """The directory of the arrays, their places (multiples of 64 bytes) and the length of all."""
+        head, at, parts = [], 0, []
+        for info, arrays in self.arrays():
             places = []
-            for a in parts:
+            for a in arrays:
                 places.append((at, len(a), a.dtype.str))
+                parts.append((at, a))
                 at += -(-a.nbytes // 64) * 64
             head.append((info, places))
         top = json.dumps(head).encode()
         offset = -(-(len(top) + 16) // 64) * 64
+        return len(top).to_bytes(8, "little") + offset.to_bytes(8, "little") + top, [(offset + place, a) for place, a in parts], offset + at
+
+    def write(self, out, whole: tuple) -> None:
+        top, parts, _ = whole
+        out.seek(0)
+        out.write(top)
+        for place, a in parts:
+            out.seek(place)
+            out.write(a.tobytes())
+
+    def save(self, path: str) -> None:
+        """All arrays in one file, after a directory of them."""
+        whole = self.layout()
         with open(path, "wb") as f:
-            f.write(len(top).to_bytes(8, "little") + offset.to_bytes(8, "little") + top)
-            for (_, parts), (_, places) in zip(self.arrays(), head, strict=True):
-                for a, (place, _, _) in zip(parts, places, strict=True):
-                    f.seek(offset + place)
-                    f.write(a.tobytes())
-            f.truncate(offset + at)
+            self.write(f, whole)
+            f.truncate(whole[2])
+
+    def mapped(self) -> Trie:
+        """The same trie over a memory map of its own, without a file."""
+        whole = self.layout()
+        out = mmap.mmap(-1, max(1, whole[2]))
+        self.write(out, whole)
+        return Trie.over(np.frombuffer(out, dtype=np.uint8))
 
     @staticmethod
     def open(path: str) -> Trie:
         """The trie over a memory map of the file."""
-        data = np.memmap(path, dtype=np.uint8, mode="r")
+        return Trie.over(np.memmap(path, dtype=np.uint8, mode="r"))
+
+    @staticmethod
+    def over(data: np.ndarray) -> Trie:
+        """The trie in the bytes that write() has laid out."""
         size, offset = (int.from_bytes(data[k : k + 8].tobytes(), "little") for k in (0, 8))
         head = json.loads(data[16 : 16 + size].tobytes())
 
