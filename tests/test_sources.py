@@ -10,13 +10,20 @@ from xml.etree import ElementTree
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.plans import derived, source_queries
-from tracewright.plans.source_queries import LED, reconstruct
-from tracewright.sinks import reports
+from tracewright.plans import source_queries
+from tracewright.plans.source_queries import reconstruct
+from tracewright.sinks import kicad, reports
 from tracewright.sources import archives, excellon, formats, gerber, tables
 from tracewright.sources.common import ParseError, UnsupportedFeatureError
 from tracewright.streaming import event_log
 
+# A small LED board of six pads, four tracks, six drills and an outline.
+LED = (
+    ("copper.gtl", "%FSLAX24Y24*%\n%MOMM*%\n%ADD10C,1.800*%\n%ADD11C,0.500*%\nD10*\nX080000Y150000D03*\nX080000Y175400D03*\nX250000Y150000D03*\nX280000Y150000D03*\nX420000Y150000D03*\nX445400Y150000D03*\nD11*\nX080000Y150000D02*\nX250000Y150000D01*\nX280000Y150000D02*\nX420000Y150000D01*\nX445400Y150000D02*\nX445400Y175400D01*\nX445400Y175400D02*\nX080000Y175400D01*\nM02*\n"),
+    ("outline.gbr", "%FSLAX24Y24*%\n%MOMM*%\n%ADD10C,0.100*%\nD10*\nX050000Y050000D02*\nX550000Y050000D01*\nX550000Y350000D01*\nX050000Y350000D01*\nX050000Y050000D01*\nM02*\n"),
+    ("drill.drl", "M48\nMETRIC,LZ\nT01C0.800\n%\nT01\nX8.0Y15.0\nX8.0Y17.54\nX25.0Y15.0\nX28.0Y15.0\nX42.0Y15.0\nX44.54Y15.0\nM30\n"),
+)
+
 HEAD = "%FSLAX24Y24*%\n%MOMM*%\n"
 PEN = "%ADD10C,0.200*%\nD10*\n"
 
@@ -232,11 +239,15 @@ def test_streams(spark, small_dir, tmp_path):
     assert event_log.sessions(events, "1 hour").count() > 0
 
 
-def test_roundtrip_sees_every_track(spark, small_dir, monkeypatch):
-    """A reader that loses the last track in order of id, far past the first 500, is found out."""
-    tracks = derived.table(spark, small_dir, "all_tracks").where("net_id is not null")
-    assert tracks.count() > 1000 and source_queries.roundtrip(tracks, 200).count() == 0
-    last = tracks.orderBy(F.col("id").desc()).first()
-    write = reports.kicad_boards
-    monkeypatch.setattr(reports, "kicad_boards", lambda t, files: write(t.where(F.col("id") != last["id"]), files))
-    assert source_queries.roundtrip_board(spark, small_dir).first() == (1, 0)
+def test_roundtrip_sees_every_track(spark, small_dir):
+    """A reader that loses the last track in order of id is found out, and so is one that moves a pad."""
+    board = source_queries.board_of(spark, small_dir)
+    read = source_queries.read_back(spark, board).cache()
+    whole = kicad.audit(board, read)
+    assert whole.where("not equal").count() == 0 and kicad.verdict(whole).first() == (True, False)
+    tracks = read.where("kind = 'track'").orderBy("x1", "y1", "x2", "y2", "width", "layer", "net").collect()
+    last, pad = tracks[-1], read.where("kind = 'pad' and pad_type = 'smd'").first()
+    lost = read.where(~((F.col("kind") == "track") & (F.struct("x1", "y1", "x2", "y2", "width", "layer", "net") == F.struct(*[F.lit(last[c]) for c in ("x1", "y1", "x2", "y2", "width", "layer", "net")]))))
+    moved = lost.withColumn("x1", F.when((F.col("kind") == "pad") & (F.col("x1") == pad["x1"]) & (F.col("y1") == pad["y1"]), F.col("x1") + 1).otherwise(F.col("x1")))
+    diff = {r["family"]: (r["missing"], r["unexpected"]) for r in kicad.audit(board, moved).collect() if not r["equal"]}
+    assert set(diff) == {"track", "pad"} and diff["track"][0] >= 1 and diff["track"][1] == 0 and diff["pad"][0] == diff["pad"][1] >= 1

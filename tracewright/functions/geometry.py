@@ -42,6 +42,24 @@ def box_point_distance(px: Column, py: Column, x0: Column, y0: Column, x1: Colum
     return F.hypot(F.greatest(x0 - px, zero, px - x1), F.greatest(y0 - py, zero, py - y1))
 
 
+def segment_box_distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Distance of a segment (x1, y1, x2, y2) from a filled box (x0, y0, x1, y1); 0 where they meet.
+
+    A segment that runs through a box without ending in it parts its corners, and so crosses a diagonal.
+    """
+    x0, y0, x1, y1 = b
+    through = segments_cross(a, (x0, y0, x1, y1)) | segments_cross(a, (x0, y1, x1, y0))
+    ends = F.least(box_point_distance(a[0], a[1], *b), box_point_distance(a[2], a[3], *b))
+    corners = F.least(*[point_segment(x, y, *a) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+    return F.when(through, 0.0).otherwise(F.least(ends, corners))
+
+
+def in_edges(px: Column, py: Column, edges: Column) -> Column:
+    """Whether a point lies inside closed rings given by their edges (x1, y1, x2, y2), holes left out."""
+    spans = lambda e: ((e["y1"] > py) != (e["y2"] > py)) & (px < (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
+    return F.size(F.filter(edges, lambda e: F.when((e["y1"] > py) != (e["y2"] > py), spans(e)).otherwise(False))) % 2 == 1
+
+
 def polyline_length(points: Column) -> Column:
     """Of an array of structs x, y."""
     legs = F.zip_with(F.slice(points, F.lit(1), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
@@ -112,3 +130,36 @@ def annular_ring(sx: Column, sy: Column, drill: Column) -> Column:
     """Copper left around a centred drill; -1 where it breaks out, null without a drill."""
     ring = F.least(sx, sy) / 2 - drill / 2
     return F.when(drill.isNull(), None).when(ring < 0, -1.0).otherwise(ring)
+
+
+def fit_affine(points: list[tuple[float, float, float, float]]) -> tuple[float, float, float, float, float, float]:
+    """(a, b, c, d, e, f) of affine() that takes three points (x, y) to (to_x, to_y) exactly; refused for points on a line."""
+    if len(points) != 3:
+        raise ValueError("exactly three control points are required")
+    (x1, y1, *_), (x2, y2, *_), (x3, y3, *_) = points
+    whole = (x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)
+    if abs(whole) < 1e-12:
+        raise ValueError("the control points lie on a line")
+
+    def row(v1: float, v2: float, v3: float) -> tuple[float, float, float]:
+        a = ((v2 - v1) * (y3 - y1) - (v3 - v1) * (y2 - y1)) / whole
+        b = ((x2 - x1) * (v3 - v1) - (x3 - x1) * (v2 - v1)) / whole
+        return a, b, v1 - a * x1 - b * y1
+
+    (a, b, e), (c, d, f) = (row(*(p[k] for p in points)) for k in (2, 3))
+    return a, b, c, d, e, f
+
+
+def fit_affine_columns(df, key: list[str], x: str = "x", y: str = "y", to_x: str = "to_x", to_y: str = "to_y"):
+    """(key, n, a, b, c, d, e, f): the affine map of least squares for each group, exact for three points; nulls on a line.
+
+    From sums alone, with coordinates about the means, so that a group of any size is one aggregate.
+    """
+    cov = lambda p, q: F.covar_pop(p, q)
+    agg = df.groupBy(*key).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in (x, y, to_x, to_y)], cov(x, x).alias("xx"), cov(x, y).alias("xy"), cov(y, y).alias("yy"), *[cov(p, q).alias(f"{p}_{q}") for p in (x, y) for q in (to_x, to_y)])
+    whole = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    safe = F.when(F.abs(whole) > 1e-18, whole)
+    a, b = ((F.col(f"{x}_{to_x}") * F.col("yy") - F.col(f"{y}_{to_x}") * F.col("xy")) / safe, (F.col(f"{y}_{to_x}") * F.col("xx") - F.col(f"{x}_{to_x}") * F.col("xy")) / safe)
+    c, d = ((F.col(f"{x}_{to_y}") * F.col("yy") - F.col(f"{y}_{to_y}") * F.col("xy")) / safe, (F.col(f"{y}_{to_y}") * F.col("xx") - F.col(f"{x}_{to_y}") * F.col("xy")) / safe)
+    at = lambda p, q, to: F.col(f"m_{to}") - p * F.col(f"m_{x}") - q * F.col(f"m_{y}")
+    return agg.select(*key, "n", a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), at(a, b, to_x).alias("e"), at(c, d, to_y).alias("f"))

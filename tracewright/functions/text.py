@@ -82,6 +82,47 @@ def safe_label(text: Column, limit: int = 80) -> Column:
     return F.substring(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9._-]+", "_"), 1, limit)
 
 
+def truncate(text: Column, limit: int = 80) -> Column:
+    """Of a longer text the first limit - 1 characters and an ellipsis."""
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit - 1), F.lit("…")))
+
+
+def safe_class_name(name: Column) -> Column:
+    """All but letters, digits, _ and - as _; Generated for an empty name."""
+    s = F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N}_-]", "_")
+    return F.when(s == "", "Generated").otherwise(s)
+
+
+def general(v: Column) -> Column:
+    """A number in the shortest of fixed and scientific notation with six significant digits, without zeros at the end."""
+    size = F.abs(v)
+    exponent = F.when(size > 0, F.floor(F.log10(F.bround(size * F.pow(F.lit(10.0), 5 - F.floor(F.log10(size))), 0) / F.pow(F.lit(10.0), 5 - F.floor(F.log10(size)))))).otherwise(0)
+    bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
+    fixed = F.lit(None).cast("string")
+    for e in range(-4, 6):
+        fixed = F.when(exponent == e, F.format_string(f"%.{5 - e}f", v)).otherwise(fixed)
+    return F.when((exponent < -4) | (exponent >= 6), bare(F.format_string("%.5e", v))).otherwise(F.when(F.contains(fixed, F.lit(".")), bare(fixed)).otherwise(fixed))
+
+
+def _engineering(v: Column, scales: tuple[tuple[float, str], ...]) -> Column:
+    out = F.concat(general(v / scales[-1][0]), F.lit(scales[-1][1]))
+    for scale, unit in reversed(scales[:-1]):
+        out = F.when(v >= scale, F.concat(general(v / scale), F.lit(unit))).otherwise(out)
+    return out
+
+
+def format_resistance(ohms: Column) -> Column:
+    """4700 is 4.7kΩ."""
+    return _engineering(ohms.cast("double"), ((1e6, "MΩ"), (1e3, "kΩ"), (1.0, "Ω")))
+
+
+def format_capacitance(farads: Column) -> Column:
+    """1e-7 is 100nF."""
+    return _engineering(farads.cast("double"), ((1e-6, "µF"), (1e-9, "nF"), (1e-12, "pF")))
+
+
 def stable_id(prefix: str, *parts: Column) -> Column:
     """prefix_ and 12 digits of the SHA-1 of the parts joined by |; the parts are strings."""
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha1(F.concat_ws("|", *parts).cast("binary")), 1, 12))
@@ -154,9 +195,13 @@ def debug_role(label: Column) -> Column:
     return out.when(any_in(s, DEBUG_RESET), F.struct(F.lit("RESET").alias("protocol"), F.lit("RESET").alias("signal")))
 
 
+# Patterns of memory signals after an optional DDR_, the first that fits counts.
+DDR_ROLES = (("data", r"DQ\d+"), ("strobe", r"DQS[PN]?\d*"), ("address", r"A\d+"), ("bank", r"BA\d+"), ("command", r"(?:RAS|CAS|WE|CS|CKE|ODT)_?N?"), ("clock", r"CK[PN]?\d*"))
+
+
 def ddr_role(label: Column) -> Column:
     s, out = squeezed(label), None
-    for role, pattern in (("data", r"DQ\d+"), ("strobe", r"DQS[PN]?\d*"), ("address", r"A\d+"), ("bank", r"BA\d+")):
+    for role, pattern in DDR_ROLES:
         test = s.rlike(rf"^(?:DDR_)?{pattern}$")
         out = F.when(test, role) if out is None else out.when(test, role)
     return out

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.geometry import box_point_distance, capsule_gap
+from tracewright.functions.geometry import capsule_gap
 from tracewright.functions.text import stable_id
-from tracewright.operators import graph, spatial
+from tracewright.operators import copper, graph, spatial
 
 
 def pad_boxes(pads: DataFrame) -> DataFrame:
@@ -24,15 +24,8 @@ def cell_size(tolerance: float) -> float:
 
 
 def pad_track_contacts(pads: DataFrame, tracks: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """(u, v) of rectangular pads and round-ended axis-parallel tracks of one layer whose gap is within the tolerance."""
-    t = tracks.withColumns({"sx1": F.col("x1"), "sy1": F.col("y1"), "sx2": F.col("x2"), "sy2": F.col("y2")})
-    joined = spatial.box_join(pad_boxes(pads), track_boxes(t), cell_size(tolerance), tolerance)
-    # distance of the track's middle line from the pad's box, for a line parallel to an axis
-    lx0, lx1 = F.least("r_sx1", "r_sx2"), F.greatest("r_sx1", "r_sx2")
-    ly0, ly1 = F.least("r_sy1", "r_sy2"), F.greatest("r_sy1", "r_sy2")
-    zero = F.lit(0.0)
-    gap = F.hypot(F.greatest(F.col("l_x0") - lx1, zero, lx0 - F.col("l_x1")), F.greatest(F.col("l_y0") - ly1, zero, ly0 - F.col("l_y1"))) - F.col("r_width") / 2
-    return joined.where(gap <= tolerance).select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
+    """(u, v) of pads, of any shape and rotation, and round-ended tracks in any direction of one layer whose gap is within the tolerance."""
+    return copper.near(copper.pad_shapes(pads), copper.track_shapes(tracks), tolerance).select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
 
 
 def track_contacts(tracks: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -50,20 +43,37 @@ def attach_drills(pads: DataFrame, drills: DataFrame, tolerance: float = 0.15) -
 
 
 def via_edges(drills: DataFrame, pads: DataFrame, tolerance: float = 0.03) -> DataFrame:
-    """(u, v, drill_id): pads of different layers that one plated drill with a proven span joins."""
-    hit = spatial.box_join(spatial.point_boxes(drills.where("plating = 'plated' and span_proven")), pad_boxes(pads), cell_size(tolerance), tolerance, keys=())
-    hit = hit.where(box_point_distance(F.col("l_x"), F.col("l_y"), F.col("r_x0"), F.col("r_y0"), F.col("r_x1"), F.col("r_y1")) <= tolerance).select(F.col("l_id").alias("drill_id"), F.col("r_id").alias("id"), F.col("r_layer").alias("layer"))
-    # a star around the least pad of the drill, so that a drill through n pads gives n - 1 edges
-    star = hit.groupBy("drill_id").agg(F.min("id").alias("u"), F.countDistinct("layer").alias("layers")).where("layers > 1")
-    return hit.join(star, "drill_id").where("id <> u").select("u", F.col("id").alias("v"), "drill_id")
+    """(u, v, drill_id): pads of different layers that one plated drill with a proven span joins; see copper.via_contacts for all copper."""
+    return copper.via_contacts(drills, copper.pad_shapes(pads), tolerance).drop("confidence")
+
 
+def nets(nodes: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(component, net_id, member_count, first_member, confidence) of each connected group; net_id is stable for equal members.
 
-def nets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(component, net_id, member_count, first_member) of each connected group; net_id is stable for equal members."""
+    confidence is that of the weakest via of the group (column confidence of edges), 0.99 at most. The id is
+    made of the sorted members; a group of more than most members, which no single row should hold, has one made of
+    their number and of sums of their hashes.
+    """
     label = graph.label_components(nodes, edges)
-    # ids of groups are made from their sorted members; a group has few members next to the table
-    groups = label.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    return groups.select("component", stable_id("net", F.array_join("m", "|")).alias("net_id"), F.size("m").cast("bigint").alias("member_count"))
+    facts = label.groupBy("component").agg(F.count("*").alias("member_count"), F.min("node").alias("first_member"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2"))
+    small = label.join(facts.where(F.col("member_count") > most).select("component"), "component", "left_anti")
+    ids = small.groupBy("component").agg(stable_id("net", F.array_join(F.array_sort(F.collect_list("node")), "|")).alias("net_id"))
+    big = F.concat(F.lit("net_"), F.substring(F.sha1(F.concat_ws("|", "member_count", "h1", "h2").cast("binary")), 1, 12))
+    out = facts.join(ids, "component", "left").withColumn("net_id", F.coalesce("net_id", big))
+    if "confidence" in edges.columns:
+        weak = edges.join(label.withColumnRenamed("node", "u"), "u").groupBy("component").agg(F.min("confidence").alias("confidence"))
+        out = out.join(weak, "component", "left")
+    else:
+        out = out.withColumn("confidence", F.lit(None).cast("double"))
+    return out.select("component", "net_id", "member_count", "first_member", F.least(F.lit(0.99), F.coalesce("confidence", F.lit(0.99))).alias("confidence"))
+
+
+def solve(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components over edges (u, v, confidence); an edge from a node to itself, or of a confidence outside 0 to 1, is refused."""
+    bad = edges.where("u = v or not coalesce(confidence between 0 and 1, false)").limit(1).collect()
+    if bad:
+        raise ValueError(f"invalid edge {bad[0]['u']} - {bad[0]['v']}")
+    return graph.label_components(nodes, edges)
 
 
 def net_labels(members: DataFrame, names: DataFrame) -> DataFrame:

@@ -103,6 +103,39 @@ def merge_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")
 
 
+def merge_strict(*parts: DataFrame, key: str = "id") -> DataFrame:
+    """All rows once; rows of one key that differ are refused, when the rows are read."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    row = F.struct(*[F.col(f"`{c}`") for c in every.columns])
+    one = every.groupBy(key).agg(F.countDistinct(F.xxhash64(row)).alias("__n"), F.any_value(row).alias("__row"))
+    return one.where(F.assert_true(F.col("__n") == 1, F.concat(F.lit("conflicting record: "), F.col(key).cast("string"))).isNull()).select("__row.*")
+
+
+def merge_best(*parts: DataFrame, key: list[str], score: str = "confidence", ties: list[str] = ()) -> DataFrame:
+    """Of rows with equal keys the one of the highest score, ties in order of further columns; nulls are the worst."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    best = Window.partitionBy(*key).orderBy(F.desc_nulls_last(score), *ties)
+    return every.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r")
+
+
+def merge_distinct(*parts: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with equal keys once."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.dropDuplicates(key)
+
+
+def statistics(df: DataFrame, value: str, key: tuple[str, ...] = ()) -> DataFrame:
+    """(count, mean, median, min, max, pstdev) of a column, for each key; nulls without values, the count 0."""
+    v = F.col(value).cast("double")
+    return df.groupBy(*key).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("pstdev"))
+
+
 def coverage(covered: DataFrame, all_: DataFrame, key: str, empty: float = 1.0) -> DataFrame:
     """Share of the distinct keys of all_ that covered has too."""
     marked = all_.select(key).distinct().join(covered.select(key).distinct().withColumn("__c", F.lit(1)), key, "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -81,20 +82,23 @@ def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def hops(edges: DataFrame, starts: DataFrame, most: int | None = None, directed: bool = False) -> DataFrame:
-    """(start, node, hops): the fewest edges from each start (column node), by a frontier that grows a step a round."""
+    """(start, node, hops): the fewest edges from each start (column node), by a frontier that grows a step a round.
+
+    A round writes its own level only. Without directions a step leads one level up or down or stays, so what it
+    finds need be compared with the last two levels only; with directions, with all.
+    """
     steps = edges.select("u", "v").distinct() if directed else both_ways(edges).distinct()
     steps = cut(steps, "steps", "lz4", free=False)
-    known = cut(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0)), "hops", "lz4", free=False)
-    level = 0
-    while most is None or level < most:
-        frontier = known.where(F.col("hops") == level)
-        reached = frontier.join(steps, frontier["node"] == steps["u"]).select("start", F.col("v").alias("node")).distinct()
-        fresh = cut(reached.join(known, ["start", "node"], "left_anti").withColumn("hops", F.lit(level + 1)), "hops", "lz4", free=False)
+    levels_ = [cut(starts.select(F.col("node").alias("start"), "node").distinct(), "hops", "lz4", free=False)]
+    while most is None or len(levels_) <= most:
+        reached = levels_[-1].join(steps, F.col("node") == F.col("u")).select("start", F.col("v").alias("node")).distinct()
+        for before in levels_ if directed else levels_[-2:]:
+            reached = reached.join(before, ["start", "node"], "left_anti")
+        fresh = cut(reached, "hops", "lz4", free=False)
         if fresh.isEmpty():
             break
-        known = cut(known.unionByName(fresh), "hops", "lz4", free=False)
-        level += 1
-    return known
+        levels_.append(fresh)
+    return reduce(DataFrame.unionByName, [level.withColumn("hops", F.lit(k)) for k, level in enumerate(levels_)])
 
 
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -128,41 +132,69 @@ def leaves(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node")).distinct().join(edges.select(F.col("u").alias("node")), "node", "left_anti")
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """(node, level): 0 for roots, else one more than the deepest predecessor; nodes on or behind cycles are left out."""
-    left = cut(edges.select("u", "v").distinct(), "levels", "lz4", free=False)
-    nodes = left.select(F.col("u").alias("node")).unionByName(left.select(F.col("v").alias("node"))).distinct()
-    rest, out, level = cut(nodes, "levels", "lz4", free=False), None, 0
-    while True:
-        ready = cut(rest.join(left.select(F.col("v").alias("node")).distinct(), "node", "left_anti"), "levels", "lz4", free=False)
-        if ready.isEmpty():
-            break
-        here = ready.withColumn("level", F.lit(level))
-        out = here if out is None else out.unionByName(here)
-        left = cut(left.join(ready.withColumnRenamed("node", "u"), "u", "left_anti"), "levels", "lz4", free=False)
-        rest = cut(rest.join(ready, "node", "left_anti"), "levels", "lz4", free=False)
+def levels(edges: DataFrame, strict: bool = True) -> DataFrame:
+    """(node, level): 0 for roots, else one more than the deepest predecessor.
+
+    Nodes on or behind a cycle have no level: strict refuses such a graph, otherwise they are left out. A
+    round writes one table, of the nodes with the number of their predecessors that have no level yet.
+    """
+    steps = cut(edges.select("u", "v").distinct(), "steps", "lz4", free=False)
+    missing = steps.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("missing"))
+    nodes = both_ways(steps).select(F.col("u").alias("node")).distinct()
+    state = nodes.join(missing, "node", "left").select("node", F.coalesce("missing", F.lit(0)).alias("missing"), F.when(F.col("missing").isNull(), 0).alias("level"))
+    state, level = cut(state, "levels", "lz4", free=False), 0
+    n, ready = state.agg(F.count("*"), F.count(F.when(F.col("level") == 0, 1))).first()
+    done = ready
+    while ready:
+        met = state.where(F.col("level") == level).join(steps, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.count("*").alias("met"))
+        left = F.col("missing") - F.coalesce("met", F.lit(0))
         level += 1
-    return out if out is not None else rest.withColumn("level", F.lit(0)).limit(0)
+        fresh = F.when(F.col("level").isNull() & (left == 0), level)
+        after = state.join(met, "node", "left").select("node", left.alias("missing"), F.coalesce("level", fresh).alias("level"))
+        state, before = cut(after, "levels", "lz4", free=False, rows=n, per_file=2_000_000), state
+        drop(before)
+        ready = state.where(F.col("level") == level).count()
+        done += ready
+    if strict and done < n:
+        raise ValueError(f"{n - done} nodes lie on or behind a cycle")
+    return state.where("level is not null").select("node", "level")
 
 
 def has_cycle(edges: DataFrame) -> bool:
-    nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct().count()
-    return levels(edges).count() < nodes
+    return _cyclic(edges).count() > 0
 
 
-def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
-    """(nodes) of every simple directed cycle of at most longest nodes, beginning at its least node."""
-    steps = cut(edges.select("u", "v").distinct(), "steps", "lz4", free=False)
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """(nodes) of every simple directed cycle, of at most longest nodes if given, beginning at its least node.
+
+    Only edges between nodes that reach each other are walked: all others lie on no cycle.
+    """
+    steps = cut(_cyclic(edges), "steps", "lz4", free=False)
     paths = steps.where("v >= u").select(F.array("u").alias("nodes"), F.col("v").alias("to"))
-    found = None
-    for _ in range(longest):
+    found, length = None, 0
+    while longest is None or length < longest:
         closed = paths.where(F.col("to") == F.element_at("nodes", 1)).select("nodes")
         found = closed if found is None else found.unionByName(closed)
         open_ = paths.where((F.col("to") > F.element_at("nodes", 1)) & ~F.array_contains("nodes", F.col("to")))
         paths = cut(open_.select(F.array_append("nodes", F.col("to")).alias("nodes"), F.col("to").alias("u")).join(steps, "u").select("nodes", F.col("v").alias("to")), "cycles", "lz4", free=False)
+        length += 1
         if paths.isEmpty():
             break
-    return found.unionByName(paths.where(F.col("to") == F.element_at("nodes", 1)).select("nodes")).where(F.size("nodes") <= longest).distinct()
+    return found.distinct() if found is not None else steps.select(F.array("u").alias("nodes")).limit(0)
+
+
+def _cyclic(edges: DataFrame) -> DataFrame:
+    """The edges left when nodes without a way in or without a way out are taken away, again and again."""
+    left = cut(edges.select("u", "v").distinct(), "cyclic", "lz4", free=False)
+    n = left.count()
+    while n:
+        ins, outs = left.select(F.col("v").alias("u")).distinct(), left.select(F.col("u").alias("v")).distinct()
+        kept = cut(left.join(ins, "u", "left_semi").join(outs, "v", "left_semi").select("u", "v"), "cyclic", "lz4", free=False, rows=n, per_file=2_000_000)
+        drop(left)
+        left, before, n = kept, n, kept.count()
+        if n == before:
+            break
+    return left
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -317,3 +349,26 @@ def layered_layout(edges: DataFrame, dx: float = 40.0, dy: float = 20.0) -> Data
     far = hops(edges, start.select("node"))
     order = Window.partitionBy("start", "hops").orderBy("node")
     return far.select("node", (F.col("hops") * dx).alias("x"), ((F.row_number().over(order) - 1) * dy).alias("y"))
+
+
+def manhattan_routes(wires: DataFrame) -> DataFrame:
+    """(net_id, k, x1, y1, x2, y2): each wire (net_id, x0, y0, x1, y1) as one or two segments, the horizontal one first."""
+    leg = lambda k, a, b, c, d: F.struct(F.lit(k).alias("k"), F.col(a).alias("x1"), F.col(b).alias("y1"), F.col(c).alias("x2"), F.col(d).alias("y2"))
+    straight = (F.col("x0") == F.col("x1")) | (F.col("y0") == F.col("y1"))
+    legs = F.when(straight, F.array(leg(0, "x0", "y0", "x1", "y1"))).otherwise(F.array(leg(0, "x0", "y0", "x1", "y0"), leg(1, "x1", "y0", "x1", "y1")))
+    return wires.select("net_id", F.explode(legs).alias("leg")).select("net_id", "leg.*")
+
+
+def wire_crossings(segments: DataFrame, cell: float = 8.0) -> DataFrame:
+    """(u, v, x, y): vertical and horizontal segments (net_id, x1, y1, x2, y2) of different routes that properly cross.
+
+    A range join on grid cells: each crossing lies in one cell, so none is found twice.
+    """
+    up = F.col("x1") == F.col("x2")
+    at = lambda c: F.floor(c / cell)
+    v = segments.where(up).select(F.col("net_id").alias("v"), F.col("x1").alias("vx"), F.least("y1", "y2").alias("lo"), F.greatest("y1", "y2").alias("hi"))
+    h = segments.where(~up & (F.col("y1") == F.col("y2"))).select(F.col("net_id").alias("h"), F.col("y1").alias("hy"), F.least("x1", "x2").alias("left"), F.greatest("x1", "x2").alias("right"))
+    v = v.withColumn("cx", at(F.col("vx"))).withColumn("cy", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))))
+    h = h.withColumn("cy", at(F.col("hy"))).withColumn("cx", F.explode(F.sequence(at(F.col("left")), at(F.col("right")))))
+    hit = v.join(h, ["cx", "cy"]).where((F.col("lo") < F.col("hy")) & (F.col("hy") < F.col("hi")) & (F.col("left") < F.col("vx")) & (F.col("vx") < F.col("right")) & (F.col("v") != F.col("h")))
+    return hit.select(F.least("v", "h").alias("u"), F.greatest("v", "h").alias("v"), F.col("vx").alias("x"), F.col("hy").alias("y"))

@@ -20,18 +20,39 @@ def _renamed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def box_join(left: DataFrame, right: DataFrame, cell: float, within: float = 0.0, keys: tuple[str, ...] = ("layer",), condition: Column | None = None) -> DataFrame:
-    """All pairs of boxes at most within apart on each axis and equal in keys; columns get l_ and r_."""
-    a = with_cells(_renamed(left, "l_"), cell, within, "l_")
-    b = with_cells(_renamed(right, "r_"), cell, 0.0, "r_")
-    on = [a["cx"] == b["cx"], a["cy"] == b["cy"], *[a[f"l_{k}"] == b[f"r_{k}"] for k in keys]]
+def box_join(left: DataFrame, right: DataFrame, cell: float, within: float = 0.0, keys: tuple[str, ...] = ("layer",), condition: Column | None = None, wide: bool = False) -> DataFrame:
+    """All pairs of boxes at most within apart on each axis and equal in keys; columns get l_ and r_.
+
+    wide is for tables that may hold boxes of many cells (planes, keepouts): a box of more than eight cells
+    lives on a grid 64 times as coarse, one of more than 512 on one of 4,096 times, and a pair meets on the
+    coarser grid of the two, so that no box fills more than 10 by 10 cells but for those beyond 32,768.
+    """
+    a, b = _renamed(left, "l_"), _renamed(right, "r_")
+    if wide:
+        a, b = _on_grids(a, cell, within, "l_"), _on_grids(b, cell, 0.0, "r_")
+        size, on = F.lit(cell) * F.pow(F.lit(64.0), a["grid"]), [a["grid"] == b["grid"]]
+    else:
+        a, b, size, on = with_cells(a, cell, within, "l_"), with_cells(b, cell, 0.0, "r_"), F.lit(cell), []
+    on += [a["cx"] == b["cx"], a["cy"] == b["cy"], *[a[f"l_{k}"] == b[f"r_{k}"] for k in keys]]
     near = (F.col("l_x0") - within <= F.col("r_x1")) & (F.col("r_x0") <= F.col("l_x1") + within) & (F.col("l_y0") - within <= F.col("r_y1")) & (F.col("r_y0") <= F.col("l_y1") + within)
-    first = (a["cx"] == F.floor(F.greatest(F.col("l_x0") - within, F.col("r_x0")) / cell)) & (a["cy"] == F.floor(F.greatest(F.col("l_y0") - within, F.col("r_y0")) / cell))
+    if wide:
+        near = near & (a["grid"] == F.greatest("l__grid", "r__grid"))
+    first = (a["cx"] == F.floor(F.greatest(F.col("l_x0") - within, F.col("r_x0")) / size)) & (a["cy"] == F.floor(F.greatest(F.col("l_y0") - within, F.col("r_y0")) / size))
     out = a.join(b, on).where(near & first)
-    out = out.select(*[F.col(c) for c in a.columns + b.columns if c not in ("cx", "cy")])
+    out = out.select(*[F.col(c) for c in a.columns + b.columns if c not in ("cx", "cy", "grid", "l__grid", "r__grid")])
     return out if condition is None else out.where(condition)
 
 
+def _on_grids(df: DataFrame, cell: float, grow: float, prefix: str) -> DataFrame:
+    """with_cells() on the grid that suits each box, and on the coarser ones."""
+    extent = F.greatest(F.col(prefix + "x1") - F.col(prefix + "x0"), F.col(prefix + "y1") - F.col(prefix + "y0")) + 2 * grow
+    own = F.when(extent <= 8 * cell, 0).when(extent <= 512 * cell, 1).otherwise(2)
+    out = df.withColumn(prefix + "_grid", own).withColumn("grid", F.explode(F.sequence(F.col(prefix + "_grid"), F.lit(2))))
+    size = F.lit(cell) * F.pow(F.lit(64.0), F.col("grid"))
+    at = lambda c, g: F.floor((F.col(prefix + c) + g) / size)
+    return out.withColumn("cx", F.explode(F.sequence(at("x0", -grow), at("x1", grow)))).withColumn("cy", F.explode(F.sequence(at("y0", -grow), at("y1", grow))))
+
+
 def box_pairs(df: DataFrame, cell: float, within: float = 0.0, keys: tuple[str, ...] = ("layer",), id_col: str = "id") -> DataFrame:
     """Unordered pairs (l_id < r_id) of box_join of a table with itself. A box's own growth is on one side only, as distances are symmetric."""
     return box_join(df, df, cell, within, keys).where(F.col(f"l_{id_col}") < F.col(f"r_{id_col}"))

@@ -61,10 +61,11 @@ def against_first(df: DataFrame, key: list[str], order: list[str], value: str, o
     return df.withColumn(out, F.col(value).eqNullSafe(F.first(value).over(w)))
 
 
-def radial_order(df: DataFrame, key: list[str], ties: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Place of each row around the centre of its group, by angle."""
+def radial_order(df: DataFrame, key: list[str], ties: list[str], x: str = "x", y: str = "y", digits: int | None = None) -> DataFrame:
+    """Place of each row around the centre of its group, by angle; digits rounds centre and angle, so that equal angles tie."""
+    about = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     centre = Window.partitionBy(*key)
-    out = df.withColumns({"__cx": F.avg(x).over(centre), "__cy": F.avg(y).over(centre)}).withColumn("angle", F.atan2(F.col(y) - F.col("__cy"), F.col(x) - F.col("__cx")))
+    out = df.withColumns({"__cx": about(F.avg(x).over(centre)), "__cy": about(F.avg(y).over(centre))}).withColumn("angle", about(F.atan2(F.col(y) - F.col("__cy"), F.col(x) - F.col("__cx"))))
     return out.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("angle", *ties))).drop("__cx", "__cy")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import connectivity, graph, reconcile
+from tracewright.functions.geometry import signed_area
+from tracewright.operators import connectivity, graph
 from tracewright.plans.derived import table
 from tracewright.plans.registry import register
-from tracewright.sinks import reports
+from tracewright.sinks import kicad, reports
 from tracewright.sources import excellon, formats, gerber, tables
 
 
@@ -80,14 +81,6 @@ def star_edges(spark, d):
     return reports.star_edges(members).select("source", "target")
 
 
-# A small LED board of six pads, four tracks, six drills and an outline.
-LED = (
-    ("copper.gtl", "%FSLAX24Y24*%\n%MOMM*%\n%ADD10C,1.800*%\n%ADD11C,0.500*%\nD10*\nX080000Y150000D03*\nX080000Y175400D03*\nX250000Y150000D03*\nX280000Y150000D03*\nX420000Y150000D03*\nX445400Y150000D03*\nD11*\nX080000Y150000D02*\nX250000Y150000D01*\nX280000Y150000D02*\nX420000Y150000D01*\nX445400Y150000D02*\nX445400Y175400D01*\nX445400Y175400D02*\nX080000Y175400D01*\nM02*\n"),
-    ("outline.gbr", "%FSLAX24Y24*%\n%MOMM*%\n%ADD10C,0.100*%\nD10*\nX050000Y050000D02*\nX550000Y050000D01*\nX550000Y350000D01*\nX050000Y350000D01*\nX050000Y050000D01*\nM02*\n"),
-    ("drill.drl", "M48\nMETRIC,LZ\nT01C0.800\n%\nT01\nX8.0Y15.0\nX8.0Y17.54\nX25.0Y15.0\nX28.0Y15.0\nX42.0Y15.0\nX44.54Y15.0\nM30\n"),
-)
-
-
 def reconstruct(spark, files):
     """Tables of a board from its files (path, content): pads with drills, tracks, outline, and nets with their members."""
     g = gerber.parse_frame(files.where("not path like '%.drl'"))
@@ -101,22 +94,83 @@ def reconstruct(spark, files):
     return {"pads": pads, "tracks": tracks, "drills": drills, "outline": g.where("kind = 'outline'"), "nets": connectivity.nets(nodes, edges), "islands": graph.islands(nodes, edges)}
 
 
-@register("reconstruct_board", "SELECT * FROM (VALUES (3, 2), (4, 1)) t(member_count, n)")
+@register("reconstruct_board", """
+WITH p AS (SELECT p_partkey, p_size, (p_partkey // 20) % 50 AS x, (p_partkey // 1000) * 20 + p_partkey % 20 AS y FROM part),
+e AS (SELECT count(*) AS n FROM p a JOIN p b ON b.x = a.x + 1 AND b.y = a.y WHERE a.p_size % 3 = 0)
+SELECT count(*) AS pads, count(*) FILTER (WHERE p_size % 3 = 0) AS tracks, count(*) FILTER (WHERE p_partkey % 4 = 0) AS drilled, count(*) - (SELECT n FROM e) AS nets FROM p""")
 def reconstruct_board(spark, d):
-    board = reconstruct(spark, spark.createDataFrame(LED, "path string, content string"))
-    return board["nets"].groupBy(F.col("member_count").cast("int").alias("member_count")).agg(F.count("*").cast("int").alias("n"))
-
-
-def roundtrip(tracks, rows=5_000):
-    """Differences (and their side) between tracks and what is read back from board files of about rows tracks each."""
-    back = tables.kicad(reports.kicad_boards(tracks, tracks.count() // rows + 1))
-    names = back.where("kind = 'net'").select("path", "net", F.col("name").alias("net_id"))
-    shape = lambda df: df.select(*[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2", "width")], "layer", "net_id")
-    observed = shape(back.where("kind = 'track'").join(names, ["path", "net"]))
-    return reconcile.multiset_differences(shape(tracks), observed)
-
-
-@register("roundtrip_board", "SELECT 0 AS missing, 0 AS unexpected")
+    """One board in twenty copper files and a drill file: round pads, tracks to the right, drills."""
+    part = table(spark, d, "part").withColumns({"ord": k(), "x": F.floor(k() / 20) % 50, "y": F.floor(k() / 1000) * 20 + k() % 20})
+    at = lambda x: F.concat(F.lit("X"), (x * 10_000).cast("bigint").cast("string"), F.lit("Y"), (F.col("y") * 10_000).cast("bigint").cast("string"))
+    line = F.concat(F.lit("D10*\n"), at(F.col("x")), F.lit("D03*"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("\nD11*\n"), at(F.col("x")), F.lit("D02*\n"), at(F.col("x") + 1), F.lit("D01*"))).otherwise(""))
+    files = in_files(part, line, "%FSLAX64Y64*%\n%MOMM*%\n%ADD10C,0.400*%\n%ADD11C,0.200*%\nG01*\n", "\nM02*\n", F.concat((k() % 20).cast("string"), F.lit(".gtl")))
+    holes = part.where(k() % 4 == 0)
+    drilled = in_files(holes, F.concat(F.lit("X"), fixed(F.col("x")), F.lit("Y"), fixed(F.col("y"))), "M48\nMETRIC\nT01C0.200\n%\nT01\n", "\nM30\n", F.lit("board.drl"))
+    board = reconstruct(spark, files.unionByName(drilled))
+    pads = board["pads"].agg(F.count("*").alias("pads"), F.count("drill").alias("drilled"))
+    return pads.crossJoin(board["tracks"].agg(F.count("*").alias("tracks"))).crossJoin(board["nets"].agg(F.count("*").alias("nets"))).select("pads", "tracks", "drilled", "nets")
+
+
+def board_of(spark, d):
+    """Tracks, pads, drills, slots, regions, nets and an outline, of whole tables."""
+    pads = table(spark, d, "round_pads").withColumn("drill", F.when(F.col("size_x") > 0.7, 0.3))
+    tracks = table(spark, d, "slanted")
+    layer = lambda df: df.withColumn("layer", F.when(F.col("layer") == "0", "F.Cu").when(F.col("layer") == "39", "B.Cu").when(F.col("layer") == "38", "In31.Cu").otherwise(F.concat(F.lit("In"), (F.col("layer").cast("int") % 30 + 1).cast("string"), F.lit(".Cu"))))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") * 7 % 50).cast("double").alias("x"), (F.col("s_suppkey") * 13 % 40).cast("double").alias("y"))
+    corner = lambda a, b: F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y"))
+    regions = s.select(F.concat(F.lit("R"), "k").alias("id"), F.array(corner(0, 0), corner(0.5, 0), corner(0.5, 0.25), corner(0, 0)).alias("points"), F.array().cast("array<array<struct<x:double,y:double>>>").alias("holes"), F.lit("F.Cu").alias("layer"), F.concat(F.lit("N"), (F.col("k") % 11).cast("string")).alias("net_id"))
+    plating = F.element_at(F.array(*map(F.lit, ("plated", "non-plated", "unknown"))), (F.col("k") % 3 + 1).cast("int"))
+    slots = s.select(F.concat(F.lit("S"), "k").alias("id"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 1).alias("x2"), F.col("y").alias("y2"), F.lit(0.3).alias("width"), plating.alias("plating"))
+    drills = table(spark, d, "drills").join(s.select(F.concat(F.lit("D"), "k").alias("id"), plating.alias("plating")), "id")
+    outline = spark.createDataFrame([(f"E{i}", i, *p) for i, p in enumerate([(0.0, 0.0, 60.0, 0.0), (60.0, 0.0, 60.0, 50.0), (60.0, 50.0, 0.0, 50.0), (0.0, 50.0, 0.0, 0.0)])], "id string, ord long, x1 double, y1 double, x2 double, y2 double")
+    nets = tracks.select("net_id").unionByName(pads.select("net_id")).where("net_id is not null").distinct().withColumn("label", F.lit(None).cast("string"))
+    return {"tracks": layer(tracks), "pads": layer(pads), "drills": drills, "slots": slots, "regions": regions, "outline": outline, "nets": nets}
+
+
+def read_back(spark, board):
+    """The rows of the board's own file."""
+    return tables.kicad(kicad.board_text(board).withColumn("path", F.lit("board.kicad_pcb")))
+
+
+BOARD_STATUS = """
+WITH t AS (SELECT o_orderkey % 40 AS l, o_orderkey % 3 AS dx, o_orderkey % 4 AS dy FROM orders),
+p AS (SELECT p_partkey % 40 AS l, 2e-1 + 1e-1 * (p_size % 7) AS size FROM part), s AS (SELECT s_suppkey AS k FROM supplier),
+a AS (
+  SELECT 'tracks' AS family, CASE WHEN dx = 0 AND dy = 0 THEN 'skip-zero-length' WHEN l = 38 THEN 'skip-layer' ELSE 'export' END AS status FROM t UNION ALL
+  SELECT 'pads', CASE WHEN l = 38 THEN 'skip-layer' WHEN size > 0.7 THEN 'skip-drill-padstack' ELSE 'export' END FROM p UNION ALL
+  SELECT 'drills', CASE k % 3 WHEN 0 THEN 'skip-plated-padstack' WHEN 1 THEN 'export-npth' ELSE 'skip-unknown-plating' END FROM s UNION ALL
+  SELECT 'slots', CASE k % 3 WHEN 0 THEN 'infer-plated-padstack' WHEN 1 THEN 'export-npth' ELSE 'skip-unknown-plating' END FROM s UNION ALL
+  SELECT 'regions', 'export' FROM s UNION ALL SELECT 'outline', 'export' FROM range(4))
+"""
+
+
+@register("kicad_export_status", BOARD_STATUS + "SELECT family, status, count(*) AS n FROM a GROUP BY ALL")
+def kicad_export_status(spark, d):
+    return kicad.statuses(kicad.plan(board_of(spark, d)))
+
+
+@register("roundtrip_board", BOARD_STATUS + """, f AS (SELECT CASE family WHEN 'drills' THEN 'hole' WHEN 'outline' THEN 'outline' ELSE rtrim(family, 's') END AS family, status FROM a),
+n AS (SELECT count(DISTINCT net_id) AS n FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey % 11 END::VARCHAR AS net_id FROM orders UNION ALL SELECT p_brand FROM part))
+SELECT family, CAST(count(*) FILTER (WHERE status LIKE 'export%') AS BIGINT) AS expected, CAST(count(*) FILTER (WHERE status LIKE 'export%') AS BIGINT) AS observed, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unexpected, CAST(count(*) FILTER (WHERE NOT status LIKE 'export%') AS BIGINT) AS skipped FROM f GROUP BY 1
+UNION ALL SELECT 'net', n, n, 0, 0, 0 FROM n""")
 def roundtrip_board(spark, d):
-    diff = roundtrip(table(spark, d, "all_tracks").where("net_id is not null"))
-    return diff.agg(F.count(F.when(F.col("side") == "missing", 1)).cast("int").alias("missing"), F.count(F.when(F.col("side") == "unexpected", 1)).cast("int").alias("unexpected"))
+    """The whole board written as a file, read back and compared, family by family."""
+    board = board_of(spark, d)
+    return kicad.audit(board, read_back(spark, board)).select("family", "expected", "observed", "missing", "unexpected", "skipped")
+
+
+@register("parse_gerber_clear", """
+WITH p AS (SELECT concat(CAST(p_partkey % 20 AS STRING), '.gtl') AS path, (p_partkey // 20) // 50 AS y, p_size FROM part),
+r AS (SELECT path, y, (count(*) + 0.2e0) * 0.5e0 - 0.08e0 * count(*) FILTER (WHERE p_size % 2 = 0) + 0.01e0 * count(*) FILTER (WHERE p_size % 4 = 0) AS area, 1 + count(*) FILTER (WHERE p_size % 4 = 0) AS n, count(*) FILTER (WHERE p_size % 2 = 0) AS holes FROM p GROUP BY ALL)
+SELECT path, CAST(sum(n) AS BIGINT) AS components, CAST(sum(holes) AS BIGINT) AS holes, round(sum(area), 4) AS area FROM r GROUP BY path""")
+def parse_gerber_clear(spark, d):
+    """Rows of dark boxes that overlap, clear boxes inside them, and dark ones inside these."""
+    part = table(spark, d, "part")
+    n = F.floor(k() / 20)
+    at = F.concat(F.lit("X"), ((n % 50) * 10_000).cast("string"), F.lit("Y"), (F.floor(n / 50) * 10_000).cast("string"), F.lit("D03*"))
+    step = lambda rows, place, polarity, tool: rows.select(k(), F.concat(F.lit(f"%LP{polarity}*%\nD{tool}*\n"), at).alias("draw"), F.struct(F.lit(place).alias("a"), k().alias("b")).alias("ord"))
+    rows = step(part, 0, "D", 10).unionByName(step(part.where("p_size % 2 = 0"), 1, "C", 11)).unionByName(step(part.where("p_size % 4 = 0"), 2, "D", 12))
+    files = in_files(rows, F.col("draw"), "%FSLAX64Y64*%\n%MOMM*%\n%ADD10R,1.2X0.5*%\n%ADD11R,0.4X0.2*%\n%ADD12R,0.1X0.1*%\n", "\nM02*\n", F.concat((k() % 20).cast("string"), F.lit(".gtl")))
+    out = gerber.parse_frame(files).where("kind = 'region'")
+    inner = F.aggregate("holes", F.lit(0.0), lambda s, h: s + F.abs(signed_area(h)))
+    return out.groupBy("path").agg(F.count("*").alias("components"), F.sum(F.size("holes")).alias("holes"), F.round(F.sum(F.abs(signed_area(F.col("points"))) - inner), 4).alias("area"))

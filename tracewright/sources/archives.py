@@ -74,12 +74,10 @@ def members(data: bytes, most: int = MEMBERS, most_bytes: int = BYTES) -> list[t
     return sorted(out.items())
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content as text) of the files in the archives or plain files under a path; archives are unpacked in the tasks."""
+def unpack(files: DataFrame) -> DataFrame:
+    """(path, content as text) of rows (path, content as bytes): the members of archives, and other files as they are."""
     import pandas as pd
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-
     def run(parts):
         for part in parts:
             rows = []
@@ -89,3 +87,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame([(p, c.decode("utf-8", "replace")) for p, c in rows], columns=["path", "content"])
 
     return files.select("path", F.col("content")).mapInPandas(run, "path string, content string")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """unpack() of the files under a path; archives are unpacked in the tasks."""
+    return unpack(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
