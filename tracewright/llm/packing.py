@@ -21,12 +21,11 @@ from tracewright.llm.common import cut, pieces
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def bytes_of(token: str) -> bytes:
-    """The bytes that a token of a byte-level vocabulary stands for."""
+def letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: itself where it can be seen, else the next letters from 256 on."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in visible]
-    back = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    return bytes(back[c] for c in token)
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 def follows_ids(spec: dict) -> bool:
@@ -82,7 +81,8 @@ class Encoder:
         if fast:
             import tiktoken
 
-            ranks = {bytes_of(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+            back = letters()
+            ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
