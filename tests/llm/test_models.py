@@ -246,7 +246,8 @@ def test_lm_scores(spark, small_dir):
     docs += [(None, "the the The\x0bÄ x  y"), (900001, None), (900002, ""), (900003, "the " * 30000), (900003, "the " * 30000)]
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, batch int").repartition(3)
     small = lm_scoring.Settings(batch_tokens=9000, shard_words=3000, shard_tokens=20000, split_tokens=300)
-    for s in (lm_scoring.Settings(), small):
+    routed = lm_scoring.Settings(batch_tokens=9000, shard_words=900, shard_tokens=6000, split_tokens=300, direct_shards=3)
+    for s in (lm_scoring.Settings(), small, routed):
         got = sorted((str(r["doc_id"]), *r[1:]) for r in lm_scoring.score(df, s).collect())
         for g, w in zip(got, lm_expected(docs, s), strict=True):
             assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-12) and abs(g[6] - w[6]) <= 1e-3 * w[2], (g, w)
@@ -282,6 +283,22 @@ def test_pipeline(spark, small_dir):
     assert {r["doc_id"] for r in last.collect()} == seen[4]
 
 
+def test_pipeline_keeps_texts_of_one_id_and_odd_columns(spark, small_dir):
+    """Rows that share an id but not a text stay, with their own columns; tables between the stages go."""
+    from tracewright import storage
+
+    one, other = "the quiet river runs past the old mill and the long green field", "seven red boats lay in the small harbour under a pale winter sun"
+    rows = [(1, one, "en", "s", 63, 7), (1, other, "en", "s", 61, 8), (2, one, "en", "s", 63, 9), (None, one, None, None, None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, phone int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, small_dir)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "phone"], name
+    assert sorted((str(r["doc_id"]), r["text"], r["phone"]) for r in docs.collect()) == sorted([("1", one, 7), ("1", other, 8), ("None", one, 10)])
+    mark = storage.tables_made()
+    packed = corpus_pipeline.run(spark, small_dir)
+    assert storage.tables_made() - mark <= 3 and packed.count() > 0
+
+
 def test_pipeline_stages_take_odd_tables(spark, small_dir):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     odd = spark.createDataFrame([(None, None, None, None, None), (None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, None, None, "s", None)], schema)

@@ -11,17 +11,22 @@ A batch of texts is the unit of exchange: it sums up its own n-grams before anyt
    its part of the trie, memory-maps it, looks up every bigram that any batch asks about, and returns
    one sum for each text. 5. The sums of a batch are added up.
 No table of words or n-grams ever reaches the driver or all executors.
+
+Batches and shards both grow with the corpus, so their messages would with its square. Beyond direct_shards
+a batch sends to groups of about the square root of the shards, and what as many batches send to one group is
+sorted to its shards in one task; answers come back the same way.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import cut, mix, pieces
@@ -41,6 +46,7 @@ class Settings:
     shard_words: int = 1_500_000
     shard_tokens: int = 2_500_000
     split_tokens: int = 200_000
+    direct_shards: int = 1024
 
 
 def planes(a: np.ndarray, dtype: str) -> bytes:
@@ -70,6 +76,29 @@ def dealt(targets: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(targets[order], np.arange(parts + 1))
 
 
+@dataclass(frozen=True)
+class Routes:
+    """How batches reach shards: shards of one group are fan in a row, and a unit is what some batches send to a group."""
+
+    shards: int
+    fan: int
+    groups: int
+    supers: int
+
+    @staticmethod
+    def of(shards: int, batches: int, set_: Settings) -> Routes:
+        fan = 1 if shards <= set_.direct_shards else math.ceil(math.sqrt(shards))
+        groups = -(-shards // fan)
+        return Routes(shards, fan, groups, max(1, -(-batches // groups)))
+
+    @property
+    def direct(self) -> bool:
+        return self.fan == 1
+
+    def unit(self, batch: str, group) -> Column:
+        return F.pmod(F.xxhash64(batch), F.lit(self.supers)) * self.groups + group
+
+
 def is_held(doc_id: int | None, fold: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % fold == 0
 
@@ -124,15 +153,16 @@ def word_shards(marks: np.ndarray, shards: int) -> np.ndarray:
     return marks.astype(np.int64) % shards
 
 
-def count_words(coded: DataFrame, shards: int) -> DataFrame:
-    """(batch, shard, ids, counts, n, v): the answers to every batch; n and v are set once for each shard."""
+def count_words(coded: DataFrame, routes: Routes) -> DataFrame:
+    """(batch, shard, ids, counts, n, v): the answers to every batch, by shard or group of shards; n and v are set once for each shard."""
+    shards = routes.shards
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], []]
             for b, words, counts in zip(*(batch.column(c).to_pylist() for c in ("batch", "words", "counts")), strict=True):
                 h, c = np.frombuffer(words, dtype=np.uint64), unplanes(counts, "<u4")
-                order, ends = dealt(word_shards(h & MARK, shards), shards)
+                order, ends = dealt(word_shards(h & MARK, shards) // routes.fan, routes.groups)
                 for k in np.flatnonzero(np.diff(ends)):
                     at = order[ends[k] : ends[k + 1]]
                     for col, value in zip(out, (b, int(k), h[at].tobytes(), planes(c[at], "<u4")), strict=True):
@@ -149,32 +179,101 @@ def count_words(coded: DataFrame, shards: int) -> DataFrame:
         ends = np.cumsum([len(a) for a in asked])
         rows = [inverse[e - len(a) : e] for a, e in zip(asked, ends, strict=True)]
         first = [1] + [0] * (len(rows) - 1)
+        kept = {"place": group.column("place")} if "place" in group.column_names else {}
         return pa.table({
-            "batch": group.column("batch"), "shard": group.column("shard"),
+            "batch": group.column("batch"), "shard": group.column("shard"), **kept,
             "ids": pa.array([planes(ids[r], "<u8") for r in rows], pa.binary()), "counts": pa.array([planes(total[r], "<u8") for r in rows], pa.binary()),
             "n": pa.array([f * int(total.sum()) for f in first], pa.int64()), "v": pa.array([f * int((total > 0).sum()) for f in first], pa.int64()),
         })
 
     asked = coded.select("batch", "words", "counts").mapInArrow(deal, "batch bigint, shard int, words binary, counts binary")
-    return asked.groupBy("shard").applyInArrow(answer, "batch bigint, shard int, ids binary, counts binary, n bigint, v bigint")
+    if routes.direct:
+        return asked.groupBy("shard").applyInArrow(answer, "batch bigint, shard int, ids binary, counts binary, n bigint, v bigint")
+
+    def route(group: pa.Table) -> pa.Table:
+        """The words of a unit by shard, with their places in the unit, batches in order."""
+        group = group.sort_by("batch")
+        h = np.concatenate([np.frombuffer(w.as_py(), dtype=np.uint64) for w in group.column("words")])
+        c = np.concatenate([unplanes(x.as_py(), "<u4") for x in group.column("counts")])
+        target = word_shards(h & MARK, shards)
+        order = np.argsort(target, kind="stable")
+        parts = np.split(order, runs(target[order])[1:])
+        unit = group.column("unit")[0].as_py()
+        return pa.table({
+            "batch": pa.array([unit] * len(parts), pa.int64()), "shard": pa.array([int(target[p[0]]) for p in parts], pa.int32()), "words": pa.array([h[p].tobytes() for p in parts], pa.binary()),
+            "counts": pa.array([planes(c[p], "<u4") for p in parts], pa.binary()), "place": pa.array([planes(p, "<u4") for p in parts], pa.binary()),
+        })
+
+    def back(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The answers to a unit, put in place and cut into those to its batches."""
+        left = left.sort_by("batch")
+        lengths = left.column("size").to_numpy()
+        ids, counts = np.full(lengths.sum(), UNKNOWN), np.zeros(lengths.sum(), dtype=np.uint64)
+        for place, i, c in zip(*(right.column(k).to_pylist() for k in ("place", "ids", "counts")), strict=True):
+            at = unplanes(place, "<u4")
+            ids[at], counts[at] = unplanes(i, "<u8"), unplanes(c, "<u8")
+        ends = np.cumsum(lengths)
+        cuts = [slice(e - k, e) for e, k in zip(ends, lengths, strict=True)]
+        once = lambda name: pa.array([sum(right.column(name).to_pylist())] + [0] * (len(cuts) - 1), pa.int64())
+        return pa.table({
+            "batch": left.column("batch"), "shard": left.column("shard"), "ids": pa.array([planes(ids[x], "<u8") for x in cuts], pa.binary()),
+            "counts": pa.array([planes(counts[x], "<u8") for x in cuts], pa.binary()), "n": once("n"), "v": once("v"),
+        })
+
+    asked = asked.withColumn("unit", routes.unit("batch", F.col("shard")))
+    sizes = asked.select("unit", "batch", "shard", (F.length("words") / 8).cast("bigint").alias("size"))
+    sent = asked.groupBy("unit").applyInArrow(route, "batch bigint, shard int, words binary, counts binary, place binary")
+    told = sent.groupBy("shard").applyInArrow(answer, "batch bigint, shard int, place binary, ids binary, counts binary, n bigint, v bigint")
+    return sizes.groupBy("unit").cogroup(told.withColumnRenamed("batch", "unit").groupBy("unit")).applyInArrow(back, "batch bigint, shard int, ids binary, counts binary, n bigint, v bigint")
+
+
+def bigram_shards(first: np.ndarray, total: np.ndarray, second: np.ndarray, shards: int, set_: Settings) -> np.ndarray:
+    """Bigrams go by their first word; frequent first words are split over several shards by the second."""
+    salt = mix(second) % (total // np.uint64(set_.split_tokens) + np.uint64(1))
+    return (mix(first * np.uint64(0x9E3779B97F4A7C15) + salt) % np.uint64(shards)).astype(np.int64)
+
+
+def message(first: np.ndarray, total: np.ndarray, second: np.ndarray, code: np.ndarray, trained: np.ndarray, uses: np.ndarray, texts: np.ndarray, n_docs: int) -> dict:
+    """The columns of a request about bigrams with equal first words in a row; texts is flat, uses of them for each bigram."""
+    new = runs(first)
+    return {
+        "first": planes(first[new], "<u8"), "first_count": planes(total[new], "<u8"), "children": planes(np.diff(new, append=len(first)), "<u4"), "second": planes(second, "<u8"), "second_code": planes(code, "<u2"),
+        "trained": planes(trained, "<u4"), "uses": planes(uses, "<u4"), "texts": planes(texts, "<u2" if n_docs <= 65536 else "<u4"), "n_docs": n_docs,
+    }
+
+
+def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs of given starts and lengths, one after another."""
+    stop = np.cumsum(lengths)
+    return np.arange(stop[-1]) - np.repeat(stop - lengths - starts, lengths)
 
 
 #: A request (kind 0) to a bigram shard, or (kind 1) what a batch already knows of its texts.
 REQUEST = "shard int, kind int, batch bigint, n_docs int, first binary, first_count binary, children binary, second binary, second_code binary, trained binary, uses binary, texts binary, docs array<bigint>, held binary, facts binary"
-#: Sums for some texts of a batch, or the row of kind 1 handed on.
+REQUEST_NAMES = [f.split()[0] for f in REQUEST.split(", ")]
+#: Sums for some texts of a batch, or a row of another kind handed on.
 PARTIAL = "batch bigint, kind int, at binary, sums binary, docs array<bigint>, held binary, facts binary"
+PARTIAL_NAMES = [f.split()[0] for f in PARTIAL.split(", ")]
+
+
+def partial_schema() -> pa.Schema:
+    return pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("at", pa.binary()), ("sums", pa.binary()), ("docs", pa.list_(pa.int64())), ("held", pa.binary()), ("facts", pa.binary())])
 
 
-def ask_bigrams(coded: DataFrame, answers: DataFrame, shards: int, words_in: int, n: int, v: int, set_: Settings) -> DataFrame:
-    names = [f.split()[0] for f in REQUEST.split(", ")]
+def request_schema() -> pa.Schema:
     types = {"shard": pa.int32(), "kind": pa.int32(), "batch": pa.int64(), "n_docs": pa.int32(), "docs": pa.list_(pa.int64())}
-    schema = pa.schema([(c, types.get(c, pa.binary())) for c in names])
+    return pa.schema([(c, types.get(c, pa.binary())) for c in REQUEST_NAMES])
+
+
+def ask_bigrams(coded: DataFrame, answers: DataFrame, routes: Routes, words_by: Routes, n: int, v: int, set_: Settings) -> DataFrame:
+    """Requests to shards, or to groups of them."""
+    schema = request_schema()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[dict] = []
         answer = {s: (unplanes(i, "<u8"), unplanes(c, "<u8")) for s, i, c in zip(*(right.column(k).to_pylist() for k in ("shard", "ids", "counts")), strict=True)}
         for row in left.to_pylist():
-            shard = word_shards(unplanes(row["marks"], "<u4"), words_in)
+            shard = word_shards(unplanes(row["marks"], "<u4"), words_by.shards) // words_by.fan
             ids, counts = np.full(len(shard), UNKNOWN), np.zeros(len(shard), dtype=np.uint64)
             for s, (i, c) in answer.items():
                 mine = shard == s
@@ -193,8 +292,8 @@ def ask_bigrams(coded: DataFrame, answers: DataFrame, shards: int, words_in: int
             share = set_.prior / (counts.astype(np.float64) + set_.prior)
             local = np.bincount(doc[lost], weights=np.log10(share[before[lost]] * p1[s[lost]]), minlength=len(lengths))
             facts = np.concatenate([lengths.astype(np.float64), known.astype(np.float64), base, local])
-            blank = dict.fromkeys(names)
-            out.append(blank | {"shard": row["batch"] % shards, "kind": 1, "batch": row["batch"], "n_docs": len(lengths), "docs": row["docs"], "held": row["held"], "facts": facts.tobytes()})
+            blank = dict.fromkeys(REQUEST_NAMES)
+            out.append(blank | {"shard": row["batch"] % routes.groups, "kind": 1, "batch": row["batch"], "n_docs": len(lengths), "docs": row["docs"], "held": row["held"], "facts": facts.tobytes()})
             at = np.flatnonzero(~lost)
             key = (before[at].astype(np.uint64) << np.uint64(32)) | s[at]
             order = np.argsort(key)
@@ -206,28 +305,91 @@ def ask_bigrams(coded: DataFrame, answers: DataFrame, shards: int, words_in: int
             uses = np.diff(offsets, append=len(key))
             a, b = (key[offsets] >> np.uint64(32)).astype(np.int64), (key[offsets] & np.uint64(0xFFFFFFFF)).astype(np.int64)
             del before, doc, lost, at, order, key, s
-            parts = counts // np.uint64(set_.split_tokens) + np.uint64(1)
-            salt = mix(ids[b]) % parts[a]
-            target = (mix(ids[a] * np.uint64(0x9E3779B97F4A7C15) + salt) % np.uint64(shards)).astype(np.int64)
+            target = bigram_shards(ids[a], counts[a], ids[b], routes.shards, set_) // routes.fan
             code = quantise(p1)
-            order, ends = dealt(target, shards)
-            kind = "<u2" if len(lengths) <= 65536 else "<u4"
+            order, ends = dealt(target, routes.groups)
             for k in np.flatnonzero(np.diff(ends)):
                 e = order[ends[k] : ends[k + 1]]
-                new = runs(a[e])
-                u = uses[e]
-                stop = np.cumsum(u)
-                where = np.arange(stop[-1]) - np.repeat(stop - u - offsets[e], u)
-                out.append(blank | {
-                    "shard": int(k), "kind": 0, "batch": row["batch"], "n_docs": len(lengths), "first": planes(ids[a[e[new]]], "<u8"), "first_count": planes(counts[a[e[new]]], "<u8"),
-                    "children": planes(np.diff(new, append=len(e)), "<u4"), "second": planes(ids[b[e]], "<u8"), "second_code": planes(code[b[e]], "<u2"),
-                    "trained": planes(trained[e], "<u4"), "uses": planes(u, "<u4"), "texts": planes(texts[where], kind),
-                })
+                sent = message(ids[a[e]], counts[a[e]], ids[b[e]], code[b[e]], trained[e], uses[e], texts[gathered(offsets[e], uses[e])], len(lengths))
+                out.append(blank | sent | {"shard": int(k), "kind": 0, "batch": row["batch"]})
         return pa.Table.from_pylist(out, schema=schema)
 
     return coded.drop("words", "counts", "n_tokens", "n_words").groupBy("batch").cogroup(answers.select("batch", "shard", "ids", "counts").groupBy("batch")).applyInArrow(run, REQUEST)
 
 
+def grams(group: pa.Table, k: int) -> tuple[np.ndarray, ...]:
+    """first, total, second and trained of the k-th request, a value for each bigram."""
+    get = lambda c, t: unplanes(group.column(c)[k].as_py(), t)
+    kids = get("children", "<u4")
+    return np.repeat(get("first", "<u8"), kids), np.repeat(get("first_count", "<u8"), kids), get("second", "<u8"), get("trained", "<u4")
+
+
+def use_of(group: pa.Table, k: int) -> tuple[np.ndarray, ...]:
+    """code and uses of the k-th request, a value for each bigram, and its texts, uses of them for each."""
+    get = lambda c, t: unplanes(group.column(c)[k].as_py(), t)
+    return get("second_code", "<u2"), get("uses", "<u4"), get("texts", "<u2" if group.column("n_docs")[k].as_py() <= 65536 else "<u4")
+
+
+def route_bigrams(requests: DataFrame, routes: Routes, set_: Settings) -> DataFrame:
+    """What the batches of a unit ask of its group, as requests to the shards of the group in the name of the unit.
+
+    The texts of a unit are those of its batches in order, one after another; a row of kind 2 tells which (docs) and how many of each.
+    """
+    schema = request_schema()
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("batch")
+        blank, out, parts, batches, sizes, unit = dict.fromkeys(REQUEST_NAMES), [], [], [], [], group.column("unit")[0].as_py()
+        for k in range(group.num_rows):
+            batch, n_docs = group.column("batch")[k].as_py(), group.column("n_docs")[k].as_py()
+            if group.column("kind")[k].as_py() == 1:
+                out.append(blank | {c: group.column(c)[k].as_py() for c in ("kind", "batch", "n_docs", "docs", "held", "facts")} | {"shard": batch % routes.shards})
+                continue
+            first, total, second, trained = grams(group, k)
+            code, uses, texts = use_of(group, k)
+            parts.append((first, total, second, code, trained, uses, texts.astype(np.uint32) + np.uint32(sum(sizes))))
+            batches.append(batch)
+            sizes.append(n_docs)
+        if parts:
+            first, total, second, code, trained, uses, texts = (np.concatenate([p[c] for p in parts]) for c in range(7))
+            target = bigram_shards(first, total, second, routes.shards, set_)
+            order = np.lexsort((second, first, target))
+            starts = np.cumsum(uses, dtype=np.int64) - uses
+            for e in np.split(order, runs(target[order])[1:]):
+                sent = message(first[e], total[e], second[e], code[e], trained[e], uses[e], texts[gathered(starts[e], uses[e].astype(np.int64))], sum(sizes))
+                out.append(blank | sent | {"shard": int(target[e[0]]), "kind": 0, "batch": unit})
+            out.append(blank | {"shard": unit % routes.shards, "kind": 2, "batch": unit, "n_docs": 0, "docs": batches, "facts": np.array(sizes, dtype=np.int64).tobytes()})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return requests.withColumn("unit", routes.unit("batch", F.col("shard"))).groupBy("unit").applyInArrow(run, REQUEST)
+
+
+def bring_back(partials: DataFrame, routes: Routes) -> DataFrame:
+    """The sums of units as sums of their batches."""
+    schema = partial_schema()
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.drop_columns(["unit"]).to_pylist()
+        out, told = [r for r in rows if r["kind"] == 1], [r for r in rows if r["kind"] == 0]
+        if told:
+            own = next(r for r in rows if r["kind"] == 2)
+            ends = np.cumsum(np.frombuffer(own["facts"], dtype=np.int64))
+            told.sort(key=lambda r: r["at"])
+            at, sums = np.concatenate([unplanes(r["at"], "<u4") for r in told]).astype(np.int64), np.concatenate([np.frombuffer(r["sums"], dtype=np.float64) for r in told])
+            order = np.argsort(at, kind="stable")
+            new = runs(at[order])
+            at, sums = at[order][new], np.add.reduceat(sums[order], new)
+            cuts = np.searchsorted(at, np.concatenate([[0], ends]))
+            for k, batch in enumerate(own["docs"]):
+                some = slice(cuts[k], cuts[k + 1])
+                if cuts[k] < cuts[k + 1]:
+                    out.append(dict.fromkeys(PARTIAL_NAMES) | {"batch": batch, "kind": 0, "at": planes(at[some] - (ends[k - 1] if k else 0), "<u4"), "sums": sums[some].tobytes()})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    unit = F.when(F.col("kind") == 1, routes.unit("batch", F.pmod("batch", F.lit(routes.groups)))).otherwise(F.col("batch"))
+    return partials.withColumn("unit", unit).groupBy("unit").applyInArrow(run, PARTIAL)
+
+
 def build_trie(first: np.ndarray, total: np.ndarray, second: np.ndarray, count: np.ndarray, prior: float) -> Trie:
     """From bigrams in any order, with repeats; total is the count of the first word in the corpus."""
     if len(first) and max(first.max(), second.max()) < 2**32:
@@ -248,36 +410,33 @@ def build_trie(first: np.ndarray, total: np.ndarray, second: np.ndarray, count:
 
 
 def answer_bigrams(requests: DataFrame, set_: Settings) -> DataFrame:
-    names = [f.split()[0] for f in PARTIAL.split(", ")]
-    schema = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("at", pa.binary()), ("sums", pa.binary()), ("docs", pa.list_(pa.int64())), ("held", pa.binary()), ("facts", pa.binary())])
+    """A row of sums for each request; rows of other kinds are handed on."""
+    schema = partial_schema()
 
     def run(group: pa.Table) -> pa.Table:
-        blank, out, asked = dict.fromkeys(names), [], []
+        blank, out, asked = dict.fromkeys(PARTIAL_NAMES), [], []
         for k in range(group.num_rows):
-            row = {c: group.column(c)[k].as_py() for c in ("kind", "batch", "n_docs", "docs", "held", "facts", "texts", "uses", "second_code")}
-            if row["kind"] == 1:
+            row = {c: group.column(c)[k].as_py() for c in ("kind", "batch", "n_docs", "docs", "held", "facts")}
+            if row["kind"]:
                 out.append(blank | {c: row[c] for c in ("batch", "kind", "docs", "held", "facts")})
                 continue
-            get = lambda c, t, k=k: unplanes(group.column(c)[k].as_py(), t)
-            kids = get("children", "<u4")
-            first, total = np.repeat(get("first", "<u8"), kids), np.repeat(get("first_count", "<u8"), kids)
-            asked.append((row["batch"], row["n_docs"], first, total, get("second", "<u8"), row["second_code"], get("trained", "<u4"), row["uses"], row["texts"]))
+            asked.append((row["batch"], row["n_docs"], *grams(group, k), k))
         if asked:
-            seen = [r[6] > 0 for r in asked]
-            parts = [np.concatenate([r[k][m] for r, m in zip(asked, seen, strict=True)]) for k in (2, 3, 4, 6)]
+            seen = [r[5] > 0 for r in asked]
+            parts = [np.concatenate([r[k][m] for r, m in zip(asked, seen, strict=True)]) for k in (2, 3, 4, 5)]
             trie = build_trie(*parts, set_.prior).mapped()
             del parts, seen
-            for batch, n_docs, first, total, second, code, _, uses, texts in asked:
-                code, uses = unplanes(code, "<u2"), unplanes(uses, "<u4")
+            for batch, n_docs, first, total, second, _, k in asked:
+                code, uses, texts = use_of(group, k)
                 node = trie.lookup(first, second)
                 f = np.zeros(len(node))
                 hit = np.flatnonzero(node >= 0)
                 f[hit] = restore(trie.levels[1].codes[node[hit]])
                 p = f + set_.prior / (total.astype(np.float64) + set_.prior) * restore(code)
-                doc = unplanes(texts, "<u2" if n_docs <= 65536 else "<u4")
-                sums = np.bincount(doc, weights=np.repeat(np.log10(p), uses), minlength=n_docs)
+                named, place = np.unique(texts, return_inverse=True) if n_docs > 4 * len(texts) else (np.arange(n_docs), texts)
+                sums = np.bincount(place, weights=np.repeat(np.log10(p), uses), minlength=len(named))
                 some = np.flatnonzero(sums)
-                out.append(blank | {"batch": batch, "kind": 0, "at": planes(some, "<u4"), "sums": sums[some].tobytes()})
+                out.append(blank | {"batch": batch, "kind": 0, "at": planes(named[some], "<u4"), "sums": sums[some].tobytes()})
         return pa.Table.from_pylist(out, schema=schema)
 
     return requests.groupBy("shard").applyInArrow(run, PARTIAL)
@@ -309,9 +468,12 @@ def score(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     """
     set_ = settings
     coded = cut(encode(df, set_, id_col, text_col), "batches", "none")  # its columns are compressed already
-    words, tokens = (x or 0 for x in coded.agg(F.sum("n_words"), F.sum("n_tokens")).first())
-    word_parts, parts = min(int(MARK) + 1, max(1, -(-words // set_.shard_words))), max(1, -(-tokens // set_.shard_tokens))
-    answers = cut(count_words(coded, word_parts), "words", "none")
+    words, tokens, batches = (x or 0 for x in coded.agg(F.sum("n_words"), F.sum("n_tokens"), F.count("*")).first())
+    words_by = Routes.of(min(int(MARK) + 1, max(1, -(-words // set_.shard_words))), batches, set_)
+    routes = Routes.of(max(1, -(-tokens // set_.shard_tokens)), batches, set_)
+    answers = cut(count_words(coded, words_by), "words", "none")
     n, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("v")).first())
-    requests = ask_bigrams(coded, answers, parts, word_parts, n, v, set_)
-    return add_up(answer_bigrams(requests, set_), n)
+    requests = ask_bigrams(coded, answers, routes, words_by, n, v, set_)
+    if routes.direct:
+        return add_up(answer_bigrams(requests, set_), n)
+    return add_up(bring_back(answer_bigrams(route_bigrams(requests, routes, set_), set_), routes), n)
