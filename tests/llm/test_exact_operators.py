@@ -215,7 +215,7 @@ def test_descent_against_plain_python(spark):
 
 
 def test_urls(spark):
-    urls = [None, "", "no scheme", "HTTP://Www.EXAMPLE.com/en/7x?q#f", "a://b://c/d", "http://example.net?x", "http://x.org/es/#casino-win", "ftp://free-bets.Example.NET/de/8/", "http://h.test/casino/bets", "http://h.test/casinobets", "http://h.test/spam-farms", "http://ÄÖ.com/en/", "http://notexample.com/en/7", "http://org/es/", "http://a\nb.net/de/\nx"]
+    urls = [None, "", "no scheme", "HTTP://Www.EXAMPLE.com/en/7x?q#f", "a://b://c/d", "http://example.net?x", "http://x.org/es/#casino-win", "ftp://free-bets.Example.NET/de/8/", "http://h.test/casino/bets", "http://h.test/casinobets", "http://h.test/spam-farms", "http://ÄÖ.com/en/", "http://notexample.com/en/7", "http://org/es/", "http://a\nb.net/de/\nx", "http://h.test/c%61sino/%62ETS", "http://h.test/p%6Frn", "http://h.test/%2570orn", "http://h.test/" + "x" * 300_000 + "/porn/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(3, urls[3], "h")], "page_id long, url string, host string")
     rows = url_filter.judge_urls(df).select("page_id", "host", "path", "rule", "verdict").collect()
     con = duckdb.connect()
@@ -225,10 +225,22 @@ def test_urls(spark):
     by = {r["page_id"]: r for r in rows}
     assert (by[3]["host"], by[3]["path"], by[3]["rule"], by[3]["verdict"]) == ("www.example.com", "/en/7x", "example.com/en/7", "allow")
     assert (by[4]["host"], by[4]["path"]) == ("b:", "//c/d") and by[8]["verdict"] == "block" and by[9]["verdict"] == "allow" and by[10]["verdict"] == "allow"
+    assert by[15]["verdict"] == by[16]["verdict"] == by[18]["verdict"] == "block" and by[17]["verdict"] == "allow"
     assert by[0]["host"] == by[0]["path"] == "" and by[7]["rule"] == "example.net/de/8"
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_vocabulary_from_a_table(spark):
+    terms = spark.createDataFrame([("Bad", None), ("odd", 1.0), ("ODD", 0.5), ("queer-fish", 0.6), ("", 1.0), (None, 1.0), ("dual", 1.0), ("dual", None)], "term string, weight double")
+    v = url_filter.vocabulary(terms)
+    assert v.strict == ("bad", "dual") and v.soft == (("odd", 1.0), ("queer-fish", 0.6))
+    df = spark.createDataFrame([(0, "http://x/bad"), (1, "http://x/odd"), (2, "http://x/odd/queer-fish"), (3, "http://x/badly")], "page_id long, url string")
+    rows = url_filter.judge_urls(df, v, ()).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert {r["page_id"]: r["verdict"] for r in rows} == {0: "block", 1: "allow", 2: "block", 3: "allow"}
+    with pytest.raises(ValueError):
+        url_filter.vocabulary(terms, most=2)
+
+
 def test_packing(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = queries.tokenizer_file()

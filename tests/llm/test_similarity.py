@@ -153,6 +153,22 @@ def test_pigeonhole_join(spark, settings):
     assert embedding_join.join(df.limit(0)).count() == 0
 
 
+def test_long_vectors(spark):
+    """Vectors too long for a rotation matrix, of even and odd length; the turn keeps all distances."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for dim, at in ((20_000, 0), (9_999, 100)):
+        base = rng.standard_normal((4, dim))
+        x = base / np.linalg.norm(base, axis=1)[:, None]
+        y = embedding_join.turned(x, 7, {})
+        assert np.allclose(y @ y.T, x @ x.T) and not np.allclose(np.abs(y).max(), np.abs(x).max())
+        rows += [(at + k, (base[k % 4] + rng.standard_normal(dim) * rng.choice([0.0, 0.2, 0.4])).tolist()) for k in range(16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want, counts = all_pairs(rows, 0.95)
+    got = embedding_join.join(df).collect()
+    assert {r["vec_id"]: r["component_id"] for r in got} == want and sorted((r["vec_id"], r["n_links"]) for r in got) == counts
+
+
 def test_pigeonhole_query(spark, small_dir):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{small_dir}/embeddings.parquet").collect()]
     want, counts = all_pairs(rows, 0.95)

@@ -6,7 +6,7 @@ are within squared distance 2 (1 - t), then in some block they are within that b
 grid over the block's first coordinates, of cells twice as wide as the block radius: a vector lives in
 one cell and visits the lower-numbered cells that its ball touches. Cells are split into chunks of
 bounded size, and pairs of chunks are compared inside a task. A pair counts in the first block whose
-budget it meets, once its cosine, in double precision, is verified. A task returns one row per vector
+budget it meets, once the cosine of the vectors as given, in double precision, is verified. A task returns one row per vector
 (links and the least vector that they lead to), never the pairs.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import components, cut, roots
+from tracewright.llm.common import components, cut, drop, pieces, roots
 
 
 @dataclass(frozen=True)
@@ -33,11 +33,31 @@ class Settings:
     seed: int = 7
 
 
+#: Up to this dimension a rotation is a matrix.
+DENSE = 512
+
+
 def rotation(dim: int, seed: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
 
+def turned(x: np.ndarray, seed: int, known: dict[int, np.ndarray]) -> np.ndarray:
+    """The rows of x rotated; long ones by signs, a Fourier transform and a shuffle, three times, without a matrix."""
+    dim = x.shape[1]
+    if dim <= DENSE:
+        if dim not in known:
+            known[dim] = rotation(dim, seed)
+        return x @ known[dim].T
+    rng = np.random.default_rng([seed, dim])
+    for _ in range(3):
+        f = np.fft.rfft(x * rng.choice([-1.0, 1.0], dim), axis=1, norm="ortho")
+        inner = f[:, 1 : (dim + 1) // 2] * np.sqrt(2)
+        ends = [f[:, :1].real, *([f[:, -1:].real] if dim % 2 == 0 else [])]
+        x = np.concatenate([*ends, inner.real, inner.imag], axis=1)[:, rng.permutation(dim)]
+    return x
+
+
 def budgets(dim: int, set_: Settings) -> list[tuple[int, int, float]]:
     """(from, to, squared distance) of each block: shares in proportion to dimension, with room for rounding."""
     m = min(set_.blocks, dim)
@@ -121,24 +141,21 @@ def join(df: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id",
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in pieces(batches, 4096):
             blobs = batch.column("unit").to_pylist()
             sizes = np.array([len(v) // 8 for v in blobs])
             for dim in np.unique(sizes):
                 mine = np.flatnonzero(sizes == dim)
                 x = np.frombuffer(b"".join(blobs[k] for k in mine), dtype=np.float64).reshape(len(mine), dim)
-                if dim not in turns:
-                    turns[dim] = rotation(int(dim), set_.seed)
-                x = x @ turns[dim].T
-                turned, of = pa.array([v.tobytes() for v in x], pa.binary()), batch.take(pa.array(mine))
+                x, of = turned(x, set_.seed, turns), batch.take(pa.array(mine))
                 for k, (a, b, limit) in enumerate(budgets(int(dim), set_)):
                     at, cells, home = cells_of(x[:, a : min(b, a + set_.grid)], limit**0.5)
                     rows = pa.array(at)
                     names = pa.array([c.tobytes() for c in cells.astype("<i4")], pa.binary())
                     fixed = [pa.array(np.full(len(at), v, dtype=np.int32)) for v in (dim, k)]
-                    yield pa.RecordBatch.from_arrays([*fixed, names, pa.array(home), of.column("rep").take(rows), of.column("copies").take(rows), turned.take(rows)], names=["dim", "block", "cell", "home", "rep", "copies", "x"])
+                    yield pa.RecordBatch.from_arrays([*fixed, names, pa.array(home), of.column("rep").take(rows), of.column("copies").take(rows), of.column("unit").take(rows)], names=["dim", "block", "cell", "home", "rep", "copies", "unit"])
 
-    dealt = cut(reps.mapInArrow(deal, "dim int, block int, cell binary, home boolean, rep bigint, copies bigint, x binary"), "cells", "snappy")
+    dealt = cut(reps.mapInArrow(deal, "dim int, block int, cell binary, home boolean, rep bigint, copies bigint, unit binary"), "cells", "snappy")
     cell = ["dim", "block", "cell"]
     sizes = dealt.groupBy(*cell).agg(F.sum(F.col("home").cast("int")).alias("lives"), F.count("*").alias("n")).where("lives > 0 and n > 1")
     sizes = sizes.select(*cell, F.ceil(F.col("n") / set_.chunk).cast("int").alias("chunks"))
@@ -152,7 +169,8 @@ def join(df: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id",
         k = group.column("block")[0].as_py()
         rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
         home, own = np.array(group.column("home").to_pylist(), dtype=bool), group.column("own").to_numpy()
-        x = np.frombuffer(b"".join(group.column("x").to_pylist()), dtype=np.float64).reshape(len(rep), -1)
+        units = np.frombuffer(b"".join(group.column("unit").to_pylist()), dtype=np.float64).reshape(len(rep), -1)
+        x = turned(units, set_.seed, {})
         shares = budgets(x.shape[1], set_)
         a, b, limit = shares[k]
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
@@ -179,7 +197,7 @@ def join(df: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id",
                 for f, t, share in shares[:k]:
                     first &= gap[:, f:t].sum(axis=1) > share
                 p, q = p[first], q[first]
-                good = (x[p] * x[q]).sum(axis=1) >= set_.threshold
+                good = (units[p] * units[q]).sum(axis=1) >= set_.threshold
                 is_.append(p[good])
                 js.append(q[good])
         i, j = (np.concatenate(is_), np.concatenate(js)) if is_ else (np.zeros(0, dtype=np.int64),) * 2
@@ -193,6 +211,7 @@ def join(df: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id",
 
     linked = cut(units.groupBy(*cell, "low", "high").applyInArrow(compare, "rep bigint, links bigint, root bigint"), "vector-links", "snappy")
     counts = linked.groupBy("rep").agg(F.sum("links").alias("links"))
+    drop(dealt)
     groups = components(linked.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     known = classes.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("fp", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
