@@ -30,7 +30,7 @@ def pad_track_contacts(pads: DataFrame, tracks: DataFrame, tolerance: float = 0.
 
 def track_contacts(tracks: DataFrame, tolerance: float = 0.0) -> DataFrame:
     t = tracks.withColumns({"sx1": F.col("x1"), "sy1": F.col("y1"), "sx2": F.col("x2"), "sy2": F.col("y2")})
-    pairs = spatial.box_pairs(track_boxes(t), cell_size(tolerance), tolerance)
+    pairs = spatial.box_pairs(track_boxes(t), cell_size(tolerance), tolerance, wide=True)
     line = lambda p: tuple(F.col(f"{p}_{c}") for c in ("sx1", "sy1", "sx2", "sy2"))
     return pairs.where(capsule_gap(line("l"), F.col("l_width"), line("r"), F.col("r_width")) <= tolerance).select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
 

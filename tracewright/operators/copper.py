@@ -60,7 +60,7 @@ def track_shapes(tracks: DataFrame) -> DataFrame:
 def pad_shapes(pads: DataFrame) -> DataFrame:
     """Of pads (id, x, y, size_x, size_y, layer, net_id), with shape (C, O, else a box) and rotation in degrees, if there."""
     shape, turn = F.coalesce(_column(pads, "shape", "string"), F.lit("R")), F.pmod(F.coalesce(_column(pads, "rotation", "double"), F.lit(0.0)), F.lit(180.0))
-    circle = (shape == "C") & (F.col("size_x") == F.col("size_y"))
+    circle = shape.isin("C", "O") & (F.col("size_x") == F.col("size_y"))
     quarter, straight = F.abs(turn - 90) < 1e-9, (turn < 1e-9) | (turn > 180 - 1e-9)
     sx, sy = F.when(quarter, F.col("size_y")).otherwise(F.col("size_x")), F.when(quarter, F.col("size_x")).otherwise(F.col("size_y"))
     plain = circle | (straight | quarter) & (shape != "C")
@@ -93,7 +93,7 @@ def region_shapes(regions: DataFrame) -> DataFrame:
 
 def disc_shapes(discs: DataFrame) -> DataFrame:
     """Of round things (id, x, y, diameter) on no layer: drills, holes."""
-    out = discs.select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("layer"), _column(discs, "net_id", "string").alias("net_id"), F.lit("box").alias("core"), (F.col("diameter") / 2).alias("r"), F.col("x").alias("cx0"), F.col("y").alias("cy0"), F.col("x").alias("cx1"), F.col("y").alias("cy1"), F.lit(None).cast(EDGES).alias("edges"))
+    out = discs.select(F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("layer"), _column(discs, "net_id", "string").alias("net_id"), F.lit("box").alias("core"), (F.coalesce(_column(discs, "diameter", "double"), F.lit(0.0)) / 2).alias("r"), F.col("x").alias("cx0"), F.col("y").alias("cy0"), F.col("x").alias("cx1"), F.col("y").alias("cy1"), F.lit(None).cast(EDGES).alias("edges"))
     return _boxed(out)
 
 

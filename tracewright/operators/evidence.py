@@ -136,6 +136,12 @@ def statistics(df: DataFrame, value: str, key: tuple[str, ...] = ()) -> DataFram
     return df.groupBy(*key).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("pstdev"))
 
 
+def percentiles(df: DataFrame, value: str, shares: tuple[float, ...], key: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
+    """(key, p<share in percent>) by linear interpolation; exact sorts the values of a group in one task, otherwise a sketch of bounded size does."""
+    how = F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 100_000)
+    return df.groupBy(*key).agg(*[how(F.col(value).cast("double"), p).alias(f"p{p * 100:g}".replace(".", "_")) for p in shares])
+
+
 def coverage(covered: DataFrame, all_: DataFrame, key: str, empty: float = 1.0) -> DataFrame:
     """Share of the distinct keys of all_ that covered has too."""
     marked = all_.select(key).distinct().join(covered.select(key).distinct().withColumn("__c", F.lit(1)), key, "left")

@@ -10,10 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.geometry import box_point_distance
 from tracewright.functions.text import stable_id
 from tracewright.operators import graph, spatial
-from tracewright.operators.connectivity import cell_size, pad_boxes
+from tracewright.operators.copper import covers, pad_shapes
 
 
 def layer_order(layer: Column) -> Column:
@@ -69,9 +68,8 @@ def via_spans(drills: DataFrame, pads: DataFrame, copper: list[str], tolerance:
     Without a declared span a drill joins the outermost layers of the pads over it.
     """
     order = F.array(*[F.lit(c) for c in copper])
-    hit = spatial.box_join(spatial.point_boxes(drills.select("id", "x", "y")), pad_boxes(pads), cell_size(tolerance), tolerance, keys=())
-    hit = hit.where(box_point_distance(F.col("l_x"), F.col("l_y"), F.col("r_x0"), F.col("r_y0"), F.col("r_x1"), F.col("r_y1")) <= tolerance)
-    near = hit.where(F.col("r_layer").isin(copper)).groupBy(F.col("l_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("r_id").alias("id"), F.col("r_layer").alias("layer")))).alias("pads"))
+    hit = covers(drills.select("id", "x", "y"), pad_shapes(pads), tolerance)
+    near = hit.where(F.col("layer").isin(copper)).groupBy(F.col("point_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "layer"))).alias("pads"))
     span = declared_span(F.col("span"), F.col("span_kind"), order, F.lit(told))
     out = drills.join(near, "id", "left").withColumn("d", span).withColumn("pads", F.coalesce("pads", F.array().cast("array<struct<id:string,layer:string>>")))
     places = F.transform("pads", lambda p: F.array_position(order, p["layer"]))
@@ -93,16 +91,21 @@ def via_spans(drills: DataFrame, pads: DataFrame, copper: list[str], tolerance:
 def named_components(pads: DataFrame) -> DataFrame:
     """(id, pad_ids, kind, confidence, reference, pin_map) of pads (id, references, pins) whose file names their component.
 
-    Pads with one reference form the component of that name; a pad with several is a conflict of its own.
+    Pads with one reference form the component of that name, one for each copy where the file steps and repeats
+    (column repeats, the copy's description); a pad with several references is a conflict of its own.
     """
-    one = pads.where(F.size("references") == 1).select("id", F.col("references")[0].alias("reference"), F.when(F.size("pins") == 1, F.col("pins")[0]).alias("pin"))
+    none_told = F.array().cast("array<string>")
+    repeats = F.coalesce(F.array_sort("repeats"), none_told) if "repeats" in pads.columns else none_told
+    one = pads.where(F.size("references") == 1).select("id", F.col("references")[0].alias("reference"), repeats.alias("repeats"), F.when(F.size("pins") == 1, F.col("pins")[0]).alias("pin"))
     pins = F.filter(F.col("m"), lambda x: x["pin"].isNotNull())
-    groups = one.groupBy("reference").agg(F.array_sort(F.collect_list(F.struct("id", "pin"))).alias("m"))
+    groups = one.groupBy("reference", "repeats").agg(F.array_sort(F.collect_list(F.struct("id", "pin"))).alias("m"))
     ids = F.transform("m", lambda x: x["id"])
-    named = groups.select(stable_id("cmp", F.lit("reference"), F.col("reference"), F.array_join(ids, "|")).alias("id"), ids.alias("pad_ids"), F.lit("named_component").alias("kind"), F.lit(1.0).alias("confidence"), "reference", F.map_from_entries(F.transform(pins, lambda x: F.struct(x["id"], x["pin"]))).alias("pin_map"))
+    key = F.array_join(F.concat(F.array("reference"), F.col("repeats"), ids), "|")
+    named = groups.select(stable_id("cmp", F.lit("gerber_x2_refdes"), key).alias("id"), ids.alias("pad_ids"), F.lit("gerber_x2_component").alias("kind"), F.lit(1.0).alias("confidence"), "reference", F.map_from_entries(F.transform(pins, lambda x: F.struct(x["id"], x["pin"]))).alias("pin_map"))
     clash = pads.where(F.size("references") > 1)
     none = F.create_map().cast("map<string,string>")
-    clashes = clash.select(stable_id("cmp", F.lit("conflict"), F.col("id")).alias("id"), F.array("id").alias("pad_ids"), F.lit("named_component_conflict").alias("kind"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("reference"), none.alias("pin_map"))
+    told = F.array_join(F.concat(F.array("id"), F.array_sort("references")), "|")
+    clashes = clash.select(stable_id("cmp", F.lit("gerber_x2_refdes_conflict"), told).alias("id"), F.array("id").alias("pad_ids"), F.lit("gerber_x2_component_conflict").alias("kind"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("reference"), none.alias("pin_map"))
     return named.unionByName(clashes)
 
 

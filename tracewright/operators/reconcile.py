@@ -99,9 +99,14 @@ def multiset_similarity(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame
     return n.agg(F.sum(F.least("x", "y")).alias("s"), F.sum(F.greatest("x", "y")).alias("l")).select(F.when(F.coalesce("l", F.lit(0)) == 0, 1.0).otherwise(F.round(F.col("s") / F.col("l"), 6)).alias("similarity"))
 
 
-def variant_matrix(parts: DataFrame, variants: list[str] | None = None) -> DataFrame:
-    """One row for each reference, one boolean column for each variant; a part that a variant doesn't list is fitted."""
-    names = variants or [r[0] for r in parts.select("variant").distinct().orderBy("variant").collect()]
+def variant_matrix(parts: DataFrame, variants: list[str] | None = None, most: int = 1_000) -> DataFrame:
+    """One row for each reference, one boolean column for each variant; a part that a variant doesn't list is fitted.
+
+    More than most variants are refused, as each is a column.
+    """
+    names = variants or [r[0] for r in parts.select("variant").distinct().orderBy("variant").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} variants")
     out = parts.groupBy("reference").pivot("variant", names).agg(F.max("fitted"))
     return out.select("reference", *[F.coalesce(F.col(f"`{n}`"), F.lit(True)).alias(n) for n in names])
 

@@ -129,7 +129,7 @@ def net_state(a: Column, b: Column) -> Column:
 def track_clearance(tracks: DataFrame, limits: DrcLimits) -> DataFrame:
     """Pairs of tracks of different or unknown nets nearer than the clearance: l_id, r_id, gap, state."""
     t = tracks.withColumns({"sx1": F.col("x1"), "sy1": F.col("y1"), "sx2": F.col("x2"), "sy2": F.col("y2")})
-    pairs = spatial.box_pairs(track_boxes(t), max(cell_size(0.0), limits.clearance), limits.clearance)
+    pairs = spatial.box_pairs(track_boxes(t), max(cell_size(0.0), limits.clearance), limits.clearance, wide=True)
     line = lambda p: tuple(F.col(f"{p}_{c}") for c in ("sx1", "sy1", "sx2", "sy2"))
     gap = geometry.capsule_gap(line("l"), F.col("l_width"), line("r"), F.col("r_width"))
     out = pairs.withColumns({"gap": gap, "state": net_state(F.col("l_net_id"), F.col("r_net_id"))})
@@ -138,7 +138,7 @@ def track_clearance(tracks: DataFrame, limits: DrcLimits) -> DataFrame:
 
 def keepout_hits(objects: DataFrame, keepouts: DataFrame, cell: float = 5.0) -> DataFrame:
     """(l_id, r_id) of object boxes that touch a keepout box."""
-    return spatial.box_join(objects, keepouts, cell, 0.0, keys=()).select("l_id", "r_id")
+    return spatial.box_join(objects, keepouts, cell, 0.0, keys=(), wide=True).select("l_id", "r_id")
 
 
 def dangling_nets(pin_edges: DataFrame) -> DataFrame:
@@ -209,8 +209,8 @@ FACT_CODES = {
 }
 
 
-def release_decisions(facts: DataFrame) -> DataFrame:
-    """(profile, ready, blockers, warnings) from one row of counts (errors, warnings, regressions), shares (provenance, completeness)
+def release_decisions(facts: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """(key, profile, ready, blockers, warnings) from a row, or one for each key, of counts (errors, warnings, regressions), shares (provenance, completeness)
     and the booleans of FACT_CODES; an unknown fact blocks where it is asked for, an unknown count or share does not."""
     has = lambda c, kind: F.col(c).cast(kind) if c in facts.columns else F.lit(None).cast(kind)
     rows = []
@@ -219,4 +219,4 @@ def release_decisions(facts: DataFrame) -> DataFrame:
         tests += [(~F.coalesce(has(n, "boolean"), F.lit(False)), FACT_CODES[n]) for n in needs]
         warned = F.when(has("warnings", "bigint") > limits.warnings, "GATE_WARNING_COUNT")
         rows.append(F.struct(F.lit(name).alias("profile"), F.array_compact(F.array(*[F.when(t, c) for t, c in tests])).alias("blockers"), F.array_compact(F.array(warned)).alias("warnings")))
-    return facts.select(F.explode(F.array(*rows)).alias("r")).select("r.profile", (F.size("r.blockers") == 0).alias("ready"), "r.blockers", "r.warnings")
+    return facts.select(*key, F.explode(F.array(*rows)).alias("r")).select(*key, "r.profile", (F.size("r.blockers") == 0).alias("ready"), "r.blockers", "r.warnings")

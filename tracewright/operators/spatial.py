@@ -53,9 +53,9 @@ def _on_grids(df: DataFrame, cell: float, grow: float, prefix: str) -> DataFrame
     return out.withColumn("cx", F.explode(F.sequence(at("x0", -grow), at("x1", grow)))).withColumn("cy", F.explode(F.sequence(at("y0", -grow), at("y1", grow))))
 
 
-def box_pairs(df: DataFrame, cell: float, within: float = 0.0, keys: tuple[str, ...] = ("layer",), id_col: str = "id") -> DataFrame:
+def box_pairs(df: DataFrame, cell: float, within: float = 0.0, keys: tuple[str, ...] = ("layer",), id_col: str = "id", wide: bool = False) -> DataFrame:
     """Unordered pairs (l_id < r_id) of box_join of a table with itself. A box's own growth is on one side only, as distances are symmetric."""
-    return box_join(df, df, cell, within, keys).where(F.col(f"l_{id_col}") < F.col(f"r_{id_col}"))
+    return box_join(df, df, cell, within, keys, wide=wide).where(F.col(f"l_{id_col}") < F.col(f"r_{id_col}"))
 
 
 def point_boxes(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

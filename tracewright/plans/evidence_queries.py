@@ -87,10 +87,12 @@ def health_score(spark, d):
     return evidence.weighted_score(table(spark, d, "part").select((F.col("p_size") / 50).alias("score"), (F.col("p_partkey") % 4).alias("weight")))
 
 
-@register("percentile_rules", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.05), 6) AS value, count(*) AS sample_count, round(least(1, count(*) / 20), 6) AS confidence FROM lineitem WHERE l_quantity > 0 GROUP BY l_returnflag")
+@register("percentile_rules", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.05), 6) AS p5, round(quantile_cont(l_quantity, 0.5), 6) AS p50, count(*) AS sample_count, round(least(1, count(*) / 20), 6) AS confidence FROM lineitem WHERE l_quantity > 0 GROUP BY l_returnflag")
 def percentile_rules(spark, d):
     rows = table(spark, d, "lineitem").where("l_quantity > 0")
-    return rows.groupBy("l_returnflag").agg(F.round(F.percentile("l_quantity", 0.05), 6).alias("value"), F.count("*").alias("sample_count"), F.round(F.least(F.lit(1.0), F.count("*") / 20), 6).alias("confidence"))
+    n = rows.groupBy("l_returnflag").agg(F.count("*").alias("sample_count"))
+    found = evidence.percentiles(rows, "l_quantity", (0.05, 0.5), ("l_returnflag",)).join(n, "l_returnflag")
+    return found.select("l_returnflag", F.round("p5", 6).alias("p5"), F.round("p50", 6).alias("p50"), "sample_count", F.round(F.least(F.lit(1.0), F.col("sample_count") / 20), 6).alias("confidence"))
 
 
 @register("drill_histogram", sql("drills", "SELECT round(diameter, 3) AS diameter, count(*) AS n FROM drills GROUP BY 1"))

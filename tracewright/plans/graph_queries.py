@@ -50,11 +50,12 @@ def topological_levels(spark, d):
     return graph.levels(flow(spark, d))
 
 
-@register("dependency_cycles", "WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS u, (s_nationkey * 3 + s_suppkey) % 12 AS v FROM supplier WHERE s_nationkey < 12), p AS (SELECT [u] AS nodes, v AS cur FROM e WHERE v >= u UNION ALL SELECT list_append(nodes, cur), e.v FROM p JOIN e ON p.cur = e.u WHERE cur > nodes[1] AND NOT list_contains(nodes, cur) AND len(nodes) < 4) SELECT DISTINCT array_to_string(nodes, '>') AS cycle FROM p WHERE cur = nodes[1]")
+@register("dependency_cycles", "WITH RECURSIVE e AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS u, CAST((s_nationkey * 3 + s_suppkey % 2) % 25 AS BIGINT) AS v FROM supplier), p AS (SELECT [u] AS nodes, v AS cur FROM e WHERE v >= u UNION ALL SELECT list_append(nodes, cur), e.v FROM p JOIN e ON p.cur = e.u WHERE cur > nodes[1] AND NOT list_contains(nodes, cur)) SELECT DISTINCT array_to_string(nodes, '>') AS cycle FROM p WHERE cur = nodes[1]")
 def dependency_cycles(spark, d):
-    s = table(spark, d, "supplier").where("s_nationkey < 12")
-    edges = s.select(F.col("s_nationkey").cast("bigint").alias("u"), ((F.col("s_nationkey") * 3 + F.col("s_suppkey")) % 12).alias("v"))
-    return graph.cycles(edges, 4).select(F.array_join("nodes", ">").alias("cycle"))
+    """Cycles of any length over all nations."""
+    n = F.col("s_nationkey").cast("bigint")
+    edges = table(spark, d, "supplier").select(n.alias("u"), ((n * 3 + F.col("s_suppkey") % 2) % 25).alias("v"))
+    return graph.cycles(edges).select(F.array_join("nodes", ">").alias("cycle"))
 
 
 PINS = "SELECT component_id AS u, net_id AS v FROM pin_edges"
@@ -80,11 +81,10 @@ def erc_unused_components(spark, d):
     return rules.unused_components(components, table(spark, d, "pin_edges")).select(F.col("object_ids")[0].alias("id"))
 
 
-@register("topology_metrics", sql("pin_edges", "SELECT (SELECT count(DISTINCT component_id) FROM pin_edges) + (SELECT count(DISTINCT net_id) FROM pin_edges) AS nodes, (SELECT count(*) FROM pin_edges) AS edges"))
+@register("topology_metrics", f"WITH RECURSIVE {FLOW}, e AS (SELECT u, v FROM flow UNION SELECT v, u FROM flow), n AS (SELECT DISTINCT u AS node FROM e), reach AS (SELECT node, node AS other FROM n UNION SELECT r.node, e.v FROM reach r JOIN e ON r.other = e.u), l AS (SELECT node, min(other) AS c FROM reach GROUP BY 1) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM flow) AS edges, (SELECT count(DISTINCT c) FROM l) AS components, round(2e0 * (SELECT count(*) FROM flow) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1)), 8) AS density")
 def topology_metrics(spark, d):
-    edges = pin_graph(spark, d)
-    nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-    return graph.metrics(nodes, edges).select("nodes", "edges")
+    edges = flow(spark, d)
+    return graph.metrics(graph.both_ways(edges).select(F.col("u").alias("node")), edges)
 
 
 @register("simple_paths", f"WITH RECURSIVE {FLOW}, e AS (SELECT u, v FROM flow UNION SELECT v, u FROM flow), p AS (SELECT [CAST(4 AS BIGINT)] AS nodes UNION ALL SELECT list_append(nodes, e.v) FROM p JOIN e ON p.nodes[-1] = e.u WHERE NOT list_contains(nodes, e.v) AND len(nodes) < 7 AND p.nodes[-1] <> 29) SELECT array_to_string(nodes, '>') AS path, len(nodes) - 1 AS hops FROM p WHERE nodes[-1] = 29 AND len(nodes) > 1 ORDER BY len(nodes), nodes LIMIT 100")
@@ -93,11 +93,16 @@ def simple_paths(spark, d):
     return out.select(F.array_join("nodes", ">").alias("path"), F.col("hops").cast("bigint").alias("hops"))
 
 
-@register("neighbourhood_hashes", sql("pin_edges", "c AS (SELECT component_id AS node, string_agg(sha256('net'), ',') AS around FROM pin_edges GROUP BY 1), n AS (SELECT net_id AS node, string_agg(sha256('component'), ',') AS around FROM pin_edges GROUP BY 1) SELECT sha256(concat(sha256('component'), '|', around)) AS hash, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT sha256(concat(sha256('net'), '|', around)), count(*) FROM n GROUP BY 1"))
+@register("neighbourhood_hashes", sql("pin_edges", """
+e AS (SELECT component_id AS u, net_id AS v FROM pin_edges UNION ALL SELECT net_id, component_id FROM pin_edges), h0 AS (SELECT DISTINCT u AS node, sha256(CASE WHEN starts_with(u, 'K') THEN 'component' ELSE 'net' END) AS hash FROM e),
+h1 AS (SELECT h0.node, sha256(concat(any_value(h0.hash), '|', string_agg(o.hash, ',' ORDER BY o.hash))) AS hash FROM h0 JOIN e ON e.u = h0.node JOIN h0 o ON o.node = e.v GROUP BY 1),
+h2 AS (SELECT h1.node, sha256(concat(any_value(h1.hash), '|', string_agg(o.hash, ',' ORDER BY o.hash))) AS hash FROM h1 JOIN e ON e.u = h1.node JOIN h1 o ON o.node = e.v GROUP BY 1)
+SELECT hash, count(*) AS n FROM h2 GROUP BY 1"""))
 def neighbourhood_hashes(spark, d):
+    """Two rounds, so that neighbours of neighbours count."""
     edges = pin_graph(spark, d)
     nodes = edges.select(F.col("u").alias("node"), F.lit("component").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.lit("net").alias("label"))).distinct()
-    return graph.neighbourhood_hash(nodes, edges, 1).groupBy("hash").agg(F.count("*").alias("n"))
+    return graph.neighbourhood_hash(nodes, edges, 2).groupBy("hash").agg(F.count("*").alias("n"))
 
 
 @register("betweenness")
@@ -121,7 +126,10 @@ def layered_layout(spark, d):
     return graph.layered_layout(flow(spark, d)).select("node", "x", "y")
 
 
-@register("pipeline_order")
+@register("pipeline_order", "WITH n AS (SELECT n_nationkey AS k FROM nation), p AS (SELECT k, concat('step', lpad(CAST(k AS STRING), 2, '0')) AS node FROM n) SELECT row_number() OVER (ORDER BY k DESC) - 1 AS place, node FROM p")
 def pipeline_order(spark, d):
-    g = dag.Dag([dag.Node("nets", ("contacts",), ("nets",)), dag.Node("contacts", ("pads", "tracks"), ("contacts",)), dag.Node("read", (), ("pads", "tracks")), dag.Node("rules", ("nets", "pads"), ("issues",))])
+    """Steps that each need the step after them by number: they run from the last to the first."""
+    keys = [r[0] for r in table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+    name = lambda i: f"step{i:02}"
+    g = dag.Dag([dag.Node(name(i), (name(i + 1),) if i + 1 in keys else (), (name(i),)) for i in keys])
     return spark.createDataFrame(list(enumerate(g.order())), "place long, node string")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import architecture, hypotheses, quality
+from tracewright.functions import geometry
+from tracewright.operators import architecture, hypotheses, packages, quality
 from tracewright.plans.derived import sql, table
 from tracewright.plans.registry import register
 
@@ -127,18 +128,17 @@ def functional_blocks(spark, d):
     return architecture.functional_blocks(pins, parts, roles).where("kind = 'sensor'").groupBy("components", "nets").agg(F.count("*").alias("n"))
 
 
-@register("neighbourhoods", sql("pin_edges", "e AS (SELECT * FROM pin_edges WHERE right(net_id, 1) = '7'), m AS (SELECT a.component_id, count(DISTINCT b.component_id) AS neighbours FROM e a JOIN e b ON a.net_id = b.net_id AND a.component_id <> b.component_id GROUP BY 1) SELECT e.component_id, count(*) AS nets, coalesce(any_value(m.neighbours), 0) AS neighbours FROM e LEFT JOIN m ON m.component_id = e.component_id GROUP BY 1"))
+@register("neighbourhoods", sql("pin_edges", "e AS (SELECT * FROM pin_edges), m AS (SELECT a.component_id, count(DISTINCT b.component_id) AS neighbours FROM e a JOIN e b ON a.net_id = b.net_id AND a.component_id <> b.component_id GROUP BY 1) SELECT e.component_id, count(*) AS nets, coalesce(any_value(m.neighbours), 0) AS neighbours FROM e LEFT JOIN m ON m.component_id = e.component_id GROUP BY 1"))
 def neighbourhoods(spark, d):
-    return architecture.neighbourhoods(table(spark, d, "pin_edges").where("right(net_id, 1) = '7'"))
+    return architecture.neighbourhoods(table(spark, d, "pin_edges"))
 
 
-ROLES = "r AS (SELECT net_id, CASE p WHEN 0 THEN 'power' WHEN 1 THEN 'ground' WHEN 2 THEN 'clock' ELSE 'protocol:i2c' END AS role FROM (SELECT concat('N', CAST(l_partkey % 50 AS STRING)) AS net_id, l_suppkey % 9 AS p FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 11 = 0) WHERE p < 4)"
+ROLES = "r AS (SELECT concat('N', CAST(l_partkey * 7 + l_linenumber AS STRING)) AS net_id, CASE l_suppkey % 4 WHEN 0 THEN 'power' WHEN 1 THEN 'ground' WHEN 2 THEN 'clock' ELSE 'protocol:i2c' END AS role FROM lineitem)"
 
 
 def roles(spark, d):
-    p = F.col("l_suppkey") % 9
-    base = table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 11 = 0 and l_suppkey % 9 < 4")
-    return base.select(F.concat(F.lit("N"), (F.col("l_partkey") % 50).cast("string")).alias("net_id"), F.when(p == 0, "power").when(p == 1, "ground").when(p == 2, "clock").otherwise("protocol:i2c").alias("role"))
+    p = F.col("l_suppkey") % 4
+    return table(spark, d, "lineitem").select(F.concat(F.lit("N"), (F.col("l_partkey") * 7 + F.col("l_linenumber")).cast("string")).alias("net_id"), F.when(p == 0, "power").when(p == 1, "ground").when(p == 2, "clock").otherwise("protocol:i2c").alias("role"))
 
 
 @register("signal_roles", "WITH " + ROLES + " SELECT net_id, count(DISTINCT role) AS roles, round(least(1, 0.4e0 + 0.12 * count(DISTINCT role)), 6) AS confidence, bool_or(role = 'power') AND bool_or(role = 'ground') AS conflict FROM r GROUP BY net_id")
@@ -189,3 +189,19 @@ def component_pairs(spark, d):
 def named_components(spark, d):
     pads = table(spark, d, "pads").select("id", F.array("net_id").alias("references"), F.array(F.lit("1")).alias("pins"))
     return hypotheses.named_components(pads).select("reference", F.size("pad_ids").cast("bigint").alias("n"))
+
+
+@register("package_hints", "SELECT c_custkey AS component_id, CASE c_custkey % 6 WHEN 0 THEN 'TWO_PIN_THT' WHEN 1 THEN 'SOIC8_LIKE' WHEN 2 THEN 'SINGLE_ROW_THT' WHEN 3 THEN 'DUAL_ROW_SMD' END AS package_hint, CASE WHEN c_custkey % 6 IN (4, 5) THEN 'weak' ELSE 'accepted' END AS state FROM customer")
+def package_hints(spark, d):
+    """Two pins, two rows of four, a single row, two rows of six, pads here and there, and very many."""
+    k = F.col("c_custkey")
+    pin = lambda count, x, y, drill: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(x(i).cast("double").alias("x"), y(i).cast("double").alias("y"), F.lit(drill).cast("double").alias("drill")))
+    zero = lambda i: i * 0
+    shapes = [
+        pin(2, lambda i: i * 5, zero, 0.8), pin(8, lambda i: i % 4 * 1.27, lambda i: F.floor(i / 4) * 6, None), pin(5, lambda i: i * 2.54, zero, 1.0),
+        pin(12, lambda i: i % 6 * 0.8, lambda i: F.floor(i / 6) * 7, None), pin(7, lambda i: i * i * 1.3, lambda i: i % 3 * 2.7, None), pin(50, lambda i: i * 1.0, zero, 1.0),
+    ]
+    pads = table(spark, d, "customer").select(k.alias("component_id"), F.explode(F.when(k % 6 == 0, shapes[0]).when(k % 6 == 1, shapes[1]).when(k % 6 == 2, shapes[2]).when(k % 6 == 3, shapes[3]).when(k % 6 == 4, shapes[4]).otherwise(shapes[5])).alias("p"))
+    turned = geometry.rotate(F.col("p.x"), F.col("p.y"), (F.col("component_id") % 360).cast("double"))
+    out = packages.package_hints(pads.select("component_id", turned[0].alias("x"), turned[1].alias("y"), F.col("p.drill").alias("drill")))
+    return out.select("component_id", "package_hint", "state")

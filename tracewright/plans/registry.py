@@ -24,6 +24,6 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from tracewright.plans import board_queries, copper_queries, evidence_queries, graph_queries, inference_queries, quality_queries, scalar_queries, source_queries  # noqa: F401
+    from tracewright.plans import board_queries, copper_queries, evidence_queries, graph_queries, inference_queries, quality_queries, scalar_queries, source_queries, tool_queries  # noqa: F401
 
     return QUERIES, SQL

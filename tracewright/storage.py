@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,21 +60,40 @@ def cut(df: DataFrame, name: str, codec: str = "zstd", free: bool = True, rows:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.cut_path = path
+    _MADE.append(path)
     del df
     if free:
         release(spark)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete tables that cut() has written, once nothing will read them again."""
     for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.cut_path)
+
+
+def tables_made() -> int:
+    """How many tables this process has cut and not deleted: a mark for drop_since."""
+    return len(_MADE)
+
+
+def drop_since(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
+    """Delete all tables cut since the mark but those kept: what a finished step leaves behind."""
+    keep = {df.cut_path for df in kept}
+    for path in _MADE[mark:]:
+        if path not in keep:
+            _delete(spark, path)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete every table that this application has cut; results that still read them are lost."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_folder(spark))
+    _MADE.clear()
