@@ -164,7 +164,7 @@ def ndjson_roundtrip(spark, d):
 
 GERBER_CASES = (
     ("%ADD10C,0.5*%\nD10*\nX0Y0D03*\n", "pad", 1), ("%ADD10R,0.6X0.3*%\n%LR45*%\nD10*\nX0Y0D03*\n", "region", 1), ("%ADD10O,0.6X0.3X0.1*%\nD10*\nX0Y0D03*\n", "region", 1), ("%ADD10P,1.0X5X30*%\nD10*\nX0Y0D03*\n", "region", 1),
-    ("%AMR*21,1,$1,$1x2,0,0,0*%\n%ADD10R,0.25*%\nD10*\nX0Y0D03*\n", "pad", 1), ("%AMT*4,1,3,0,0,1,0,0,1,0,0,0*%\n%ADD10T*%\nD10*\nX0Y0D03*\n", "region", 1), ("%ADD10C,0*%\nD10*\nX0Y0D03*\n", "diagnostic", 1),
+    ("%AMBX*21,1,$1,$1x2,0,0,0*%\n%ADD10BX,0.25*%\nD10*\nX0Y0D03*\n", "pad", 1), ("%AMT*4,1,3,0,0,1,0,0,1,0,0,0*%\n%ADD10T*%\nD10*\nX0Y0D03*\n", "region", 1), ("%ADD10C,0*%\nD10*\nX0Y0D03*\n", "diagnostic", 1),
     ("%ADD10C,0.1*%\nD10*\nG75*\nX010000Y0D02*\nG03X-010000Y0I-010000J0D01*\n", "track", 16), ("%ADD10C,0.1*%\nD10*\nG74*\nX010000Y0D02*\nG03X0Y010000I010000J0D01*\n", "track", 8),
     ("%ADD10C,0.5*%\n%SRX2Y3I2J2*%\nD10*\nX0Y0D03*\n%SR*%\n", "pad", 6), ("%ADD10R,1X1*%\nD10*\nX0Y0D02*\nX020000Y010000D01*\n", "region", 1), ("%ADD10C,0.5*%\n%TO.N,GND*%\nD10*\nX0Y0D03*\n", "net GND", 1),
     ("G36*\nX0Y0D02*\nX010000Y0D01*\nX010000Y010000D01*\nX0Y0D01*\nX020000Y0D02*\nX030000Y0D01*\nX030000Y010000D01*\nX020000Y0D01*\nG37*\n", "region", 2), ("%ABD12*%\n", "diagnostic", 1), ("G99*\n", "diagnostic", 1),
@@ -244,9 +244,9 @@ def event_replay(spark, d):
 
 
 # -- values -------------------------------------------------------------------------------------------
-@register("formatted_values", "WITH v AS (SELECT p_partkey, CAST(p_partkey * pow(10, p_size % 6) AS DOUBLE) AS ohms, (p_partkey % 900 + 1) * pow(10e0, p_size % 5 - 12) AS farads FROM part) SELECT p_partkey, CASE WHEN ohms >= 1e6 THEN concat(printf('%g', ohms / 1e6), 'MΩ') WHEN ohms >= 1e3 THEN concat(printf('%g', ohms / 1e3), 'kΩ') ELSE concat(printf('%g', ohms), 'Ω') END AS ohms, CASE WHEN farads >= 1e-6 THEN concat(printf('%g', farads / 1e-6), 'µF') WHEN farads >= 1e-9 THEN concat(printf('%g', farads / 1e-9), 'nF') ELSE concat(printf('%g', farads / 1e-12), 'pF') END AS farads FROM v")
+@register("formatted_values", "WITH v AS (SELECT p_partkey, CAST(p_partkey * pow(10, p_size % 6) AS DOUBLE) AS ohms, (p_partkey % 900 + 1) / pow(10e0, 12 - p_size % 5) AS farads FROM part) SELECT p_partkey, CASE WHEN ohms >= 1e6 THEN concat(printf('%g', ohms / 1e6), 'MΩ') WHEN ohms >= 1e3 THEN concat(printf('%g', ohms / 1e3), 'kΩ') ELSE concat(printf('%g', ohms), 'Ω') END AS ohms, CASE WHEN farads >= 1e-6 THEN concat(printf('%g', farads / 1e-6), 'µF') WHEN farads >= 1e-9 THEN concat(printf('%g', farads / 1e-9), 'nF') ELSE concat(printf('%g', farads / 1e-12), 'pF') END AS farads FROM v")
 def formatted_values(spark, d):
-    ohms, farads = k() * F.pow(F.lit(10.0), F.col("p_size") % 6), (k() % 900 + 1) * F.pow(F.lit(10.0), F.col("p_size") % 5 - 12)
+    ohms, farads = k() * F.pow(F.lit(10.0), F.col("p_size") % 6), (k() % 900 + 1) / F.pow(F.lit(10.0), 12 - F.col("p_size") % 5)
     return table(spark, d, "part").select("p_partkey", text.format_resistance(ohms).alias("ohms"), text.format_capacitance(farads).alias("farads"))
 
 
