@@ -291,7 +291,7 @@ def join(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
 def keep_one(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that join keeps, all columns, and of rows that repeat id and text one."""
     marked = grouped(df, settings, id_col, text_col)
-    kept = cut(marked.where("kept and id is not null").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct(), "kept", "snappy")
+    kept = cut(marked.where("kept and id is not null").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct(), "kept", "snappy", rows=df.count(), per_file=2_000_000)
     own = df.withColumns({"__id": F.col(f"`{id_col}`").cast("bigint"), "__h": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
     known = own.where("__id is not null").join(kept, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"])
     return known.unionByName(own.where("__id is null")).select(*[F.col(f"`{c}`") for c in df.columns])
