@@ -45,6 +45,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def gathered(df: DataFrame, rows: int, per_file: int = 100_000, for_core: int = 2) -> DataFrame:
+    """df in as many partitions as give files of per_file rows, but no fewer than for_core for each core and no more than it has."""
+    return df.coalesce(max(for_core * df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_file)))
+
+
+def few_files(df: DataFrame, target: int = 64 << 20, for_core: int = 2) -> DataFrame:
+    """df in partitions of about target bytes read, where it is a plan without a shuffle and the session deals out smaller ones."""
+    spark = df.sparkSession
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if size >= target or "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    parts = df.rdd.getNumPartitions()
+    return df.coalesce(max(for_core * spark.sparkContext.defaultParallelism, -(-parts * size // target)))
+
+
 def cut(df: DataFrame, name: str, codec: str = "zstd", free: bool = True, rows: int | None = None, per_file: int = 250_000, for_core: int = 1) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
 
@@ -56,7 +71,7 @@ def cut(df: DataFrame, name: str, codec: str = "zstd", free: bool = True, rows:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     if rows is not None:
-        df = df.coalesce(max(for_core * spark.sparkContext.defaultParallelism, -(-rows // per_file)))
+        df = gathered(df, rows, per_file, for_core)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.cut_path = path
