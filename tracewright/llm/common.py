@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.operators.graph import components
-from tracewright.storage import cut, drop, drop_tables, release, shared_folder
+from tracewright.storage import cut, drop, drop_tables, few_files, release, shared_folder
 
-__all__ = ["WordHashes", "components", "cut", "drop", "drop_tables", "mix", "pieces", "release", "repeated", "roots", "shared_folder", "shingles", "windows"]
+__all__ = ["WordHashes", "components", "cut", "drop", "drop_tables", "few_files", "mix", "pieces", "release", "repeated", "roots", "shared_folder", "shingles", "windows"]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

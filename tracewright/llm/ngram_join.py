@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import WordHashes, components, cut, drop, mix, pieces, roots, shingles
+from tracewright.llm.common import WordHashes, components, cut, drop, few_files, mix, pieces, roots, shingles
 
 
 @dataclass(frozen=True)
@@ -210,7 +210,7 @@ def deal_units(members: DataFrame, blocks: DataFrame) -> DataFrame:
 def grouped(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, class_id, component_id, n_links, kept) for every row of df; see join. h is the hash of the text."""
     set_ = settings
-    sigs = cut(signatures(df, set_, id_col, text_col), "signatures", "snappy")
+    sigs = cut(few_files(signatures(df, set_, id_col, text_col)), "signatures", "snappy")
     rows = sigs.count()
     low = sigs.where("fp is not null").groupBy("fp").agg(F.min(F.struct("id", "h", "n", "sig")).alias("low"), F.count("*").alias("copies"))
     # the number of a class is fixed once it is written

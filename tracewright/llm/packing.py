@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut, pieces
+from tracewright.llm.common import cut, few_files, pieces
 
 # Fixed value: the pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -132,7 +132,7 @@ def pack(df: DataFrame, tokenizer: str, length: int = 1024, id_col: str = "doc_i
     """
     if length < 1:
         raise ValueError("windows need a positive length")
-    coded = cut(encode(df, tokenizer, id_col, text_col, end), "tokens")
+    coded = cut(encode(few_files(df), tokenizer, id_col, text_col, end), "tokens")
     totals = coded.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
     offsets, at = {}, 0
     for row in sorted(totals, key=lambda r: r["part"]):

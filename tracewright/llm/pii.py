@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut
+from tracewright.llm.common import cut, few_files
 
 KINDS = ("email", "ip", "card", "phone")
 METHOD_KINDS = ("generalise", "remove")
@@ -131,13 +131,13 @@ def disclosures(docs: DataFrame, found: DataFrame, settings: Settings) -> DataFr
     The kind is that of the entity that is disclosed most, and a term inside an entity itself (an
     address, say) is no clue to that entity.
     """
-    set_ = settings
+    set_, rows = settings, found.count()
     texts = found.groupBy("hash").agg(F.first("text").alias("text"), F.first("ents").alias("ents"), F.count("*").alias("n"))
     postings = texts.select("hash", "n", F.explode("ents").alias("e"))
     where = F.struct(F.count("*").alias("m"), F.bit_xor(F.xxhash64("hash")).alias("x"), F.bit_xor(F.xxhash64("hash", F.lit(1))).alias("y"))
     known = postings.groupBy("e").agg(F.sum("n").alias("df_e"), where.alias("texts_of"))
     groups = postings.join(known, "e").groupBy("hash", "texts_of").agg(F.first("n").alias("n"), F.first("df_e").alias("df_e"), F.collect_list("e").alias("es"))
-    groups = cut(groups, "entity-groups")
+    groups = cut(groups, "entity-groups", rows=rows)
     terms = groups.drop("es").join(texts.select("hash", "text"), "hash").withColumn("term", F.explode(words(F.col("text")))).where(F.length("term") >= set_.least_length)
     pairs = terms.groupBy("texts_of", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("df_et"), F.first("df_e").alias("df_e"))
     seen = docs.select(F.explode(words(F.col("text"))).alias("term")).where(F.length("term") >= set_.least_length).groupBy("term").agg(F.count("*").alias("df_t"))
@@ -163,13 +163,13 @@ def _found(df: DataFrame, settings: Settings, text_col: str) -> tuple[DataFrame,
     names = {c: f"__{k}" for k, c in enumerate(df.columns)}
     text = F.coalesce(F.col(names[text_col]).cast("string"), F.lit(""))
     renamed = df.toDF(*names.values())
-    whole = cut(base_spans(renamed, names[text_col]), "spans")
+    whole = cut(few_files(base_spans(renamed, names[text_col])), "spans")
     hash_ = F.struct(F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"))
     any_ = F.size(KINDS[0]) + sum((F.size(k) for k in KINDS[1:]), F.lit(0)) > 0
     ents = F.array_distinct(F.flatten(F.array(*[entities(k) for k in KINDS])))
     held = whole.where(any_).withColumns({"__text": text, "__hash": hash_})
-    found = cut(held.select(F.col("__text").alias("text"), F.col("__hash").alias("hash"), ents.alias("ents")), "entities")
-    flagged = cut(disclosures(whole.select(text.alias("text")), found, set_).withColumnRenamed("hash", "__hash"), "terms")
+    found = cut(few_files(held.select(F.col("__text").alias("text"), F.col("__hash").alias("hash"), ents.alias("ents"))), "entities")
+    flagged = cut(disclosures(whole.select(text.alias("text")), found, set_).withColumnRenamed("hash", "__hash"), "terms", rows=found.count())
 
     out = held.join(flagged, "__hash", "left")
     pattern = F.when(F.col("terms").isNotNull(), F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit("(?!)"))
