@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 from tracewright.llm import decontaminate, ngram_join, packing, pii, toxicity
 from tracewright.llm.common import cut
 from tracewright.llm.queries import table, tokenizer_file
-from tracewright.storage import drop_since, reach_workers, tables_made
+from tracewright.storage import drop_since, gathered, reach_workers, tables_made
 
 
 def carried(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """change(docs), with all columns but doc_id and text under neutral names meanwhile."""
+    """change(docs), with all columns but doc_id and text under neutral names meanwhile; in files of about 100,000 documents."""
     reach_workers(docs.sparkSession)
     names = {c: c if c in ("doc_id", "text") else f"__carried_{k}" for k, c in enumerate(docs.columns)}
     out = change(docs.toDF(*names.values()))
-    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+    return gathered(out.select(*[F.col(n).alias(c) for c, n in names.items()]), docs.count())
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
