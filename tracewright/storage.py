@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _MADE: list[str] = []
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,12 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers look for this package where the driver found it, if they see that folder.
 
-    A cluster whose machines don't gets the package by --py-files or its image instead.
+    A cluster whose machines don't gets the package by --py-files or its image instead. Where the cluster says
+    nothing else, Arrow batches hold 2,000 rows, as a batch of long texts stands in memory several times.
     """
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if root not in known.split(":"):
         env["PYTHONPATH"] = f"{root}:{known}" if known else root
+    if spark.sparkContext.getConf().get(BATCH, None) is None:
+        spark.conf.set(BATCH, "2000")
 
 
 def release(spark: SparkSession) -> None:
