@@ -249,7 +249,7 @@ def check_components(spark, d):
     return checks.components(parts, pads.where("layer = '0'")).select(F.col("object_ids")[0].alias("id"), "code")
 
 
-@register("check_electrical", sql("few_pins", "n AS (SELECT net_id, count(DISTINCT component_id) AS n FROM few_pins GROUP BY 1) SELECT 'DANGLING_NET' AS code, count(*) AS n FROM n WHERE n < 2 UNION ALL SELECT 'NET_LABEL_UNKNOWN', count(*) FROM n WHERE right(net_id, 1) = '3' UNION ALL SELECT 'COMPONENT_LOW_CONFIDENCE', count(DISTINCT component_id) FROM few_pins WHERE right(component_id, 1) = '7'"))
+@register("check_electrical", sql("few_pins", "n AS (SELECT net_id, count(DISTINCT component_id) AS n FROM few_pins GROUP BY 1) SELECT 'DANGLING_NET' AS code, count(*) AS n FROM n WHERE n < 2 HAVING count(*) > 0 UNION ALL SELECT 'NET_LABEL_UNKNOWN', count(*) FROM n WHERE right(net_id, 1) = '3' HAVING count(*) > 0 UNION ALL SELECT 'COMPONENT_LOW_CONFIDENCE', count(DISTINCT component_id) FROM few_pins WHERE right(component_id, 1) = '7' HAVING count(*) > 0"))
 def check_electrical(spark, d):
     pins = table(spark, d, "few_pins").withColumn("pin_id", F.lit("1"))
     nets = pins.select("net_id").distinct().withColumn("label", F.when(~F.col("net_id").endswith("3"), "x"))
