@@ -29,8 +29,8 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, within: float = 0.0
     """
     a, b = _renamed(left, "l_"), _renamed(right, "r_")
     if wide:
-        a, b = _on_grids(a, cell, within, "l_"), _on_grids(b, cell, 0.0, "r_")
-        size, on = F.lit(cell) * F.pow(F.lit(64.0), a["grid"]), [a["grid"] == b["grid"]]
+        a, b = _on_grids(a, cell, within, "l_", ("at home", "right up")), _on_grids(b, cell, 0.0, "r_", ("at home", "left up"))
+        size, on = F.lit(cell) * F.pow(F.lit(64.0), a["grid"]), [a["grid"] == b["grid"], a["meet"] == b["meet"]]
     else:
         a, b, size, on = with_cells(a, cell, within, "l_"), with_cells(b, cell, 0.0, "r_"), F.lit(cell), []
     on += [a["cx"] == b["cx"], a["cy"] == b["cy"], *[a[f"l_{k}"] == b[f"r_{k}"] for k in keys]]
@@ -39,15 +39,20 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, within: float = 0.0
         near = near & (a["grid"] == F.greatest("l__grid", "r__grid"))
     first = (a["cx"] == F.floor(F.greatest(F.col("l_x0") - within, F.col("r_x0")) / size)) & (a["cy"] == F.floor(F.greatest(F.col("l_y0") - within, F.col("r_y0")) / size))
     out = a.join(b, on).where(near & first)
-    out = out.select(*[F.col(c) for c in a.columns + b.columns if c not in ("cx", "cy", "grid", "l__grid", "r__grid")])
+    out = out.select(*[F.col(c) for c in a.columns + b.columns if c not in ("cx", "cy", "grid", "meet", "l__grid", "r__grid")])
     return out if condition is None else out.where(condition)
 
 
-def _on_grids(df: DataFrame, cell: float, grow: float, prefix: str) -> DataFrame:
-    """with_cells() on the grid that suits each box, and on the coarser ones."""
+def _on_grids(df: DataFrame, cell: float, grow: float, prefix: str, home: tuple[str, str]) -> DataFrame:
+    """with_cells() on the grid that suits each box, and on the coarser ones.
+
+    meet keeps boxes apart that are both on a coarser grid than their own: only there would small ones be many in a cell.
+    """
     extent = F.greatest(F.col(prefix + "x1") - F.col(prefix + "x0"), F.col(prefix + "y1") - F.col(prefix + "y0")) + 2 * grow
     own = F.when(extent <= 8 * cell, 0).when(extent <= 512 * cell, 1).otherwise(2)
     out = df.withColumn(prefix + "_grid", own).withColumn("grid", F.explode(F.sequence(F.col(prefix + "_grid"), F.lit(2))))
+    up = "left up" if "left up" not in home else "right up"
+    out = out.withColumn("meet", F.explode(F.when(F.col("grid") == F.col(prefix + "_grid"), F.array(*map(F.lit, home))).otherwise(F.array(F.lit(up)))))
     size = F.lit(cell) * F.pow(F.lit(64.0), F.col("grid"))
     at = lambda c, g: F.floor((F.col(prefix + c) + g) / size)
     return out.withColumn("cx", F.explode(F.sequence(at("x0", -grow), at("x1", grow)))).withColumn("cy", F.explode(F.sequence(at("y0", -grow), at("y1", grow))))
