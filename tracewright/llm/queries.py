@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontaminate, embedding_join, importance, lm_scoring, ngram_join, packing, pii, sharding, toxicity, url_filter
+from tracewright.llm import decontaminate, embedding_join, importance, lm_scoring, ngram_join, one_bit_search, packing, periodic_runs, pii, sharding, token_alignment, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +64,23 @@ def op10_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op11_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_bit_search.embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.documents(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_table(table(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_ngram_jaccard_join, op2_greedy_string_tiling, op3_subspace_pigeonhole, op4_classifier_chain, op5_disclosure_sanitiser,
         op6_url_vocabulary, op7_concatenate_and_cut, op8_importance_resampling, op9_elias_fano_trie, op10_weighted_hash_tree,
+        op11_one_bit_search, op12_periodic_runs, op13_token_alignment,
     ]
     return {f.__name__: f for f in found}
 
