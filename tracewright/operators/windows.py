@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.storage import cut
+
 
 def spacing(df: DataFrame, key: list[str], position: str, ties: list[str], out: str = "spacing") -> DataFrame:
     """Distance from the neighbour before, in order of position; null for the first."""
@@ -89,3 +91,16 @@ def assign_references(components: DataFrame) -> DataFrame:
 
 def first_of(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__r = 1").drop("__r")
+
+
+def numbered(df: DataFrame, keys: list[str], name: str = "number") -> DataFrame:
+    """df with numbers from 1 in the order of keys, which must tell its rows apart, without bringing all rows into one task.
+
+    Rows are dealt by ranges of keys and numbered inside each; a range then adds what the ranges before it hold, one number each.
+    """
+    sorted_ = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # the lower bits of the id count the rows of a task, whose number the upper ones are
+    dealt = cut(sorted_.withColumn("__id", F.monotonically_increasing_id()), "numbered", free=False).withColumn("__part", F.shiftright("__id", 33))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row for each task
+    return dealt.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1).drop("__part", "__id", "__before")

@@ -8,8 +8,9 @@ from tracewright.functions.geometry import signed_area
 from tracewright.operators import connectivity, graph
 from tracewright.plans.derived import table
 from tracewright.plans.registry import register
-from tracewright.sinks import kicad, reports
-from tracewright.sources import excellon, formats, gerber, tables
+from tracewright.sinks import audit, footprints, kicad, reports
+from tracewright.sources import excellon, formats, forms, gerber, tables
+from tracewright.storage import cut, new_folder
 
 
 def k():
@@ -127,9 +128,17 @@ def board_of(spark, d):
     return {"tracks": layer(tracks), "pads": layer(pads), "drills": drills, "slots": slots, "regions": regions, "outline": outline, "nets": nets}
 
 
+def file_lines(spark, board, planned=None):
+    """The lines of the board's own file, written in parts and read again."""
+    path = new_folder(spark, "board")
+    kicad.write_board(board, path, planned)
+    return forms.read_lines(spark, path, folders=True)
+
+
 def read_back(spark, board):
-    """The rows of the board's own file."""
-    return tables.kicad(kicad.board_text(board).withColumn("path", F.lit("board.kicad_pcb")))
+    """The rows of the board's own file, form by form."""
+    parts = forms.form_texts(file_lines(spark, board)).where("level = 1 and startswith(text, '(')")
+    return tables.kicad(parts.select(F.col("board").alias("path"), F.concat(F.lit("(kicad_pcb "), "text", F.lit(")")).alias("content")))
 
 
 BOARD_STATUS = """
@@ -159,6 +168,94 @@ def roundtrip_board(spark, d):
     return kicad.audit(board, read_back(spark, board)).select("family", "expected", "observed", "missing", "unexpected", "skipped")
 
 
+# -- footprints of several pads ------------------------------------------------------------------------------
+def packaged_board(spark, d):
+    """board_of() with routes, and pads of components of four; some components contradict themselves in one way or another."""
+    n = k()
+    side = F.when((F.floor(n / 4) % 17 == 0) & (n % 4 == 3), "In1.Cu").when(F.floor(n / 4) % 3 == 0, "B.Cu").otherwise("F.Cu")
+    component = F.concat(F.lit("C"), F.floor(n / 4).cast("string"))
+    text = lambda c: c.cast("string")
+    pads = table(spark, d, "part").select(
+        F.concat(F.lit("P"), text(n)).alias("id"), (n % 50 + 0.3).alias("x"), (F.floor(n / 50) + 0.2).alias("y"), (0.2 + 0.1 * (F.col("p_size") % 7)).alias("size_x"), F.lit(0.4).alias("size_y"), F.lit("R").alias("shape"), side.alias("layer"),
+        (15.0 * (n % 4)).alias("rotation"), F.when(n % 41 == 0, 0.3).alias("drill"), F.col("p_brand").alias("net_id"), component.alias("component"), n.alias("n"),
+    )
+    own = lambda test, value: F.map_from_entries(F.filter("m", lambda x: test(x["n"]))) if value is None else F.map_from_entries(F.transform(F.filter("m", lambda x: test(x["n"])), lambda x: F.struct(x["id"], value(x["n"]))))
+    parts = pads.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("m")).select(
+        F.col("component").alias("id"), F.transform("m", lambda x: x["id"]).alias("pad_ids"), F.lit(footprints.COMPONENT).alias("kind"), F.lit(1.0).alias("confidence"), F.concat(F.lit("U"), "component").alias("reference"),
+        own(lambda i: F.lit(True), lambda i: text(i % 4 + 1)).alias("pin_map"), own(lambda i: i % 5 == 0, lambda i: F.concat(F.lit("F"), text(i % 3))).alias("pin_functions"),
+    )
+    kinds = footprints.EVIDENCE
+    tell = lambda kind, value, test: pads.where(test).select(F.concat("id", F.lit(kind)).alias("id"), F.col("id").alias("object_id"), F.lit(kinds[kind]).alias("kind"), F.lit(1.0).alias("confidence"), value.alias("detail"))
+    m = F.col("n")
+    evidence = tell("reference", F.concat(F.lit("U"), F.when(m % 37 == 0, "X").otherwise(F.col("component"))), m >= 0).unionByName(tell("number", text(m % 4 + 1), m % 29 != 0))
+    evidence = evidence.unionByName(tell("function", F.concat(F.lit("F"), text(m % 3)), m % 5 == 0)).unionByName(tell("function", F.lit("X"), m % 43 == 0))
+    board = board_of(spark, d)
+    s = board["slots"]
+    end = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
+    bent = F.substring("id", 2, 20).cast("bigint") % 5 == 0
+    routes = s.select(F.concat(F.lit("R"), "id").alias("id"), F.when(bent, F.array(end("x1", "y1"), end("x2", "y2"), end("x1", "x2"))).otherwise(F.array(end("x1", "y1"), end("x2", "y2"))).alias("points"), "width", "plating")
+    # the expressions of a component are used many times over
+    return board | {"pads": pads.drop("component", "n"), "components": cut(parts, "components", free=False), "evidence": evidence, "routes": routes, "nets": board["tracks"].select("net_id").unionByName(pads.select("net_id")).where("net_id is not null").distinct().withColumn("label", F.lit(None).cast("string"))}
+
+
+PACKAGED = """
+WITH p AS (SELECT p_partkey AS n, p_partkey // 4 AS c, p_partkey % 41 = 0 AS drilled, (p_partkey // 4) % 17 = 0 AND p_partkey % 4 = 3 AS buried FROM part),
+r AS (
+  SELECT c, 'pad-not-exportable' AS reason FROM p WHERE drilled UNION SELECT c, 'reference-not-proven' FROM p WHERE NOT drilled AND n % 37 = 0 UNION
+  SELECT c, 'pin-number-not-proven' FROM p WHERE NOT drilled AND n % 29 = 0 UNION SELECT c, 'function-conflict' FROM p WHERE NOT drilled AND n % 43 = 0 AND n % 5 = 0 UNION
+  SELECT c, 'function-not-proven' FROM p WHERE NOT drilled AND n % 43 = 0 UNION
+  SELECT c, 'pads-on-several-sides' FROM p WHERE NOT drilled GROUP BY c HAVING count(DISTINCT buried) > 1 UNION
+  SELECT c, 'not-on-a-surface' FROM p WHERE NOT drilled GROUP BY c HAVING bool_and(buried)),
+e AS (SELECT n, c, drilled, c NOT IN (SELECT c FROM r) AS good FROM p)
+"""
+
+
+@register("component_footprints", PACKAGED + """
+SELECT 'reason' AS kind, reason AS name, count(*) AS n FROM r GROUP BY reason UNION ALL
+SELECT 'component', CASE WHEN good THEN 'export' ELSE 'refused' END, count(DISTINCT c) FROM e GROUP BY 2 UNION ALL
+SELECT 'pad', CASE WHEN good THEN 'export-grouped' WHEN drilled THEN 'skip-drill-padstack' ELSE 'export' END, count(*) FROM e GROUP BY 2""")
+def component_footprints(spark, d):
+    """Which components are footprints of several pads, which are refused and why, and what becomes of their pads."""
+    board = packaged_board(spark, d)
+    planned = kicad.plan(board)
+    _, refused = footprints.component_plan(board["components"], kicad.plan({n: t for n, t in board.items() if n != "components"})["pads"], board["evidence"])
+    reasons = refused.select(F.explode("reasons").alias("name")).groupBy("name").agg(F.count("*").alias("n")).select(F.lit("reason").alias("kind"), "name", "n")
+    count = lambda kind, table_: table_.groupBy("status").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.col("status").alias("name"), "n")
+    return reasons.unionByName(count("component", planned["components"])).unionByName(count("pad", planned["pads"]))
+
+
+@register("roundtrip_sections", PACKAGED.rstrip() + """,
+t AS (SELECT count(*) AS n FROM orders WHERE (o_orderkey % 3 > 0 OR o_orderkey % 4 > 0) AND o_orderkey % 40 <> 38),
+s AS (SELECT count(*) AS n, count(*) FILTER (WHERE s_suppkey % 3 = 1) AS open, count(*) FILTER (WHERE s_suppkey % 3 = 1 AND s_suppkey % 5 <> 0) AS straight FROM supplier),
+nets AS (SELECT count(DISTINCT net_id) + 1 AS n FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey % 11 END::VARCHAR AS net_id FROM orders UNION ALL SELECT p_brand FROM part)),
+f AS (
+  SELECT 'file_header' AS section, 1 AS n UNION ALL SELECT 'file_structure', 1 UNION ALL SELECT 'board_settings', 2 UNION ALL
+  SELECT 'layer_table', 5 + max(CASE WHEN o_orderkey % 40 IN (0, 38, 39) THEN 0 ELSE o_orderkey % 40 % 30 + 1 END) FROM orders UNION ALL SELECT 'net_table', n FROM nets UNION ALL SELECT 'tracks', n FROM t UNION ALL SELECT 'board_outline', 4 UNION ALL
+  SELECT 'recovered_drills', open FROM s UNION ALL SELECT 'recovered_pads', count(*) FROM e WHERE good OR NOT drilled UNION ALL
+  SELECT unnest(['copper_regions', 'region_geometry', 'region_fill_state', 'region_rules']), n FROM s UNION ALL SELECT unnest(['recovered_slots', 'slot_geometry']), open FROM s UNION ALL SELECT 'recovered_routes', straight FROM s UNION ALL
+  SELECT unnest(['vias', 'track_arcs', 'unexpected_edge_graphics', 'unexpected_copper_graphics', 'unexpected_footprint_copper_graphics', 'unexpected_fabrication_graphics', 'unexpected_copper_overrides', 'unexpected_fabrication_overrides', 'unexpected_pad_properties', 'unexpected_net_tie_groups', 'foreign_footprints']), 0)
+SELECT section, CAST(n AS BIGINT) AS expected, CAST(n AS BIGINT) AS observed, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unexpected FROM f""")
+def roundtrip_sections(spark, d):
+    """The whole board with footprints and routes written in parts, read back form by form, and compared in all sections."""
+    board = packaged_board(spark, d)
+    planned = kicad.plan(board)
+    return audit.audit(board, forms.forms(file_lines(spark, board, planned)), planned).drop("equal")
+
+
+@register("board_forms", PACKAGED.rstrip() + """,
+s AS (SELECT count(*) AS n, count(*) FILTER (WHERE s_suppkey % 3 = 1) AS open, count(*) FILTER (WHERE s_suppkey % 3 = 1 AND s_suppkey % 5 <> 0) AS straight FROM supplier),
+g AS (SELECT count(DISTINCT c) AS groups, count(*) AS pads FROM e WHERE good), a AS (SELECT count(*) AS n FROM e WHERE NOT good AND NOT drilled)
+SELECT 'footprint' AS head, 2 * open + straight + groups + a.n AS n, 2 * open + straight + pads + a.n AS pads FROM s, g, a UNION ALL
+SELECT 'zone', n, 0 FROM s UNION ALL SELECT 'gr_line', 4, 0 UNION ALL SELECT 'segment', count(*), 0 FROM orders WHERE (o_orderkey % 3 > 0 OR o_orderkey % 4 > 0) AND o_orderkey % 40 <> 38""")
+def board_forms(spark, d):
+    """How many forms of each kind the file has, and pads inside them, by its table of nodes."""
+    made = forms.forms(file_lines(spark, packaged_board(spark, d)))
+    n = forms.nodes(made.where("head in ('footprint', 'zone', 'gr_line', 'segment')"))
+    heads = n.where("parent = -1").select("board", "form", F.col("head").alias("top"))
+    pads = n.where("parent = 0 and head = 'pad'").groupBy("board", "form").agg(F.count("*").alias("pads"))
+    return heads.join(pads, ["board", "form"], "left").groupBy(F.col("top").alias("head")).agg(F.count("*").alias("n"), F.coalesce(F.sum("pads"), F.lit(0)).alias("pads"))
+
+
 @register("parse_gerber_clear", """
 WITH p AS (SELECT concat(CAST(p_partkey % 20 AS STRING), '.gtl') AS path, (p_partkey // 20) // 50 AS y, p_size FROM part),
 r AS (SELECT path, y, (count(*) + 0.2e0) * 0.5e0 - 0.08e0 * count(*) FILTER (WHERE p_size % 2 = 0) + 0.01e0 * count(*) FILTER (WHERE p_size % 4 = 0) AS area, 1 + count(*) FILTER (WHERE p_size % 4 = 0) AS n, count(*) FILTER (WHERE p_size % 2 = 0) AS holes FROM p GROUP BY ALL)

@@ -64,6 +64,13 @@ def few_files(df: DataFrame, target: int = 64 << 20, for_core: int = 2) -> DataF
     return df.coalesce(max(for_core * spark.sparkContext.defaultParallelism, -(-parts * size // target)))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder where nothing stands yet; drop_tables() deletes it too."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str, codec: str = "zstd", free: bool = True, rows: int | None = None, per_file: int = 250_000, for_core: int = 1) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither recompute it nor lose it with an executor.
 
