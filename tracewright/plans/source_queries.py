@@ -218,7 +218,7 @@ def component_footprints(spark, d):
     """Which components are footprints of several pads, which are refused and why, and what becomes of their pads."""
     board = packaged_board(spark, d)
     planned = kicad.plan(board)
-    _, refused = footprints.component_plan(board["components"], kicad.plan({n: t for n, t in board.items() if n != "components"})["pads"], board["evidence"])
+    _, refused = footprints.component_plan(board["components"], kicad.plan({n: board[n] for n in ("pads", "tracks", "nets")})["pads"], board["evidence"])
     reasons = refused.select(F.explode("reasons").alias("name")).groupBy("name").agg(F.count("*").alias("n")).select(F.lit("reason").alias("kind"), "name", "n")
     count = lambda kind, table_: table_.groupBy("status").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.col("status").alias("name"), "n")
     return reasons.unionByName(count("component", planned["components"])).unionByName(count("pad", planned["pads"]))

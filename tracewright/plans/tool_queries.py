@@ -8,6 +8,7 @@ from tracewright.functions import geometry, text
 from tracewright.operators import board, evidence, graph, query
 from tracewright.plans.derived import sql, table
 from tracewright.plans.registry import register
+from tracewright.storage import new_folder
 from tracewright.sinks import reports
 from tracewright.sources import adapters, archives, excellon, formats, gerber, tables
 from tracewright.streaming import event_log
@@ -227,10 +228,11 @@ def merged_records(spark, d):
     return row("best", best, "confidence").unionByName(row("distinct", once, None)).unionByName(row("strict", strict, "s_acctbal")).unionByName(row("last", last, "o_totalprice"))
 
 
-@register("event_replay", "WITH e AS (SELECT user_id, event_id, event_type, min(event_type) OVER () AS opens, max(event_type) OVER () AS closes FROM events), s AS (SELECT *, sum(CASE WHEN event_type = closes THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS part FROM e), last AS (SELECT user_id, max(part) AS part, any_value(opens) AS opens, any_value(closes) AS closes FROM s GROUP BY 1) SELECT CAST(s.user_id AS STRING) AS object_id, CAST(count(*) FILTER (WHERE event_type = last.opens AND s.part = last.part) AS BIGINT) AS open, CAST(max(s.part) AS BIGINT) AS closed FROM s JOIN last USING (user_id) GROUP BY 1")
-def event_replay(spark, d):
+REPLAY = "WITH e AS (SELECT user_id, event_id, event_type, min(event_type) OVER () AS opens, max(event_type) OVER () AS closes FROM events), s AS (SELECT *, sum(CASE WHEN event_type = closes THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS part FROM e), last AS (SELECT user_id, max(part) AS part, any_value(opens) AS opens, any_value(closes) AS closes FROM s GROUP BY 1) SELECT CAST(s.user_id AS STRING) AS object_id, CAST(count(*) FILTER (WHERE event_type = last.opens AND s.part = last.part) AS BIGINT) AS open, CAST(max(s.part) AS BIGINT) AS closed FROM s JOIN last USING (user_id) GROUP BY 1"
+
+
+def opens_and_closes(events):
     """A fold whose result depends on the order: what one kind of event opens, another closes."""
-    events = table(spark, d, "events")
     opens, closes = events.agg(F.min("event_type"), F.max("event_type")).first()
 
     def opened(state, event):
@@ -239,8 +241,24 @@ def event_replay(spark, d):
     def closed(state, event):
         state["open"], state["closed"] = 0, state["closed"] + 1
 
-    log = event_log.from_events(events).select("seq", "kind", "object_id")
-    return event_log.replay(log, {opens: opened, closes: closed}, lambda: {"open": 0, "closed": 0}, "object_id string, open long, closed long")
+    return {opens: opened, closes: closed}, lambda: {"open": 0, "closed": 0}, "object_id string, open long, closed long"
+
+
+@register("event_replay", REPLAY)
+def event_replay(spark, d):
+    events = table(spark, d, "events")
+    return event_log.replay(event_log.from_events(events).select("seq", "kind", "object_id"), *opens_and_closes(events))
+
+
+@register("event_replay_stream", REPLAY)
+def event_replay_stream(spark, d):
+    """The same fold on a stream whose files hold the events in no order: each waits for those of its object that come before."""
+    events = table(spark, d, "events")
+    folder = new_folder(spark, "replay")
+    log = event_log.versions(event_log.from_events(events).select("seq", "kind", "object_id"))
+    log.repartition(4, F.xxhash64("seq")).write.parquet(f"{folder}/log")
+    stream = event_log.read_stream(spark, f"{folder}/log", log.schema, 1)
+    return event_log.final_states(event_log.ordered_replay(stream, *opens_and_closes(events)), folder).select("object_id", "open", "closed")
 
 
 # -- values -------------------------------------------------------------------------------------------

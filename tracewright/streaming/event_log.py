@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def from_events(events: DataFrame) -> DataFrame:
@@ -41,22 +45,169 @@ def issues(log: DataFrame) -> DataFrame:
     return log.select("seq", F.explode(F.array_compact(F.array(*[F.when(t, c) for t, c in tests]))).alias("code"))
 
 
-def replay(log: DataFrame, handlers: dict[str, Callable[[dict, dict], None]], start: Callable[[], dict], schema: str) -> DataFrame:
+Handlers = dict[str, Callable[[dict, dict], None]]
+
+
+def replay(log: DataFrame, handlers: Handlers, start: Callable[[], dict], schema: str) -> DataFrame:
     """Fold the events of each object in order of seq; the final state, as a row of schema, per object.
 
-    Handlers change the state in place; events without a handler are skipped. The events of one
-    object go to one task, so an object's history must fit there.
+    Handlers change the state in place; events without a handler are skipped. A task reads the events of its objects one after another,
+    sorted by Spark, and holds one state, however long a history is.
     """
     names = [f.split()[0] for f in schema.split(",")]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        state = start()
-        for event in part.sort_values("seq").to_dict("records"):
-            if (handle := handlers.get(event["kind"])) is not None:
-                handle(state, event)
-        return pd.DataFrame([[part["object_id"].iloc[0] if n == "object_id" else state.get(n) for n in names]], columns=names)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state, done = None, None, []
+        result = lambda: [at if n == "object_id" else state.get(n) for n in names]
+        for part in parts:
+            for event in part.to_dict("records"):
+                if state is None or event["object_id"] != at:
+                    if state is not None:
+                        done.append(result())
+                    at, state = event["object_id"], start()
+                if (handle := handlers.get(event["kind"])) is not None:
+                    handle(state, event)
+            if done:
+                yield pd.DataFrame(done, columns=names)
+                done = []
+        if state is not None:
+            yield pd.DataFrame([result()], columns=names)
+
+    return log.where("object_id is not null").repartition("object_id").sortWithinPartitions("object_id", "seq").mapInPandas(run, schema)
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What the ordered fold tells about itself besides the state.
+PROGRESS = "folded long, waiting long, late long, skipped long"
 
-    return log.groupBy("object_id").applyInPandas(run, schema)
+
+class OrderedFold(StatefulProcessor):
+    """Folds the events of an object in order of their versions 1, 2, 3, ..., in whatever order they come.
+
+    An event that comes too early waits in the state store until those before it are there. Timed, a gap is passed over when the watermark
+    has reached the first event behind it; what comes after its turn, a repeated event as well, is counted as late and not folded.
+    """
+
+    def __init__(self, handlers: Handlers, start: Callable[[], dict], schema: str, timed: bool):
+        self.handlers, self.start, self.timed = handlers, start, timed
+        self.names = [f.split()[0] for f in schema.split(",")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fold = handle.getValueState("fold", "next long, waiting long, late long, skipped long, folded long, state string, timer long")
+        self.waiting = handle.getMapState("waiting", "version long", "event string, at long")
+
+    def _load(self) -> None:
+        self.next, self.n_waiting, self.late, self.skipped, self.folded, state, self.timer = self.fold.get() if self.fold.exists() else (1, 0, 0, 0, 0, None, 0)
+        self.state = json.loads(state) if state else self.start()
+
+    def _apply(self, event: str) -> None:
+        told = json.loads(event)
+        if (handle := self.handlers.get(told.get("kind"))) is not None:
+            handle(self.state, told)
+        self.next, self.folded = self.next + 1, self.folded + 1
+
+    def _drain(self) -> None:
+        while self.n_waiting and self.waiting.containsKey((self.next,)):
+            version = self.next
+            self._apply(self.waiting.getValue((version,))[0])
+            self.waiting.removeKey((version,))
+            self.n_waiting -= 1
+
+    def _done(self, key: tuple) -> Iterator[pd.DataFrame]:
+        self.fold.update((self.next, self.n_waiting, self.late, self.skipped, self.folded, json.dumps(self.state), self.timer))
+        told = {"object_id": key[0], "folded": self.folded, "waiting": self.n_waiting, "late": self.late, "skipped": self.skipped}
+        yield pd.DataFrame([[told["object_id"] if n == "object_id" else self.state.get(n) for n in self.names] + [told[n.split()[0]] for n in PROGRESS.split(", ")]], columns=[*self.names, *[n.split()[0] for n in PROGRESS.split(", ")]])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self._load()
+        for part in rows:
+            for version, event, at in part.sort_values("version")[["version", "event", "at"]].itertuples(index=False):
+                version, at = int(version), int(at)
+                if version < self.next or version > self.next and self.n_waiting and self.waiting.containsKey((version,)):
+                    self.late += 1
+                elif version == self.next:
+                    self._apply(event)
+                    self._drain()
+                else:
+                    self.waiting.updateValue((version,), (event, at))
+                    self.n_waiting += 1
+        self._wait()
+        yield from self._done(key)
+
+    def _first(self) -> int:
+        return min(version for (version,) in self.waiting.keys())
+
+    def _wait(self) -> None:
+        """Have the gap before the first waiting event passed over in time."""
+        if self.timed and self.n_waiting and not self.timer:
+            self.timer = max(1, self.waiting.getValue((self._first(),))[1])
+            self.handle.registerTimer(self.timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self._load()
+        self.timer = 0
+        if self.n_waiting:
+            first = self._first()
+            if self.waiting.getValue((first,))[1] <= expiredTimerInfo.getExpiryTimeInMs():  # else the gap has been closed meanwhile
+                self.skipped, self.next = self.skipped + first - self.next, first
+                self._drain()
+        self._wait()
+        yield from self._done(key)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_replay(log: DataFrame, handlers: Handlers, start: Callable[[], dict], schema: str, patience: str | None = None, time: str = "ts") -> DataFrame:
+    """replay() on a stream whose rows bear a version, from 1 in each object: a row of schema and of PROGRESS whenever an object changes.
+
+    The state must be plain values that JSON holds. Needs the RocksDB state store, see with_rocksdb(); memory holds one state and one
+    batch of Arrow, what waits is in the store. With patience, an interval, a gap is passed over when events that much later than the one behind
+    it (by the column time) have come; events that come later than that are Spark's late data and dropped. Events without an object or a
+    version can't be placed and are left out.
+    """
+    placed = log.where("object_id is not null and version is not null")
+    event = F.to_json(F.struct(*log.columns)).alias("event")
+    if patience is None:
+        coded = placed.select("object_id", F.col("version").cast("bigint").alias("version"), event, F.lit(0).cast("bigint").alias("at"))
+    else:
+        coded = placed.withWatermark(time, patience).select("object_id", F.col("version").cast("bigint").alias("version"), event, F.unix_millis(time).alias("at"), time)
+    fold = OrderedFold(handlers, start, schema, patience is not None)
+    return coded.groupBy("object_id").transformWithStateInPandas(fold, f"{schema}, {PROGRESS}", "Update", "None" if patience is None else "EventTime")
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB; the session's setting is as before afterwards."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def final_states(stream: DataFrame, folder: str, key: str = "object_id", order: str = "folded") -> DataFrame:
+    """Run a stream of updates until its source has no more, and give the last row of each key: that of the greatest order."""
+    spark = stream.sparkSession
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/updates/batch={batch}")
+
+    with with_rocksdb(spark):
+        stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema, StructField("batch", IntegerType())])).parquet(f"{folder}/updates")
+    last = F.max_by(F.struct(*stream.columns), F.struct(order, "batch"))
+    return rows.groupBy(key).agg(last.alias("last")).select("last.*")
+
+
+def versions(log: DataFrame) -> DataFrame:
+    """log with version: the place, from 1, of each event in its object's history."""
+    from pyspark.sql import Window
+
+    return log.withColumn("version", F.row_number().over(Window.partitionBy("object_id").orderBy("seq")))
 
 
 def replay_stream(log: DataFrame) -> DataFrame:
