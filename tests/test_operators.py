@@ -332,3 +332,23 @@ def test_board_checks(spark):
     outline = spark.createDataFrame([("a", 0, 0.0, 0.0, 1.0, 0.0), ("b", 1, 1.2, 0.0, 0.0, 0.0)], "id string, ord long, x1 double, y1 double, x2 double, y2 double")
     assert sorted(r["code"] for r in checks.outline(outline).collect()) == ["OUTLINE_GAP", "OUTLINE_NOT_CLOSED"]
     assert set(checks.builtin().rules) == {"geometry", "components", "drills", "slots", "outline", "regions"}
+
+
+def test_runs_beside_each_other_keep_their_tables(spark):
+    """Each run deletes its own tables, also when runs in other threads cut and delete between."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tracewright import storage
+
+    def run(n):
+        with storage.tables_of_run() as own:
+            df = spark.range(n)
+            for _ in range(3):
+                df = storage.cut(df.withColumn("id", F.col("id") + 1), "run", free=False)
+                with storage.tables_of_run():  # an inner run's tables are the outer one's too
+                    storage.cut(spark.range(2), "inner", free=False)
+                storage.drop_run(spark, own, df)
+            return df.agg(F.sum("id")).first()[0], len(own)
+
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(run, [10, 20, 30, 40])) == [(sum(range(3, n + 3)), 1) for n in (10, 20, 30, 40)]

@@ -29,16 +29,16 @@ def pad_track_contacts(pads: DataFrame, tracks: DataFrame, tolerance: float = 0.
         return copper.near(copper.pad_shapes(pads), copper.track_shapes(tracks), tolerance).select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
     # pads that are all plain boxes need no other shapes
     t = tracks.withColumns({"sx1": F.col("x1"), "sy1": F.col("y1"), "sx2": F.col("x2"), "sy2": F.col("y2")})
-    joined = spatial.box_join(pad_boxes(pads), track_boxes(t), cell_size(tolerance), tolerance)
     line, box = (tuple(F.col(c) for c in cs) for cs in (("r_sx1", "r_sy1", "r_sx2", "r_sy2"), ("l_x0", "l_y0", "l_x1", "l_y1")))
-    return joined.where(segment_box_distance(line, box) - F.col("r_width") / 2 <= tolerance).select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
+    touch = segment_box_distance(line, box) - F.col("r_width") / 2 <= tolerance
+    return spatial.box_join(pad_boxes(pads), track_boxes(t), cell_size(tolerance), tolerance, exact=touch).select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
 
 
 def track_contacts(tracks: DataFrame, tolerance: float = 0.0) -> DataFrame:
     t = tracks.withColumns({"sx1": F.col("x1"), "sy1": F.col("y1"), "sx2": F.col("x2"), "sy2": F.col("y2")})
-    pairs = spatial.box_pairs(track_boxes(t), cell_size(tolerance), tolerance)
     line = lambda p: tuple(F.col(f"{p}_{c}") for c in ("sx1", "sy1", "sx2", "sy2"))
-    return pairs.where(capsule_gap(line("l"), F.col("l_width"), line("r"), F.col("r_width")) <= tolerance).select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
+    touch = capsule_gap(line("l"), F.col("l_width"), line("r"), F.col("r_width")) <= tolerance
+    return spatial.box_pairs(track_boxes(t), cell_size(tolerance), tolerance, exact=touch).select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
 
 
 def attach_drills(pads: DataFrame, drills: DataFrame, tolerance: float = 0.15) -> DataFrame:

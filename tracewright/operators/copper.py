@@ -144,15 +144,20 @@ def gap(l: str = "l", r: str = "r", raw: bool = False) -> Column:  # noqa: E741
     return bare if raw else F.greatest(zero, bare)
 
 
-def near(left: DataFrame, right: DataFrame, within: float, keys: tuple[str, ...] = ("layer",)) -> DataFrame:
-    """Pairs of shapes at most within apart, with their gap; columns get l_ and r_."""
-    pairs = spatial.box_join(left, right, max(1.0, 8 * within), within, keys, wide=True)
-    return pairs.withColumn("gap", gap()).where(F.col("gap") <= within)
+def once() -> Column:
+    """Of the two orders of a pair of one table, one."""
+    return F.col("l_id") < F.col("r_id")
+
+
+def near(left: DataFrame, right: DataFrame, within: float, keys: tuple[str, ...] = ("layer",), condition: Column | None = None, strict: bool = False) -> DataFrame:
+    """Pairs of shapes at most within apart, strict: nearer, with their gap; columns get l_ and r_. condition spares pairs the exact gap."""
+    pairs = spatial.box_join(left, right, max(1.0, 8 * within), within, keys, condition, wide=True, exact=gap() < within if strict else gap() <= within)
+    return pairs.withColumn("gap", gap())
 
 
 def contacts(copper: DataFrame, tolerance: float = 0.03) -> DataFrame:
     """(u, v) with u < v: shapes of one layer whose gap is within the tolerance."""
-    return near(copper, copper, tolerance).where("l_id < r_id").select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
+    return near(copper, copper, tolerance, condition=once()).select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
 
 
 def via_contacts(drills: DataFrame, copper: DataFrame, tolerance: float = 0.03) -> DataFrame:
@@ -185,11 +190,11 @@ def brute_contacts(copper: DataFrame, tolerance: float = 0.03) -> DataFrame:
     return pairs.where(gap() <= tolerance).select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
 
 
-def clearances(left: DataFrame, right: DataFrame, least: float, keys: tuple[str, ...] = ("layer",)) -> DataFrame:
-    """(l_id, r_id, gap, state) of pairs nearer than least whose nets differ or aren't both known."""
-    out = near(left, right, least, keys).where(F.col("gap") < least)
+def clearances(left: DataFrame, right: DataFrame, least: float, keys: tuple[str, ...] = ("layer",), condition: Column | None = None) -> DataFrame:
+    """(l_id, r_id, gap, state) of pairs nearer than least whose nets differ or aren't both known, and of which condition holds."""
     state = F.when(F.col("l_net_id").isNull() | F.col("r_net_id").isNull(), "unresolved").when(F.col("l_net_id") == F.col("r_net_id"), "same").otherwise("different")
-    return out.withColumn("state", state).where("state <> 'same'").select("l_id", "r_id", "gap", "state")
+    asked = state != "same" if condition is None else condition & (state != "same")
+    return near(left, right, least, keys, asked, strict=True).select("l_id", "r_id", "gap", state.alias("state"))
 
 
 def covers(points: DataFrame, copper: DataFrame, tolerance: float = 0.0) -> DataFrame:

@@ -129,11 +129,11 @@ def net_state(a: Column, b: Column) -> Column:
 def track_clearance(tracks: DataFrame, limits: DrcLimits) -> DataFrame:
     """Pairs of tracks of different or unknown nets nearer than the clearance: l_id, r_id, gap, state."""
     t = tracks.withColumns({"sx1": F.col("x1"), "sy1": F.col("y1"), "sx2": F.col("x2"), "sy2": F.col("y2")})
-    pairs = spatial.box_pairs(track_boxes(t), max(cell_size(0.0), limits.clearance), limits.clearance)
     line = lambda p: tuple(F.col(f"{p}_{c}") for c in ("sx1", "sy1", "sx2", "sy2"))
     gap = geometry.capsule_gap(line("l"), F.col("l_width"), line("r"), F.col("r_width"))
-    out = pairs.withColumns({"gap": gap, "state": net_state(F.col("l_net_id"), F.col("r_net_id"))})
-    return out.where((F.col("gap") < limits.clearance) & (F.col("state") != "same")).select("l_id", "r_id", "gap", "state")
+    state = net_state(F.col("l_net_id"), F.col("r_net_id"))
+    pairs = spatial.box_pairs(track_boxes(t), max(cell_size(0.0), limits.clearance), limits.clearance, condition=state != "same", exact=gap < limits.clearance)
+    return pairs.select("l_id", "r_id", gap.alias("gap"), state.alias("state"))
 
 
 def keepout_hits(objects: DataFrame, keepouts: DataFrame, cell: float = 5.0) -> DataFrame:

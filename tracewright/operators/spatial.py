@@ -20,9 +20,12 @@ def _renamed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def box_join(left: DataFrame, right: DataFrame, cell: float, within: float = 0.0, keys: tuple[str, ...] = ("layer",), condition: Column | None = None, wide: bool = False) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, cell: float, within: float = 0.0, keys: tuple[str, ...] = ("layer",), condition: Column | None = None, wide: bool = False, exact: Column | None = None) -> DataFrame:
     """All pairs of boxes at most within apart on each axis and equal in keys; columns get l_ and r_.
 
+    condition, a cheap one, and exact, a dear one, are asked of such pairs besides; exact is evaluated only where all else
+    holds, not for all that meet in a cell.
+
     wide is for tables that may hold boxes of many cells (planes, keepouts): a box of more than eight cells
     lives on a grid 64 times as coarse, one of more than 512 on one of 4,096 times, and a pair meets on the
     coarser grid of the two, so that no box fills more than 10 by 10 cells but for those beyond 32,768.
@@ -38,9 +41,9 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, within: float = 0.0
     if wide:
         near = near & (a["grid"] == F.greatest("l__grid", "r__grid"))
     first = (a["cx"] == F.floor(F.greatest(F.col("l_x0") - within, F.col("r_x0")) / size)) & (a["cy"] == F.floor(F.greatest(F.col("l_y0") - within, F.col("r_y0")) / size))
-    out = a.join(b, on).where(near & first)
-    out = out.select(*[F.col(c) for c in a.columns + b.columns if c not in ("cx", "cy", "grid", "meet", "l__grid", "r__grid")])
-    return out if condition is None else out.where(condition)
+    cheap = near & first if condition is None else near & first & F.coalesce(condition, F.lit(False))
+    out = a.join(b, on).where(cheap if exact is None else cheap & F.when(cheap, exact))
+    return out.select(*[F.col(c) for c in a.columns + b.columns if c not in ("cx", "cy", "grid", "meet", "l__grid", "r__grid")])
 
 
 def _on_grids(df: DataFrame, cell: float, grow: float, prefix: str, home: tuple[str, str]) -> DataFrame:
@@ -58,9 +61,10 @@ def _on_grids(df: DataFrame, cell: float, grow: float, prefix: str, home: tuple[
     return out.withColumn("cx", F.explode(F.sequence(at("x0", -grow), at("x1", grow)))).withColumn("cy", F.explode(F.sequence(at("y0", -grow), at("y1", grow))))
 
 
-def box_pairs(df: DataFrame, cell: float, within: float = 0.0, keys: tuple[str, ...] = ("layer",), id_col: str = "id", wide: bool = False) -> DataFrame:
+def box_pairs(df: DataFrame, cell: float, within: float = 0.0, keys: tuple[str, ...] = ("layer",), id_col: str = "id", wide: bool = False, condition: Column | None = None, exact: Column | None = None) -> DataFrame:
     """Unordered pairs (l_id < r_id) of box_join of a table with itself. A box's own growth is on one side only, as distances are symmetric."""
-    return box_join(df, df, cell, within, keys, wide=wide).where(F.col(f"l_{id_col}") < F.col(f"r_{id_col}"))
+    once = F.col(f"l_{id_col}") < F.col(f"r_{id_col}")
+    return box_join(df, df, cell, within, keys, once if condition is None else once & condition, wide, exact)
 
 
 def point_boxes(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

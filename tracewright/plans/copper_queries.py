@@ -57,14 +57,14 @@ def box_gap_sql(p: str, q: str) -> str:
 @register("region_contacts", sql("round_pads", """
 tri AS (SELECT concat('R', CAST(s_suppkey AS STRING)) AS id, CAST((s_suppkey * 7) % 50 AS DOUBLE) AS x, CAST((s_suppkey * 13) % 40 AS DOUBLE) AS y FROM supplier),
 e AS (SELECT id, x AS x1, y AS y1, x + 1 AS x2, y AS y2 FROM tri UNION ALL SELECT id, x + 1, y, x + 1, y + 1 FROM tri UNION ALL SELECT id, x + 1, y + 1, x, y FROM tri),
-far AS (SELECT p.id AS u, e.id AS v, min(""" + point_segment_sql("p.x", "p.y", "e") + """) AS d, any_value(p.size_x) AS size, any_value(p.x) AS px, any_value(p.y) AS py FROM round_pads p JOIN e ON p.layer IN ('0', '1') GROUP BY 1, 2)
+far AS (SELECT p.id AS u, e.id AS v, min(""" + point_segment_sql("p.x", "p.y", "e") + """) AS d, any_value(p.size_x) AS size, any_value(p.x) AS px, any_value(p.y) AS py FROM round_pads p JOIN e ON true GROUP BY 1, 2)
 SELECT u, v FROM far JOIN tri ON far.v = tri.id WHERE d - size / 2 <= 0.03 OR (px > tri.x AND px < tri.x + 1 AND py > tri.y AND py - tri.y < px - tri.x)"""))
 def region_contacts(spark, d):
-    """Round pads of two layers that touch or lie in triangles of copper."""
+    """Round pads of all layers, pressed into one, that touch or lie in triangles of copper."""
     corner = lambda a, b: F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y"))
     tri = table(spark, d, "supplier").select(F.concat(F.lit("R"), F.col("s_suppkey").cast("string")).alias("id"), ((F.col("s_suppkey") * 7) % 50).cast("double").alias("x"), ((F.col("s_suppkey") * 13) % 40).cast("double").alias("y"))
     regions = tri.select("id", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 0)).alias("points"), F.lit("x").alias("layer"))
-    pads = table(spark, d, "round_pads").where("layer in ('0', '1')").withColumn("layer", F.lit("x"))
+    pads = table(spark, d, "round_pads").withColumn("layer", F.lit("x"))
     return copper.near(copper.pad_shapes(pads), copper.region_shapes(regions), 0.03).select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))
 
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _MADE: list[str] = []
+_RUN: ContextVar[list[list[str]]] = ContextVar("tables of the runs around", default=[])
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -64,10 +68,15 @@ def few_files(df: DataFrame, target: int = 64 << 20, for_core: int = 2) -> DataF
     return df.coalesce(max(for_core * spark.sparkContext.defaultParallelism, -(-parts * size // target)))
 
 
+def _note(path: str) -> None:
+    for made in (_MADE, *_RUN.get()):
+        made.append(path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder where nothing stands yet; drop_tables() deletes it too."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    _note(path)
     return path
 
 
@@ -86,7 +95,7 @@ def cut(df: DataFrame, name: str, codec: str = "zstd", free: bool = True, rows:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.cut_path = path
-    _MADE.append(path)
+    _note(path)
     del df
     if free:
         release(spark)
@@ -96,8 +105,9 @@ def cut(df: DataFrame, name: str, codec: str = "zstd", free: bool = True, rows:
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _MADE:
-        _MADE.remove(path)
+    for made in (_MADE, *_RUN.get()):
+        with suppress(ValueError):
+            made.remove(path)
 
 
 def drop(*frames: DataFrame) -> None:
@@ -106,17 +116,22 @@ def drop(*frames: DataFrame) -> None:
         _delete(df.sparkSession, df.cut_path)
 
 
-def tables_made() -> int:
-    """How many tables this process has cut and not deleted: a mark for drop_since."""
-    return len(_MADE)
+@contextmanager
+def tables_of_run() -> Iterator[list[str]]:
+    """The paths of the tables that this thread cuts inside the block: those of a run that goes on beside others in threads of their own."""
+    own: list[str] = []
+    token = _RUN.set([*_RUN.get(), own])
+    try:
+        yield own
+    finally:
+        _RUN.reset(token)
 
 
-def drop_since(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
-    """Delete all tables cut since the mark but those kept: what a finished step leaves behind."""
+def drop_run(spark: SparkSession, own: list[str], *kept: DataFrame) -> None:
+    """Delete the tables of a run but those kept: what a finished step leaves behind."""
     keep = {df.cut_path for df in kept}
-    for path in _MADE[mark:]:
-        if path not in keep:
-            _delete(spark, path)
+    for path in [p for p in own if p not in keep]:
+        _delete(spark, path)
 
 
 def drop_tables(spark: SparkSession) -> None:
