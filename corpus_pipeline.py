@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tracewright.llm import decontaminate, ngram_join, packing, pii, toxicity
 from tracewright.llm.common import cut
 from tracewright.llm.queries import table, tokenizer_file
-from tracewright.storage import drop_since, gathered, reach_workers, tables_made
+from tracewright.storage import drop_run, gathered, reach_workers, tables_of_run
 
 
 def carried(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -73,10 +73,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Once a stage is written, the tables behind it are deleted; the last one is read from its own."""
-    docs, mark = table(spark, sf_dir, "documents"), tables_made()
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, f"stage-{name}")
-            drop_since(spark, mark, docs)
+    docs = table(spark, sf_dir, "documents")
+    with tables_of_run() as own:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = cut(docs, f"stage-{name}")
+                drop_run(spark, own, docs)
     return docs
