@@ -256,6 +256,39 @@ def board_forms(spark, d):
     return heads.join(pads, ["board", "form"], "left").groupBy(F.col("top").alias("head")).agg(F.count("*").alias("n"), F.coalesce(F.sum("pads"), F.lit(0)).alias("pads"))
 
 
+A_HOLE, ANOTHER = [(0, 3), (2, 3), (2, 4), (4, 4), (4, 2), (2, 2), (2, 3), (0, 3)], [(0, 7), (2, 7), (2, 8), (4, 8), (4, 6), (2, 6), (2, 7), (0, 7)]
+#: Closed contours: one simple, one with a hole, one with two; the others are no region for one reason each.
+CONTOURS = [
+    [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)],
+    [(0, 0), (10, 0), (10, 10), (0, 10), *A_HOLE, (0, 0)],
+    [(0, 0), (10, 0), (10, 10), (0, 10), *ANOTHER, *A_HOLE, (0, 0)],
+    [(0, 0), (10, 0), (10, 10), (0, 10), (0, 3), (2, 3), *A_HOLE[-3:1:-1], (2, 3), (0, 3), (0, 0)],
+    [(0, 0), (7, 0), (7, 2), (6, 2), (6, 4), (8, 4), (8, 2), (7, 2), (7, 0), (10, 0), (10, 10), (0, 10), *ANOTHER, (0, 0)],
+    [(0, 0), (10, 0), (10, 10), (0, 10), (0, 5), (3, 7), (7, 7), (7, 3), (3, 3), (3, 7), (0, 5), (0, 0)],
+    [(0, 0), (10, 10), (10, 0), (0, 8), (0, 0)],
+    [(0, 0), (4, 0), (4, 5), (6, 5), (6, 0), (10, 0), (10, 10), (6, 10), (6, 5), (4, 5), (4, 10), (0, 10), (0, 0)],
+]
+
+
+@register("strict_regions", """
+SELECT p_partkey % 8 AS contour, CASE p_partkey % 8 WHEN 3 THEN 'GERBER_REGION_CUTIN_WINDING_INVALID' WHEN 4 THEN 'GERBER_REGION_CUTIN_DIRECTION_MISMATCH' WHEN 5 THEN 'GERBER_REGION_CUTIN_INVALID' WHEN 6 THEN 'GERBER_REGION_INVALID' WHEN 7 THEN 'GERBER_REGION_CUTIN_DISJOINT_UNSUPPORTED' ELSE 'region' END AS outcome,
+  count(*) AS n, CAST(sum(CASE p_partkey % 8 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END) AS BIGINT) AS holes, round(sum(CASE p_partkey % 8 WHEN 0 THEN 100e0 WHEN 1 THEN 96e0 WHEN 2 THEN 92e0 ELSE 0 END), 4) AS area
+FROM part GROUP BY ALL""")
+def strict_regions(spark, d):
+    """A contour of one of eight kinds for each part, at a place of its own: which are regions, and why the others are none."""
+    kind, x, y = (k() % 8).cast("int"), (F.floor(k() / 8) % 100) * 20, F.floor(k() / 800) * 20
+    number = lambda v: (v * 10_000).cast("bigint").cast("string")
+    draw = lambda ring: F.concat(F.lit("G36*\n"), *[F.concat(F.lit("X"), number(x + a), F.lit("Y"), number(y + b), F.lit("D02*\n" if i == 0 else "D01*\n")) for i, (a, b) in enumerate(ring)], F.lit("G37*"))
+    text = F.element_at(F.array(*map(draw, CONTOURS)), kind + 1)
+    part = table(spark, d, "part").withColumn("ord", k())
+    files = in_files(part, text, "%FSLAX64Y64*%\n%MOMM*%\n", "\nM02*\n", F.concat_ws("-", kind.cast("string"), F.floor(k() / 1600).cast("string"), F.lit("x.gtl")))
+    out = gerber.parse_frame(files, strict=False).where("kind in ('region', 'diagnostic')")
+    inner = F.aggregate(F.coalesce("holes", F.array().cast(out.schema["holes"].dataType)), F.lit(0.0), lambda s, h: s + F.abs(signed_area(h)))
+    area = F.when(F.col("kind") == "region", F.abs(signed_area(F.col("points"))) - inner).otherwise(0.0)
+    return out.groupBy(F.substring_index("path", "-", 1).cast("bigint").alias("contour"), F.coalesce("code", "kind").alias("outcome")).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("kind") == "region", F.size("holes"))), F.lit(0)).cast("bigint").alias("holes"), F.round(F.sum(area), 4).alias("area"))
+
+
 @register("parse_gerber_clear", """
 WITH p AS (SELECT concat(CAST(p_partkey % 20 AS STRING), '.gtl') AS path, (p_partkey // 20) // 50 AS y, p_size FROM part),
 r AS (SELECT path, y, (count(*) + 0.2e0) * 0.5e0 - 0.08e0 * count(*) FILTER (WHERE p_size % 2 = 0) + 0.01e0 * count(*) FILTER (WHERE p_size % 4 = 0) AS area, 1 + count(*) FILTER (WHERE p_size % 4 = 0) AS n, count(*) FILTER (WHERE p_size % 2 = 0) AS holes FROM p GROUP BY ALL)
