@@ -352,3 +352,17 @@ def test_runs_beside_each_other_keep_their_tables(spark):
 
     with ThreadPoolExecutor(4) as pool:
         assert list(pool.map(run, [10, 20, 30, 40])) == [(sum(range(3, n + 3)), 1) for n in (10, 20, 30, 40)]
+
+
+def test_fingerprint_is_the_same_for_any_partitioning(spark):
+    from hashlib import sha256
+
+    level = [f"r{k:04}" for k in range(1000)]
+    while True:
+        level = [sha256("\n".join(level[k : k + 7]).encode()).hexdigest() for k in range(0, len(level), 7)]
+        if len(level) == 1:
+            break
+    df = spark.range(1000).select(F.format_string("r%04d", "id").alias("x"))
+    for dealt in (df, df.repartition(9), df.orderBy(F.desc("x"))):
+        assert reconcile.table_fingerprint(dealt, F.col("x"), ["x"], leaf=7).first()[0] == level[0]
+    assert reconcile.table_fingerprint(df.where("false"), F.col("x"), ["x"]).first()[0] is None

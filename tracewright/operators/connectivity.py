@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.geometry import capsule_gap, segment_box_distance
 from tracewright.functions.text import stable_id
-from tracewright.operators import copper, graph, spatial
+from tracewright.operators import copper, graph, spatial, windows
 
 
 def pad_boxes(pads: DataFrame) -> DataFrame:
@@ -53,19 +53,35 @@ def via_edges(drills: DataFrame, pads: DataFrame, tolerance: float = 0.03) -> Da
     return copper.via_contacts(drills, copper.pad_shapes(pads), tolerance).drop("confidence")
 
 
-def nets(nodes: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+#: So many members of a net are hashed together.
+LEAF = 1_000_000
+
+
+def net_ids(label: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(component, net_id), by the sorted members of each group (component, node), of which sizes has member_count.
+
+    The id is made of the members joined by bars; beyond LEAF of them, of the digests of ranges of so many, so that no row holds more.
+    """
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "|")
+    large = sizes.where(F.col("member_count") > LEAF).select("component")
+    out = label.join(large, "component", "left_anti").groupBy("component").agg(stable_id("net", joined("node")).alias("net_id"))
+    if large.isEmpty():
+        return out
+    n = windows.numbered(label.join(large, "component").select("component", "node"), ["component", "node"])
+    first = n.groupBy("component").agg(F.min("number").alias("first"))
+    ranges = n.join(F.broadcast(first), "component").groupBy("component", F.floor((F.col("number") - F.col("first")) / LEAF).alias("at")).agg(F.sha1(joined("node").cast("binary")).alias("digest"))  # a large net is at least LEAF rows, so they are few
+    tops = F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"])
+    return out.unionByName(ranges.groupBy("component").agg(stable_id("net", F.array_join(tops, "|")).alias("net_id")))
+
+
+def nets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(component, net_id, member_count, first_member, confidence) of each connected group; net_id is stable for equal members.
 
-    confidence is that of the weakest via of the group (column confidence of edges), 0.99 at most. The id is
-    made of the sorted members; a group of more than most members, which no single row should hold, has one made of
-    their number and of sums of their hashes.
+    confidence is that of the weakest via of the group (column confidence of edges), 0.99 at most.
     """
     label = graph.label_components(nodes, edges)
-    facts = label.groupBy("component").agg(F.count("*").alias("member_count"), F.min("node").alias("first_member"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h2"))
-    small = label.join(facts.where(F.col("member_count") > most).select("component"), "component", "left_anti")
-    ids = small.groupBy("component").agg(stable_id("net", F.array_join(F.array_sort(F.collect_list("node")), "|")).alias("net_id"))
-    big = F.concat(F.lit("net_"), F.substring(F.sha1(F.concat_ws("|", "member_count", "h1", "h2").cast("binary")), 1, 12))
-    out = facts.join(ids, "component", "left").withColumn("net_id", F.coalesce("net_id", big))
+    facts = label.groupBy("component").agg(F.count("*").alias("member_count"), F.min("node").alias("first_member"))
+    out = facts.join(net_ids(label, facts), "component")
     if "confidence" in edges.columns:
         weak = edges.join(label.withColumnRenamed("node", "u"), "u").groupBy("component").agg(F.min("confidence").alias("confidence"))
         out = out.join(weak, "component", "left")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.windows import numbered
+
 from tracewright.functions.geometry import angle_gap
 from tracewright.functions.text import normal_reference, normal_text
 
@@ -111,9 +113,24 @@ def variant_matrix(parts: DataFrame, variants: list[str] | None = None, most: in
     return out.select("reference", *[F.coalesce(F.col(f"`{n}`"), F.lit(True)).alias(n) for n in names])
 
 
-def table_fingerprint(df: DataFrame, row: Column, order: list[str]) -> DataFrame:
-    """SHA-256 of the row strings joined by line feeds, in order: for tables of metadata size."""
-    return df.select(row.alias("r"), *order).agg(F.array_sort(F.collect_list(F.struct(*order, "r"))).alias("all")).select(F.sha2(F.array_join(F.transform("all", lambda x: x["r"]), "\n"), 256).alias("fingerprint"))
+#: So many rows, or digests, are hashed together.
+LEAF = 4_096
+
+
+def table_fingerprint(df: DataFrame, row: Column, order: list[str], leaf: int = LEAF) -> DataFrame:
+    """(fingerprint) of the row strings in order: a tree of SHA-256 digests over ranges of leaf rows, joined by line feeds.
+
+    However the table is partitioned, the tree is the same, and no task holds more than leaf rows together; up to leaf rows it is the
+    digest of all of them. Rows that tie in order go by their strings. An empty table has no fingerprint: null.
+    """
+    level = numbered(df.select(row.alias("r"), *order), [*order, "r"], "n").select("r", (F.col("n") - 1).alias("n"))
+    rows = level.count()
+    while True:
+        together = F.array_sort(F.collect_list(F.struct("n", "r")))
+        joined = level.groupBy(F.floor(F.col("n") / leaf).alias("n")).agg(F.array_join(F.transform(together, lambda x: x["r"]), "\n").alias("r"))
+        level, rows = joined.select(F.sha2("r", 256).alias("r"), "n"), -(-rows // leaf)
+        if rows <= 1:
+            return level.agg(F.max("r").alias("fingerprint"))
 
 
 def partition_fingerprint(df: DataFrame) -> DataFrame:

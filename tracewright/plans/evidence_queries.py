@@ -193,6 +193,15 @@ def fingerprint_sha(spark, d):
     return reconcile.table_fingerprint(table(spark, d, "nation"), F.concat_ws("|", "n_nationkey", "n_name"), ["n_nationkey"])
 
 
+@register("fingerprint_tree", """
+WITH r AS (SELECT concat(CAST(l_orderkey AS STRING), '|', CAST(l_linenumber AS STRING), '|', l_returnflag) AS t, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_returnflag) - 1 AS n FROM lineitem),
+b AS (SELECT n // 4096 AS n, sha256(string_agg(t, chr(10) ORDER BY n)) AS t FROM r GROUP BY 1), c AS (SELECT n // 4096 AS n, sha256(string_agg(t, chr(10) ORDER BY n)) AS t FROM b GROUP BY 1)
+SELECT CASE WHEN (SELECT count(*) FROM r) <= 4096 THEN (SELECT max(t) FROM b) ELSE (SELECT max(t) FROM c) END AS fingerprint""")
+def fingerprint_tree(spark, d):
+    row = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_returnflag")
+    return reconcile.table_fingerprint(table(spark, d, "lineitem"), row, ["l_orderkey", "l_linenumber"])
+
+
 @register("set_operations", "SELECT 'both' AS part, count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'only', count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)")
 def set_operations(spark, d):
     c, s = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
