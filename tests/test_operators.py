@@ -366,3 +366,22 @@ def test_fingerprint_is_the_same_for_any_partitioning(spark):
     for dealt in (df, df.repartition(9), df.orderBy(F.desc("x"))):
         assert reconcile.table_fingerprint(dealt, F.col("x"), ["x"], leaf=7).first()[0] == level[0]
     assert reconcile.table_fingerprint(df.where("false"), F.col("x"), ["x"]).first()[0] is None
+
+
+def test_percentiles_by_selection(spark):
+    rng = random.Random(8)
+    groups = {"many": [rng.gauss(0, 1) ** 3 for _ in range(3000)], "same": [2.5] * 50, "two": [1.0, 4.0], "one": [7.0], "near": [1 + k * 1e-15 for k in range(40)] + [1e300, -1e300], "small": [0.0, 5e-324, 1e-323], None: [float(rng.randrange(5)) for _ in range(99)]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("none", float("nan")), ("many", None), ("many", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    shares = (0.0, 0.05, 0.5, 0.999, 1.0)
+    got = {r["g"]: tuple(r)[1:] for r in evidence.percentiles(df, "v", shares, ("g",)).collect()}
+    assert got.pop("none") == (None,) * 5 and got.keys() == groups.keys()
+    for g, vs in groups.items():
+        vs = sorted(vs)
+        for p, value in zip(shares, got[g], strict=True):
+            place = p * (len(vs) - 1)
+            lo, hi = vs[math.floor(place)], vs[math.ceil(place)]
+            assert value == pytest.approx(lo + (hi - lo) * (place % 1) if hi > lo else lo, rel=1e-12, abs=1e-320), (g, p)
+    ends = spark.createDataFrame([(float("-inf"),), (1.0,), (2.0,), (float("inf"),), (float("inf"),)], "v double")
+    assert tuple(evidence.percentiles(ends, "v", (0.0, 0.25, 0.375, 1.0)).first()) == (float("-inf"), 1.0, 1.5, float("inf"))
+    assert evidence.percentiles(ends.where("v is null"), "v", (0.5,), ("v",)).count() == 0

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.storage import cut
+
+INFINITY = float("inf")
+
 
 def bounded(c: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c.cast("double")))
@@ -136,10 +142,61 @@ def statistics(df: DataFrame, value: str, key: tuple[str, ...] = ()) -> DataFram
     return df.groupBy(*key).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("pstdev"))
 
 
+#: A round of selection counts so many parts of a range.
+PARTS = 1_024
+
+
+def _select(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """What the counts of one round say: states (k, share, rank, next, below, a, b) with low and high, the values at both ranks, or a narrower range.
+
+    The parts of a range are told by a function that grows with the value, so ranks in different parts lie at their ends.
+    """
+    small = states.limit(100_001).count() <= 100_000
+    wide = F.col("b") / 2 - F.col("a") / 2
+    part = F.when(F.col("v") == -INFINITY, -1).when(F.col("v") == INFINITY, PARTS).when(wide > 0, F.floor((F.col("v") / 2 - F.col("a") / 2) / wide * (PARTS - 1)).cast("int")).when(F.col("v") > F.col("a"), PARTS - 1).otherwise(0)
+    asked = F.broadcast(states) if small else states
+    inside = (F.col("first") | F.col("v").between(F.col("a"), F.col("b")))
+    met = rows.withColumnRenamed("k", "same").join(asked, F.col("same").eqNullSafe(F.col("k"))).where(inside)
+    told = ["k", "share", "rank", "next", "below"]
+    counts = met.groupBy(*told, part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    until = F.col("below") + F.sum("n").over(Window.partitionBy("k", "share").orderBy("part"))
+    placed = counts.withColumn("until", until).withColumn("since", F.col("until") - F.col("n"))
+    at = lambda rank: F.max(F.when((F.col("since") <= F.col(rank)) & (F.col(rank) < F.col("until")), F.struct("part", "since", "least", "most")))
+    both = placed.groupBy(*told).agg(at("rank").alias("x"), at("next").alias("y"))
+    apart = F.col("x.part") != F.col("y.part")
+    found = apart | (F.col("x.least") == F.col("x.most"))
+    return both.select("k", "share", "rank", "next", F.col("x.since").alias("below"), F.col("x.least").alias("a"), F.col("x.most").alias("b"), F.lit(False).alias("first"), F.when(found, F.col("x.most")).alias("low"), F.when(found, F.col("y.least")).alias("high"))
+
+
 def percentiles(df: DataFrame, value: str, shares: tuple[float, ...], key: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
-    """(key, p<share in percent>) by linear interpolation; exact sorts the values of a group in one task, otherwise a sketch of bounded size does."""
-    how = F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 100_000)
-    return df.groupBy(*key).agg(*[how(F.col(value).cast("double"), p).alias(f"p{p * 100:g}".replace(".", "_")) for p in shares])
+    """(key, p<share in percent>) by linear interpolation between the two nearest ranks; nulls and NaN don't count.
+
+    exact narrows a range round each pair of ranks, by counts of its parts, until they are found: no task holds the values of a group,
+    however many there are. Otherwise a sketch of bounded size tells about where they are.
+    """
+    name = lambda p: f"p{p * 100:g}".replace(".", "_")
+    if not exact:
+        return df.groupBy(*key).agg(*[F.percentile_approx(F.col(value).cast("double"), p, 100_000).alias(name(p)) for p in shares])
+    rows = df.select(F.struct(*(key or [F.lit(0).alias("all")])).alias("k"), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("v"))
+    finite = F.when(F.abs("v") < INFINITY, F.col("v"))
+    facts = cut(rows.groupBy("k").agg(F.count("v").alias("n"), F.min(finite).alias("a"), F.max(finite).alias("b")), "percentile-groups", free=False)
+    rows = rows.where("v is not null")
+    wanted = facts.where("n > 0").withColumn("share", F.explode(F.array(*[F.lit(float(p)) for p in shares]))).withColumn("place", F.col("share") * (F.col("n") - 1))
+    states = wanted.select("k", "share", F.floor("place").alias("rank"), F.ceil("place").alias("next"), F.lit(0).cast("bigint").alias("below"), "a", "b", F.lit(True).alias("first"))
+    found: list[DataFrame] = []
+    while True:
+        told = cut(_select(rows, states), "percentile-ranks", free=False)
+        found.append(told.where("low is not null").select("k", "share", "low", "high"))
+        states = told.where("low is null").drop("low", "high")
+        if states.isEmpty():
+            break
+    step = F.col("place") - F.floor("place")
+    # a weight of 0 leaves out an infinite neighbour
+    between = F.when((step == 0) | (F.col("low") == F.col("high")), F.col("low")).otherwise(F.col("low") * (1 - step) + F.col("high") * step)
+    done = wanted.join(reduce(DataFrame.unionByName, found), ["k", "share"]).select("k", "share", between.alias("value"))
+    each = done.groupBy("k").agg(*[F.max(F.when(F.col("share") == float(p), F.col("value"))).alias(name(p)) for p in shares])
+    out = facts.select("k").join(each.withColumnRenamed("k", "same"), F.col("k").eqNullSafe(F.col("same")), "left")
+    return out.select(*[F.col("k")[c].alias(c) for c in key], *[name(p) for p in shares])
 
 
 def coverage(covered: DataFrame, all_: DataFrame, key: str, empty: float = 1.0) -> DataFrame:
