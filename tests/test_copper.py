@@ -313,3 +313,16 @@ def test_report_lines_are_the_documents(spark, tmp_path):
     assert len(ElementTree.fromstring(text_)[0]) == 4
     reports.write_bundle({"pads": pads}, str(tmp_path / "b"), issues)
     assert spark.read.json(str(tmp_path / "b/validation")).count() == 2 and spark.read.parquet(str(tmp_path / "b/pads")).count() == 1
+
+
+def test_inside_of_a_long_outline(spark):
+    """A jagged ring with a hole, against the parity of all edges for each point."""
+    rng = random.Random(9)
+    ring = lambda n, r: [(r * (0.7 + 0.3 * rng.random()) * math.cos(2 * math.pi * k / n), r * (0.7 + 0.3 * rng.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    edges = [(*a, *b) for points in (ring(400, 50), ring(60, 20)) for a, b in zip(points, points[1:] + points[:1], strict=True)]
+    spots = [(f"s{k}", rng.uniform(-60, 60), rng.uniform(-60, 60)) for k in range(500)] + [("corner", *edges[0][:2]), ("none", None, 1.0), ("twice", 0.0, 30.0), ("twice", 0.0, 30.0)]
+    odd = lambda x, y: sum((b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a for a, b, c, d in edges) % 2 == 1
+    df = spark.createDataFrame(spots, "id string, px double, py double")
+    got = sorted((r["id"], r["inside"]) for r in spatial.inside_rings(df, spark.createDataFrame(edges, "x1 double, y1 double, x2 double, y2 double")).collect())
+    assert got == sorted((i, x is not None and odd(x, y)) for i, x, y in spots) and 100 < sum(v for _, v in got) < 400
+    assert not any(r["inside"] for r in spatial.inside_rings(df, spark.createDataFrame([], "x1 double, y1 double, x2 double, y2 double")).collect())

@@ -100,3 +100,23 @@ def overlap(a: str = "l_", b: str = "r_") -> Column:
     """Boxes that share area or an edge."""
     c = lambda p, k: F.col(p + k)
     return (c(a, "x0") <= c(b, "x1")) & (c(b, "x0") <= c(a, "x1")) & (c(a, "y0") <= c(b, "y1")) & (c(b, "y0") <= c(a, "y1"))
+
+
+def inside_rings(points: DataFrame, edges: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
+    """points (key, px, py) with inside: whether an odd number of the closed rings made by edges (x1, y1, x2, y2) surrounds each.
+
+    A point meets the edges of its horizontal slab only; there are as many slabs as edges, so that a long outline has few in each.
+    Points without coordinates are not inside.
+    """
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    frame = F.broadcast(edges.agg(F.count("*").alias("__n"), F.min(low).alias("__low"), F.max(high).alias("__high")))  # one row
+    height = F.greatest((F.col("__high") - F.col("__low")) / F.greatest("__n", F.lit(1)), F.lit(1e-9))
+    slab = lambda y: F.floor((y - F.col("__low")) / height)
+    own = ["__n", "__low", "__high"]
+    cut_up = edges.select("x1", "y1", "x2", "y2").crossJoin(frame).withColumn("slab", F.explode(F.sequence(slab(low), slab(high)))).drop(*own)
+    names = [*key, "px", "py"]
+    asked = points.select(*names).distinct().crossJoin(frame).where(F.col("py").between(F.col("__low"), F.col("__high"))).withColumn("slab", slab(F.col("py"))).drop(*own)
+    spans = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
+    right = F.when(spans, F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    odd = asked.join(cut_up, "slab").where(right).groupBy(*names).agg((F.count("*") % 2 == 1).alias("inside"))
+    return points.join(odd, names, "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
