@@ -1,6 +1,7 @@
 """Toxicity, importance resampling, language-model scores, the trie, and the pipeline."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -132,6 +133,16 @@ def test_chain_without_labels(spark):
     assert toxicity.score(df.limit(0), toxicity.learn(df, one)).count() == 0
 
 
+def test_chain_is_not_fitted_on_the_driver(spark, monkeypatch):
+    """The training rows stay in a task: train() never runs in the driver's process."""
+    driver, train = os.getpid(), toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a: train(*a) if os.getpid() != driver else None)
+    df = spark.createDataFrame([(i, "vile thing" if i % 3 == 0 else "good thing") for i in range(60)], "doc_id long, text string")
+    labels = df.selectExpr("doc_id", "cast(doc_id % 3 <> 0 as int) quality", "cast(doc_id % 3 = 0 as int) toxic")
+    chain = toxicity.learn(df, labels)
+    assert [r["toxic"] for r in toxicity.score(df, chain).orderBy("doc_id").collect()] == [i % 3 == 0 for i in range(60)]
+
+
 def test_toxicity_held_out(spark):
     """Trained on two thirds of the labelled documents, right on the rest."""
     d = "/root/testdata/sf0.1"

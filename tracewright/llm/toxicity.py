@@ -3,12 +3,13 @@
 The categories are learnt one after another. Each is a logistic regression on the words of a text and
 the beginnings of its words, plus the probabilities of the categories before it; in training those come
 from models that did not see the text (out-of-fold), so that a later model learns how far to
-trust them. The chain is fitted on the driver on at most train_rows labelled texts, those of least
-hash; scoring is a map over all texts.
+trust them. The chain is fitted in one task on at most train_rows labelled texts, those of least
+hash, so that the driver holds the finished weights only; scoring is a map over all texts.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -195,10 +196,17 @@ def learn(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     schema = "id bigint, h bigint, " + ", ".join(f"{g} int" for g in given) + ", features binary"
     made = texts.select("id", F.xxhash64("text").alias("h"), "text", *given).mapInArrow(run, schema)
     one = made.groupBy("id").agg(F.min(F.struct("h", *given, "features")).alias("one"))  # a row for each id of the sample
-    rows = one.select("id", "one.*").toArrow().sort_by("id")
-    sets = [np.frombuffer(b.as_py(), dtype=np.uint32) for b in rows.column("features")]
-    y = np.column_stack([rows.column(g).to_numpy() for g in given]).astype(np.int64)
-    return train(sets, y, set_)
+
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, features_schema).sort_by("id")
+        sets = [np.frombuffer(b.as_py(), dtype=np.uint32) for b in rows.column("features")]
+        y = np.column_stack([rows.column(g).to_numpy() for g in given]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(sets, y, set_))], pa.binary())], names=["chain"])
+
+    features_schema = pa.schema([("id", pa.int64()), *((g, pa.int32()) for g in given), ("features", pa.binary())])
+    # the rows of the sample, train_rows at most; one task even where there are none
+    fitted = one.select("id", *[F.col(f"one.{c}").alias(c) for c in (*given, "features")]).coalesce(1).mapInArrow(fit_all, "chain binary").collect()
+    return pickle.loads(fitted[0]["chain"])
 
 
 def score(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
