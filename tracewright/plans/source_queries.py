@@ -39,10 +39,10 @@ def parse_excellon(spark, d):
 @register("parse_gerber", "SELECT concat(CAST(p_partkey % 20 AS STRING), '.gtl') AS path, CASE WHEN p_size % 3 = 0 THEN 'track' ELSE 'pad' END AS kind, round(p_partkey % 50 / 10, 4) AS x, round(p_partkey // 50 / 10, 4) AS y FROM part")
 def parse_gerber(spark, d):
     part = table(spark, d, "part").withColumn("ord", k())
-    at = lambda x, y: F.concat(F.lit("X"), F.lpad((x * 1000).cast("int").cast("string"), 6, "0"), F.lit("Y"), F.lpad((y * 1000).cast("int").cast("string"), 6, "0"))
+    at = lambda x, y: F.concat(F.lit("X"), F.lpad((x * 1000).cast("bigint").cast("string"), 10, "0"), F.lit("Y"), F.lpad((y * 1000).cast("bigint").cast("string"), 10, "0"))
     x, y = k() % 50, F.floor(k() / 50)
     line = F.when(F.col("p_size") % 3 == 0, F.concat(at(x, y), F.lit("D02*\n"), at(x + 1, y), F.lit("D01*"))).otherwise(F.concat(at(x, y), F.lit("D03*")))
-    files = in_files(part, line, "%FSLAX24Y24*%\n%MOMM*%\n%ADD10C,0.200*%\nD10*\nG01*\n", "\nM02*\n", F.concat((k() % 20).cast("string"), F.lit(".gtl")))
+    files = in_files(part, line, "%FSLAX64Y64*%\n%MOMM*%\n%ADD10C,0.200*%\nD10*\nG01*\n", "\nM02*\n", F.concat((k() % 20).cast("string"), F.lit(".gtl")))
     out = gerber.parse_frame(files).where("kind in ('track', 'pad')")
     return out.select("path", "kind", F.round("x1", 4).alias("x"), F.round("y1", 4).alias("y"))
 
