@@ -297,8 +297,9 @@ def affine_fits(spark, d):
 def wire_crossings(spark, d):
     """Manhattan wires with a bend each, and where they cross."""
     wires = table(spark, d, "part").select(k().alias("net_id"), (k() * 7 % 40).cast("double").alias("x0"), ((k() * 3 % 30) + 0.5).alias("y0"), ((k() * 11 % 40) + 0.25).alias("x1"), ((k() * 5 % 30) + 0.75).alias("y1"))
-    hit = graph.wire_crossings(graph.manhattan_routes(wires))
-    return hit.agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("xs"), F.round(F.sum("y"), 2).alias("ys"))
+    at = graph.crossing_places(graph.manhattan_routes(wires))
+    total = lambda c: F.round(F.sum(F.col(c) * F.col("n")), 2)
+    return at.agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("n"), total("x").alias("xs"), total("y").alias("ys"))
 
 
 @register("report_lines", "SELECT 0 AS place, CAST(1 AS BIGINT) AS n UNION ALL SELECT 1, count(DISTINCT p_partkey) FROM part UNION ALL SELECT 2, count(*) - count(DISTINCT p_brand) FROM part UNION ALL SELECT 3, 1")
