@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import reconcile
+from tracewright.operators import graph, inference, reconcile, windows
 from tracewright.plans import registry
 from tracewright.sources import archives
 
@@ -60,3 +60,35 @@ def test_fingerprint_of_three_levels(spark):
     digests = lambda texts: [hashlib.sha256("\n".join(texts[k : k + 2]).encode()).hexdigest() for k in range(0, len(texts), 2)]
     second = digests(digests([str(k) for k in range(9)]))
     assert got == [max(second), digests(digests(second))[0]]
+
+
+def test_copies_of_wires_are_not_paired(spark):
+    """2,000 copies of two crossing wires make four million crossings, counted without as many rows; a route's own crossing is left out."""
+    wire = lambda n, *legs: [(n, float(a), float(b), float(c), float(d)) for a, b, c, d in legs]
+    few = [*wire(1, (0, 1, 9, 1), (5, 0, 5, 4)), *wire(2, (5, 3, 5, 0)), *wire(3, (8, 2, 1, 2)), *wire(3, (1, 1, 9, 1))]
+    df = spark.createDataFrame(few, "net_id long, x1 double, y1 double, x2 double, y2 double")
+    want = {(r["x"], r["y"]): r["count"] for r in graph.wire_crossings(df).groupBy("x", "y").count().collect()}
+    assert {(r["x"], r["y"]): r["n"] for r in graph.crossing_places(df).collect()} == want and len(want) == 2
+    many = spark.range(2_000).selectExpr("id net_id", "explode(array(struct(0d x1, 1d y1, 9d x2, 1d y2), struct(5d x1, 0d y1, 5d x2, 4d y2))) s").select("net_id", "s.*")
+    assert [tuple(r) for r in graph.crossing_places(many).collect()] == [(5.0, 1.0, 2_000 * 1_999)]
+
+
+def test_references_are_numbered_without_a_range_join(spark):
+    """Used numbers are passed over by counting them in order, not by pairing each with every component behind it."""
+    parts = spark.range(3_000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("id"), F.when(F.col("id") % 2 == 0, "resistor").otherwise("capacitor").alias("kind"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("R"), (F.col("id") % 500 + 1).cast("string"))).alias("reference"))
+    out = windows.assign_references(parts)
+    assert "free_before" not in out._jdf.queryExecution().toString()
+    got = {r["id"]: r["reference"] for r in out.collect()}
+    used = {k % 500 + 1 for k in range(0, 3_000, 3)}
+    free = {"R": (n for n in range(1, 10_000) if n not in used), "C": iter(range(1, 10_000))}
+    assert got == {f"{k:05}": f"R{k % 500 + 1}" if k % 3 == 0 else "RC"[k % 2] + str(next(free["RC"[k % 2]])) for k in range(3_000)}
+
+
+def test_filters_pair_rows_that_are_complete(spark):
+    """Values and marks are joined to parts before they are paired: nothing is joined to the pairs."""
+    pins = spark.createDataFrame([(c, n) for c, a, b in [("r1", "A", "M"), ("r2", "M", "G"), ("c1", "M", "G"), ("l1", "A", "M")] for n in (a, b)], "component_id string, net_id string")
+    parts = spark.createDataFrame([("r1", "resistor", "10K"), ("r2", "resistor", "1K"), ("c1", "capacitor", "1N"), ("l1", "inductor", "1U")], "id string, kind string, value string")
+    net = lambda n: spark.createDataFrame([(n,)], "net_id string")
+    for out, rows in ((inference.rc_filters(pins, parts, net("G")), 1), (inference.lc_filters(pins, parts, net("G")), 1), (inference.voltage_dividers(pins, parts, net("A"), net("G")), 1)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+        assert out.count() == rows
