@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import graph, inference, reconcile, windows
+from tracewright.operators import graph, inference, packages, reconcile, windows
 from tracewright.plans import registry
 from tracewright.sources import archives
 
@@ -92,3 +92,11 @@ def test_filters_pair_rows_that_are_complete(spark):
     for out, rows in ((inference.rc_filters(pins, parts, net("G")), 1), (inference.lc_filters(pins, parts, net("G")), 1), (inference.voltage_dividers(pins, parts, net("A"), net("G")), 1)):
         assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
         assert out.count() == rows
+
+
+def test_package_hints_broadcast_nothing(spark):
+    """Components may be very many: pads are counted where they are grouped, by one shuffle, and no table goes through the driver."""
+    pads = spark.range(300).selectExpr("id div 100 as component_id", "cast(id as double) x", "0d y", "cast(null as double) drill").where("component_id < 2 or x < 202")
+    out = packages.package_hints(pads)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["component_id"]: r["state"] for r in out.collect()} == {0: "weak", 1: "weak", 2: "accepted" if packages.match([200, 201], [0, 0], [False, False])[0] else "weak"}

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -105,14 +106,23 @@ def package_hints(members: DataFrame, signatures: tuple[Signature, ...] = SIGNAT
     never gathered.
     """
     most = max(s.most for s in signatures)
-    sizes = members.groupBy("component_id").agg(F.count("*").alias("n"))
+    own = members.select("component_id", "x", "y", "drill")
     kind = members.schema["component_id"].dataType.simpleString()
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(part["component_id"].iloc[0], *match(part["x"], part["y"], part["drill"].notna(), signatures))], columns=["component_id", "package_hint", "candidate", "score", "margin", "state"])
-
-    small = members.select("component_id", "x", "y", "drill").join(sizes.where(F.col("n") <= most).select("component_id"), "component_id")
-    told = small.groupBy("component_id").applyInPandas(run, f"component_id {kind}, package_hint string, candidate string, score double, margin double, state string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pads = [np.asarray(batch.column(c).flatten().to_numpy(zero_copy_only=False)) for c in ("x", "y", "drilled")]
+            ends = np.cumsum(batch.column("x").value_lengths().to_numpy(zero_copy_only=False).astype(int))
+            told = [match(*(v[i:j] for v in pads), signatures) for i, j in zip([0, *ends], ends, strict=False)]
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("component_id"), *[pa.array([t[k] for t in told], v) for k, v in enumerate(kinds)]], names=["component_id", "package_hint", "candidate", "score", "margin", "state"])
+
+    # counted where they are grouped, so that nothing is broadcast; a window spills what it can't hold
+    small = own.withColumn("n", F.count("*").over(Window.partitionBy("component_id"))).where(F.col("n") <= most).drop("n")
+    small = small.where("component_id is not null")
+    listed = lambda of: F.transform("pads", lambda p: of(p))
+    rows = small.groupBy("component_id").agg(F.collect_list(F.struct("x", "y", "drill")).alias("pads"))
+    told = rows.select("component_id", listed(lambda p: p["x"].cast("double")).alias("x"), listed(lambda p: p["y"].cast("double")).alias("y"), listed(lambda p: p["drill"].isNotNull()).alias("drilled")).mapInArrow(run, f"component_id {kind}, package_hint string, candidate string, score double, margin double, state string")
     none = F.lit(None).cast("string")
-    large = sizes.where(F.col("n") > most).select("component_id", none.alias("package_hint"), none.alias("candidate"), F.lit(0.0).alias("score"), F.lit(0.0).alias("margin"), F.lit("weak").alias("state"))
+    large = own.groupBy("component_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component_id", none.alias("package_hint"), none.alias("candidate"), F.lit(0.0).alias("score"), F.lit(0.0).alias("margin"), F.lit("weak").alias("state"))
     return told.unionByName(large)
