@@ -1,14 +1,16 @@
 """Queries and their SQL on tables that reach further than the small ones: larger keys, more rows."""
 
 import hashlib
+import random
+from collections import defaultdict
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import graph, inference, packages, reconcile, windows
-from tracewright.plans import registry
-from tracewright.sources import archives
+from tracewright.operators import architecture, graph, inference, packages, reconcile, windows
+from tracewright.plans import registry, source_queries
+from tracewright.sources import archives, common, composition
 
 from test_queries import rows
 
@@ -100,3 +102,54 @@ def test_package_hints_broadcast_nothing(spark):
     out = packages.package_hints(pads)
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r["component_id"]: r["state"] for r in out.collect()} == {0: "weak", 1: "weak", 2: "accepted" if packages.match([200, 201], [0, 0], [False, False])[0] else "weak"}
+
+
+def test_neighbours_are_counted_without_pairs(spark):
+    """By sets of nets, by pairs, and by both, as listing all pairs gives; null ids as before."""
+    rnd = random.Random(5)
+    edges = {(f"K{c}", f"N{rnd.randrange(30)}") for c in range(200) for _ in range(1 + c % 11)} | {(None, "N1"), ("K1", None), ("alone", "X")}
+    df = spark.createDataFrame(sorted(edges, key=str), "component_id string, net_id string")
+    on = defaultdict(set)
+    for c, n in edges:
+        if c and n:
+            on[n].add(c)
+    want = {c: (sum(x == c for x, _ in edges), len(set().union(*[on[n] for x, n in edges if x == c and n]) - {c}) if c else 0) for c, _ in edges}
+    for most in (16, 4, 0):
+        assert {r["component_id"]: (r["nets"], r["neighbours"]) for r in architecture.neighbourhoods(df, most).collect()} == want
+    assert "component_id <> " not in architecture.neighbourhoods(df.where("net_id = 'N1'"))._jdf.queryExecution().toString()
+
+
+def test_far_apart_operations_are_composed_apart():
+    """Rows of boxes with a clear and a dark one inside: the same image as all at once, in groups of one row each."""
+    box, op = composition.box, composition.Operation
+    ops = [op(True, [box(x, y, 1.2, 0.5)], ("d", x, y)) for x in range(6) for y in range(5)] + [op(False, [box(x, y, 0.4, 0.2)], ("c", x, y)) for x in range(0, 6, 2) for y in range(5)] + [op(True, [box(x, y, 0.1, 0.1)], ("e", x, y)) for x in range(0, 6, 2) for y in range(5)]
+    groups = composition._apart(ops)
+    assert sorted(map(len, groups)) == [12] * 5 and composition.compose(ops) == composition._compose(ops)
+    ring = [op(True, [composition.box(0, 0, 9, 9)]), op(False, [composition.box(0, 0, 8, 8)]), op(True, [composition.box(0, 0, 1, 1)])]
+    assert len(composition._apart(ring)) == 1 and composition.compose([]) == [] and composition.compose([op(True, [])]) == []
+
+
+def test_parsed_files_are_handed_on_one_at_a_time(spark, monkeypatch):
+    """A task makes a table of at most so many objects at once, however many files a batch has."""
+    monkeypatch.setattr(common, "ROWS", 7)
+    sizes = []
+    frame = lambda rows, columns: sizes.append(len(rows)) or (rows, columns)
+    monkeypatch.setattr(common.pd, "DataFrame", frame)
+
+    class Files:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            part = {"path": ["a", "b"], "content": ["x" * 10, "y" * 3]}
+            return [r for rows, _ in run(iter([part])) for r in rows]
+
+    parser = lambda text, path, strict: type("Image", (), {"rows": [path] * len(text)})
+    assert common.parse_texts(Files(), parser) == ["a"] * 10 + ["b"] * 3 and sizes == [7, 3, 3]
+
+
+def test_few_files_are_not_one_task(spark):
+    """Twenty small files are parsed by several tasks: adaptive execution would join them, as it sees their bytes only."""
+    df = spark.range(200).withColumn("ord", F.col("id"))
+    files = source_queries.in_files(df, F.lit("x"), "", "", (F.col("id") % 20).cast("string"))
+    assert files.select(F.spark_partition_id().alias("p")).distinct().count() > 5
