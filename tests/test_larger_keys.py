@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import architecture, graph, inference, packages, reconcile, windows
 from tracewright.plans import registry, source_queries
-from tracewright.sources import archives, common, composition
+from tracewright.sources import archives, common, composition, tables
 
 from test_queries import rows
 
@@ -21,9 +21,9 @@ QUERIES, SQL = registry.load()
 def compare(spark, tmp_path):
     """Runs a query and its SQL on the given tables."""
 
-    def run(name, **tables):
+    def run(name, **made):
         con = duckdb.connect()
-        for t, df in tables.items():
+        for t, df in made.items():
             df.write.parquet(f"{tmp_path}/{t}.parquet")
             con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
         df = QUERIES[name](spark, str(tmp_path))
@@ -153,3 +153,17 @@ def test_few_files_are_not_one_task(spark):
     df = spark.range(200).withColumn("ord", F.col("id"))
     files = source_queries.in_files(df, F.lit("x"), "", "", (F.col("id") % 20).cast("string"))
     assert files.select(F.spark_partition_id().alias("p")).distinct().count() > 5
+
+
+def test_schematics_are_handed_on_one_at_a_time(monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 2)
+    monkeypatch.setattr(tables, "schematic_rows", lambda text: [{"kind": c} for c in text])
+
+    class Files:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return [len(f) for f in run(iter([{"path": ["a", "b"], "content": ["xyz", "z"]}]))]
+
+    assert tables.schematics(Files()) == [2, 1, 1]
