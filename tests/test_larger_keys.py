@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import architecture, graph, inference, packages, reconcile, windows
+from tracewright.operators import architecture, graph, inference, packages, reconcile, spatial, windows
 from tracewright.plans import registry, source_queries
 from tracewright.sources import archives, common, composition, tables
 
@@ -167,3 +167,32 @@ def test_schematics_are_handed_on_one_at_a_time(monkeypatch):
             return [len(f) for f in run(iter([{"path": ["a", "b"], "content": ["xyz", "z"]}]))]
 
     assert tables.schematics(Files()) == [2, 1, 1]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_boxes_of_small_estimate_are_not_broadcast(spark):
+    """A planner takes a table unfolded from one row for one row; the driver must not be sent all of it."""
+    many = spark.range(1).selectExpr("explode(sequence(0, 29999)) as k").selectExpr("cast(k as string) as id", "'a' as layer", "k % 200 as x0", "k % 200 + 0.5 as x1", "k div 200 as y0", "k div 200 + 0.5 as y1")
+    assert "BroadcastHashJoin" not in plan(spatial.box_join(many, many, 1.0))
+    assert "BroadcastHashJoin" in plan(spatial.box_join(many, many.where("x0 < 10 and y0 < 10"), 1.0))
+
+
+def test_boxes_round_whole_numbers_fill_one_cell(spark):
+    boxes = spark.range(100).selectExpr("cast(id as string) as id", "'a' as layer", "id - 0.4 as x0", "id + 0.4 as x1", "-0.4 as y0", "0.4 as y1")
+    assert spatial.with_cells(boxes, 1.0).count() == 100
+    assert "meet" not in plan(spatial.box_join(boxes, boxes, 1.0, wide=True))
+
+
+def test_leaves_leave_the_graph_before_it_is_solved(spark):
+    """A chain of 50 pads with 20 tracks between each two: only links of pads are left, and the names are those of plain search."""
+    edges = [(f"P{k + 100 + d}", f"T{k}-{j}") for k in range(49) for j in range(20) for d in (0, 1)] + [("Q1", "Q2")]
+    df = spark.createDataFrame(edges, "u string, v string")
+    cut_ = graph.cut(df.distinct(), "edges", "lz4", free=False)
+    left, leads = graph._contracted(cut_, 0, 1000)
+    assert left.count() <= 49 and len(leads) >= 1
+    got = {r["node"]: r["component"] for r in graph.components(df, at_once=0).collect()}
+    assert got == {n: "Q1" if n[0] == "Q" else "P100" for e in edges for n in e}
+    assert graph.components(df, at_once=10_000).count() == len(got)

@@ -1,7 +1,8 @@
 """Grid-cell spatial joins: range predicates become equi-joins on cells, then exact predicates.
 
 Pairs are kept in the one cell that holds the lower corner of the overlap of both boxes, so that no
-distinct is needed and no pair crosses the shuffle twice.
+distinct is needed and no pair crosses the shuffle twice. Lines between cells lie half a cell off the
+multiples of the cell size, as that is where boards have their objects.
 """
 
 from __future__ import annotations
@@ -10,12 +11,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A side of a join that fills no more cells than this is sent to every task.
+FEW_CELLS = 20_000
+
+
+def cell_at(v: Column, size: float | Column) -> Column:
+    """The number of the cell that holds a coordinate."""
+    return F.floor(v / size + 0.5)
+
+
 def with_cells(df: DataFrame, cell: float, grow: float = 0.0, prefix: str = "") -> DataFrame:
     """One row for each grid cell that the box x0, y0, x1, y1 touches once grown on all sides."""
-    at = lambda c, g: F.floor((F.col(prefix + c) + g) / cell)
+    at = lambda c, g: cell_at(F.col(prefix + c) + g, cell)
     return df.withColumn("cx", F.explode(F.sequence(at("x0", -grow), at("x1", grow)))).withColumn("cy", F.explode(F.sequence(at("y0", -grow), at("y1", grow))))
 
 
+def _facts(df: DataFrame, cell: float, grow: float) -> tuple[int, float]:
+    """How many cells the boxes of df fill, and the extent of the largest, both once grown."""
+    across = lambda c: cell_at(F.col(c + "1") + grow, cell) - cell_at(F.col(c + "0") - grow, cell) + 1
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * grow
+    cells, widest = df.agg(F.sum((across("x") * across("y")).cast("double")), F.max(extent)).first()
+    return cells or 0, widest or 0.0
+
+
 def _renamed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
@@ -28,8 +46,14 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, within: float = 0.0
 
     wide is for tables that may hold boxes of many cells (planes, keepouts): a box of more than eight cells
     lives on a grid 64 times as coarse, one of more than 512 on one of 4,096 times, and a pair meets on the
-    coarser grid of the two, so that no box fills more than 10 by 10 cells but for those beyond 32,768.
+    coarser grid of the two, so that no box fills more than 10 by 10 cells but for those beyond 32,768. Where no
+    box is that large, there is one grid.
+
+    A planner counts a row once, however many cells it fills, so the cells are counted first: only a side
+    of few is broadcast.
     """
+    facts = [_facts(left, cell, within), _facts(right, cell, 0.0)]
+    wide = wide and max(widest for _, widest in facts) > 8 * cell
     a, b = _renamed(left, "l_"), _renamed(right, "r_")
     if wide:
         a, b = _on_grids(a, cell, within, "l_", ("at home", "right up")), _on_grids(b, cell, 0.0, "r_", ("at home", "left up"))
@@ -40,9 +64,11 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, within: float = 0.0
     near = (F.col("l_x0") - within <= F.col("r_x1")) & (F.col("r_x0") <= F.col("l_x1") + within) & (F.col("l_y0") - within <= F.col("r_y1")) & (F.col("r_y0") <= F.col("l_y1") + within)
     if wide:
         near = near & (a["grid"] == F.greatest("l__grid", "r__grid"))
-    first = (a["cx"] == F.floor(F.greatest(F.col("l_x0") - within, F.col("r_x0")) / size)) & (a["cy"] == F.floor(F.greatest(F.col("l_y0") - within, F.col("r_y0")) / size))
+    first = (a["cx"] == cell_at(F.greatest(F.col("l_x0") - within, F.col("r_x0")), size)) & (a["cy"] == cell_at(F.greatest(F.col("l_y0") - within, F.col("r_y0")), size))
     cheap = near & first if condition is None else near & first & F.coalesce(condition, F.lit(False))
-    out = a.join(b, on).where(cheap if exact is None else cheap & F.when(cheap, exact))
+    few = [cells <= FEW_CELLS for cells, _ in facts]
+    joined = F.broadcast(a).join(b, on) if few[0] and facts[0] <= facts[1] else a.join(F.broadcast(b) if few[1] else b.hint("merge"), on)
+    out = joined.where(cheap if exact is None else cheap & F.when(cheap, exact))
     return out.select(*[F.col(c) for c in a.columns + b.columns if c not in ("cx", "cy", "grid", "meet", "l__grid", "r__grid")])
 
 
@@ -57,7 +83,7 @@ def _on_grids(df: DataFrame, cell: float, grow: float, prefix: str, home: tuple[
     up = "left up" if "left up" not in home else "right up"
     out = out.withColumn("meet", F.explode(F.when(F.col("grid") == F.col(prefix + "_grid"), F.array(*map(F.lit, home))).otherwise(F.array(F.lit(up)))))
     size = F.lit(cell) * F.pow(F.lit(64.0), F.col("grid"))
-    at = lambda c, g: F.floor((F.col(prefix + c) + g) / size)
+    at = lambda c, g: cell_at(F.col(prefix + c) + g, size)
     return out.withColumn("cx", F.explode(F.sequence(at("x0", -grow), at("x1", grow)))).withColumn("cy", F.explode(F.sequence(at("y0", -grow), at("y1", grow))))
 
 

@@ -89,15 +89,15 @@ def star_edges(spark, d):
 
 def reconstruct(spark, files):
     """Tables of a board from its files (path, content): pads with drills, tracks, outline, and nets with their members."""
-    g = gerber.parse_frame(files.where("not path like '%.drl'"))
-    e = excellon.parse_frame(files.where("path like '%.drl'"))
-    pads = g.where("kind = 'pad'").select("id", F.col("x1").alias("x"), F.col("y1").alias("y"), "size_x", "size_y", "shape", F.lit("F.Cu").alias("layer"))
-    tracks = g.where("kind = 'track'").select("id", "x1", "y1", "x2", "y2", F.col("size_x").alias("width"), F.lit("F.Cu").alias("layer"))
-    drills = e.where("kind = 'drill'").select("id", F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("size_x").alias("diameter"))
-    pads = connectivity.attach_drills(pads, drills)
-    edges = connectivity.pad_track_contacts(pads, tracks, 0.03).unionByName(connectivity.track_contacts(tracks, 0.03))
+    # a few files are many objects, which no planner can know from the files: tables of their own have sizes, so that none is broadcast by mistake
+    g = cut(gerber.parse_frame(files.where("not path like '%.drl'")), "copper-objects")
+    e = cut(excellon.parse_frame(files.where("path like '%.drl'")), "drill-objects")
+    pads = cut(g.where("kind = 'pad'").select("id", F.col("x1").alias("x"), F.col("y1").alias("y"), "size_x", "size_y", "shape", F.lit("F.Cu").alias("layer")), "pads")
+    tracks = cut(g.where("kind = 'track'").select("id", "x1", "y1", "x2", "y2", F.col("size_x").alias("width"), F.lit("F.Cu").alias("layer")), "tracks")
+    drills = cut(e.where("kind = 'drill'").select("id", F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("size_x").alias("diameter")), "drills")
+    edges = cut(connectivity.pad_track_contacts(pads, tracks, 0.03).unionByName(connectivity.track_contacts(tracks, 0.03)), "contacts")
     nodes = pads.select(F.col("id").alias("node")).unionByName(tracks.select(F.col("id").alias("node")))
-    return {"pads": pads, "tracks": tracks, "drills": drills, "outline": g.where("kind = 'outline'"), "nets": connectivity.nets(nodes, edges), "islands": graph.islands(nodes, edges)}
+    return {"pads": connectivity.attach_drills(pads, drills), "tracks": tracks, "drills": drills, "outline": g.where("kind = 'outline'"), "nets": connectivity.nets(nodes, edges), "islands": graph.islands(nodes, edges)}
 
 
 @register("reconstruct_board", """
