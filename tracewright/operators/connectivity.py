@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.geometry import capsule_gap, segment_box_distance
 from tracewright.functions.text import stable_id
 from tracewright.operators import copper, graph, spatial, windows
+from tracewright.storage import cut
 
 
 def pad_boxes(pads: DataFrame) -> DataFrame:
@@ -64,9 +65,10 @@ def net_ids(label: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "|")
     large = sizes.where(F.col("member_count") > LEAF).select("component")
-    out = label.join(large, "component", "left_anti").groupBy("component").agg(stable_id("net", joined("node")).alias("net_id"))
+    named = lambda df: df.groupBy("component").agg(stable_id("net", joined("node")).alias("net_id"))
     if large.isEmpty():
-        return out
+        return named(label)
+    out = named(label.join(large, "component", "left_anti"))
     n = windows.numbered(label.join(large, "component").select("component", "node"), ["component", "node"])
     first = n.groupBy("component").agg(F.min("number").alias("first"))
     ranges = n.join(F.broadcast(first), "component").groupBy("component", F.floor((F.col("number") - F.col("first")) / LEAF).alias("at")).agg(F.sha1(joined("node").cast("binary")).alias("digest"))  # a large net is at least LEAF rows, so they are few
@@ -79,8 +81,8 @@ def nets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     confidence is that of the weakest via of the group (column confidence of edges), 0.99 at most.
     """
-    label = graph.label_components(nodes, edges)
-    facts = label.groupBy("component").agg(F.count("*").alias("member_count"), F.min("node").alias("first_member"))
+    label = cut(graph.label_components(nodes, edges), "labels", "lz4")
+    facts = cut(label.groupBy("component").agg(F.count("*").alias("member_count"), F.min("node").alias("first_member")), "nets", "lz4")
     out = facts.join(net_ids(label, facts), "component")
     if "confidence" in edges.columns:
         weak = edges.join(label.withColumnRenamed("node", "u"), "u").groupBy("component").agg(F.min("confidence").alias("confidence"))
