@@ -8,7 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import architecture, graph, inference, packages, reconcile, spatial, windows
+from tracewright import storage
+from tracewright.operators import architecture, graph, inference, packages, reconcile, rules, spatial, windows
 from tracewright.plans import registry, source_queries
 from tracewright.sources import archives, common, composition, tables
 
@@ -196,3 +197,18 @@ def test_leaves_leave_the_graph_before_it_is_solved(spark):
     got = {r["node"]: r["component"] for r in graph.components(df, at_once=0).collect()}
     assert got == {n: "Q1" if n[0] == "Q" else "P100" for e in edges for n in e}
     assert graph.components(df, at_once=10_000).count() == len(got)
+
+
+def test_exact_gap_is_worked_out_once(spark):
+    """A planner that copies the gap of two tracks into filters makes a method too long for Java to compile; four ends are four distances."""
+    row = lambda k: (f"T{k}", 0.0, float(k), 5.0, float(k), 0.9, "0", None)
+    tracks = spark.createDataFrame([row(k) for k in range(4)], "id string, x1 double, y1 double, x2 double, y2 double, width double, layer string, net_id string")
+    out = rules.track_clearance(tracks, rules.DrcLimits())
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("hypot") == 4
+    assert sorted((r.l_id, r.r_id, round(r.gap, 6), r.state) for r in out.collect()) == [(f"T{k}", f"T{k + 1}", 0.1, "unresolved") for k in range(3)]
+
+
+def test_long_methods_are_split(spark):
+    """Where the session says nothing else, Spark generates no method that Java only interprets."""
+    storage.reach_workers(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000

@@ -151,8 +151,8 @@ def once() -> Column:
 
 def near(left: DataFrame, right: DataFrame, within: float, keys: tuple[str, ...] = ("layer",), condition: Column | None = None, strict: bool = False) -> DataFrame:
     """Pairs of shapes at most within apart, strict: nearer, with their gap; columns get l_ and r_. condition spares pairs the exact gap."""
-    pairs = spatial.box_join(left, right, max(2.0, 8 * within), within, keys, condition, wide=True, exact=gap() < within if strict else gap() <= within)
-    return pairs.withColumn("gap", gap())
+    pairs = spatial.box_join(left, right, max(2.0, 8 * within), within, keys, condition, wide=True)
+    return spatial.measured(pairs, "gap", gap(), lambda g: g < within if strict else g <= within)
 
 
 def contacts(copper: DataFrame, tolerance: float = 0.03) -> DataFrame:

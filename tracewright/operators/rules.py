@@ -132,8 +132,8 @@ def track_clearance(tracks: DataFrame, limits: DrcLimits) -> DataFrame:
     line = lambda p: tuple(F.col(f"{p}_{c}") for c in ("sx1", "sy1", "sx2", "sy2"))
     gap = geometry.capsule_gap(line("l"), F.col("l_width"), line("r"), F.col("r_width"))
     state = net_state(F.col("l_net_id"), F.col("r_net_id"))
-    pairs = spatial.box_pairs(track_boxes(t), max(cell_size(0.0), limits.clearance), limits.clearance, condition=state != "same", exact=gap < limits.clearance)
-    return pairs.select("l_id", "r_id", gap.alias("gap"), state.alias("state"))
+    pairs = spatial.box_pairs(track_boxes(t), max(cell_size(0.0), limits.clearance), limits.clearance, condition=state != "same")
+    return spatial.measured(pairs, "gap", gap, lambda g: g < limits.clearance).select("l_id", "r_id", "gap", state.alias("state"))
 
 
 def keepout_hits(objects: DataFrame, keepouts: DataFrame, cell: float = 5.0) -> DataFrame:

@@ -7,6 +7,8 @@ multiples of the cell size, as that is where boards have their objects.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,10 +70,20 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, within: float = 0.0
     cheap = near & first if condition is None else near & first & F.coalesce(condition, F.lit(False))
     few = [cells <= FEW_CELLS for cells, _ in facts]
     joined = F.broadcast(a).join(b, on) if few[0] and facts[0] <= facts[1] else a.join(F.broadcast(b) if few[1] else b.hint("merge"), on)
-    out = joined.where(cheap if exact is None else cheap & F.when(cheap, exact))
+    out = joined.where(cheap)
+    if exact is not None:
+        out = measured(out, "_exact", exact, lambda holds: holds)
     return out.select(*[F.col(c) for c in a.columns + b.columns if c not in ("cx", "cy", "grid", "meet", "l__grid", "r__grid")])
 
 
+def measured(pairs: DataFrame, name: str, value: Column, test: Callable[[Column], Column]) -> DataFrame:
+    """The pairs for whose value, a dear one, the test holds, with the value as a column.
+
+    It goes through explode() once, as a planner would copy it into each filter and join condition in front.
+    """
+    return pairs.withColumn("_value", value).withColumn(name, F.explode(F.array("_value"))).drop("_value").where(test(F.col(name)))
+
+
 def _on_grids(df: DataFrame, cell: float, grow: float, prefix: str, home: tuple[str, str]) -> DataFrame:
     """with_cells() on the grid that suits each box, and on the coarser ones.
 
