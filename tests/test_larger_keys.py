@@ -212,3 +212,11 @@ def test_long_methods_are_split(spark):
     """Where the session says nothing else, Spark generates no method that Java only interprets."""
     storage.reach_workers(spark)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_degrees_bring_an_edge_together_once(spark):
+    """Edges in both directions are two rows of each; the pair in order is one, and its ends are counted."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "b"), ("a", "c"), ("c", "c"), ("d", None), (None, "a")], "u string, v string")
+    out = graph.degrees(edges)
+    assert {tuple(r) for r in out.collect()} == {("a", 2), ("b", 1), ("c", 1)}
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
