@@ -220,3 +220,17 @@ def test_degrees_bring_an_edge_together_once(spark):
     out = graph.degrees(edges)
     assert {tuple(r) for r in out.collect()} == {("a", 2), ("b", 1), ("c", 1)}
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbourhood_hashes_of_alike_neighbours(spark):
+    """Neighbours of one label reach a node as one row with their number, so that a hub's list is short; hashes are as of the whole list."""
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    label = {"hub": "net"} | {f"p{k}": "odd" if k % 2 else "even" for k in range(9)}
+    edges = [("hub", f"p{k}") for k in range(9)]
+    hashes = {n: digest(x) for n, x in label.items()}
+    near = {n: {v for u, v in edges if u == n} | {u for u, v in edges if v == n} for n in label}
+    for _ in range(2):
+        hashes = {n: digest(h + "|" + ",".join(sorted(hashes[o] for o in near[n]))) for n, h in hashes.items()}
+    nodes = spark.createDataFrame([*label.items(), ("alone", "net")], "node string, label string")
+    out = graph.neighbourhood_hash(nodes, spark.createDataFrame(edges, "u string, v string"), 2)
+    assert dict(map(tuple, out.collect())) == hashes | {"alone": digest(digest(digest("net") + "|") + "|")}
