@@ -222,7 +222,7 @@ def test_degrees_bring_an_edge_together_once(spark):
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_neighbourhood_hashes_of_alike_neighbours(spark):
+def test_neighbourhood_hashes_of_alike_neighbours(spark, monkeypatch):
     """Neighbours of one label reach a node as one row with their number, so that a hub's list is short; hashes are as of the whole list."""
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     label = {"hub": "net"} | {f"p{k}": "odd" if k % 2 else "even" for k in range(9)}
@@ -232,5 +232,8 @@ def test_neighbourhood_hashes_of_alike_neighbours(spark):
     for _ in range(2):
         hashes = {n: digest(h + "|" + ",".join(sorted(hashes[o] for o in near[n]))) for n, h in hashes.items()}
     nodes = spark.createDataFrame([*label.items(), ("alone", "net")], "node string, label string")
+    plans, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name, *a, **k: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, name, *a, **k))
     out = graph.neighbourhood_hash(nodes, spark.createDataFrame(edges, "u string, v string"), 2)
+    assert all("count(1)" in plan for name, plan in [p for p in plans if p[0] == "labels"][-2:])
     assert dict(map(tuple, out.collect())) == hashes | {"alone": digest(digest(digest("net") + "|") + "|")}
