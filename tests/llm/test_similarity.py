@@ -153,6 +153,25 @@ def test_pigeonhole_join(spark, settings):
     assert embedding_join.join(df.limit(0)).count() == 0
 
 
+def test_pigeonhole_rounds_send_a_vector_once(spark, monkeypatch):
+    """What is shuffled at once is bounded by the vectors, not by the square of a dense cell; every link is found all the same."""
+    from pyspark.sql.group import GroupedData
+
+    rng, sent, real = np.random.default_rng(4), [], GroupedData.applyInArrow
+
+    def counted(self, *args):
+        sent.append(self._df.count())
+        return real(self, *args)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", counted)
+    base = rng.standard_normal((100, 24))
+    rows = [(i, (base[i % 100] + rng.standard_normal(24) * rng.choice([0.1, 0.2, 0.3])).tolist()) for i in range(300)]
+    got = embedding_join.join(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), embedding_join.Settings(chunk=40, at_once=1)).collect()
+    want, counts = all_pairs([(i, np.array(v, dtype=np.float32).astype(float).tolist()) for i, v in rows], 0.95)
+    assert {r["vec_id"]: r["component_id"] for r in got} == want and sorted((r["vec_id"], r["n_links"]) for r in got) == counts
+    assert sent == [300] * 8
+
+
 def test_long_vectors(spark):
     """Vectors too long for a rotation matrix, of even and odd length; the turn keeps all distances."""
     rng = np.random.default_rng(2)
