@@ -72,3 +72,39 @@ def test_a_long_history_is_read_in_parts(spark):
         state["n"] += 1
 
     assert [tuple(r) for r in event_log.replay(log, {"set": last}, lambda: {"n": 0}, "object_id string, n long").collect()] == [("a", 200_000)]
+
+
+class Store:
+    """A state variable that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        acts = {
+            "exists": lambda: None in self.held, "get": lambda: self.held[None], "update": lambda value: self.held.update({None: value}), "keys": lambda: iter(list(self.held)),
+            "containsKey": self.held.__contains__, "getValue": self.held.get, "updateValue": self.held.__setitem__, "removeKey": self.held.pop,
+        }
+
+        def call(*args):
+            self.calls += 1
+            return acts[name](*args)
+
+        return call
+
+
+def test_waiting_events_are_stored_in_blocks():
+    """A thousand events that wait take few calls to the store, each of which crosses from Python to the JVM."""
+    import json
+
+    import pandas as pd
+
+    process = event_log.OrderedFold(*FOLD, False)
+    process.fold, process.waiting = Store(), Store()
+    rows = [(v, json.dumps({"seq": 10 * v, "kind": "set"}), 0) for v in range(1, 1001)]
+    random.Random(6).shuffle(rows)
+    rows = [*[r for r in rows if r[0] > 1], rows[5], *[r for r in rows if r[0] == 1]]
+    for part in (rows[:300], rows[300:-1], rows[-1:]):
+        (got,) = process.handleInputRows(("a",), iter([pd.DataFrame(part, columns=["version", "event", "at"])]), None)
+    assert got.iloc[0].tolist() == ["a", ",".join(str(10 * v) for v in range(1, 1001)), 1000, 0, 1, 0]
+    assert process.waiting.held == {} and process.waiting.calls < 60
