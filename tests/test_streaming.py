@@ -97,7 +97,7 @@ def test_waiting_events_are_stored_in_blocks():
     """A thousand events that wait take few calls to the store, each of which crosses from Python to the JVM."""
     import json
 
-    import pandas as pd
+    from pyspark.sql import Row
 
     process = event_log.OrderedFold(*FOLD, False)
     process.fold, process.waiting = Store(), Store()
@@ -105,6 +105,6 @@ def test_waiting_events_are_stored_in_blocks():
     random.Random(6).shuffle(rows)
     rows = [*[r for r in rows if r[0] > 1], rows[5], *[r for r in rows if r[0] == 1]]
     for part in (rows[:300], rows[300:-1], rows[-1:]):
-        (got,) = process.handleInputRows(("a",), iter([pd.DataFrame(part, columns=["version", "event", "at"])]), None)
-    assert got.iloc[0].tolist() == ["a", ",".join(str(10 * v) for v in range(1, 1001)), 1000, 0, 1, 0]
+        (got,) = process.handleInputRows(("a",), iter([Row(version=v, event=e, at=at) for v, e, at in part]), None)
+    assert list(got) == ["a", ",".join(str(10 * v) for v in range(1, 1001)), 1000, 0, 1, 0]
     assert process.waiting.held == {} and process.waiting.calls < 60
