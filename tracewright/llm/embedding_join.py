@@ -37,7 +37,7 @@ class Settings:
     chunk: int = 16384
     seed: int = 7
     #: Rows of 64 components that a few rounds send at once, if one round sends fewer.
-    at_once: int = 600_000
+    at_once: int = 1_000_000
 
 
 #: Up to this dimension a rotation is a matrix.
