@@ -9,7 +9,7 @@ budget it meets, once the cosine of the vectors as given, in double precision, i
 
 The vectors are dealt into chunks of bounded size, and each two chunks meet in one task, which joins them on all
 blocks. In a round each chunk meets one other (those whose numbers add up to the round, by the count of chunks), so
-a round sends every vector once; its shuffle files are gone before the next few rounds begin, and the disk needed is a
+a round sends every vector once; the cleaner is told to drop its shuffle files before the next few rounds, so the disk needed is a
 multiple of the vectors, whatever their number. A task returns one row per vector (links and the least vector that they
 lead to), never the pairs.
 """
