@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tracewright.llm import decontaminate, embedding_join, ngram_join, queries
+from tracewright.llm import decontaminate, embedding_join, ngram_join, pii, queries
 from tracewright.llm.common import components
 
 
@@ -294,3 +294,28 @@ def test_reordered_passages_are_caught(spark):
         assert sorted(got) == [(1, True, [10]), (2, False, []), (3, False, []), (4, False, []), (5, True, [10]), (6, False, []), (7, True, [10]), (7, True, [10])]
     assert decontaminate.mark(df, items.limit(0)).where("contaminated").count() == 0
     assert decontaminate.mark(df.limit(0), items).count() == 0
+
+
+def test_rows_made_in_tasks_are_not_broadcast(spark, monkeypatch):
+    """Bands and exploded terms are many rows for each that Spark counts on; at its own threshold they don't go through the driver."""
+    plans = {}
+
+    def seen(module):
+        real = module.cut
+
+        def cut(df, name, *a, **k):
+            if name in ("bands", "entity-groups", "terms"):
+                df.collect()
+                plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return real(df, name, *a, **k)
+
+        monkeypatch.setattr(module, "cut", cut)
+
+    seen(ngram_join), seen(pii)
+    docs = spark.createDataFrame([(i, f"{t} write to clerk{i % 7}@office.example") for i, t in enumerate(near_copies(3, 6, 4))], "doc_id long, text string")
+    ngram_join.join(docs).collect()
+    pii.digest(docs).collect()
+    assert plans.keys() == {"bands", "entity-groups", "terms"}
+    merged = {"bands": ["key#"], "entity-groups": ["e#"], "terms": ["term#", "texts_of#", "hash#"]}
+    for name, keys in merged.items():
+        assert all(f"SortMergeJoin [{k}" in plans[name] for k in keys), name

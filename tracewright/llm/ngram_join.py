@@ -226,7 +226,8 @@ def grouped(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
 
     banded = classes.select("node", "sig").mapInArrow(bands, "key bigint, node bigint")
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1").select("key", "low")
-    members = cut(banded.join(shared, "key"), "bands", "snappy", rows=rows * set_.bands, per_file=2_000_000)
+    # Spark sizes the bands as one row for each class, a tenth of what they are, and would send them through the driver
+    members = cut(banded.hint("merge").join(shared, "key"), "bands", "snappy", rows=rows * set_.bands, per_file=2_000_000)
     blocks = cut(deal_blocks(members, classes.select("node", "n"), set_), "blocks", "snappy", rows=rows, per_file=2_000_000)
     rows = blocks.count()
     units = cut(deal_units(members, blocks), "units", "snappy", rows=rows, per_file=2_000_000)

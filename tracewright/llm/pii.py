@@ -136,20 +136,22 @@ def disclosures(docs: DataFrame, found: DataFrame, settings: Settings) -> DataFr
     postings = texts.select("hash", "n", F.explode("ents").alias("e"))
     where = F.struct(F.count("*").alias("m"), F.bit_xor(F.xxhash64("hash")).alias("x"), F.bit_xor(F.xxhash64("hash", F.lit(1))).alias("y"))
     known = postings.groupBy("e").agg(F.sum("n").alias("df_e"), where.alias("texts_of"))
-    groups = postings.join(known, "e").groupBy("hash", "texts_of").agg(F.first("n").alias("n"), F.first("df_e").alias("df_e"), F.collect_list("e").alias("es"))
+    groups = postings.hint("merge").join(known, "e").groupBy("hash", "texts_of").agg(F.first("n").alias("n"), F.first("df_e").alias("df_e"), F.collect_list("e").alias("es"))
     groups = cut(groups, "entity-groups", rows=rows)
     terms = groups.drop("es").join(texts.select("hash", "text"), "hash").withColumn("term", F.explode(words(F.col("text")))).where(F.length("term") >= set_.least_length)
     pairs = terms.groupBy("texts_of", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("df_et"), F.first("df_e").alias("df_e"))
     seen = docs.select(F.explode(words(F.col("text"))).alias("term")).where(F.length("term") >= set_.least_length).groupBy("term").agg(F.count("*").alias("df_t"))
     total = docs.count()
+    # Spark sizes exploded terms as one row for each group and arrays by their compressed files, and keeps to a broadcast once
+    # planned, as merging takes a shuffle more; merged by hint, none goes through the driver
     lacking = F.greatest(F.lit(set_.least_texts) - F.col("texts"), F.lit(0))
     pmi = F.log(F.lit(float(total)) * F.col("df_et") / (F.col("df_e") * (F.col("df_t") + lacking)))
     ic = F.log(F.lit(float(total)) / F.col("df_e"))
-    told = pairs.join(seen, "term").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= set_.generalise_at).select("texts_of", "term", "share")
+    told = pairs.hint("merge").join(seen, "term").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= set_.generalise_at).select("texts_of", "term", "share")
     # only terms of the text itself, with those entities of the group that don't hold them
-    own = terms.select("hash", "texts_of", "term").join(told, ["texts_of", "term"]).groupBy("hash", "texts_of").agg(F.collect_list(F.struct("term", "share")).alias("ts"))
+    own = terms.select("hash", "texts_of", "term").hint("merge").join(told, ["texts_of", "term"]).groupBy("hash", "texts_of").agg(F.collect_list(F.struct("term", "share")).alias("ts"))
     kind = lambda t: F.array_max(F.transform(F.filter("es", lambda e: ~F.contains(e["value"], t["term"])), lambda e: e["kind"]))
-    marked = own.join(groups.select("hash", "texts_of", "es"), ["hash", "texts_of"]).select("hash", F.explode(F.transform("ts", lambda t: F.struct(t["term"].alias("term"), t["share"].alias("share"), kind(t).alias("kind")))).alias("t"))
+    marked = own.hint("merge").join(groups.select("hash", "texts_of", "es"), ["hash", "texts_of"]).select("hash", F.explode(F.transform("ts", lambda t: F.struct(t["term"].alias("term"), t["share"].alias("share"), kind(t).alias("kind")))).alias("t"))
     best = marked.where("t.kind is not null").groupBy("hash", F.col("t.term").alias("term")).agg(F.max(F.struct("t.share", "t.kind")).alias("top"))
     return best.groupBy("hash").agg(F.collect_list(F.struct("term", F.col("top.share").alias("share"), F.col("top.kind").alias("kind"))).alias("terms"))
 
@@ -171,7 +173,7 @@ def _found(df: DataFrame, settings: Settings, text_col: str) -> tuple[DataFrame,
     found = cut(few_files(held.select(F.col("__text").alias("text"), F.col("__hash").alias("hash"), ents.alias("ents"))), "entities")
     flagged = cut(disclosures(whole.select(text.alias("text")), found, set_).withColumnRenamed("hash", "__hash"), "terms", rows=found.count())
 
-    out = held.join(flagged, "__hash", "left")
+    out = held.hint("merge").join(flagged, "__hash", "left")
     pattern = F.when(F.col("terms").isNotNull(), F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit("(?!)"))
     out = out.withColumn("__pattern", pattern).withColumn("__found", F.when(F.col("terms").isNotNull(), F.regexp_extract_all(F.col("__text"), F.col("__pattern"), F.lit(0))).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("__spans", located(F.col("__text"), F.col("__pattern"), F.col("__found")))
