@@ -237,3 +237,17 @@ def test_neighbourhood_hashes_of_alike_neighbours(spark, monkeypatch):
     out = graph.neighbourhood_hash(nodes, spark.createDataFrame(edges, "u string, v string"), 2)
     assert all("count(1)" in plan for name, plan in [p for p in plans if p[0] == "labels"][-2:])
     assert dict(map(tuple, out.collect())) == hashes | {"alone": digest(digest(digest("net") + "|") + "|")}
+
+
+def test_fingerprint_tree_covers_every_row(spark, tmp_path, monkeypatch):
+    """In ranges of two, nine rows make four levels; query and SQL go on to one digest of all."""
+    spark.range(9).selectExpr("id + 1 as l_orderkey", "cast(1 as int) as l_linenumber", "'A' as l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    real = reconcile.table_fingerprint
+    monkeypatch.setattr(reconcile, "table_fingerprint", lambda df, row, order, **other: real(df, row, order, leaf=2, **other))
+    level = [f"{k + 1}|1|A" for k in range(9)]
+    while len(level) > 1:
+        level = [hashlib.sha256("\n".join(level[k : k + 2]).encode()).hexdigest() for k in range(0, len(level), 2)]
+    assert QUERIES["fingerprint_tree"](spark, str(tmp_path)).first()[0] == level[0]
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert con.sql(SQL["fingerprint_tree"].replace("4096", "2").replace("4095", "1")).fetchall() == [(level[0],)]
