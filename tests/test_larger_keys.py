@@ -251,3 +251,12 @@ def test_fingerprint_tree_covers_every_row(spark, tmp_path, monkeypatch):
     con = duckdb.connect()
     con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     assert con.sql(SQL["fingerprint_tree"].replace("4096", "2").replace("4095", "1")).fetchall() == [(level[0],)]
+
+
+def test_small_files_share_tables_and_are_dealt_out(spark, tmp_path):
+    """Objects of many small files are made tables together, and files that come in one split go to many tasks."""
+    one = dict.fromkeys(common.COLUMNS)
+    assert [len(t) for t in common.in_tables((one for _ in range(common.ROWS + 5)), common.COLUMNS)] == [common.ROWS, 5]
+    parts(spark, spark.range(40)).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("gerber_constructs",):
+        assert "RepartitionByExpression [p_partkey" in QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
