@@ -210,7 +210,7 @@ def permissive_failures(spark, d):
     bodies = ("%ADD10C,0.5*%\nD10*\nX0Y0D03*\nD11*\nX0Y0D03*\nD10*\nX010000Y0D03*\nM02*\n", "%ADD10C,0.5*%\nD10*\nX0Y0D03*\nG36*\nX0Y0D02*\nX010000Y0D01*\nX010000Y010000D01*\nX0Y010000D01*\nG37*\nM02*\n", "%ADD10C,0.5*%\nD10*\nX0Y0D03*\n%LPX*%\nX010000Y0D03*\nM02*\n")
     content = F.concat(F.lit("%FSLAX24Y24*%\n%MOMM*%\n"), F.element_at(F.array(*map(F.lit, bodies)), (F.least(k() % 4, F.lit(2)) + 1).cast("int")))
     drl = F.lit("M48\nMETRIC\nT01C0.800\n%\nT01\nX1.0Y1.0\nT02\nX2.0Y2.0\nM30\n")
-    files = table(spark, d, "part").select((k() % 4).alias("c"), F.concat((k() % 4).cast("string"), F.lit("/"), k().cast("string")).alias("path"), F.when(k() % 4 == 3, drl).otherwise(content).alias("content"))
+    files = dealt(table(spark, d, "part")).select((k() % 4).alias("c"), F.concat((k() % 4).cast("string"), F.lit("/"), k().cast("string")).alias("path"), F.when(k() % 4 == 3, drl).otherwise(content).alias("content"))
     rows = gerber.parse_frame(files.where("c < 3"), strict=False).unionByName(excellon.parse_frame(files.where("c = 3"), strict=False))
     return rows.groupBy(F.split("path", "/")[0].cast("bigint").alias("c")).agg(F.count(F.when(F.col("kind") == "pad", 1)).alias("pads"), F.count(F.when(F.col("kind") == "diagnostic", 1)).alias("diagnostics"))
 
