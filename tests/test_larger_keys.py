@@ -260,3 +260,11 @@ def test_small_files_share_tables_and_are_dealt_out(spark, tmp_path):
     parts(spark, spark.range(40)).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     for name in ("gerber_constructs", "permissive_failures"):
         assert "RepartitionByExpression [p_partkey" in QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_functional_blocks_have_kinds_roles_and_several_nets(spark, compare):
+    """Blocks of one net and of several, with and without roles, of every kind."""
+    orders = spark.range(1, 3_000).selectExpr("id as o_orderkey", "id * 7919 % 700 as o_custkey")
+    got = compare("functional_blocks", orders=orders)  # columns in order of names: components, confidence, kind, n, nets
+    assert {r[2] for r in got} == {"interface", "power", "memory", "sensor", "clocking", "compute", "unknown"}
+    assert {r[1] for r in got} == {"0.55", "0.65", "0.7", "0.8"} and len({r[4] for r in got}) == 3
